@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .line_dedup import line_report
+from .ngram_join import Similarity, ngram_components
 from .packing import pack_documents
 from .quality import quality_report
 
@@ -18,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(table(spark, sf_dir, "documents"), n=3, sim=Similarity(90, 100))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,5 +31,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op7_quality_classifier, op9_line_dedup)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op6_ngram_jaccard_join, op7_quality_classifier, op9_line_dedup)}
 ORACLES: dict[str, str] = {}
