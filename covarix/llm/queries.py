@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
 from .line_dedup import line_report
 from .ngram_join import Similarity, ngram_components
 from .packing import pack_documents
@@ -31,5 +32,9 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"), min_docs=3, min_chars=20)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op6_ngram_jaccard_join, op7_quality_classifier, op9_line_dedup)}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_best_fit_packing, op6_ngram_jaccard_join, op7_quality_classifier, op9_line_dedup, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
