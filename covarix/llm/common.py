@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -32,6 +33,11 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit("").cast("binary"))
 
 
+def wider(df: DataFrame, more: str) -> T.StructType:
+    """The schema of ``df`` with the columns of a DDL string after its own."""
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows from an iterator of tuples."""
     held: list[tuple] = []

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_to_batches
+from .common import checkpointed, rows_to_batches, wider
 from .tokens import default_tokenizer, encoder
 
 END_ID = 1
@@ -159,8 +159,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             seq, off = run[:, 3] + i // run[:, 4], run[:, 5] + i % run[:, 4] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(seq), pa.array(off)], names=[*cols, "sequence_id", "offset"])
 
-    out = pieces.schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(put, out)
+    return ranked.mapInArrow(put, wider(pieces, "sequence_id long, offset long"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None) -> DataFrame:

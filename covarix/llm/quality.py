@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import text_bytes, wider
 
 PRINTABLE = list(range(32, 127))
 N_FEATURES = len(PRINTABLE) + 17
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             s = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=[*cols, "score", "predicted"])
 
-    out = docs.select(*cols).schema.add("score", "double").add("predicted", "int")
+    out = wider(docs.select(*cols), "score double, predicted int")
     return docs.select(*cols, text_bytes().alias("_body")).mapInArrow(add, out)
 
 
