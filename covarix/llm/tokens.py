@@ -37,14 +37,25 @@ def _byte_chars() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class _ByteText(dict):
+    """Character code to its UTF-8 bytes in the byte-level alphabet, for ``str.translate``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.chars = _byte_chars()
+
+    def __missing__(self, code: int) -> str:
+        self[code] = out = "".join(self.chars[b] for b in chr(code).encode())
+        return out
+
+
 class _Words(dict):
     """Word to the bytes of its ids, little-endian 32-bit; fills itself."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        chars = _byte_chars()
         self.model, self.split = tokenizer.model, regex.compile(SPLIT).findall
-        self.table = {i: "".join(chars[b] for b in chr(i).encode()) for i in range(0x250)}
+        self.table = _ByteText()
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
