@@ -5,7 +5,7 @@ as something else than the article (menus, footers, forms, adverts, comments,
 ...) give none. Of the rest, element subtrees are hashed; Spark counts for each
 host on how many differing pages a subtree recurs, and subtrees that recur on
 ``min_pages`` or more are deleted in a second pass. Pages count as differing by
-title and heading, so copies of one page do not turn its article into a
+title and first block, so copies of one page do not turn its article into a
 template; and paragraphs, headings, list items and the like inside an article
 are never templates, only containers there are. Counts are (host, subtree)
 aggregates with map-side combine, so a host with a third of all pages is no
@@ -177,7 +177,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
             for b in batches:
                 for page_id, row, site, html in zip(*(c.to_pylist() for c in b.columns)):
                     page = Page(html)
-                    head = xxhash.xxh3_64_intdigest(page.heading) - (1 << 63)
+                    head = xxhash.xxh3_64_intdigest(f"{page.heading}\0{page.text().partition(chr(10))[0]}") - (1 << 63)
                     for h in set(page.subtrees):
                         yield page_id, row, site, h, head
 
