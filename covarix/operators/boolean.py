@@ -48,18 +48,27 @@ def check_size(n_cells: int) -> int:
 def prime_implicants(on: Iterable[int], dont_care: Iterable[int] = (), bits: int = BITS) -> list[tuple[int, int]]:
     """All prime implicants ``(values, mask)`` that cover an on-cell; masked bits are free."""
     on = set(on)
-    level, primes = {(c, 0) for c in on | set(dont_care)}, []
-    while level:
-        merged, after = set(), set()
-        for values, mask in level:
-            for b in range(bits):
-                other = values ^ (1 << b)
-                if not mask >> b & 1 and (other, mask) in level:
-                    merged.add((values, mask))
-                    after.add((values & ~(1 << b), mask | 1 << b))
-        primes += level - merged
-        level = after
-    return sorted((v, m) for v, m in primes if any((c ^ v) & ~m == 0 for c in on))
+    # for each mask, the values of its implicants as one wide bit set
+    at: dict[int, int] = {0: 0}
+    for c in on | set(dont_care):
+        at[0] |= 1 << c
+    clear = [sum(1 << v for v in range(1 << bits) if not v >> b & 1) for b in range(bits)]
+    primes = []
+    for mask in sorted(range(1 << bits), key=int.bit_count):
+        if not (here := at.pop(mask, 0)):
+            continue
+        merged = 0
+        for b in range(bits):
+            if not mask >> b & 1 and (low := here & here >> (1 << b) & clear[b]):
+                merged |= low | low << (1 << b)
+                at[mask | 1 << b] = at.get(mask | 1 << b, 0) | low
+        left = here & ~merged
+        while left:
+            v = (left & -left).bit_length() - 1
+            left &= left - 1
+            if any((c ^ v) & ~mask == 0 for c in on):
+                primes.append((v, mask))
+    return sorted(primes)
 
 
 def minimise(on: Iterable[int], dont_care: Iterable[int] = (), bits: int = BITS) -> list[dict]:

@@ -30,6 +30,12 @@ def adjacent_counts(p: DataFrame) -> DataFrame:
     return windows(p, 2).groupBy("c0", "c1").agg(F.count("*").alias("n"))
 
 
+def transitions(cells: DataFrame, *order: str) -> DataFrame:
+    """``(c0, c1, n)`` of a long table ``(seq_id, code, ...)``: neighbours by ``order``, streamed and not gathered."""
+    after = F.lead("code").over(Window.partitionBy("seq_id").orderBy(*order))
+    return cells.select(F.col("code").alias("c0"), after.alias("c1")).where("c1 is not null").groupBy("c0", "c1").agg(F.count("*").alias("n"))
+
+
 def kmer_map(p: DataFrame, k: int) -> DataFrame:
     """``(cell, n, freq)`` of base-20 k-mers; windows with a gap are skipped."""
     cs = [F.col(f"c{i}") for i in range(k)]

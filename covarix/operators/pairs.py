@@ -8,6 +8,8 @@ sequences. Every other operator works on that small table.
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,3 +144,30 @@ def perplexity_ratio(pc: DataFrame, min_n: int = 5) -> DataFrame:
     cond = v.withColumn("p", _d("n") / given).groupBy(*PAIR, "code_i").agg(F.sum("n").alias("m"), perplexity(F.sum(-F.col("p") * F.log2("p"))).alias("pp")).where(F.col("m") >= min_n)
     mean = cond.groupBy(*PAIR).agg(F.avg("pp").alias("mean_pp"), F.count("*").alias("n_codes"))
     return marginal.join(mean, PAIR).select(*PAIR, rounded(F.col("pp_j") / F.col("mean_pp")).alias("ratio"), "n_codes")
+
+
+def bootstrap_ratio(pc: DataFrame, chosen: DataFrame, resamples: int = 200, seed: int = 42, min_n: int = 5) -> DataFrame:
+    """Mean, deviation and 95 % interval of each chosen pair's perplexity ratio, its numerator fixed.
+
+    Resampling sequences with replacement is a multinomial draw of the joint
+    counts, so a draw costs the same for any number of sequences.
+    """
+    def kernel(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["code_i", "code_j"])
+        m = np.zeros((20, 20))
+        m[g["code_i"], g["code_j"]] = g["n"]
+
+        def pp(c: np.ndarray) -> float:
+            q = c[c > 0] / c.sum()
+            return float(2 ** -(q * np.log2(q)).sum())
+
+        total, top = int(m.sum()), pp(m.sum(0))
+        rng = np.random.default_rng([seed, int(g["pos_i"].iloc[0]), int(g["pos_j"].iloc[0])])
+        draws = rng.multinomial(total, (m / total).ravel(), resamples).reshape(-1, 20, 20)
+        ratios = [top / np.mean(use) for d in draws if (use := [pp(r) for r in d if r.sum() >= min_n])]
+        low, high = np.quantile(ratios, [0.025, 0.975]) if ratios else (np.nan, np.nan)
+        out = {"pos_i": g["pos_i"].iloc[0], "pos_j": g["pos_j"].iloc[0], "mean": np.mean(ratios) if ratios else np.nan, "deviation": np.std(ratios) if ratios else np.nan, "low": low, "high": high}
+        return pd.DataFrame([out])
+
+    v = _both_valid(pc).join(F.broadcast(chosen.select(*PAIR)), PAIR, "left_semi")
+    return v.groupBy(*PAIR).applyInPandas(kernel, "pos_i int, pos_j int, mean double, deviation double, low double, high double")

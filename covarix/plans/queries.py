@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.encoding import BASE20, region, valid
+from ..functions.encoding import BASE20, region, sigmoid, valid
 from ..operators import boolean, columns, dca, graph, kmer, pairs, predict, ranking, spectral
 from ..sources import readers
 
@@ -351,6 +351,34 @@ def walsh_spectrum(s, d):
     return spectral.spectrum(v, 10)
 
 
+@_query("ratio_bootstrap")
+def ratio_bootstrap(s, d):
+    pc = _pairs(s, d)
+    return pairs.bootstrap_ratio(pc, ranking.top(pairs.mutual_information(pc), "mi", 5))
+
+
+@_query("score_regions", f"{ORDER_CC}, {ENTROPY} SELECT CASE WHEN pos < 13 THEN 'SP' ELSE 'NTD' END AS region, count(*) AS n, round(1 / (1 + exp(-greatest(-10, least(10, avg(e))))), 6) + 0.0 AS sigma FROM h GROUP BY 1")
+def score_regions(s, d):
+    e = columns.column_entropy(_counts(s, d))
+    return e.groupBy(region(F.col("pos")).alias("region")).agg(F.count("*").alias("n"), F.round(sigmoid(F.avg("entropy")), 6).alias("sigma"))
+
+
+# ---- events as sequences ----
+_EVENTS = "ev AS (SELECT user_id, code, lead(code) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM (SELECT *, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events))"
+
+
+@_query("event_transitions", f"WITH {_EVENTS} SELECT code::INT AS c0, nxt::INT AS c1, count(*) AS n FROM ev WHERE nxt IS NOT NULL GROUP BY ALL")
+def event_transitions(s, d):
+    return kmer.transitions(readers.event_cells(s, d), "ts", "event_id")
+
+
+@_query("event_windows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def event_windows(s, d):
+    from ..streaming.counts import windowed_counts
+
+    return windowed_counts(s.read.parquet(f"{d}/events.parquet"), "ts", "event_type", "1 hour", "1 day").select("start", "event_type", "n")
+
+
 # ---- Boolean maps and rules ----
 _MAP = "seen AS (SELECT pv.*, a.ref_code AS ref_i, b.ref_code AS ref_j FROM pv JOIN ref a ON a.pos = pos_i JOIN ref b ON b.pos = pos_j)"
 
@@ -388,8 +416,9 @@ def implicants(s, d):
 @_query("rule_filter", f"""{ORDER_PC}, {MUT}, {_MAP}, best AS (SELECT pos_i, pos_j FROM mut ORDER BY mi DESC, pos_i, pos_j LIMIT 3),
 pos AS (SELECT pos_i, pos_j, code_i, code_j FROM seen JOIN best USING (pos_i, pos_j) WHERE NOT (code_i = ref_i AND code_j = ref_j) AND n > 5),
 neg AS (SELECT pos_i, pos_j, code_i, code_j FROM seen JOIN best USING (pos_i, pos_j) WHERE NOT (code_i = ref_i AND code_j = ref_j) AND n <= 5),
-k AS (SELECT *, 1 AS kind FROM pos UNION ALL SELECT *, 2 FROM neg), at AS (SELECT DISTINCT pos_i, pos_j FROM k),
-hit AS (SELECT p.seq_id, max(kind) AS kind FROM p, at LEFT JOIN k ON k.pos_i = at.pos_i AND k.pos_j = at.pos_j AND k.code_i = p.codes[at.pos_i + 1] AND k.code_j = p.codes[at.pos_j + 1] GROUP BY p.seq_id)
+k AS (SELECT *, 1 AS kind FROM pos UNION ALL SELECT *, 2 FROM neg), places AS (SELECT DISTINCT pos_i, pos_j FROM k),
+mine AS (SELECT seq_id, pos_i, pos_j, codes[pos_i + 1] AS code_i, codes[pos_j + 1] AS code_j FROM p, places),
+hit AS (SELECT seq_id, max(kind) AS kind FROM mine LEFT JOIN k USING (pos_i, pos_j, code_i, code_j) GROUP BY seq_id)
 SELECT seq_id, CASE kind WHEN 2 THEN 'forbidden' WHEN 1 THEN 'positive' ELSE 'unclassified' END AS verdict FROM hit""")
 def rule_filter(s, d):
     pc, counts = _pairs(s, d), _counts(s, d)

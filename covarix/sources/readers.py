@@ -84,6 +84,14 @@ def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq_id, ts, event_id, code)``: every user's events, types coded by their alphabetical order."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
+    kinds = e.select("event_type").distinct().withColumn("code", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
+    both = e.join(F.broadcast(kinds), "event_type")  # at most 20 types have codes
+    return both.select(F.col("user_id").alias("seq_id"), "ts", "event_id", "code")
+
+
 def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document as a sequence of letters."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("seq_id"), F.coalesce("text", F.lit("")).alias("sequence"))
