@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.encoding import BASE20, region, sigmoid, valid
 from ..operators import boolean, columns, dca, graph, kmer, pairs, predict, ranking, spectral
 from ..sources import readers
+from . import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -251,6 +252,16 @@ def mi_summary(s, d):
     return pairs.mutual_information(_pairs(s, d)).agg(F.max("mi").alias("max_mi"), (F.round(F.avg(F.when(F.col("mi") > 0, F.col("mi"))), 6) + F.lit(0.0)).alias("mean_positive"), F.count_if(F.col("mi") > 1.0).alias("n_above"))
 
 
+@_query("mi_heat_map", f"{ORDER_PC}, h AS (SELECT pos_i, pos_j, mi, CASE WHEN mi > 2 THEN '**' WHEN mi > 1 THEN '*' ELSE '' END AS mark FROM mi) SELECT * FROM h UNION ALL SELECT pos_j AS pos_i, pos_i AS pos_j, mi, mark FROM h")
+def mi_heat_map(s, d):
+    return reports.heat_map(pairs.mutual_information(_pairs(s, d)))
+
+
+@_query("run_summary")
+def run_summary(s, d):
+    return reports.summary(_orders(s, d), GAP_LIMIT)
+
+
 @_query("median_split", f"""{ORDER_PC}, x AS (SELECT mi, pos_j = pos_i + 1 AS on_set, median(mi) OVER () AS cut FROM mi)
 SELECT round(avg(CASE WHEN on_set = (mi > cut) THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS accuracy, round(avg(mi) FILTER (on_set), 6) + 0.0 AS mean_on, round(avg(mi) FILTER (NOT on_set), 6) + 0.0 AS mean_off FROM x""")
 def median_split(s, d):

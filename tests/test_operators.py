@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from covarix.functions import encoding as enc
 from covarix.operators import boolean, columns, dca, graph, kmer, pairs, predict, spectral
+from covarix.plans import reports
 from covarix.sources import readers, sinks
 from covarix.streaming import counts as streaming
 
@@ -208,6 +209,14 @@ def test_sinks(spark, tmp_path):
     assert "| 0 | 0 | 7 |" in sinks.markdown_kmap(grid, 2)
 
 
+def test_report(spark):
+    p = profile(spark, [[0, 0, 1]] * 20 + [[1, 2, 1]] * 6 + [[3, 5, 2]] * 5)
+    text = reports.report(p, "Title")
+    assert text.startswith("# Title") and text.count("\n## ") == 5
+    row = reports.summary(p).first()
+    assert row.n_pairs == 3 and row.top_pairs[0].mi == row.max_mi and row.neighbours
+
+
 def test_streamed_counts_equal_batch(spark, tmp_path):
     p = profile(spark, noise(30, 3))
     p.repartition(3).write.parquet(str(tmp_path / "in"))
