@@ -24,20 +24,22 @@ texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, connected_components, rows_to_batches, text_bytes
 
-BLOCK_GRAMS = 1_000_000
+BLOCK_GRAMS = 6_000_000
+BUCKET_GRAMS = 3_000_000
 CACHE_WORDS = 500_000
-FOLD_SIGNATURES = 400_000
+FOLD_SIGNATURES = 1_000_000
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -180,12 +182,36 @@ def set_digests(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
-def candidate_edges(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
+def _packed(sig: np.ndarray, doc: np.ndarray) -> bytes:
+    """Sorted signatures (their upper 48 bits) and ids as compressed byte planes."""
+    planes = sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype(">i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return zlib.compress(planes, 1)
+
+
+def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(14, -1)
+    sig = np.zeros((planes.shape[1], 8), np.uint8)
+    sig[:, :6] = planes[:6].T
+    return sig.view(">u8").ravel().astype(np.uint64), np.ascontiguousarray(planes[6:].T).view(">i8").ravel().astype(np.int64)
+
+
+def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that chain the documents of each signature, and the places where signatures begin; both are sorted."""
+    again = np.concatenate(([False], sig[1:] == sig[:-1]))
+    link = np.flatnonzero(again)
+    link = link[doc[link] != doc[link - 1]]
+    pairs = np.unique(np.stack((doc[link], doc[link - 1]), 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
+    return pairs, np.flatnonzero(~again)
+
+
+def candidate_edges(docs: DataFrame, n: int, sim: Similarity, buckets: int) -> DataFrame:
     """``(u, v)``: chains through the documents that share a signature.
 
     Each task drops exact copies it has met and chains its own documents, so a
-    signature that many documents share leaves it once per fold.
+    signature that many documents share leaves it once per fold. What leaves is
+    packed by ranges of the signature, one row a range and fold.
     """
+    empty = np.empty(0, np.int64)
 
     def run(batches):
         np.seterr(over="ignore")
@@ -194,39 +220,64 @@ def candidate_edges(docs: DataFrame, n: int, sim: Similarity) -> DataFrame:
         ids: list[int] = []
 
         def fold():
-            counts = np.array([len(s) for s in sigs])
-            sig, doc = np.concatenate(sigs).view(np.int64), np.repeat(np.array(ids, np.int64), counts)
+            sig, doc = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
+            sigs.clear(), ids.clear()
             order = np.lexsort((doc, sig))
             sig, doc = sig[order], doc[order]
-            again = np.concatenate(([False], sig[1:] == sig[:-1]))
-            link = np.flatnonzero(again)
-            link = link[doc[link] != doc[link - 1]]
-            pairs = np.unique(np.stack((doc[link], doc[link - 1]), 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
-            heads = np.flatnonzero(~again)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((sig[heads], pairs[:, 0] * 31 + pairs[:, 1]))), pa.array(np.concatenate((doc[heads], pairs[:, 0]))), pa.array(np.concatenate((np.zeros(len(heads), np.int64), pairs[:, 1])), mask=np.arange(len(heads) + len(pairs)) < len(heads))],
-                names=["sig", "u", "v"],
-            )
-            sigs.clear(), ids.clear()
+            pairs, heads = _chain(sig, doc)
+            sig, doc = sig[heads], doc[heads]
+            at = np.searchsorted(sig, _range_starts(buckets))
+            where = (mix((pairs[:, 0] * 31 + pairs[:, 1]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(pairs) else empty
+            for k, (a, z) in enumerate(zip(at, [*at[1:], len(sig)])):
+                mine = pairs[where == k] if len(pairs) else pairs
+                if z > a or len(mine):
+                    yield k, _packed(sig[a:z], doc[a:z]), mine.astype("<i8").tobytes()
+
+        def rows():
+            held = 0
+            for b in batches:
+                for doc, grams in _sets(b, n):
+                    if doc is None or not len(grams) or (d := _digest(grams)) in met:
+                        continue
+                    met.add(d)
+                    sigs.append(s := signer(grams))
+                    ids.append(doc)
+                    held += len(s)
+                    if held >= FOLD_SIGNATURES:
+                        yield from fold()
+                        held = 0
+            if sigs:
+                yield from fold()
+
+        return rows_to_batches(rows(), pa.schema([("bucket", pa.int32()), ("heads", pa.binary()), ("pairs", pa.binary())]), 16)
+
+    def merge(batches):
+        def edges(chunks, pairs):
+            sig, doc = (np.concatenate(x) for x in zip(*map(_unpacked, chunks)))
+            order = np.lexsort((doc, sig))
+            found, _ = _chain(sig[order], doc[order])
+            both = np.concatenate([found, *(np.frombuffer(x, "<i8").reshape(-1, 2) for x in pairs)])
+            both = np.unique(both, axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
 
-        held = 0
+        key, chunks, pairs = None, [], []
         for b in batches:
-            for doc, grams in _sets(b, n):
-                if doc is None or not len(grams) or (d := _digest(grams)) in met:
-                    continue
-                met.add(d)
-                sigs.append(s := signer(grams))
-                ids.append(doc)
-                held += len(s)
-                if held >= FOLD_SIGNATURES:
-                    yield from fold()
-                    held = 0
-        if sigs:
-            yield from fold()
-
-    rows = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "sig long, u long, v long")
-    chain = Window.partitionBy("sig", F.col("v").isNotNull()).orderBy("u")
-    return rows.select("u", F.coalesce("v", F.lag("u").over(chain)).alias("v")).where("v is not null and u <> v")
+            for k, h, p in zip(*(c.to_pylist() for c in b.columns)):
+                if k != key:
+                    if chunks:
+                        yield edges(chunks, pairs)
+                    key, chunks, pairs = k, [], []
+                chunks.append(h), pairs.append(p)
+        if chunks:
+            yield edges(chunks, pairs)
+
+    packed = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "bucket int, heads binary, pairs binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "u long, v long")
+
+
+def _range_starts(buckets: int) -> np.ndarray:
+    """First signature of each of equally wide ranges, on a 48-bit boundary."""
+    return np.array([(k << 48) // buckets << 16 for k in range(buckets)], np.uint64)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], n: int, sim: Similarity) -> Iterator[pa.RecordBatch]:
@@ -256,43 +307,48 @@ def _verify(batches: Iterator[pa.RecordBatch], n: int, sim: Similarity) -> Itera
 
 
 def _block_links(ids, sides, sets, signer: Signer, sim: Similarity) -> Iterator[tuple[int, int]]:
-    root = list(range(len(ids)))
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    buckets: dict[int, list[int]] = {}
-    same: dict[bytes, int] = {}
+    comp = np.arange(len(ids))
+    first: dict[bytes, int] = {}
+    single = []
     for i, grams in enumerate(sets):
-        if (j := same.setdefault(grams.tobytes(), i)) != i:
-            if ids[i] != ids[j] and find(i) != find(j):
-                root[find(i)] = find(j)
-                yield ids[i], ids[j]
+        if (j := first.setdefault(xxhash.xxh3_128_digest(grams.tobytes()), i)) == i:
+            single.append(i)
+        elif ids[i] != ids[j]:
+            comp[i] = comp[j]
+            yield ids[i], ids[j]
+    sigs = [signer(sets[i]) for i in single]
+    sig, doc = np.concatenate(sigs), np.repeat(single, [len(s) for s in sigs])
+    del sigs
+    order = np.argsort(sig, kind="stable")
+    sig, doc = sig[order], doc[order]
+    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+    size = np.diff(np.append(start, len(sig)))
+    group = np.repeat(np.arange(len(start)), size)
+    shared = np.flatnonzero(size[group] > 1)
+    by_doc = shared[np.argsort(doc[shared], kind="stable")]
+    at = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
+    side = None if sides is None else np.array(sides)
+    for i in single:
+        groups = group[by_doc[at[i] : at[i + 1]]]
+        if not len(groups):
             continue
-        cand = set()
-        sigs = signer(grams).tolist()
-        for s in sigs:
-            cand.update(buckets.get(s, ()))
-        mine = find(i)
-        cand = [j for j in cand if (sides is None or sides[j] != sides[i]) and find(j) != mine]
-        while cand:
+        cand = np.unique(np.concatenate([doc[start[g] : start[g] + size[g]] for g in groups]))
+        cand = cand[(cand < i) & (comp[cand] != comp[i])]
+        if side is not None:
+            cand = cand[side[cand] != side[i]]
+        grams = sets[i]
+        while len(cand):
             # a link makes other candidates of its component superfluous
             part, cand = cand[:64], cand[64:]
             sizes = np.array([len(sets[j]) for j in part])
             flat = np.concatenate([sets[j] for j in part])
-            at = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-            common = np.add.reduceat((grams[at] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            for j in np.array(part)[sim.linked(common, len(grams), sizes)].tolist():
-                if find(j) != find(i):
-                    root[find(j)] = find(i)
+            hit = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
+            common = np.add.reduceat((grams[hit] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            for j in part[sim.linked(common, len(grams), sizes)].tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
                     yield ids[i], ids[j]
-            mine = find(i)
-            cand = [j for j in cand if find(j) != mine]
-        for s in sigs:
-            buckets.setdefault(s, []).append(i)
+            cand = cand[comp[cand] != comp[i]]
 
 
 def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5)) -> DataFrame:
@@ -303,7 +359,8 @@ def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most")
     copies = real.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v")
 
-    candidates = connected_components(candidate_edges(narrow, n, sim))
+    total = digests.agg(F.sum("n_shingles")).first()[0] or 0
+    candidates = connected_components(candidate_edges(narrow, n, sim, max(16, -(-total // BUCKET_GRAMS))))
     members = candidates.join(real.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("grams")), "node")
     blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("blocks"))
     placed = members.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
