@@ -22,7 +22,7 @@ def _runs(k: int) -> Column:
 def windows(p: DataFrame, k: int) -> DataFrame:
     """``(seq_id, c0, ...)`` of every window of k codes."""
     names = [f"c{i}" for i in range(k)]
-    out = p.select("seq_id", F.explode(_runs(k)).alias("w"))
+    out = p.select("seq_id", F.explode_outer(_runs(k)).alias("w")).where("w is not null")
     return out.select("seq_id", "w.*").toDF("seq_id", *names)
 
 
@@ -83,7 +83,7 @@ def gray_adjacency(adjacent: DataFrame, include_gap: bool = False) -> DataFrame:
 
 def signatures(p: DataFrame) -> DataFrame:
     """Per sequence: length, share of G and C, entropy of composition, norm of its K-map."""
-    letters = p.select("seq_id", F.explode("codes").alias("c")).where(valid(F.col("c"))).groupBy("seq_id", "c").agg(F.count("*").alias("n"))
+    letters = p.select("seq_id", F.explode_outer("codes").alias("c")).where(valid(F.col("c"))).groupBy("seq_id", "c").agg(F.count("*").alias("n"))
     gc_codes = [BASE20.index(x) for x in "GC"]
     total = letters.groupBy("seq_id").agg(F.sum("n").alias("length"), F.sum(F.when(F.col("c").isin(gc_codes), F.col("n")).otherwise(0)).alias("gc"))
     h = letters.join(total, "seq_id").withColumn("q", F.col("n").cast("double") / F.col("length"))

@@ -25,11 +25,11 @@ def pair_counts(p: DataFrame, max_gap: int = 30, min_gap: int = 1, positions: Da
 
     ``positions`` (a small frame with ``pos``) keeps only pairs of those columns.
     """
-    left = p.select(F.posexplode("codes").alias("pos_i", "code_i"), "codes")
+    left = p.select(F.posexplode_outer("codes").alias("pos_i", "code_i"), "codes").where("pos_i is not null")
     if positions is not None:
         left = left.join(F.broadcast(positions.select(F.col("pos").alias("pos_i"))), "pos_i", "left_semi")
     far = F.slice("codes", F.col("pos_i") + 1 + min_gap, F.lit(max_gap - min_gap + 1))
-    right = left.select("pos_i", "code_i", F.posexplode(far).alias("k", "code_j")).withColumn("pos_j", F.col("pos_i") + min_gap + F.col("k"))
+    right = left.select("pos_i", "code_i", F.posexplode_outer(far).alias("k", "code_j")).where("k is not null").withColumn("pos_j", F.col("pos_i") + min_gap + F.col("k"))
     if positions is not None:
         right = right.join(F.broadcast(positions.select(F.col("pos").alias("pos_j"))), "pos_j", "left_semi")
     return right.groupBy("pos_i", "pos_j", "code_i", "code_j").agg(F.count("*").alias("n"))

@@ -96,7 +96,7 @@ def sequence_stats(s, d):
 
 @_query("residue_counts", f"WITH {LETTERS} SELECT code::INT AS code, count(*) AS n FROM (SELECT unnest(c) AS code FROM t) GROUP BY code")
 def residue_counts(s, d):
-    return _letters(s, d).select(F.explode("codes").alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+    return _letters(s, d).select(F.explode_outer("codes").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
 
 
 @_query("column_entropy", f"{ORDER_CC}, {ENTROPY} SELECT pos, n_valid, round(e, 6) + 0.0 AS entropy, round(pow(2, e), 6) + 0.0 AS perplexity, CASE WHEN pow(2, e) < 1.5 THEN 'conserved' WHEN pow(2, e) > 5 THEN 'variable' ELSE 'moderate' END AS label FROM h")

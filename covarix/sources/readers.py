@@ -58,7 +58,12 @@ def profiles_from_rows(df: DataFrame, seq_id: str, columns: list[Column]) -> Dat
 
 
 def cells(p: DataFrame) -> DataFrame:
-    return p.select("seq_id", F.posexplode("codes").alias("pos", "code"))
+    """``(seq_id, pos, code)``.
+
+    Outer generators here and below: for an inner one the optimizer adds a filter on
+    the array's size under the projection that makes it, and so makes it twice.
+    """
+    return p.select("seq_id", F.posexplode_outer("codes").alias("pos", "code")).where("pos is not null")
 
 
 def orders_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
