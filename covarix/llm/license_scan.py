@@ -1,12 +1,16 @@
 """Licence scans by sentence-rule recognition, in DataFrame functions only.
 
-A text is cut into sentences (line ends, and a full stop, exclamation or
-question mark before white space); a sentence is normalised to lower-case words
-of letters and digits with single spaces. Known sentences map to sentence
-identifiers by an equi-join; a document's identifiers in order form a sequence,
-and each ordered rule matches where its identifiers follow one another in it
-(other sentences may lie between them). The rules of the longest sequences win:
-a rule is not reported where a longer matching rule contains all its sentences.
+A text is cut into pieces (line ends, and a full stop, exclamation or question
+mark before white space); a piece is normalised to lower-case words of letters
+and digits with single spaces. A known sentence is met where a run of pieces is
+that sentence, so it may be wrapped anywhere, with comment marks or blank lines
+between; a published sentence may also go on in its last piece. Of the sentences
+that begin at one piece the longest counts, and none counts inside another. A
+document's identifiers in order form a sequence, and each ordered rule matches
+where its identifiers follow one another in it (other sentences may lie between
+them). The rules of the longest sequences win: a rule is not reported where a
+longer matching rule contains all its sentences. ``ORACLE`` knows ``SENTENCES``
+and ``RULES`` in single pieces only; where a text has no others, rows are equal.
 
 Defined cases: null and empty texts have no sentence and give no row; sentences
 repeated in a text count each; equal documents are reported each; null ids are
@@ -15,7 +19,10 @@ reported with a null id; only ``doc_id`` and ``text`` are read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import re
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Licence sentences as they are published, by identifier.
@@ -50,6 +57,45 @@ RULES = [
     ("BSD", ("bsd-redistribution",)),
     ("BSD", ("bsd-redistribution", "warranty-as-is")),
 ]
+# Whole published sentences and the head clauses of those that differ by holder; a text's sentence may go on after them.
+PUBLISHED = [
+    ("apache-2.0-header", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License'),
+    ("apache-2.0-notice", 'Licensed under the Apache License, Version 2.0 (the "License")'),
+    ("apache-2.0-copy", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0-copy", "You may obtain a copy of the License at https://www.apache.org/licenses/LICENSE-2.0"),
+    ("apache-2.0-as-is", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied'),
+    ("apache-2.0-title", "Apache License Version 2.0, January 2004"),
+    ("mit-title", "The MIT License"),
+    ("mit-permission", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions'),
+    ("mit-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software")'),
+    ("warranty-as-is", 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED'),
+    ("bsd-redistribution", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("bsd-as-is", 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
+    ("bsd-as-is", 'THIS SOFTWARE IS PROVIDED BY THE REGENTS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES'),
+    ("gpl-3.0-title", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("gpl-3.0-program", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("cc-by-4.0-work", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-4.0-work", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    ("cc-by-nc-4.0-work", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc-4.0-work", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
+]
+NAMES = {
+    "apache-2.0-project": ("the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"),
+    "mit-project": ("the MIT License",),
+    "gpl-3.0-project": ("the GNU General Public License, version 3", "the GNU General Public License v3", "the GNU GPL v3"),
+    "bsd-project": ("the BSD License", "the BSD 2-Clause License", "the BSD 3-Clause License"),
+    "cc-by-nc-4.0-project": ("CC BY-NC 4.0",),
+    "cc-by-4.0-project": ("CC BY 4.0",),
+}
+PUBLISHED += [(i, f"This {what} is {how} under {x}") for i, xs in NAMES.items() for x, what, how in product(xs, "project software work code library program package".split(), ("licensed", "released"))]
+PUBLISHED_RULES = [
+    *(("Apache-2.0", ("apache-2.0-header", "apache-2.0-copy", "apache-2.0-as-is")[:n]) for n in (1, 2, 3)),
+    *(("MIT", ids) for ids in (("mit-permission",), ("mit-permission", "warranty-as-is"), ("mit-title", "mit-permission"), ("mit-title", "mit-permission", "warranty-as-is"))),
+    ("BSD", ("bsd-redistribution", "bsd-as-is")),
+    *((name, (i,)) for name, i in (("Apache-2.0", "apache-2.0-title"), ("GPL-3.0", "gpl-3.0-title"), ("GPL-3.0", "gpl-3.0-program"), ("CC-BY-4.0", "cc-by-4.0-work"), ("CC-BY-NC-4.0", "cc-by-nc-4.0-work"))),
+    *((name, (i,)) for name, i in zip(("Apache-2.0", "MIT", "GPL-3.0", "BSD", "CC-BY-NC-4.0", "CC-BY-4.0"), NAMES)),
+]
+HINT = "licen[cs]|permission|redistribution|software|released"  # every known sentence has one of these
 BREAK = r"\n|(?<=[.!?])[ \t\r]+"
 NOT_WORD = r"[^a-z0-9]+"
 
@@ -58,21 +104,48 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), NOT_WORD, " "))
 
 
-def known_sentences(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(SENTENCES.items()), "sentence_id string, sentence string").select("sentence_id", normalised(F.col("sentence")).alias("key"))
+def _known() -> list[tuple[str, str, bool]]:
+    """``(sentence_id, key, open)`` of all known sentences; an open one may go on."""
+    key = lambda x: re.sub(NOT_WORD, " ", x.lower()).strip()
+    return [(i, key(x), False) for i, x in SENTENCES.items()] + [(i, key(x), True) for i, x in PUBLISHED]
 
 
 def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, name, list(ids), f",{',%,'.join(ids)},") for i, (name, ids) in enumerate(RULES)], "rule_id int, license string, needs array<string>, pattern string")
+    return spark.createDataFrame([(i, name, list(ids), f",{',%,'.join(ids)},") for i, (name, ids) in enumerate([*RULES, *PUBLISHED_RULES])], "rule_id int, license string, needs array<string>, pattern string")
 
 
 def sentence_hits(docs: DataFrame) -> DataFrame:
     """``(doc_id, row, pos, sentence_id)`` of each known sentence; ``row`` tells rows of one id apart."""
-    s = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode_outer(F.split("text", BREAK)).alias("pos", "raw"))
-    # every known sentence has a word of "licen", "permission", "redistribution" or "software": others need no normalising
-    s = s.where(F.lower("raw").rlike("licen[cs]|permission|redistribution|software"))
-    # the table of known sentences is a constant of this module
-    return s.select("doc_id", "row", "pos", normalised(F.col("raw")).alias("key")).join(F.broadcast(known_sentences(docs.sparkSession)), "key").drop("key")
+    known = _known()
+    most, long = max(len(k.split()) for _, k, _ in known), max(len(k) for _, k, _ in known)
+    pieces = F.transform(F.split("text", BREAK), lambda x, i: F.struct(i.alias("pos"), normalised(x).alias("key")))
+    s = docs.where(F.lower("text").rlike(HINT)).select("doc_id", F.xxhash64("text").alias("row"), F.filter(pieces, lambda x: x["key"] != "").alias("s"))
+    # a run begins with a known sentence's first words and has no more pieces than the longest has words; of a piece no more than that sentence's length matters
+    heads = sorted({tuple(k.split()[:2]) for _, k, _ in known})
+    first = f"^(?:{'|'.join(f'{a}(?:$| {b}(?: |$))' for a, b in heads)})"
+    cut = lambda i: F.transform(F.slice("s", i + 1, most), lambda y: F.struct(y["pos"].alias("pos"), F.left(y["key"], F.lit(long + 1)).alias("key")))
+    runs = F.filter(F.transform("s", lambda x, i: F.when(x["key"].rlike(first), cut(i))), lambda r: r.isNotNull())
+    s = s.select("doc_id", "row", F.explode(runs).alias("run"))
+    table = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(k).alias("key"), F.lit(o).alias("open")) for i, k, o in known))
+
+    def joined(key: Column) -> Column:
+        """The first pieces of the run up to the length of ``key``, and the place of the last of them."""
+        def add(a: Column, y: Column) -> Column:
+            more = F.concat_ws(" ", F.nullif(a["text"], F.lit("")), y["key"])
+            return F.when(F.length(a["text"]) >= F.length(key), a).otherwise(F.struct(more.alias("text"), y["pos"].alias("end")))
+
+        return F.aggregate("run", F.struct(F.lit("").alias("text"), F.lit(-1).alias("end")), add)
+
+    def met(k: Column, j: Column) -> Column:
+        same = (j["text"] == k["key"]) | k["open"] & F.startswith(j["text"], F.concat(k["key"], F.lit(" ")))
+        # of equal sentences the whole one counts
+        return F.when(same, F.struct(F.length(k["key"]).alias("size"), (~k["open"]).alias("whole"), k["id"].alias("id"), j["end"].alias("end")))
+
+    each = F.transform(F.transform(table, lambda k: F.struct(k.alias("k"), joined(k["key"]).alias("j"))), lambda x: met(x["k"], x["j"]))
+    hits = s.select("doc_id", "row", F.col("run")[0]["pos"].alias("pos"), F.array_max(each).alias("best")).where("best is not null")
+    before = Window.partitionBy("doc_id", "row").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    hits = hits.withColumn("inside", F.coalesce(F.max("best.end").over(before) >= F.col("pos"), F.lit(False)))
+    return hits.where("not inside").select("doc_id", "row", "pos", F.col("best.id").alias("sentence_id"))
 
 
 def licenses(docs: DataFrame) -> DataFrame:

@@ -145,6 +145,66 @@ def test_licenses(spark):
     assert license_scan.licenses(docs_of(spark, [])).count() == 0
 
 
+APACHE = """/*
+ * Copyright 2020 Someone
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED."""
+
+
+def test_published_licences(spark):
+    flat = lambda t: " ".join(t.replace("\n *", "\n").split())
+    texts = [APACHE, MIT, BSD, "This project is licensed under the MIT License.", flat(APACHE).replace("/* Copyright 2020 Someone ", ""), MIT.partition("\n\n")[2], BSD.replace("\n", "\r\n")]
+    texts += ["Licensed under the Apache\nLicense, Version 2.0.", "The licence text of x.\nLicensed under the Apache License, Version 2.0 or not", "This work is licensed under the GNU General Public License, version 3.", MIT + "\n\n" + APACHE]
+    got = {(r.doc_id, r.license): (r.rule, r.n_sentences, r.first_sentence) for r in license_scan.licenses(docs_of(spark, texts)).collect()}
+    apache = "apache-2.0-header+apache-2.0-copy+apache-2.0-as-is"
+    assert got[0, "Apache-2.0"] == (apache, 3, 3) and got[1, "MIT"] == ("mit-title+mit-permission+warranty-as-is", 3, 0) and got[2, "BSD"] == ("bsd-redistribution+bsd-as-is", 2, 3)
+    assert got[3, "MIT"] == ("mit-project", 1, 0) and got[4, "Apache-2.0"][0] == "apache-2.0-header+apache-2.0-copy" and got[5, "MIT"][0] == "mit-permission+warranty-as-is"
+    assert got[6, "BSD"][0] == "bsd-redistribution+bsd-as-is" and got[7, "Apache-2.0"] == ("apache-2.0-notice", 1, 0) and got[9, "GPL-3.0"][0] == "gpl-3.0-work"
+    assert got[10, "MIT"][0] == "mit-title+mit-permission+warranty-as-is" and got[10, "Apache-2.0"][0] == apache
+    assert {d for d, _ in got} == {0, 1, 2, 3, 4, 5, 6, 7, 9, 10}
+    assert all(re.search(license_scan.HINT, k) for _, k, _ in license_scan._known())
+
+
 # ---- 3: chats ----
 def test_chat_round_trip(spark):
     hard = ["", None, "<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", "&lt;| & &amp; <|", "<", "a\n\nb", "é🙂", "x" * 50_000]
