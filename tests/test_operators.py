@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -168,6 +169,23 @@ def test_leaders_depend_on_order(spark):
     assert [r.cluster for r in graph.leader_clusters(p, 0.2).orderBy("seq_id").collect()] == [0, 0, 1]
 
 
+def test_every_sequence_has_a_leader(spark):
+    rng = np.random.default_rng(3)
+    codes = [rng.integers(0, 21 if i % 3 else 3, 6 + i % 3).tolist() for i in range(500)] + [[20] * 6] * 3
+    want, leaders = [], []
+    for i, c in enumerate(codes):
+        for k, lead in enumerate(leaders):
+            both = [(x, y) for x, y in zip(c, codes[lead]) if x < 20 and y < 20]
+            if both and sum(x != y for x, y in both) / len(both) < 0.4:
+                break
+        else:
+            k, lead = len(leaders), i
+            leaders.append(i)
+        want.append((i, k, lead))
+    p = profile(spark, codes).repartition(5)
+    assert sorted(map(tuple, graph.leader_clusters(p, 0.4).collect())) == want and len(leaders) > 64
+
+
 def test_direct_couplings_find_the_coupled_pair(spark):
     rng = random.Random(1)
     rows = []
