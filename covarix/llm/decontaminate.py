@@ -1,9 +1,9 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-A text's windows are as long as the benchmark item they are held against. Only
-windows that have a five-word shingle in common with an item, at the place the
-item has it, are made: a window without a common shingle has similarity 0, so
-nothing is lost. Each window gets a 64-bit SimHash of its shingles. Items are
+A text's windows are as long as the benchmark item they are held against. A
+window may begin anywhere, but similarity s takes s / (1 + s) of both sizes in
+common shingles, so only windows with as many places of an item's shingles, in
+whatever order, are made; no other can match. Each window gets a 64-bit SimHash of its shingles. Items are
 indexed by eight 8-bit blocks of their own SimHash, each with every variant of
 at most two flipped bits: fingerprints within ``RADIUS`` = 23 bits differ in at
 most two bits in one of the eight blocks, so the index finds all of them. The
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed
@@ -79,22 +79,29 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, num: int = 4, de
     counts = items.agg(F.count("*"), F.sum("n")).first()
     n_items, n_places = counts[0], counts[1] or 0
 
-    places = items.select("item_id", "n", F.posexplode("item_shingles").alias("at", "h"))
+    places = items.select("item_id", "n", F.explode(F.array_distinct("item_shingles")).alias("h"))
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     runs = texts.select("doc_id", words().alias("w"), F.xxhash64("text").alias("row")).select("doc_id", "row", shingles("w").alias("s"))
     # The size goes below the generator, so that no exploded row carries the array; an outer generator,
     # as for an inner one the optimizer would filter on the array's size and inline the whole expression.
     spread = runs.select("doc_id", "row", "s", F.size("s").alias("size")).select("doc_id", "row", "size", F.posexplode_outer("s").alias("pos", "h"))
-    met = spread.join(_sized(places, n_places), "h")
-    # the window lies where the item would, moved inside the text
-    begin = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("size") - F.col("n")))
-    starts = checkpointed(met.select("doc_id", "row", "n", begin.alias("start")).distinct())
+    met = spread.join(_sized(places, n_places), "h").groupBy("doc_id", "row", "item_id", "n", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    long = F.least("n", "size")
+    need = F.ceil((F.col("n") + long) * num / F.lit(float(num + den)) - 1e-9).cast("int")
+    met = met.select("doc_id", "row", "n", "size", "at", long.alias("long"), need.alias("need")).where(F.size("at") >= F.col("need"))
+    # the windows that hold the ``need`` places from the i-th on, moved inside the text
+    low = lambda i: F.greatest(F.lit(0), F.get("at", i + F.col("need") - 1) - F.col("long") + 1)
+    high = lambda i: F.least(F.get("at", i), F.col("size") - F.col("long"))
+    held_by = F.transform(F.sequence(F.lit(0), F.size("at") - F.col("need")), lambda i: F.when(low(i) <= high(i), F.struct(low(i).alias("low"), high(i).alias("high"))))
+    spans = met.select("doc_id", "row", "n", F.explode(F.array_distinct(F.filter(held_by, lambda x: x.isNotNull()))).alias("x"))
+    starts = checkpointed(spans.select("doc_id", "row", "n", F.explode(F.sequence("x.low", "x.high")).alias("start")).distinct())
 
     hit = starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     held = texts.withColumn("row", F.xxhash64("text")).join(hit, ["doc_id", "row"])
     held = held.select("doc_id", "row", "spans", words().alias("w")).select("doc_id", "row", "spans", shingles("w").alias("s"))
-    cut = F.transform("spans", lambda x: F.struct(x["start"].alias("start"), x["n"].alias("n"), F.slice("s", x["start"] + 1, x["n"]).alias("window")))
-    windows = held.select("doc_id", "row", F.inline_outer(cut))
+    # one window at a time: all windows of a text are many times the text
+    windows = held.select("doc_id", "row", "s", F.explode_outer("spans").alias("x"))
+    windows = windows.select("doc_id", "row", F.col("x.start").alias("start"), F.col("x.n").alias("n"), F.slice("s", F.col("x.start") + 1, F.col("x.n")).alias("window"))
     windows = windows.withColumn("hash", simhash(F.col("window")))
 
     block = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
@@ -125,10 +132,15 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per text and item found in it: its windows and the best of them."""
+    """One row per text and item found in it: the places with matching windows and the best window.
+
+    Windows that begin one after the other are one place.
+    """
     found = contaminated_windows(docs, benchmark).withColumn("similarity", F.col("common") / F.col("total"))
+    before = F.lag("start").over(Window.partitionBy("doc_id", "item_id").orderBy("start"))
+    found = found.withColumn("place", F.coalesce(F.col("start") > before + 1, F.lit(True)).cast("int"))
     best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "distance")).alias("best")
-    return found.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_windows"), best).select(
+    return found.groupBy("doc_id", "item_id").agg(F.sum("place").alias("n_windows"), best).select(
         "doc_id", "item_id", "n_windows", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start"), F.col("best.distance").alias("distance")
     )
 

@@ -440,6 +440,16 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs_of(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_items_with_their_parts_in_another_order(spark):
+    w, o = [f"item{i}" for i in range(60)], [f"other{i}" for i in range(60)]
+    bench = spark.createDataFrame([(0, " ".join(w))], "item_id long, text string")
+    texts = [" ".join(o[:30] + w[30:] + w[:30] + o[30:]), " ".join(o[:30] + w[:30] + o[30:]), " ".join(w[30:] + w[:30])]
+    got = {r.doc_id: r for r in decontaminate.leaks(docs_of(spark, texts), bench).collect()}
+    assert set(got) == {0, 2} and got[0].start == 30 and got[0].n_windows == 1
+    assert got[0].similarity == got[2].similarity == pytest.approx(52 / 60)
+    assert [r.doc_id for r in decontaminate.without_leaks(docs_of(spark, texts), bench).collect()] == [1]
+
+
 def test_repeated_words_weigh_as_often_as_they_occur(spark):
     bench = spark.createDataFrame([(0, "a b " * 10)], "item_id long, text string")
     got = decontaminate.leaks(docs_of(spark, ["a b " * 10, "a b a b a b c d e f"]), bench).collect()
