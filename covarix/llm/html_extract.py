@@ -5,8 +5,8 @@ as something else than the article (menus, footers, forms, adverts, comments,
 ...) give none. Of the rest, element subtrees are hashed; Spark counts for each
 host on how many differing pages a subtree recurs, and subtrees that recur on
 ``min_pages`` or more are deleted in a second pass. Pages count as differing by
-title and first block, so copies of one page do not turn its article into a
-template; and paragraphs, headings, list items and the like inside an article
+their whole text, so copies of one page do not turn its article into a template;
+and paragraphs, headings, list items and the like inside an article
 are never templates, only containers there are. Counts are (host, subtree)
 aggregates with map-side combine, so a host with a third of all pages is no
 single task.
@@ -73,7 +73,6 @@ class Page:
     def __init__(self, html: str, gone: frozenset[int] = frozenset()) -> None:
         self.blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
         self.subtrees: list[int] = []
-        self.heading = ""
         self.held: list[str] = []
         self.gone = gone
         self.stack: list[tuple[str, bool, int, int, str]] = []  # tag, dropped, region, first block, class and id
@@ -126,9 +125,6 @@ class Page:
                 continue
             if tag in RAW:
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                stop = end.start() if end else len(html)
-                if tag == "title" and not self.heading:
-                    self.heading = " ".join(html[at:stop].split())
                 at = end.end() if end else len(html)
                 continue
             self._open(tag, m[3])
@@ -177,7 +173,7 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
             for b in batches:
                 for page_id, row, site, html in zip(*(c.to_pylist() for c in b.columns)):
                     page = Page(html)
-                    head = xxhash.xxh3_64_intdigest(f"{page.heading}\0{page.text().partition(chr(10))[0]}") - (1 << 63)
+                    head = xxhash.xxh3_64_intdigest(page.text()) - (1 << 63)
                     for h in set(page.subtrees):
                         yield page_id, row, site, h, head
 

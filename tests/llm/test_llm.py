@@ -356,6 +356,13 @@ def test_pages(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_pages_of_one_title_share_templates(spark):
+    site = [(i, "http://a.example/", f"<title>Site</title><div>Same bar</div><div>Own {i}</div>") for i in range(6)]
+    copies = [(10 + i, "http://b.example/", "<title>Site</title><div>Same bar</div><div>Own</div>") for i in range(6)]
+    text = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(site + copies, "page_id long, url string, html string")).collect()}
+    assert text == {i: f"Own {i}" for i in range(6)} | {10 + i: "Same bar\nOwn" for i in range(6)}
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;a!-x", max_size=60))
 def test_any_html_parses(text):
