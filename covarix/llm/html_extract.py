@@ -2,7 +2,9 @@
 
 Each page is read in one pass into text blocks. Elements that name themselves
 as something else than the article (menus, footers, forms, adverts, comments,
-...) give none. Of the rest, element subtrees are hashed; Spark counts for each
+...) give none: by their tag or role, or by a whole class or id, but then not an
+article, and where no other article has text not what holds one or most of the
+page's text. Of the rest, element subtrees are hashed; Spark counts for each
 host on how many differing pages a subtree recurs, and subtrees that recur on
 ``min_pages`` or more are deleted in a second pass. Pages count as differing by
 their whole text, so copies of one page do not turn its article into a template;
@@ -61,9 +63,14 @@ def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    if "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or HIDDEN.search(attrs.get("style", "")):
-        return True
-    names = re.split(r"[^a-z]+", f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def _named(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether class or id have a word for something else than the article; an article inside another one may."""
+    if not attrs or tag in ("html", "body", "main") or tag == "article" and not in_article:
+        return False
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
     return not WORDS.isdisjoint(names) or not in_article and "header" in names
 
 
@@ -71,12 +78,31 @@ class Page:
     """The text blocks of one page; ``gone`` holds subtree hashes to delete."""
 
     def __init__(self, html: str, gone: frozenset[int] = frozenset()) -> None:
+        self.gone = gone
+        self.kept: set[int] = set()  # numbers of named elements that give text all the same
+        self._start()
+        self._read(html)
+        if kept := self._wrongly_named():
+            self.kept = kept
+            self._start()
+            self._read(html)
+
+    def _start(self) -> None:
         self.blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
         self.subtrees: list[int] = []
         self.held: list[str] = []
-        self.gone = gone
-        self.stack: list[tuple[str, bool, int, int, str]] = []  # tag, dropped, region, first block, class and id
-        self._read(html)
+        self.stack: list[tuple[str, int, int, int, str]] = []  # tag, dropped (1: by name), region, first block, class and id
+        self.opened = 0
+        self.named: list[tuple[int, int]] = []  # depth and number of the open elements dropped by their own name
+        self.held_by: dict[int, int] = {}  # letters in each of them
+        self.around: set[int] = set()  # those around or in an article
+        self.letters = self.in_article = 0
+
+    def _wrongly_named(self) -> set[int]:
+        """Without other article text, the named elements that hold an article or most of the page's text."""
+        if self.in_article:
+            return set()
+        return self.around | {i for i, n in self.held_by.items() if 2 * n > self.letters}
 
     def _flush(self) -> None:
         if self.held:
@@ -97,10 +123,21 @@ class Page:
                     else:
                         self.subtrees.append(h)
             self.stack.pop()
+            if self.named and self.named[-1][0] == len(self.stack):
+                self.named.pop()
 
     def _text(self, text: str) -> None:
-        if text and not (self.stack and self.stack[-1][1]):
+        dropped, region = self.stack[-1][1:3] if self.stack else (0, 0)
+        if text and not dropped:
             self.held.append(text)
+        if dropped < 2 and (n := len("".join(text.split()))):
+            self.letters += n
+            if not dropped:
+                self.in_article += n * (region == 2)
+            for _, i in self.named:
+                self.held_by[i] = self.held_by.get(i, 0) + n
+                if region == 2:
+                    self.around.add(i)
 
     def _read(self, html: str) -> None:
         at = 0
@@ -139,9 +176,13 @@ class Page:
         up = self.stack[-1] if self.stack else ("", False, 0, 0, "")
         attrs = _attributes(raw)
         region = 2 if tag == "article" else max(up[2], 1) if tag == "main" or attrs.get("role") == "main" else up[2]
-        dropped = up[1] or _dropped(tag, attrs, up[2] == 2)
         if raw.endswith("/") and tag not in BLOCK:
             return
+        self.opened += 1
+        dropped = 2 if up[1] == 2 or _dropped(tag, attrs, up[2] == 2) else up[1]
+        if dropped < 2 and _named(tag, attrs, up[2] == 2) and self.opened not in self.kept:
+            dropped = 1
+            self.named.append((len(self.stack), self.opened))
         self.stack.append((tag, dropped, region, len(self.blocks), f"{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else "#"))
 
     def _imply(self, tag: str) -> None:

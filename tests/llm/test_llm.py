@@ -363,6 +363,14 @@ def test_pages_of_one_title_share_templates(spark):
     assert text == {i: f"Own {i}" for i in range(6)} | {10 + i: "Same bar\nOwn" for i in range(6)}
 
 
+@pytest.mark.parametrize("wrap", ['<article class="post comments-open">{}</article>', '<div id="content" class="layout has-sidebar"><article>{}</article></div>', '<div class="post category-search"><p>{}</div>', '<article class="post widget">{}</article>', '<div class="widget"><div class="search"><article>{}</article></div></div>', '<div class="search">{}</div>'])
+def test_named_containers_of_the_article(wrap):
+    assert html_extract.Page("<nav>Menu and more</nav>" + wrap.format("The article")).text() == "The article"
+    page = '<article>Short<article class="comment">Nested</article></article><div class="comments"><article>A long comment under it</article></div>'
+    assert html_extract.Page(page).text() == "Short"
+    assert html_extract.Page('<div>The text itself</div><div class="ad">Buy</div>').text() == "The text itself"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;a!-x", max_size=60))
 def test_any_html_parses(text):
