@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.encoding import letter_of, valid
+from ..functions.encoding import letter_of, rounded, valid
+from ..shared import checkpointed
 from .pairs import PAIR, with_refs
 
 BITS = 10
@@ -37,6 +38,13 @@ def forbidden_map(pc: DataFrame, counts: DataFrame) -> DataFrame:
     return grid.join(seen.select(*RULE_KEY), RULE_KEY, "left_anti").where(~ref)
 
 
+def on_set(cells: DataFrame, value: str, share: float = 0.7) -> DataFrame:
+    """``(pos_i, pos_j, code_i, code_j, value, threshold, state)``: each pair's cells at or above the exact percentile of its non-zero cells."""
+    v = cells.where(valid(F.col("code_i")) & valid(F.col("code_j"))).select(*RULE_KEY, F.col(value).alias("value"))
+    cut = v.where("value <> 0").groupBy(*PAIR).agg(F.percentile("value", F.lit(share)).alias("threshold"))
+    return v.join(cut, PAIR).where("value >= threshold and value <> 0").select(*RULE_KEY, "value", rounded(F.col("threshold"), 9).alias("threshold"), F.lit(1).alias("state"))
+
+
 def check_size(n_cells: int) -> int:
     """The number of variables of a square map; raises unless the cells are a power of 4."""
     bits = n_cells.bit_length() - 1
@@ -92,13 +100,11 @@ def minimise(on: Iterable[int], dont_care: Iterable[int] = (), bits: int = BITS)
     ]
 
 
-def signature_distance(a: dict[int, int], b: dict[int, int]) -> int:
-    """Cells on which two maps differ, among those both define (state not -1)."""
-    return sum(a[c] != b[c] for c in a.keys() & b.keys() if a[c] != -1 and b[c] != -1)
-
-
-def bits_of(codes: tuple[Column, Column]) -> Column:
-    return codes[0] * 32 + codes[1]
+def map_differences(maps: DataFrame) -> DataFrame:
+    """``(map_a, map_b, n)``: cells on which two maps ``(map_id, cell, state)`` differ, among those both define (state not -1)."""
+    known = maps.where("state <> -1")
+    a, b = known.toDF("map_a", "cell", "a"), known.toDF("map_b", "cell", "b")
+    return a.join(b, "cell").where("map_a < map_b").groupBy("map_a", "map_b").agg(F.count_if(F.col("a") != F.col("b")).alias("n"))
 
 
 def implicants(maps: DataFrame, padding: bool = True) -> DataFrame:
@@ -107,6 +113,8 @@ def implicants(maps: DataFrame, padding: bool = True) -> DataFrame:
     Cells of codes 20 to 31 are don't-cares if ``padding``; so is the reference (state -1).
     A pair has at most 400 rows, so a group is small.
     """
+    check_size(32 * 32)
+
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         cell = g["code_i"] * 32 + g["code_j"]
         free = {i * 32 + j for i in range(32) for j in range(32) if i > 19 or j > 19} if padding else set()
@@ -138,12 +146,21 @@ def expression(values: str = "values", mask: str = "mask") -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def found_implicants(pairs: DataFrame, maps: DataFrame, k: int = 15) -> DataFrame:
+    """Decoded implicants of the k most informative pairs, with residues, references, MI and text."""
+    head = checkpointed(pairs.orderBy(F.desc("mi"), *PAIR).limit(k).select(*PAIR, "mi", "ref_i", "ref_j"))
+    found = decode(implicants(maps.join(F.broadcast(head.select(*PAIR)), PAIR, "left_semi")))
+    return found.join(F.broadcast(head), PAIR).withColumn("expr", expression())
+
+
 def rules(pairs: DataFrame, maps: DataFrame, k: int = 15) -> DataFrame:
     """Distinct rules of the k most informative pairs: residues, references, MI, coverage."""
-    head = pairs.orderBy(F.desc("mi"), *PAIR).limit(k).select(*PAIR, "mi", "ref_i", "ref_j")
-    found = decode(implicants(maps.join(F.broadcast(head.select(*PAIR)), PAIR, "left_semi")))
-    found = found.join(F.broadcast(head), PAIR).withColumn("expr", expression())
-    return distinct_rules(found)
+    return distinct_rules(found_implicants(pairs, maps, k))
+
+
+def inferences(found: DataFrame) -> DataFrame:
+    """The inference list: one row per core-essential implicant, not per residue pair."""
+    return found.where("is_core_essential").select("pos_i", "pos_j", "aa_i", "aa_j", "ref_i", "ref_j", "mi", "expr")
 
 
 def distinct_rules(found: DataFrame) -> DataFrame:
@@ -162,14 +179,18 @@ def rules_by_k(found: DataFrame) -> DataFrame:
 def classify(p: DataFrame, positive: DataFrame, forbidden: DataFrame) -> DataFrame:
     """``(seq_id, verdict)``: forbidden if any forbidden pair occurs, else positive if any rule does, else unclassified.
 
-    Rules are few rows a pair; each sequence's pairs are formed in its own row.
+    Rules are at most 441 cells a pair of columns; they become one small row of
+    look-up tables and each sequence is judged in its own row, repeated ids too.
     """
-    have = F.broadcast(positive.select(*RULE_KEY).withColumn("kind", F.lit(1)).unionByName(forbidden.select(*RULE_KEY).withColumn("kind", F.lit(2))))
-    places = F.broadcast(positive.select(*PAIR).unionByName(forbidden.select(*PAIR)).distinct())
-    at = p.select("seq_id", "codes").join(places)
-    codes = at.select("seq_id", *PAIR, F.get("codes", F.col("pos_i")).alias("code_i"), F.get("codes", F.col("pos_j")).alias("code_j"))
-    hit = codes.join(have, RULE_KEY, "left").groupBy("seq_id").agg(F.max("kind").alias("kind"))
-    return hit.select("seq_id", F.when(F.col("kind") == 2, "forbidden").when(F.col("kind") == 1, "positive").otherwise("unclassified").alias("verdict"))
+    both = positive.select(*RULE_KEY).withColumn("kind", F.lit(1)).unionByName(forbidden.select(*RULE_KEY).withColumn("kind", F.lit(2)))
+    cell = both.groupBy(*PAIR, (F.col("code_i") * 21 + F.col("code_j")).alias("cell")).agg(F.max("kind").alias("kind"))
+    kinds = F.transform(F.sequence(F.lit(0), F.lit(440)), lambda c: F.coalesce(F.try_element_at("m", c), F.lit(0)))
+    place = cell.groupBy(*PAIR).agg(F.map_from_entries(F.collect_list(F.struct("cell", "kind"))).alias("m")).select(*PAIR, kinds.alias("kinds"))
+    table = checkpointed(place.agg(F.collect_list(F.struct(*PAIR, "kinds")).alias("places")))
+    at = lambda x: F.get("codes", x["pos_i"]) * 21 + F.get("codes", x["pos_j"])
+    worst = F.aggregate("places", F.lit(0), lambda a, x: F.greatest(a, F.coalesce(F.get(x["kinds"], at(x)), F.lit(0))))
+    judged = p.select("seq_id", "codes").crossJoin(F.broadcast(table)).select("seq_id", worst.alias("kind"))
+    return judged.select("seq_id", F.when(F.col("kind") == 2, "forbidden").when(F.col("kind") == 1, "positive").otherwise("unclassified").alias("verdict"))
 
 
 def either_way(pairs: DataFrame, a: str, b: str) -> DataFrame:

@@ -41,9 +41,15 @@ def majority(counts: DataFrame) -> DataFrame:
     return every.join(best, "pos", "left").select("pos", F.coalesce(-F.col("b.low"), F.lit(0)).cast("int").alias("ref_code"), F.coalesce("b.n", F.lit(0)).cast("long").alias("ref_n"))
 
 
-def variable_positions(counts: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Columns whose entropy exceeds the threshold."""
-    return column_entropy(counts).where(F.col("entropy") > threshold).select("pos", "entropy")
+def variable_positions(counts: DataFrame, threshold: float = 0.3, by: str = "entropy") -> DataFrame:
+    """Columns whose entropy, or ``perplexity``, exceeds the threshold."""
+    return column_entropy(counts).where(F.col(by) > threshold).select("pos", by)
+
+
+def long_enough(sequences: DataFrame, least: int = 100, min_rows: int = 5) -> DataFrame:
+    """Sequences longer than ``least`` characters; none if fewer than ``min_rows`` are."""
+    some = sequences.where(F.length("sequence") > least)
+    return some.crossJoin(F.broadcast(some.agg(F.count("*").alias("_n")))).where(F.col("_n") >= min_rows).drop("_n")
 
 
 def consensus(counts: DataFrame) -> DataFrame:
@@ -94,6 +100,18 @@ def mutations_vs_first(p: DataFrame) -> DataFrame:
     return d.groupBy("pos", gray_distance(F.col("x.a"), F.col("x.b")).cast("int").alias("gray_distance")).agg(F.count("*").alias("n"))
 
 
+def mutations_vs_first_by_sequence(p: DataFrame) -> DataFrame:
+    """``(seq_id, n_mutations)``: valid differences of each sequence from the one with the smallest id."""
+    first = p.agg(F.min_by("codes", "seq_id").alias("ref"))
+    pairs = F.zip_with("codes", "ref", lambda a, b: F.coalesce(valid(a) & valid(b) & (a != b), F.lit(False)))
+    return p.join(F.broadcast(first)).select("seq_id", F.size(F.filter(pairs, lambda x: x)).cast("long").alias("n_mutations"))
+
+
+def top_mutated(by_position: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` columns of most mutations, ties to the first, of any table ``(pos, n)``."""
+    return by_position.groupBy("pos").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "pos").limit(k)
+
+
 def sequence_stats(sequences: DataFrame, alphabet: str) -> DataFrame:
     """Counts over raw sequences: number, lengths, gaps (``-``) and characters outside the alphabet."""
     gaps = F.length("sequence") - F.length(F.replace(F.col("sequence"), F.lit("-"), F.lit("")))

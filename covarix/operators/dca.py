@@ -1,85 +1,286 @@
 """Mean-field direct-coupling analysis.
 
-Weights, frequencies, Frobenius scores, the average-product correction and
-direct information are DataFrame steps; the inversion of the covariance matrix
-is dense and runs on the driver, bounded by ``MAX_STATES`` rows.
+Sequences count as distinct kinds with a multiplicity; all pairs of kinds are
+compared in a grid of packed blocks. The covariance matrix with pseudocounts is
+inverted on the driver in one of two exact ways: as it is, up to ``MAX_STATES``
+rows, or, as it is a block-diagonal matrix plus one of the rank of the number of
+kinds, through a matrix of that size (Woodbury), up to ``MAX_KINDS`` kinds however
+many columns there are. Scores of column pairs are then computed from blocks of
+couplings on the executors, so couplings are never a table unless asked for.
+
+Couplings are ``J = -C^-1``; direct information uses the weights ``exp(J)``, the
+sign of the published mean-field method.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import rounded
-from .graph import sequence_pairs
+from ..shared import checkpointed, sized
 from .pairs import PAIR
 
 Q = 21
 MAX_STATES = 4000
+MAX_KINDS = 3000
+BLOCK_KINDS = 1000
+BLOCK_COLUMNS = 16
+GAP = Q - 1
+
+
+def kinds(p: DataFrame) -> DataFrame:
+    """``(codes, m)``: distinct sequences and how many there are of each."""
+    return p.groupBy("codes").agg(F.count("*").alias("m"))
+
+
+def _packed(k: DataFrame) -> DataFrame:
+    """Kinds in blocks ``(block, n, codes, m)`` of bounded size, codes as bytes padded with 255."""
+    def pack(batches: Iterator[pa.RecordBatch]):
+        part, number, held = TaskContext.get().partitionId() << 20, 0, []
+
+        def block():
+            width = max(len(c) for c, _ in held)
+            codes = np.full((len(held), width), 255, np.uint8)
+            for i, (c, _) in enumerate(held):
+                codes[i, : len(c)] = c
+            cells = [[part + number], [len(held)], [codes.tobytes()], [np.array([m for _, m in held], "<i8").tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["block", "n", "codes", "m"])
+
+        for b in batches:
+            for c, m in zip(b.column(0), b.column(1).to_pylist()):
+                held.append((c.values.to_numpy(zero_copy_only=False), m))
+                if len(held) == BLOCK_KINDS:
+                    yield block()
+                    number, held = number + 1, []
+        if held:
+            yield block()
+
+    return k.mapInArrow(pack, "block long, n long, codes binary, m binary")
+
+
+def _unpacked(n: int, codes: bytes) -> np.ndarray:
+    return np.frombuffer(codes, np.uint8).reshape(n, -1)
+
+
+def _near(x: np.ndarray, y: np.ndarray, theta: float) -> np.ndarray:
+    """Which rows differ in at most ``floor(theta * L)`` positions, L being x's own length; what only one has differs."""
+    width = max(x.shape[1], y.shape[1])
+    x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1])), constant_values=255) for z in (x, y))
+    apart = np.stack([(row != y).sum(1) for row in x])
+    return apart <= np.floor((x < 255).sum(1) * theta)[:, None]
+
+
+def weighted_kinds(p: DataFrame, theta: float = 0.2) -> DataFrame:
+    """``(codes, m, weight)``: one over the sequences within ``floor(theta * L)`` differences, copies and itself included."""
+    blocks = checkpointed(_packed(kinds(p)))
+    n = max(1, blocks.count())
+    # every block meets every other: each goes to one cell, and to all cells as the other side
+    left = blocks.select("block", F.col("n").alias("an"), F.col("codes").alias("ac"), F.col("m").alias("am"), F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("cell"))
+    right = blocks.select(F.col("n").alias("bn"), F.col("codes").alias("bc"), F.col("m").alias("bm"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
+    met = left.hint("merge").join(right, "cell").select("an", "ac", "am", "bn", "bc", "bm")
+
+    def count(batches):
+        for b in batches:
+            for an, ac, am, bn, bc, bm in zip(*(c.to_pylist() for c in b.columns)):
+                x, y = _unpacked(an, ac), _unpacked(bn, bc)
+                near = _near(x, y, theta) @ np.frombuffer(bm, "<i8")
+                codes = [row[row < 255].astype(np.int32).tolist() for row in x]
+                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int32())), pa.array(np.frombuffer(am, "<i8")), pa.array(near)], names=["codes", "m", "near"])
+
+    found = met.mapInArrow(count, "codes array<int>, m long, near long")
+    return found.groupBy("codes", "m").agg(F.sum("near").alias("near")).select("codes", "m", (1.0 / F.col("near")).alias("weight"))
 
 
 def weights(p: DataFrame, theta: float = 0.2) -> DataFrame:
-    """``(seq_id, codes, weight)``: one over the sequences within ``int(theta * L)`` differences, itself included.
+    """``(seq_id, codes, weight)``: one over the sequences within ``floor(theta * L)`` differences, itself included."""
+    each = checkpointed(weighted_kinds(p, theta))
+    return p.join(sized(each.drop("m"), each.count(), 50_000), "codes").select("seq_id", "codes", "weight")
+
+
+def effective_number(w: DataFrame) -> DataFrame:
+    """``meff``: the sum of the weights of all sequences, from ``weighted_kinds``."""
+    return w.agg(rounded(F.sum(F.col("weight") * F.col("m"))).alias("meff"))
+
+
+@dataclass
+class Dense:
+    """Couplings from the whole inverse, ``(L, L, 20, 20)``."""
+
+    j: np.ndarray
+    f: np.ndarray
+
+    def block(self, i: slice, k: slice) -> np.ndarray:
+        return self.j[i, k]
+
+
+@dataclass
+class LowRank:
+    """Couplings from the small inverse of the Woodbury identity.
 
-    Equal sequences are one row with a multiplicity before the pairs are formed.
+    The covariance is D + U K U': D has equal diagonal blocks ``alpha I - beta 11'``,
+    U has a column a kind (its one-hot code), one of ones and one of frequencies.
     """
-    kinds = p.groupBy("codes").agg(F.count("*").alias("m"), F.min("seq_id").alias("seq_id"))
-    pairs = sequence_pairs(kinds.select("seq_id", "codes")).where(F.aggregate(F.zip_with("a", "b", lambda x, y: F.when(x != y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x) <= F.floor(F.size("a") * theta))
-    mult = kinds.select("seq_id", "m")
-    ends = pairs.select(F.col("seq_a").alias("k"), F.col("seq_b").alias("seq_id")).unionByName(pairs.select(F.col("seq_b").alias("k"), F.col("seq_a").alias("seq_id")))
-    near = ends.join(mult, "seq_id").groupBy(F.col("k").alias("seq_id")).agg(F.sum("m").alias("others"))
-    each = kinds.join(near, "seq_id", "left").select("codes", (1.0 / (F.col("m") + F.coalesce("others", F.lit(0)))).alias("weight"))
-    return p.join(each, "codes").select("seq_id", "codes", "weight")
 
+    codes: np.ndarray
+    f: np.ndarray
+    inner: np.ndarray
+    alpha: float
+    beta: float
 
-def effective_number(w: DataFrame) -> DataFrame:
-    return w.agg(rounded(F.sum("weight")).alias("meff"))
-
-
-def frequencies(w: DataFrame, pseudo: float = 0.5) -> tuple[DataFrame, DataFrame]:
-    """``pi(pos, a, p)`` and ``pij(pos_i, pos_j, a, b, p)`` with pseudocounts, all 21 states."""
-    m = F.broadcast(w.agg(F.sum("weight").alias("meff")))
-    cell = w.select("weight", "codes", F.posexplode("codes").alias("pos", "a"))
-    states = F.sequence(F.lit(0), F.lit(Q - 1))
-    one = cell.groupBy("pos", "a").agg(F.sum("weight").alias("s"))
-    grid = cell.select("pos").distinct().withColumn("a", F.explode(states))
-    mix = lambda s, k: (1 - pseudo) * F.coalesce(s, F.lit(0.0)) / F.col("meff") + F.lit(pseudo / k)
-    pi = grid.join(one, ["pos", "a"], "left").crossJoin(m).select("pos", "a", mix(F.col("s"), Q).alias("p"))
-    far = cell.select("weight", F.col("pos").alias("pos_i"), "a", F.posexplode(F.slice("codes", F.col("pos") + 2, F.size("codes"))).alias("k", "b"))
-    two = far.groupBy("pos_i", (F.col("pos_i") + F.col("k") + 1).alias("pos_j"), "a", "b").agg(F.sum("weight").alias("s"))
-    grid2 = two.select(*PAIR).distinct().withColumn("a", F.explode(states)).withColumn("b", F.explode(states))
-    pij = grid2.join(two, [*PAIR, "a", "b"], "left").crossJoin(m).select(*PAIR, "a", "b", mix(F.col("s"), Q * Q).alias("p"))
-    return pi, pij
-
-
-def invert(pi: DataFrame, pij: DataFrame, ridge: float = 1e-4) -> DataFrame:
-    """Couplings ``(pos_i, pos_j, a, b, j)``, the gap state 0, by inverting the covariance on the driver."""
-    one = pi.toPandas()
-    length = int(one["pos"].max()) + 1 if len(one) else 0
-    if (Q - 1) * length > MAX_STATES:
-        raise ValueError(f"{length} columns are too many for a dense inversion")
-    f = np.zeros((length, Q))
-    f[one["pos"], one["a"]] = one["p"]
-    c = np.zeros((length, Q, length, Q))
-    two = pij.toPandas()
-    c[two["pos_i"], two["a"], two["pos_j"], two["b"]] = two["p"]
-    c[two["pos_j"], two["b"], two["pos_i"], two["a"]] = two["p"]
+    def sides(self, at: slice) -> np.ndarray:
+        """``D^-1 U`` for some columns: (columns, 20, kinds + 2)."""
+        u = one_hot(self.codes[:, at], self.f[at])
+        gamma = self.beta / (self.alpha - (Q - 1) * self.beta)
+        return (u + gamma * u.sum(1, keepdims=True)) / self.alpha
+
+    def block(self, i: slice, k: slice) -> np.ndarray:
+        a, b = self.sides(i), self.sides(k)
+        out = (a.reshape(-1, a.shape[2]) @ self.inner) @ b.reshape(-1, b.shape[2]).T
+        return out.reshape(a.shape[0], Q - 1, b.shape[0], Q - 1).transpose(0, 2, 1, 3)
+
+
+def one_hot(codes: np.ndarray, f: np.ndarray) -> np.ndarray:
+    """(columns, 20, kinds + 2): one-hot codes without the gap, then ones and frequencies."""
+    hot = (codes.T[:, None, :] == np.arange(Q - 1)[None, :, None]).astype(np.float64)
+    return np.concatenate([hot, np.ones((*f.shape[:1], Q - 1, 1)), f[:, : Q - 1, None]], 2)
+
+
+def solve(codes: np.ndarray, weight: np.ndarray, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None) -> Dense | LowRank:
+    """Couplings of kinds ``(kinds, L)`` with their total weights, the gap being state 20."""
+    n, length = codes.shape
+    share = weight / weight.sum()
+    f = np.stack([np.bincount(codes[:, k], share, Q) for k in range(length)]) if length else np.zeros((0, Q))
+    f = (1 - pseudo) * f + pseudo / Q
+    beta = pseudo / Q**2
+    if dense if dense is not None else (Q - 1) * length <= MAX_STATES:
+        hot = one_hot(codes, f)[:, :, :n].reshape(length * (Q - 1), n)
+        c = (1 - pseudo) * (hot * share) @ hot.T + beta
+        own = np.arange(length * (Q - 1)).reshape(length, Q - 1)
+        for k in range(length):
+            c[np.ix_(own[k], own[k])] = np.diag(f[k, : Q - 1])
+        flat = f[:, : Q - 1].ravel()
+        c -= np.outer(flat, flat)
+        j = -np.linalg.inv(c + ridge * np.eye(len(c)))
+        return Dense(j.reshape(length, Q - 1, length, Q - 1).transpose(0, 2, 1, 3), f)
+    out = LowRank(codes, f, np.zeros(0), pseudo / Q + ridge, beta)
+    g = np.zeros((n + 2, n + 2))
+    for at in range(0, length, BLOCK_COLUMNS):
+        part = slice(at, at + BLOCK_COLUMNS)
+        u, v = one_hot(codes[:, part], f[part]), out.sides(part)
+        g += u.reshape(-1, n + 2).T @ v.reshape(-1, n + 2)
+    g[np.diag_indices(n + 2)] += np.concatenate([1 / ((1 - pseudo) * share), [1 / beta, -1.0]])
+    out.inner = np.linalg.inv(g)
+    return out
+
+
+def direct_information(j: np.ndarray, fi: np.ndarray, fj: np.ndarray, rounds: int = 200, eps: float = 4e-5) -> np.ndarray:
+    """Direct information of pairs ``(n, 20, 20)`` by fixed-point iteration of their two fields; each pair stops by itself."""
+    n = len(j)
+    w = np.ones((n, Q, Q))
+    w[:, : Q - 1, : Q - 1] = np.exp(j)
+    mi, mj = np.full((n, Q), 1 / Q), np.full((n, Q), 1 / Q)
+    left = np.arange(n)
+    for _ in range(rounds):
+        if not len(left):
+            break
+        x = w[left]
+        ni = fi[left] / np.einsum("nab,nb->na", x, mj[left])
+        nj = fj[left] / np.einsum("nab,na->nb", x, mi[left])
+        ni, nj = ni / ni.sum(1, keepdims=True), nj / nj.sum(1, keepdims=True)
+        change = np.maximum(abs(ni - mi[left]).max(1), abs(nj - mj[left]).max(1))
+        mi[left], mj[left] = ni, nj
+        left = left[change >= eps]
+    joint = w * mi[:, :, None] * mj[:, None]
+    joint /= joint.sum((1, 2), keepdims=True)
+    tiny = 1e-100
+    return (joint * np.log((joint + tiny) / (fi[:, :, None] * fj[:, None] + tiny))).sum((1, 2))
+
+
+def _solved(p: DataFrame, length: int, theta: float, pseudo: float, ridge: float, dense: bool | None) -> Dense | LowRank | None:
+    """The couplings of the first ``length`` columns; shorter sequences end in gaps."""
+    cut = p.select("seq_id", F.slice(F.concat("codes", F.array_repeat(F.lit(GAP), length)), 1, length).alias("codes"))
+    w = checkpointed(weighted_kinds(cut, theta))
+    if (n := w.count()) > MAX_KINDS and (Q - 1) * length > MAX_STATES:
+        raise ValueError(f"{n} kinds of {length} columns are too many for both ways of inversion")
+    if not n:
+        return None
+    # kinds beyond the low-rank way's bound are folded to sums that the whole inverse needs
+    if n > MAX_KINDS:
+        return _from_sums(w, length, pseudo, ridge)
+    rows = w.select("codes", (F.col("m") * F.col("weight")).alias("w")).toArrow()
+    codes = np.stack(rows.column("codes").to_numpy()).astype(np.int64)
+    order = np.lexsort(codes.T)
+    return solve(codes[order], rows.column("w").to_numpy()[order], pseudo, ridge, dense)
+
+
+def _from_sums(w: DataFrame, length: int, pseudo: float, ridge: float) -> Dense:
+    """The whole inverse from weighted joint counts, at most 441 rows a column pair."""
+    cell = w.select((F.col("m") * F.col("weight")).alias("w"), "codes", F.posexplode("codes").alias("i", "a"))
+    two = cell.select("w", "i", "a", F.posexplode(F.slice("codes", F.col("i") + 1, F.lit(length))).alias("k", "b"))
+    sums = two.groupBy("i", (F.col("i") + F.col("k")).alias("j"), "a", "b").agg(F.sum("w").alias("w")).toPandas()
+    joint = np.zeros((length, Q, length, Q))
+    joint[sums["i"], sums["a"], sums["j"], sums["b"]] = sums["w"]
+    joint[sums["j"], sums["b"], sums["i"], sums["a"]] = sums["w"]
+    f = np.stack([np.diag(joint[k, :, k]) for k in range(length)])
+    total = f[0].sum()
+    f = (1 - pseudo) * f / total + pseudo / Q
+    c = (1 - pseudo) * joint / total + pseudo / Q**2
     for k in range(length):
-        c[k, :, k, :] = np.diag(f[k])
+        c[k, :, k] = np.diag(f[k])
     c -= f[:, :, None, None] * f[None, None]
     n = length * (Q - 1)
-    flat = c[:, : Q - 1, :, : Q - 1].reshape(n, n)
-    j = -np.linalg.inv(flat + ridge * np.eye(n)).reshape(length, Q - 1, length, Q - 1)
-    i, a, k, b = (x.ravel() for x in np.indices(j.shape))
-    keep = i < k
-    out = pd.DataFrame({"pos_i": i[keep], "pos_j": k[keep], "a": a[keep], "b": b[keep], "j": j.ravel()[keep]})
-    return pi.sparkSession.createDataFrame(out, "pos_i int, pos_j int, a int, b int, j double")
+    inverse = np.linalg.inv(c[:, : Q - 1, :, : Q - 1].reshape(n, n) + ridge * np.eye(n))
+    return Dense(-inverse.reshape(length, Q - 1, length, Q - 1).transpose(0, 2, 1, 3), f)
+
+
+def _cells(p: DataFrame, length: int) -> DataFrame:
+    """``(i, k)``: blocks of columns, each pair of blocks once, spread over the tasks."""
+    n = -(-length // BLOCK_COLUMNS)
+    one = p.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("k")).where("i <= k")
+    return one.repartition(max(1, min(n * (n + 1) // 2, 2000)))
 
 
-def frobenius(j: DataFrame) -> DataFrame:
-    return j.groupBy(*PAIR).agg(F.sqrt(F.sum(F.col("j") * F.col("j"))).alias("score"))
+def couplings(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None) -> DataFrame:
+    """``(pos_i, pos_j, a, b, j)``: 400 rows a column pair, the gap left out."""
+    return _by_block(p, length, "pos_i int, pos_j int, a int, b int, j double", _coupling_rows, theta, pseudo, ridge, dense)
+
+
+def _coupling_rows(i, k, j, fi, fj):
+    n = len(i)
+    a, b = np.indices((Q - 1, Q - 1)).reshape(2, -1)
+    return pd.DataFrame({"pos_i": np.repeat(i, len(a)), "pos_j": np.repeat(k, len(a)), "a": np.tile(a, n), "b": np.tile(b, n), "j": j.reshape(-1)})
+
+
+def _score_rows(i, k, j, fi, fj):
+    return pd.DataFrame({"pos_i": i, "pos_j": k, "score": np.sqrt((j**2).sum((1, 2))), "di": direct_information(j, fi, fj)})
+
+
+def _by_block(p: DataFrame, length: int, schema: str, rows, theta: float, pseudo: float, ridge: float, dense: bool | None) -> DataFrame:
+    solved = _solved(p, length, theta, pseudo, ridge, dense)
+    if solved is None:
+        return p.sparkSession.createDataFrame([], schema)
+    shared = p.sparkSession.sparkContext.broadcast(solved)  # bounded by MAX_STATES or MAX_KINDS
+
+    def run(batches):
+        for b in batches:
+            for i, k in zip(b["i"], b["k"]):
+                x, y = (slice(z * BLOCK_COLUMNS, min(length, (z + 1) * BLOCK_COLUMNS)) for z in (i, k))
+                j = shared.value.block(x, y)
+                pi, pk = (z.ravel() for z in np.meshgrid(np.arange(x.start, x.stop), np.arange(y.start, y.stop), indexing="ij"))
+                use = pi < pk
+                if use.any():
+                    f = shared.value.f
+                    yield rows(pi[use], pk[use], j.reshape(-1, Q - 1, Q - 1)[use], f[pi[use]], f[pk[use]])
+
+    return _cells(p, length).mapInPandas(run, schema)
 
 
 def average_product(f: DataFrame, length: int) -> DataFrame:
@@ -91,50 +292,14 @@ def average_product(f: DataFrame, length: int) -> DataFrame:
     return out.select(*PAIR, (F.col("score") - F.col("mi") * F.col("mj") / F.col("all")).alias("score"))
 
 
-def direct_information(j: DataFrame, pi: DataFrame, rounds: int = 200, eps: float = 4e-5) -> DataFrame:
-    """Direct information of each pair by fixed-point iteration of its two fields.
-
-    Pairs are independent: a small kernel each, over at most 400 couplings.
-    """
-    side = pi.groupBy("pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("a", "p"))), lambda x: x["p"]).alias("f"))
-    cell = j.groupBy(*PAIR).agg(F.array_sort(F.collect_list(F.struct("a", "b", "j"))).alias("js"))
-    both = cell.join(F.broadcast(side.toDF("pos_i", "fi")), "pos_i").join(F.broadcast(side.toDF("pos_j", "fj")), "pos_j")
-
-    def kernel(batches):
-        for b in batches:
-            scores = []
-            for js, fi, fj in zip(b["js"], b["fi"], b["fj"]):
-                w = np.ones((Q, Q))
-                for x in js:
-                    w[x["a"], x["b"]] = np.exp(x["j"])
-                fi, fj = np.array(fi), np.array(fj)
-                mi, mj = np.full(Q, 1 / Q), np.full(Q, 1 / Q)
-                for _ in range(rounds):
-                    ni = fi / (w @ mj)
-                    nj = fj / (w.T @ mi)
-                    ni, nj = ni / ni.sum(), nj / nj.sum()
-                    change = max(abs(ni - mi).max(), abs(nj - mj).max())
-                    mi, mj = ni, nj
-                    if change < eps:
-                        break
-                joint = w * mi[:, None] * mj[None]
-                joint /= joint.sum()
-                tiny = 1e-100
-                scores.append(float((joint * np.log((joint + tiny) / (fi[:, None] * fj[None] + tiny))).sum()))
-            yield pd.DataFrame({"pos_i": b["pos_i"], "pos_j": b["pos_j"], "score": scores})
-
-    return both.mapInPandas(kernel, "pos_i int, pos_j int, score double")
-
-
-def scores(p: DataFrame, length: int) -> DataFrame:
+def scores(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None) -> DataFrame:
     """``(pos_i, pos_j, frobenius, apc, di)`` of every pair of the first ``length`` columns."""
-    w = weights(p.select("seq_id", F.slice("codes", 1, length).alias("codes"))).persist()
-    pi, pij = frequencies(w)
-    j = invert(pi, pij).persist()
-    f = frobenius(j)
-    out = f.withColumnRenamed("score", "f").join(average_product(f, length).withColumnRenamed("score", "c"), PAIR).join(direct_information(j, pi).withColumnRenamed("score", "d"), PAIR)
-    return out.select(*PAIR, rounded(F.col("f"), 5).alias("frobenius"), rounded(F.col("c"), 5).alias("apc"), rounded(F.col("d"), 5).alias("di"))
+    f = checkpointed(_by_block(p, length, "pos_i int, pos_j int, score double, di double", _score_rows, theta, pseudo, ridge, dense))
+    apc = average_product(f.drop("di"), length).withColumnRenamed("score", "c")
+    return f.join(apc, PAIR).select(*PAIR, rounded(F.col("score"), 5).alias("frobenius"), rounded(F.col("c"), 5).alias("apc"), rounded(F.col("di"), 5).alias("di"))
 
 
 def top_scores(s: DataFrame, by: str, k: int = 20) -> DataFrame:
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(by), *PAIR))).where(F.col("rank") <= k)
+    """The ``k`` best pairs by one score, with their ranks from 1."""
+    best = s.orderBy(F.desc(by), *PAIR).limit(k).agg(F.sort_array(F.collect_list(F.struct(F.col(by).alias("by"), *((-F.col(c)).alias(c) for c in PAIR), F.struct(*s.columns).alias("row"))), asc=False).alias("rows"))
+    return best.select(F.posexplode("rows").alias("rank", "x")).select("x.row.*", (F.col("rank") + 1).alias("rank"))

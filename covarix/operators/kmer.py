@@ -1,17 +1,23 @@
 """k-mers, Gray adjacency, K-maps and sequence signatures of whole sequences.
 
-Neighbours are formed inside each sequence's own code array, so nothing is
-shuffled by sequence; only counts per cell are.
+Neighbours are formed inside each sequence, so nothing is shuffled by sequence;
+only counts per cell are. Of raw texts, whole Arrow batches are coded and counted
+by table look-up, and a batch leaves at most 21^k counts.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.encoding import BASE20, gray, gray_distance, kmer_cell, rounded, valid
+from ..functions.encoding import BASE20, GAP, gray, gray_distance, kmer_cell, rounded, valid
+from ..shared import with_total
 from .pairs import PAIR, pair_counts
 
+STATES = GAP + 1
+
 
 def _runs(k: int) -> Column:
     """All windows of k codes of ``codes``, as structs c0..c(k-1)."""
@@ -31,27 +37,83 @@ def adjacent_counts(p: DataFrame) -> DataFrame:
     return windows(p, 2).groupBy("c0", "c1").agg(F.count("*").alias("n"))
 
 
+def _code_table(alphabet: str) -> np.ndarray:
+    """The code of each byte that begins a character."""
+    table = np.full(256, GAP, np.uint8)
+    for k, letter in enumerate(alphabet):
+        table[ord(letter)] = table[ord(letter.lower())] = k
+    return table
+
+
+def batch_cells(texts: pa.Array, k: int, table: np.ndarray) -> np.ndarray:
+    """Base-21 cells of all runs of k characters inside the texts of one batch."""
+    texts = texts.cast(pa.large_binary()).drop_null()
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    if offsets[-1] == offsets[0]:
+        return np.empty(0, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    leads = data & 0xC0 != 0x80
+    starts = np.concatenate(([0], np.cumsum(leads)))[offsets[1:-1] - offsets[0]]
+    codes = table[data[leads]].astype(np.int64)
+    n = len(codes) - k + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    cells = codes[:n].copy()
+    for i in range(1, k):
+        cells = cells * STATES + codes[i : n + i]
+    inside = np.ones(n, bool)
+    for i in range(1, k):  # runs that reach over the end of a text
+        at = starts - i
+        inside[at[(at >= 0) & (at < n)]] = False
+    return cells[inside]
+
+
+def text_counts(sequences: DataFrame, k: int, alphabet: str = BASE20) -> DataFrame:
+    """``(c0, ..., n)`` of all runs of k characters of ``sequence``, gaps included."""
+    table = _code_table(alphabet)
+
+    def count(batches):
+        for b in batches:
+            cells = batch_cells(b.column(0), k, table)
+            if k <= 4:
+                n = np.bincount(cells, minlength=1)
+                cell = np.flatnonzero(n)
+                n = n[cell]
+            else:
+                cell, n = np.unique(cells, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64)), pa.array(n.astype(np.int64))], names=["cell", "n"])
+
+    found = sequences.select("sequence").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    return found.select(*(F.expr(f"cast(cell div {STATES ** (k - 1 - i)} % {STATES} as int)").alias(f"c{i}") for i in range(k)), "n")
+
+
 def transitions(cells: DataFrame, *order: str) -> DataFrame:
     """``(c0, c1, n)`` of a long table ``(seq_id, code, ...)``: neighbours by ``order``, streamed and not gathered."""
     after = F.lead("code").over(Window.partitionBy("seq_id").orderBy(*order))
     return cells.select(F.col("code").alias("c0"), after.alias("c1")).where("c1 is not null").groupBy("c0", "c1").agg(F.count("*").alias("n"))
 
 
-def kmer_map(p: DataFrame, k: int) -> DataFrame:
-    """``(cell, n, freq)`` of base-20 k-mers; windows with a gap are skipped."""
+def kmer_counts(p: DataFrame, k: int) -> DataFrame:
+    """``(c0, ..., n)`` of all windows of k codes, gaps included."""
+    w = windows(p, k)
+    return w.groupBy(*w.columns[1:]).agg(F.count("*").alias("n"))
+
+
+def kmer_map(counts: DataFrame, k: int) -> DataFrame:
+    """``(cell, n, freq)`` of base-20 k-mers from counts of k codes; those with a gap are skipped."""
     cs = [F.col(f"c{i}") for i in range(k)]
     ok = valid(cs[0])
     for c in cs[1:]:
         ok = ok & valid(c)
-    g = windows(p, k).where(ok).groupBy(kmer_cell(*cs).alias("cell")).agg(F.count("*").alias("n"))
-    return g.select("cell", "n", rounded(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()), 9).alias("freq"))
+    g = counts.where(ok).select(kmer_cell(*cs).alias("cell"), "n")
+    return with_total(g, "n").select("cell", "n", rounded(F.col("n").cast("double") / F.col("total"), 9).alias("freq"))
 
 
 def gray_map(adjacent: DataFrame) -> DataFrame:
     """The 32 x 32 map of Gray-coded neighbours: ``(cell, n, freq)`` with cell = 32 g0 + g1."""
     v = adjacent.where(valid(F.col("c0")) & valid(F.col("c1")))
     cell = (gray(F.col("c0")) * 32 + gray(F.col("c1"))).cast("long")
-    return v.select(cell.alias("cell"), "n", rounded(F.col("n").cast("double") / F.sum("n").over(Window.partitionBy()), 9).alias("freq"))
+    return with_total(v, "n").select(cell.alias("cell"), "n", rounded(F.col("n").cast("double") / F.col("total"), 9).alias("freq"))
 
 
 def consensus_map(p: DataFrame) -> DataFrame:
@@ -77,7 +139,7 @@ def gray_adjacency(adjacent: DataFrame, include_gap: bool = False) -> DataFrame:
     """``(distance, n, share, enrichment)`` of neighbours' Gray distances; enrichment against 5/31 at distance 1."""
     v = adjacent if include_gap else adjacent.where(valid(F.col("c0")) & valid(F.col("c1")))
     g = v.groupBy(gray_distance(F.col("c0"), F.col("c1")).cast("int").alias("distance")).agg(F.sum("n").alias("n"))
-    share = F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())
+    g, share = with_total(g, "n"), F.col("n").cast("double") / F.col("total")
     return g.select("distance", "n", rounded(share).alias("share"), rounded(F.when(F.col("distance") == 1, share / (5 / 31))).alias("enrichment"))
 
 
@@ -124,7 +186,7 @@ def motif_counts(adjacent: DataFrame, implicants: DataFrame) -> DataFrame:
 def map_symmetry(adjacent: DataFrame) -> DataFrame:
     """Mean |K - K transposed| over the 400 cells of the neighbour frequencies."""
     v = adjacent.where(valid(F.col("c0")) & valid(F.col("c1")))
-    f = v.select("c0", "c1", (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())).alias("f"))
+    f = with_total(v, "n").select("c0", "c1", (F.col("n").cast("double") / F.col("total")).alias("f"))
     t = f.select(F.col("c0").alias("c1"), F.col("c1").alias("c0"), F.col("f").alias("g"))
     d = f.join(t, ["c0", "c1"], "full").select(F.abs(F.coalesce("f", F.lit(0.0)) - F.coalesce("g", F.lit(0.0))).alias("d"))
     return d.agg(rounded(F.sum("d") / 400, 9).alias("symmetry_error"))
@@ -133,15 +195,26 @@ def map_symmetry(adjacent: DataFrame) -> DataFrame:
 def map_autocorrelation(adjacent: DataFrame, cells: int = 64) -> DataFrame:
     """``(lag, r)``: normalised autocorrelation of the first cells of the flattened map."""
     v = adjacent.where(valid(F.col("c0")) & valid(F.col("c1")))
-    f = v.select((F.col("c0") * 20 + F.col("c1")).alias("cell"), (F.col("n").cast("double") / F.sum("n").over(Window.partitionBy())).alias("f")).where(F.col("cell") < cells)
+    f = with_total(v, "n").select((F.col("c0") * 20 + F.col("c1")).alias("cell"), (F.col("n").cast("double") / F.col("total")).alias("f")).where(F.col("cell") < cells)
     lag = f.alias("a").join(f.alias("b"), F.col("b.cell") >= F.col("a.cell")).groupBy((F.col("b.cell") - F.col("a.cell")).alias("lag")).agg(F.sum(F.col("a.f") * F.col("b.f")).alias("s"))
-    zero = F.max(F.when(F.col("lag") == 0, F.col("s"))).over(Window.partitionBy())
-    return lag.select("lag", rounded(F.col("s") / zero).alias("r"))
+    zero = lag.agg(F.max(F.when(F.col("lag") == 0, F.col("s"))).alias("zero"))
+    return lag.crossJoin(F.broadcast(zero)).select("lag", rounded(F.col("s") / F.col("zero")).alias("r"))
+
 
+def median_split(mi: DataFrame, on: DataFrame, first: DataFrame) -> DataFrame:
+    """Whether pairs of columns whose residues are frequent neighbours are the more informative ones.
 
-def median_split(mi: DataFrame, on: DataFrame) -> DataFrame:
-    """Share of pairs on the right side of the median: the on-set above it, the others not."""
-    m = mi.join(on.select("pos_i", "pos_j").withColumn("on", F.lit(True)), ["pos_i", "pos_j"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
-    cut = F.median("mi").over(Window.partitionBy())
+    ``on`` holds the cells of the K-map's on-set (Gray codes, 32 g0 + g1), ``first``
+    the codes ``(pos, code)`` of the first sequence. A pair with information is on if
+    that sequence's two residues are an on-cell in either order. Accuracy is the
+    share of pairs on the right side of the median: on above it, the others not.
+    """
+    code = lambda c: first.select(F.col("pos").alias(f"pos_{c}"), F.when(valid(F.col("code")), gray(F.col("code"))).alias(c))
+    m = mi.where("mi > 0").select(*PAIR, "mi").join(F.broadcast(code("i")), "pos_i").join(F.broadcast(code("j")), "pos_j")
+    cells = F.broadcast(on.select(F.array(F.floor(F.col("cell") / 32), F.col("cell") % 32).alias("x")))
+    either = cells.unionByName(cells.select(F.reverse("x").alias("x"))).distinct().select(F.col("x")[0].cast("int").alias("i"), F.col("x")[1].cast("int").alias("j"), F.lit(True).alias("on"))
+    m = m.join(F.broadcast(either), ["i", "j"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
+    m = m.crossJoin(F.broadcast(m.agg(F.median("mi").alias("cut"))))
     right = F.when(F.col("on") == (F.col("mi") > F.col("cut")), 1.0).otherwise(0.0)
-    return m.withColumn("cut", cut).agg(rounded(F.avg(right)).alias("accuracy"), rounded(F.avg(F.when(F.col("on"), F.col("mi")))).alias("mean_on"), rounded(F.avg(F.when(~F.col("on"), F.col("mi")))).alias("mean_off"))
+    mean = lambda c: rounded(F.coalesce(F.avg(F.when(c, F.col("mi"))), F.lit(0.0)))
+    return m.agg(F.count_if("on").alias("n_on"), F.count_if(~F.col("on")).alias("n_off"), mean(F.col("on")).alias("mean_on"), mean(~F.col("on")).alias("mean_off"), rounded(F.coalesce(F.avg(right), F.lit(0.0))).alias("accuracy"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import perplexity, rounded, valid
+from ..shared import checkpointed
 from .columns import column_counts, majority, variable_positions
 
 PAIR = ["pos_i", "pos_j"]
@@ -35,6 +36,16 @@ def pair_counts(p: DataFrame, max_gap: int = 30, min_gap: int = 1, positions: Da
     return right.groupBy("pos_i", "pos_j", "code_i", "code_j").agg(F.count("*").alias("n"))
 
 
+def base_counts(p: DataFrame, max_gap: int = 30) -> tuple[DataFrame, DataFrame]:
+    """``pair_counts`` and ``column_counts`` from one scan, written once.
+
+    A column paired with itself has its own counts on the diagonal.
+    """
+    both = checkpointed(pair_counts(p, max_gap, 0))
+    own = both.where("pos_i = pos_j").select(F.col("pos_i").alias("pos"), F.col("code_i").alias("code"), "n")
+    return both.where("pos_i < pos_j"), own
+
+
 def _both_valid(pc: DataFrame) -> DataFrame:
     return pc.where(valid(F.col("code_i")) & valid(F.col("code_j")))
 
@@ -77,26 +88,33 @@ def mutation_information(pc: DataFrame, counts: DataFrame, min_total: int = 5) -
     return mutual_information(without_reference(_both_valid(with_refs(pc, counts))), min_total, ["ref_i", "ref_j"])
 
 
-def coevolving_pairs(p: DataFrame, max_gap: int = 30, min_mi: float = 0.1, min_muts: int = 5, mutation_only: bool = True, min_entropy: float = 0.3) -> DataFrame:
-    """Variable columns' pairs with more than ``min_mi``, most informative first."""
-    counts = column_counts(p)
-    pc = pair_counts(p, max_gap, positions=variable_positions(counts, min_entropy))
+def informative_pairs(pc: DataFrame, counts: DataFrame, min_mi: float = 0.1, min_muts: int = 5, mutation_only: bool = True, min_entropy: float = 0.3) -> DataFrame:
+    """Variable columns' pairs with more than ``min_mi``, most informative first, from counts."""
+    variable = F.broadcast(checkpointed(variable_positions(counts, min_entropy).select("pos")))
+    for c in PAIR:
+        pc = pc.join(variable.withColumnRenamed("pos", c), c, "left_semi")
     mi = mutation_information(pc, counts, min_muts) if mutation_only else mutual_information(with_refs(pc, counts), min_muts, ["ref_i", "ref_j"])
     return mi.where(F.col("mi") > min_mi).select("pos_i", "pos_j", "mi", "n_obs", "ref_i", "ref_j").orderBy(F.desc("mi"), "pos_i", "pos_j")
 
 
+def coevolving_pairs(p: DataFrame, max_gap: int = 30, min_mi: float = 0.1, min_muts: int = 5, mutation_only: bool = True, min_entropy: float = 0.3) -> DataFrame:
+    """Variable columns' pairs with more than ``min_mi``, most informative first."""
+    return informative_pairs(*base_counts(p, max_gap), min_mi, min_muts, mutation_only, min_entropy)
+
+
 def pair_maps(pc: DataFrame) -> DataFrame:
     """Joint frequencies ``(pos_i, pos_j, code_i, code_j, n, p)`` of valid cells."""
     v = _both_valid(pc)
     return v.withColumn("p", rounded(_d("n") / F.sum("n").over(Window.partitionBy(*PAIR)), 9))
 
 
-def couplings(pc: DataFrame, eps_mode: str = "outside", observed_only: bool = True) -> DataFrame:
+def couplings(pc: DataFrame, eps_mode: str = "outside", observed_only: bool = True, digits: int = 6, min_total: int = 0) -> DataFrame:
     """Log-odds ``J = ln(p / (pi pj))`` of cells.
 
     ``eps_mode`` ``"inside"`` puts the small constant into each factor,
     ``"outside"`` once below the line, so cells that neither column has are 0.
-    Without ``observed_only`` all 400 cells of a pair are given.
+    Without ``observed_only`` all 400 cells of a pair are given. Pairs of fewer
+    than ``min_total`` observations have zeros.
     """
     v = _both_valid(pc)
     if not observed_only:
@@ -105,7 +123,8 @@ def couplings(pc: DataFrame, eps_mode: str = "outside", observed_only: bool = Tr
     m = _marginals(v)
     p, pi, pj = _d("n") / _d("t"), _d("ni") / _d("t"), _d("nj") / _d("t")
     below = (pi + EPS) * (pj + EPS) if eps_mode == "inside" else pi * pj + EPS
-    return m.select(*PAIR, "code_i", "code_j", "n", rounded(F.ln((p + EPS) / below)).alias("j"))
+    j = F.when(F.col("t") >= min_total, F.ln((p + EPS) / below)).otherwise(0.0)
+    return m.select(*PAIR, "code_i", "code_j", "n", rounded(j, digits).alias("j"))
 
 
 def mean_coupling(j: DataFrame) -> DataFrame:
@@ -135,11 +154,17 @@ def conditional_perplexity(pc: DataFrame, include_gap: bool = False, min_n: int
     return h.where(F.col("n") >= min_n).select(*PAIR, "code_i", "n", rounded(perplexity(F.col("h"))).alias("pp"))
 
 
-def perplexity_ratio(pc: DataFrame, min_n: int = 5) -> DataFrame:
-    """Perplexity of column j over its mean perplexity given column i; pairs without a usable code are absent."""
+def perplexity_ratio(pc: DataFrame, min_n: int = 5, entropy: DataFrame | None = None) -> DataFrame:
+    """Perplexity of column j over its mean perplexity given column i; pairs without a usable code are absent.
+
+    ``entropy`` (``pos``, ``entropy``) gives column j's entropy from elsewhere
+    instead of from the pair's own observations.
+    """
     v = _both_valid(pc)
     t = F.sum("n").over(Window.partitionBy(*PAIR))
     marginal = v.groupBy(*PAIR, "code_j").agg(F.sum("n").alias("n")).withColumn("p", _d("n") / t).groupBy(*PAIR).agg(perplexity(F.sum(-F.col("p") * F.log2("p"))).alias("pp_j"))
+    if entropy is not None:
+        marginal = v.select(*PAIR).distinct().join(F.broadcast(entropy.select(F.col("pos").alias("pos_j"), perplexity(F.col("entropy")).alias("pp_j"))), "pos_j")
     given = F.sum("n").over(Window.partitionBy(*PAIR, "code_i"))
     cond = v.withColumn("p", _d("n") / given).groupBy(*PAIR, "code_i").agg(F.sum("n").alias("m"), perplexity(F.sum(-F.col("p") * F.log2("p"))).alias("pp")).where(F.col("m") >= min_n)
     mean = cond.groupBy(*PAIR).agg(F.avg("pp").alias("mean_pp"), F.count("*").alias("n_codes"))

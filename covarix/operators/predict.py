@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import rounded, sigmoid, valid
-from .pairs import EPS, PAIR, _marginals, pair_counts, with_refs, without_reference
+from .pairs import EPS, PAIR, _marginals, couplings, pair_counts, with_refs, without_reference
 
 
 def _valid(pc: DataFrame) -> DataFrame:
@@ -36,25 +36,56 @@ def leave_one_out(pc: DataFrame, counts: DataFrame) -> DataFrame:
     return got.groupBy(*PAIR).agg(F.sum("weight").alias("n_test"), F.sum(right).cast("long").alias("n_correct"))
 
 
-def train_test(p: DataFrame, split: int, max_gap: int, min_gap: int = 1) -> DataFrame:
-    """``(pos_i, pos_j, n_test, n_correct)``: trained on ids below ``split``, tested on the others.
+def _joint(p: DataFrame, chosen: DataFrame, max_gap: int) -> DataFrame:
+    """Valid joint counts of the chosen pairs only, few rows a pair."""
+    return _valid(pair_counts(p, max_gap)).join(F.broadcast(chosen.select(*PAIR)), PAIR, "left_semi")
 
-    The prediction for code a is the code seen most often with it in training, ties to the lowest.
-    """
-    train = _valid(pair_counts(p.where(F.col("seq_id") < split), max_gap, min_gap))
-    test = _valid(pair_counts(p.where(F.col("seq_id") >= split), max_gap, min_gap))
-    best = train.groupBy(*PAIR, "code_i").agg((-F.max(F.struct("n", (-F.col("code_j")).alias("b")))["b"]).alias("guess"))
-    got = test.join(best, [*PAIR, "code_i"], "left")
-    return got.groupBy(*PAIR).agg(F.sum("n").alias("n_test"), F.sum(F.when(F.col("guess") == F.col("code_j"), F.col("n")).otherwise(0)).cast("long").alias("n_correct"))
+
+def constraint_guesses(train: DataFrame) -> DataFrame:
+    """``(pos_i, pos_j, code_i, guess)``: for every code of column i, observed or not, the code of j with the largest log-odds over all 20, ties to the lowest."""
+    c = couplings(train, "inside", observed_only=False, digits=9)
+    return c.groupBy(*PAIR, "code_i").agg((-F.max(F.struct("j", (-F.col("code_j")).alias("b")))["b"]).alias("guess"))
 
 
-def precision_predictor(p: DataFrame, split: int, max_gap: int, min_gap: int = 1, ridge: float = 0.01) -> DataFrame:
+def train_test(p: DataFrame, chosen: DataFrame, is_train: Column, max_gap: int) -> DataFrame:
+    """``(pos_i, pos_j, n_test, n_correct)`` of the chosen pairs ``(pos_i, pos_j, ref_i, ref_j)``.
+
+    The constraint function is built from the sequences with ``is_train``, a
+    condition on ``seq_id``; mutated pairs of the others are predicted from their
+    first code. Without training rows the guess is code 0.
+    """
+    best = constraint_guesses(_joint(p.where(is_train), chosen, max_gap))
+    test = without_reference(_joint(p.where(~is_train), chosen, max_gap).join(F.broadcast(chosen.select(*PAIR, "ref_i", "ref_j")), PAIR))
+    got = test.join(best, [*PAIR, "code_i"], "left").withColumn("right", F.coalesce("guess", F.lit(0)) == F.col("code_j"))
+    done = got.groupBy(*PAIR).agg(F.sum("n").alias("n_test"), F.sum(F.when(F.col("right"), F.col("n")).otherwise(0)).alias("n_correct"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return chosen.select(*PAIR).join(done, PAIR, "left").select(*PAIR, zero("n_test"), zero("n_correct"))
+
+
+def leave_one_out_all_codes(pc: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``(pos_i, pos_j, n_test, n_correct)``: like ``leave_one_out``, predicting by the constraint function among all 20 codes, observed or not."""
+    m = _marginals(_valid(pc).join(F.broadcast(chosen.select(*PAIR)), PAIR, "left_semi"))
+    held = without_reference(m.join(F.broadcast(chosen.select(*PAIR, "ref_i", "ref_j")), PAIR)).where("t > 1")
+    held = held.select(*PAIR, "code_i", F.col("code_j").alias("truth"), F.col("n").alias("weight"), "ni", "t")
+    tried = held.withColumn("code_j", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    cell = m.select(*PAIR, "code_i", "code_j", "n")
+    col = m.select(*PAIR, "code_j", "nj").distinct()
+    tried = tried.join(cell, [*PAIR, "code_i", "code_j"], "left").join(col, [*PAIR, "code_j"], "left")
+    less, d = F.when(F.col("code_j") == F.col("truth"), 1).otherwise(0), lambda c: c.cast("double")
+    t = d(F.col("t") - 1)
+    n, ni, nj = d(F.coalesce("n", F.lit(0)) - less) / t, d(F.col("ni") - 1) / t, d(F.coalesce("nj", F.lit(0)) - less) / t
+    tried = tried.withColumn("c", rounded(F.ln((n + EPS) / ((ni + EPS) * (nj + EPS))), 9))
+    best = tried.groupBy(*PAIR, "code_i", "truth", "weight").agg((-F.max(F.struct("c", (-F.col("code_j")).alias("b")))["b"]).alias("guess"))
+    return best.groupBy(*PAIR).agg(F.sum("weight").alias("n_test"), F.sum(F.when(F.col("guess") == F.col("truth"), F.col("weight")).otherwise(0)).cast("long").alias("n_correct"))
+
+
+def precision_predictor(p: DataFrame, is_train: Column, max_gap: int, min_gap: int = 1, ridge: float = 0.01) -> DataFrame:
     """Like ``train_test``, predicting by the largest entry of a row of pinv(C + ridge I).
 
     One 20 x 20 matrix per pair: a small kernel, from at most 800 rows each.
     """
-    train = _valid(pair_counts(p.where(F.col("seq_id") < split), max_gap, min_gap)).withColumn("test", F.lit(False))
-    test = _valid(pair_counts(p.where(F.col("seq_id") >= split), max_gap, min_gap)).withColumn("test", F.lit(True))
+    train = _valid(pair_counts(p.where(is_train), max_gap, min_gap)).withColumn("test", F.lit(False))
+    test = _valid(pair_counts(p.where(~is_train), max_gap, min_gap)).withColumn("test", F.lit(True))
 
     def kernel(g: pd.DataFrame) -> pd.DataFrame:
         def joint(part: pd.DataFrame) -> np.ndarray:

@@ -6,37 +6,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import rounded
+from ..shared import ranked, with_total
 from .pairs import PAIR
 
 
-def rank_score(value: str) -> Column:
-    """Rank from 0 to 1, ties by the pair; 0 where there is one row only."""
-    w = Window.partitionBy()
-    k = F.row_number().over(Window.orderBy(value, *PAIR)) - 1
-    n = F.count("*").over(w)
-    return F.when(n > 1, k.cast("double") / (n - 1)).otherwise(0.0)
+def rank_scores(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Adds the rank of ``value`` from 0 to 1, ties by the pair; 0 where there is one row only."""
+    out = with_total(ranked(df, "_k", value, *PAIR).withColumn("_one", F.lit(1)), "_one", "_n")
+    return out.withColumn(name, F.when(F.col("_n") > 1, F.col("_k").cast("double") / (F.col("_n") - 1)).otherwise(0.0)).drop("_k", "_one", "_n")
 
 
-def z_score(value: str) -> Column:
-    w = Window.partitionBy()
-    sd = F.stddev_pop(value).over(w)
-    return F.when(sd > 0, (F.col(value) - F.avg(value).over(w)) / sd).otherwise(0.0)
+def z_scores(df: DataFrame, **values: str) -> DataFrame:
+    """Adds the standard score of each value under its name; 0 where all are equal."""
+    stats = df.agg(*(f(v).alias(f"_{k}_{n}") for n, v in values.items() for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    out = df.crossJoin(F.broadcast(stats))
+    for n, v in values.items():
+        out = out.withColumn(n, F.when(F.col(f"_s_{n}") > 0, (F.col(v) - F.col(f"_m_{n}")) / F.col(f"_s_{n}")).otherwise(0.0))
+    return out.drop(*stats.columns)
 
 
 def combined_scores(mi: DataFrame, ratio: DataFrame) -> DataFrame:
     """Mean and sum of the two rank scores, and sum of the standard scores."""
     both = mi.join(ratio, PAIR).select(*PAIR, "mi", "ratio")
-    r = both.withColumns({"rm": rank_score("mi"), "rr": rank_score("ratio"), "zm": z_score("mi"), "zr": z_score("ratio")})
+    r = z_scores(rank_scores(rank_scores(both, "mi", "rm"), "ratio", "rr"), zm="mi", zr="ratio")
     return r.select(*PAIR, rounded((F.col("rm") + F.col("rr")) / 2).alias("mean_rank"), rounded(F.col("rm") + F.col("rr")).alias("rank_sum"), rounded(F.col("zm") + F.col("zr")).alias("z_sum"))
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of two columns with average ranks for ties."""
-    def average_rank(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
-
-    r = df.select(average_rank(a).alias("x"), average_rank(b).alias("y"))
-    return r.agg(rounded(F.corr("x", "y")).alias("rho"), F.count("*").alias("n"))
+    """Rank correlation of two columns of a table of pairs, with average ranks for ties."""
+    r = df.select(*PAIR, a, b)
+    for value, name in ((a, "_x"), (b, "_y")):
+        r = ranked(r, "_k", value, *PAIR)
+        r = r.join(r.groupBy(value).agg(F.avg("_k").alias(name)), value).drop("_k")
+    return r.agg(rounded(F.corr("_x", "_y")).alias("rho"), F.count("*").alias("n"))
 
 
 def top(df: DataFrame, score: str, k: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encoding import BASE20, region, sigmoid, valid
 from ..operators import boolean, columns, dca, graph, kmer, pairs, predict, ranking, spectral
+from ..shared import checkpointed, with_total
 from ..sources import readers
 from . import reports
 
@@ -20,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 GAP_LIMIT = 11  # all pairs of the twelve columns of orders
-TRAIN_IDS = 800  # ids below are the training part
+TRAIN_SHARE = 8, 13  # of each 13 ids in turn, 8 are for training
 
 # ---- SQL shared by the oracles ----
 ORDERS = """
@@ -70,20 +71,34 @@ def _orders(s: SparkSession, d: str) -> DataFrame:
     return readers.orders_profiles(s, d)
 
 
+def _base(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Pair and column counts of all orders from one scan."""
+    return pairs.base_counts(_orders(s, d), GAP_LIMIT)
+
+
 def _counts(s: SparkSession, d: str) -> DataFrame:
-    return columns.column_counts(_orders(s, d))
+    return checkpointed(columns.column_counts(_orders(s, d)))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    return pairs.pair_counts(_orders(s, d), GAP_LIMIT)
+    return _base(s, d)[0]
 
 
 def _letters(s: SparkSession, d: str) -> DataFrame:
     return readers.profiles(readers.document_sequences(s, d))
 
 
+def _runs(s: SparkSession, d: str, k: int) -> DataFrame:
+    """Counts of all runs of k letters of whole texts, at most 21^k rows."""
+    return checkpointed(kmer.text_counts(readers.document_sequences(s, d), k))
+
+
 def _adjacent(s: SparkSession, d: str) -> DataFrame:
-    return kmer.adjacent_counts(_letters(s, d))
+    return _runs(s, d, 2)
+
+
+def _is_train():
+    return F.pmod("seq_id", F.lit(TRAIN_SHARE[1])) < TRAIN_SHARE[0]
 
 
 # ---- columns ----
@@ -96,7 +111,7 @@ def sequence_stats(s, d):
 
 @_query("residue_counts", f"WITH {LETTERS} SELECT code::INT AS code, count(*) AS n FROM (SELECT unnest(c) AS code FROM t) GROUP BY code")
 def residue_counts(s, d):
-    return _letters(s, d).select(F.explode_outer("codes").alias("code")).where("code is not null").groupBy("code").agg(F.count("*").alias("n"))
+    return _runs(s, d, 1).withColumnRenamed("c0", "code")
 
 
 @_query("column_entropy", f"{ORDER_CC}, {ENTROPY} SELECT pos, n_valid, round(e, 6) + 0.0 AS entropy, round(pow(2, e), 6) + 0.0 AS perplexity, CASE WHEN pow(2, e) < 1.5 THEN 'conserved' WHEN pow(2, e) > 5 THEN 'variable' ELSE 'moderate' END AS label FROM h")
@@ -145,6 +160,27 @@ def mutations_vs_first(s, d):
     return columns.mutations_vs_first(_orders(s, d))
 
 
+@_query("mutations_vs_first_by_sequence", f"WITH {ORDERS}, {CELLS}, f AS (SELECT pos, code AS r FROM cells WHERE seq_id = (SELECT min(seq_id) FROM p)) SELECT seq_id, count(*) FILTER (code < 20 AND r < 20 AND code <> r) AS n_mutations FROM cells LEFT JOIN f USING (pos) GROUP BY seq_id")
+def mutations_vs_first_by_sequence(s, d):
+    return columns.mutations_vs_first_by_sequence(_orders(s, d))
+
+
+@_query("top_mutated_vs_first", f"""WITH {ORDERS}, {CELLS}, f AS (SELECT pos, code AS r FROM cells WHERE seq_id = (SELECT min(seq_id) FROM p))
+SELECT pos, count(*) AS n FROM cells JOIN f USING (pos) WHERE code < 20 AND r < 20 AND code <> r GROUP BY pos ORDER BY n DESC, pos LIMIT 10""")
+def top_mutated_vs_first(s, d):
+    return columns.top_mutated(columns.mutations_vs_first(_orders(s, d)))
+
+
+@_query("variable_by_perplexity", f"{ORDER_CC}, {ENTROPY} SELECT pos, round(pow(2, e), 6) + 0.0 AS perplexity FROM h WHERE round(pow(2, e), 6) > 3.0")
+def variable_by_perplexity(s, d):
+    return columns.variable_positions(_counts(s, d), 3.0, "perplexity")
+
+
+@_query("long_sequences", "WITH l AS (SELECT doc_id AS seq_id, length(coalesce(text, '')) AS length FROM documents WHERE length(coalesce(text, '')) > 100) SELECT * FROM l WHERE (SELECT count(*) FROM l) >= 5")
+def long_sequences(s, d):
+    return columns.long_enough(readers.document_sequences(s, d)).select("seq_id", F.length("sequence").cast("long").alias("length"))
+
+
 # ---- pairs ----
 @_query("mi_full", f"{ORDER_PC} SELECT * FROM mi")
 def mi_full(s, d):
@@ -158,13 +194,13 @@ def mi_window(s, d):
 
 @_query("mi_mutation_only", f"{ORDER_PC}, {MUT} SELECT * FROM mut")
 def mi_mutation_only(s, d):
-    return pairs.mutation_information(_pairs(s, d), _counts(s, d))
+    return pairs.mutation_information(*_base(s, d))
 
 
 @_query("coevolving_pairs", f"""{ORDER_PC}, {ENTROPY}, {MUT} SELECT pos_i, pos_j, mi, n_obs, ref_i, ref_j FROM mut
 WHERE mi > 0.1 AND pos_i IN (SELECT pos FROM h WHERE round(e, 6) > 0.3) AND pos_j IN (SELECT pos FROM h WHERE round(e, 6) > 0.3)""")
 def coevolving_pairs(s, d):
-    return pairs.coevolving_pairs(_orders(s, d))
+    return pairs.coevolving_pairs(_orders(s, d), GAP_LIMIT)
 
 
 @_query("pair_maps", f"{ORDER_PC} SELECT pos_i, pos_j, code_i, code_j, n, round(n::DOUBLE / t, 9) + 0.0 AS p FROM pm")
@@ -262,11 +298,21 @@ def run_summary(s, d):
     return reports.summary(_orders(s, d), GAP_LIMIT)
 
 
-@_query("median_split", f"""{ORDER_PC}, x AS (SELECT mi, pos_j = pos_i + 1 AS on_set, median(mi) OVER () AS cut FROM mi)
-SELECT round(avg(CASE WHEN on_set = (mi > cut) THEN 1.0::DOUBLE ELSE 0 END), 6) + 0.0 AS accuracy, round(avg(mi) FILTER (on_set), 6) + 0.0 AS mean_on, round(avg(mi) FILTER (NOT on_set), 6) + 0.0 AS mean_off FROM x""")
+_SELF = f"sw AS (SELECT a.code AS c0, b.code AS c1 FROM cells a JOIN cells b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1), av AS (SELECT c0, c1, count(*) AS n FROM sw WHERE c0 < 20 AND c1 < 20 GROUP BY ALL)"
+_CELL = f"({G0} * 32 + {G1})::BIGINT"
+
+
+@_query("median_split", f"""{ORDER_PC}, {_SELF}, gm AS (SELECT {_CELL} AS cell, round(n::DOUBLE / sum(n) OVER (), 9) + 0.0 AS freq FROM av),
+on_cells AS (SELECT cell FROM gm WHERE freq >= (SELECT quantile_cont(freq, 0.75) FROM gm WHERE freq > 0)), f AS (SELECT pos, code FROM cells WHERE seq_id = (SELECT min(seq_id) FROM p)),
+x AS (SELECT mi, a.code < 20 AND b.code < 20 AND EXISTS (SELECT 1 FROM on_cells o WHERE o.cell = {GRAY.format('a.code')} * 32 + {GRAY.format('b.code')} OR o.cell = {GRAY.format('b.code')} * 32 + {GRAY.format('a.code')}) AS on_set FROM mi JOIN f a ON a.pos = pos_i JOIN f b ON b.pos = pos_j WHERE mi > 0),
+y AS (SELECT *, median(mi) OVER () AS cut FROM x)
+SELECT count(*) FILTER (on_set) AS n_on, count(*) FILTER (NOT on_set) AS n_off, round(coalesce(avg(mi) FILTER (on_set), 0), 6) + 0.0 AS mean_on, round(coalesce(avg(mi) FILTER (NOT on_set), 0), 6) + 0.0 AS mean_off,
+  round(coalesce(avg(CASE WHEN on_set = (mi > cut) THEN 1.0::DOUBLE ELSE 0 END), 0), 6) + 0.0 AS accuracy FROM y""")
 def median_split(s, d):
-    mi = pairs.mutual_information(_pairs(s, d))
-    return kmer.median_split(mi, mi.where("pos_j = pos_i + 1"))
+    p = _orders(s, d)
+    on = kmer.threshold_map(kmer.gray_map(checkpointed(kmer.adjacent_counts(p))))
+    first = p.agg(F.min_by("codes", "seq_id").alias("c")).select(F.posexplode("c").alias("pos", "code"))
+    return kmer.median_split(pairs.mutual_information(_pairs(s, d)), on, first)
 
 
 @_query("gray_correlations", f"""{ORDER_CC}, {PC.format(gap=GAP_LIMIT)}, g AS (SELECT pos_i, pos_j, n::DOUBLE AS n, (CASE WHEN code_i < 20 THEN {GRAY.format('code_i')} ELSE 0 END)::DOUBLE AS x, (CASE WHEN code_j < 20 THEN {GRAY.format('code_j')} ELSE 0 END)::DOUBLE AS y FROM pc),
@@ -276,6 +322,17 @@ def gray_correlations(s, d):
     return kmer.gray_correlations(_orders(s, d), least=0.1)
 
 
+@_query("perplexity_ratio_own_entropy", f"{ORDER_PC}, {ENTROPY}, {RATIO} SELECT pos_i, pos_j, round(pow(2, any_value(round(e, 6))) / avg(pp), 6) + 0.0 AS ratio, count(*) AS n_codes FROM cond JOIN h ON h.pos = pos_j WHERE m >= 5 GROUP BY pos_i, pos_j")
+def perplexity_ratio_own_entropy(s, d):
+    pc, counts = _base(s, d)
+    return pairs.perplexity_ratio(pc, entropy=columns.column_entropy(counts))
+
+
+@_query("coupling_zero_below", f"{ORDER_PC}, {_JO} SELECT pos_i, pos_j, code_i, code_j, n, CASE WHEN sum(n) OVER (PARTITION BY pos_i, pos_j) >= 10000 THEN j ELSE 0 END AS j FROM j")
+def coupling_zero_below(s, d):
+    return pairs.couplings(_pairs(s, d), min_total=10_000)
+
+
 @_query("region_ratios", f"{ORDER_PC}, {RATIO} SELECT 'SP' AS region, round(avg(ratio), 6) + 0.0 AS mean_ratio, count(*) AS n FROM ratio")
 def region_ratios(s, d):
     r = pairs.perplexity_ratio(_pairs(s, d))
@@ -285,7 +342,7 @@ def region_ratios(s, d):
 # ---- k-mers and neighbours of whole texts ----
 @_query("kmer_map", f"WITH {LETTERS}, w AS (SELECT unnest(c[:-3]) AS c0, unnest(c[2:-2]) AS c1, unnest(c[3:]) AS c2 FROM t WHERE len(c) > 2), g AS (SELECT (c0 * 400 + c1 * 20 + c2)::BIGINT AS cell, count(*) AS n FROM w WHERE c0 < 20 AND c1 < 20 AND c2 < 20 GROUP BY 1) SELECT cell, n, round(n::DOUBLE / sum(n) OVER (), 9) + 0.0 AS freq FROM g")
 def kmer_map(s, d):
-    return kmer.kmer_map(_letters(s, d), 3)
+    return kmer.kmer_map(_runs(s, d, 3), 3)
 
 
 _GM = f"gm AS (SELECT ({G0} * 32 + {G1})::BIGINT AS cell, n, round(n::DOUBLE / sum(n) OVER (), 9) + 0.0 AS freq FROM av)"
@@ -357,8 +414,7 @@ def map_autocorrelation(s, d):
 @_query("walsh_spectrum", f"WITH {ADJ}, {_FREQ}, v AS (SELECT 32 * c0 + c1 AS i, f FROM f), k AS (SELECT k::INT AS k, abs(sum(f * (1 - 2 * (bit_count(k & i) % 2)))) AS m FROM v, range(1024) r(k) GROUP BY 1) SELECT k, round(m / (SELECT sum(m) FROM k), 9) + 0.0 AS share FROM k ORDER BY share DESC, k LIMIT 5")
 def walsh_spectrum(s, d):
     a = _adjacent(s, d).where(valid(F.col("c0")) & valid(F.col("c1")))
-    total = a.agg(F.sum("n").alias("t"))
-    v = a.crossJoin(F.broadcast(total)).select((F.col("c0") * 32 + F.col("c1")).alias("i"), (F.col("n").cast("double") / F.col("t")).alias("v"))
+    v = with_total(a, "n", "t").select((F.col("c0") * 32 + F.col("c1")).alias("i"), (F.col("n").cast("double") / F.col("t")).alias("v"))
     return spectral.spectrum(v, 10)
 
 
@@ -396,46 +452,100 @@ _MAP = "seen AS (SELECT pv.*, a.ref_code AS ref_i, b.ref_code AS ref_j FROM pv J
 
 @_query("mutation_map", f"{ORDER_PC}, {_MAP} SELECT pos_i, pos_j, code_i, code_j, ref_i, ref_j, n, CASE WHEN code_i = ref_i AND code_j = ref_j THEN -1 ELSE 1 END AS state FROM seen")
 def mutation_map(s, d):
-    return boolean.mutation_map(_pairs(s, d), _counts(s, d))
+    return boolean.mutation_map(*_base(s, d))
 
 
 @_query("forbidden_map", f"{ORDER_PC}, {_MAP} SELECT g.pos_i, g.pos_j, g.ref_i, g.ref_j, a::INT AS code_i, b::INT AS code_j FROM (SELECT DISTINCT pos_i, pos_j, ref_i, ref_j FROM seen) g, range(20) x(a), range(20) y(b) WHERE NOT (a = ref_i AND b = ref_j) AND NOT EXISTS (SELECT 1 FROM pv WHERE pv.pos_i = g.pos_i AND pv.pos_j = g.pos_j AND pv.code_i = a AND pv.code_j = b)")
 def forbidden_map(s, d):
-    return boolean.forbidden_map(_pairs(s, d), _counts(s, d))
+    return boolean.forbidden_map(*_base(s, d))
+
+
+_ON = "SELECT pos_i, pos_j, code_i, code_j, value, round(cut, 9) + 0.0 AS threshold, 1::INT AS state FROM x JOIN (SELECT pos_i, pos_j, quantile_cont(value, {share}) AS cut FROM x WHERE value <> 0 GROUP BY ALL) USING (pos_i, pos_j) WHERE value >= cut AND value <> 0"
+
+
+@_query("pair_on_set", f"{ORDER_PC}, x AS (SELECT pos_i, pos_j, code_i, code_j, round(n::DOUBLE / t, 9) + 0.0 AS value FROM pm) {_ON.format(share=0.7)}")
+def pair_on_set(s, d):
+    return boolean.on_set(pairs.pair_maps(_pairs(s, d)), "p", 0.7)
+
+
+@_query("coupling_on_set", f"{ORDER_PC}, {_JI}, x AS (SELECT pos_i, pos_j, code_i, code_j, abs(j) AS value FROM j) {_ON.format(share=0.75)}")
+def coupling_on_set(s, d):
+    j = pairs.couplings(_pairs(s, d), "inside", observed_only=False)
+    return boolean.on_set(j.withColumn("size", F.abs("j")), "size", 0.75)
+
 
+# All implicants of 10-bit maps: a cube is one of 243 cubes of rows times one of 243 of columns, each a set of 32 codes.
+_PRIMES = """halves AS (SELECT m::INT AS m, v::INT AS v, bit_or(1::BIGINT << x)::BIGINT AS held FROM range(32) a(m), range(32) b(v), range(32) c(x) WHERE (v & m) = 0 AND (xor(x, v) & (31 - m)) = 0 GROUP BY ALL),
+on_cells AS (SELECT pos_i, pos_j, code_i, code_j FROM maps WHERE state = 1),
+off_cells AS (SELECT g.pos_i, g.pos_j, a::INT AS code_i, b::INT AS code_j FROM (SELECT DISTINCT pos_i, pos_j FROM maps) g, range(20) x(a), range(20) y(b) WHERE NOT EXISTS (SELECT 1 FROM maps s WHERE s.pos_i = g.pos_i AND s.pos_j = g.pos_j AND s.code_i = a AND s.code_j = b)),
+row_off AS (SELECT pos_i, pos_j, m, v, bit_or(1::BIGINT << code_j)::BIGINT AS hit FROM off_cells JOIN halves ON (held >> code_i) & 1 = 1 GROUP BY ALL),
+row_on AS (SELECT pos_i, pos_j, m, v, bit_or(1::BIGINT << code_j)::BIGINT AS hit FROM on_cells JOIN halves ON (held >> code_i) & 1 = 1 GROUP BY ALL),
+allowed AS (SELECT o.pos_i, o.pos_j, o.m AS mr, o.v AS vr, c.m AS mc, c.v AS vc FROM row_on o LEFT JOIN row_off f USING (pos_i, pos_j, m, v), halves c WHERE (o.hit & c.held) <> 0 AND (coalesce(f.hit, 0) & c.held) = 0),
+smaller AS (SELECT pos_i, pos_j, mr - (1 << b)::INT AS mr, vr | (s << b)::INT AS vr, mc, vc FROM allowed, range(5) x(b), range(2) y(s) WHERE (mr >> b) & 1 = 1
+  UNION ALL SELECT pos_i, pos_j, mr, vr, mc - (1 << b)::INT, vc | (s << b)::INT FROM allowed, range(5) x(b), range(2) y(s) WHERE (mc >> b) & 1 = 1),
+primes AS (SELECT * FROM allowed ANTI JOIN smaller USING (pos_i, pos_j, mr, vr, mc, vc)),
+covers AS (SELECT p.*, code_i, code_j, count(*) OVER (PARTITION BY p.pos_i, p.pos_j, code_i, code_j) AS by_how_many FROM primes p JOIN halves r ON r.m = mr AND r.v = vr JOIN halves c ON c.m = mc AND c.v = vc
+  JOIN on_cells o ON o.pos_i = p.pos_i AND o.pos_j = p.pos_j AND (r.held >> o.code_i) & 1 = 1 AND (c.held >> o.code_j) & 1 = 1),
+imp AS (SELECT pos_i, pos_j, (vr * 32 + vc)::INT AS "values", (mr * 32 + mc)::INT AS mask, bit_count((mr * 32 + mc)::INT)::INT AS n_dontcares, count(*) AS n_covered, bool_or(by_how_many = 1) AS is_core_essential FROM covers GROUP BY pos_i, pos_j, vr, vc, mr, mc)"""
+_EXPR = "concat_ws(' ', " + ", ".join(f"CASE WHEN (mask >> {9 - k}) & 1 = 0 THEN CASE WHEN (\"values\" >> {9 - k}) & 1 = 1 THEN '{'s' if k < 5 else 't'}{4 - k % 5}' ELSE '~{'s' if k < 5 else 't'}{4 - k % 5}' END END" for k in range(10)) + ")"
+_COEV = "SELECT pos_i, pos_j, mi, n_obs, ref_i, ref_j FROM mut WHERE mi > 0.1 AND pos_i IN (SELECT pos FROM h WHERE round(e, 6) > 0.3) AND pos_j IN (SELECT pos FROM h WHERE round(e, 6) > 0.3)"
+_STATE = "CASE WHEN code_i = seen.ref_i AND code_j = seen.ref_j THEN -1 ELSE 1 END AS state"
+_FOUND = f"""{ORDER_PC}, {ENTROPY}, {MUT}, {_MAP}, best AS ({_COEV} ORDER BY mi DESC, pos_i, pos_j LIMIT 15),
+maps AS (SELECT pos_i, pos_j, code_i, code_j, {_STATE} FROM seen JOIN (SELECT pos_i, pos_j FROM best) USING (pos_i, pos_j)), {_PRIMES},
+found AS (SELECT imp.*, "values" // 32 AS code_i, "values" % 32 AS code_j, substr('{BASE20}', "values" // 32 + 1, 1) AS aa_i, substr('{BASE20}', "values" % 32 + 1, 1) AS aa_j, best.ref_i, best.ref_j, best.mi, {_EXPR} AS expr
+  FROM imp JOIN best USING (pos_i, pos_j) WHERE "values" // 32 < 20 AND "values" % 32 < 20),
+rule AS (SELECT pos_i, pos_j, code_i::INT AS code_i, code_j::INT AS code_j, aa_i, aa_j, ref_i, ref_j, mi, bool_or(is_core_essential) AS is_essential, (array_agg(expr ORDER BY n_dontcares, expr))[1] AS expr, max(n_covered)::BIGINT AS n_covered
+  FROM found GROUP BY pos_i, pos_j, code_i, code_j, aa_i, aa_j, ref_i, ref_j, mi)"""
 
-def _rule_set(s, d):
-    pc, counts = _pairs(s, d), _counts(s, d)
-    return boolean.rules(pairs.mutation_information(pc, counts), boolean.mutation_map(pc, counts))
 
+def _found(s, d):
+    pc, counts = _base(s, d)
+    return boolean.found_implicants(pairs.informative_pairs(pc, counts), boolean.mutation_map(pc, counts))
 
-@_query("boolean_rules")
+
+@_query("boolean_rules", f"{_FOUND} SELECT * FROM rule")
 def boolean_rules(s, d):
-    return _rule_set(s, d)
+    return boolean.distinct_rules(_found(s, d))
+
+
+@_query("inference_rules", f"{_FOUND} SELECT pos_i, pos_j, aa_i, aa_j, ref_i, ref_j, mi, expr FROM found WHERE is_core_essential")
+def inference_rules(s, d):
+    return boolean.inferences(_found(s, d))
 
 
-@_query("boolean_rules_by_k")
+@_query("boolean_rules_by_k", f"{_FOUND}, c AS (SELECT pos_i, pos_j, mi, count(*) AS n FROM rule GROUP BY ALL) SELECT row_number() OVER w::INT AS k, (sum(n) OVER w)::BIGINT AS n_rules FROM c WINDOW w AS (ORDER BY mi DESC, pos_i, pos_j)")
 def boolean_rules_by_k(s, d):
-    return boolean.rules_by_k(_rule_set(s, d))
+    return boolean.rules_by_k(boolean.distinct_rules(_found(s, d)))
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select("pos_i", "pos_j", "values", "mask", "n_dontcares", F.size("coverage").cast("long").alias("n_covered"), "is_core_essential").withColumn("expr", boolean.expression())
 
 
-@_query("implicants")
+@_query("implicants", f"{ORDER_PC}, {_MAP}, maps AS (SELECT pos_i, pos_j, code_i, code_j, {_STATE} FROM seen), {_PRIMES} SELECT *, {_EXPR} AS expr FROM imp")
 def implicants(s, d):
-    return boolean.implicants(boolean.mutation_map(_pairs(s, d), _counts(s, d))).withColumn("expr", boolean.expression())
+    return _listed(boolean.implicants(boolean.mutation_map(*_base(s, d))))
 
 
-@_query("rule_filter", f"""{ORDER_PC}, {MUT}, {_MAP}, best AS (SELECT pos_i, pos_j FROM mut ORDER BY mi DESC, pos_i, pos_j LIMIT 3),
-pos AS (SELECT pos_i, pos_j, code_i, code_j FROM seen JOIN best USING (pos_i, pos_j) WHERE NOT (code_i = ref_i AND code_j = ref_j) AND n > 5),
-neg AS (SELECT pos_i, pos_j, code_i, code_j FROM seen JOIN best USING (pos_i, pos_j) WHERE NOT (code_i = ref_i AND code_j = ref_j) AND n <= 5),
-k AS (SELECT *, 1 AS kind FROM pos UNION ALL SELECT *, 2 FROM neg), places AS (SELECT DISTINCT pos_i, pos_j FROM k),
-mine AS (SELECT seq_id, pos_i, pos_j, codes[pos_i + 1] AS code_i, codes[pos_j + 1] AS code_j FROM p, places),
-hit AS (SELECT seq_id, max(kind) AS kind FROM mine LEFT JOIN k USING (pos_i, pos_j, code_i, code_j) GROUP BY seq_id)
-SELECT seq_id, CASE kind WHEN 2 THEN 'forbidden' WHEN 1 THEN 'positive' ELSE 'unclassified' END AS verdict FROM hit""")
+@_query("threshold_implicants", f"{ORDER_PC}, x AS (SELECT pos_i, pos_j, code_i, code_j, round(n::DOUBLE / t, 9) + 0.0 AS value FROM pm), maps AS ({_ON.format(share=0.7)}), {_PRIMES} SELECT *, {_EXPR} AS expr FROM imp")
+def threshold_implicants(s, d):
+    return _listed(boolean.implicants(pair_on_set(s, d)))
+
+
+@_query("rule_filter", f"""{_FOUND}, old AS (SELECT code_i, code_j, pos_i, pos_j FROM rule),
+train AS (SELECT * FROM p WHERE seq_id % 13 < 8), tc AS (SELECT seq_id, unnest(range(0, len(codes)))::INT AS pos, unnest(codes)::INT AS code FROM train),
+met AS (SELECT DISTINCT b.pos_i, b.pos_j, x.code AS code_i, y.code AS code_j FROM best b JOIN tc x ON x.pos = b.pos_i JOIN tc y ON y.pos = b.pos_j AND x.seq_id = y.seq_id),
+mine AS (SELECT p.seq_id, best.pos_i, best.pos_j, codes[best.pos_i + 1] AS code_i, codes[best.pos_j + 1] AS code_j, best.ref_i, best.ref_j FROM p, best),
+kind AS (SELECT seq_id, max(CASE WHEN code_i < 20 AND code_j < 20 AND NOT (code_i = ref_i AND code_j = ref_j) AND NOT EXISTS (SELECT 1 FROM met WHERE met.pos_i = mine.pos_i AND met.pos_j = mine.pos_j AND met.code_i = mine.code_i AND met.code_j = mine.code_j) THEN 2
+  WHEN EXISTS (SELECT 1 FROM old WHERE old.pos_i = mine.pos_i AND old.pos_j = mine.pos_j AND old.code_i = mine.code_i AND old.code_j = mine.code_j) THEN 1 ELSE 0 END) AS kind FROM mine GROUP BY seq_id)
+SELECT p.seq_id, CASE kind WHEN 2 THEN 'forbidden' WHEN 1 THEN 'positive' ELSE 'unclassified' END AS verdict FROM p LEFT JOIN kind USING (seq_id)""")
 def rule_filter(s, d):
-    pc, counts = _pairs(s, d), _counts(s, d)
-    best = ranking.top(pairs.mutation_information(pc, counts), "mi", 3).select(*pairs.PAIR)
-    seen = boolean.mutation_map(pc, counts).where("state = 1").join(F.broadcast(best), pairs.PAIR, "left_semi")
-    return boolean.classify(_orders(s, d), seen.where("n > 5"), seen.where("n <= 5"))
+    """All orders against the rule set, and against the pairs of codes that the training orders never show."""
+    pc, counts = _base(s, d)
+    best = checkpointed(pairs.informative_pairs(pc, counts).limit(15))
+    rules = boolean.distinct_rules(boolean.found_implicants(best, boolean.mutation_map(pc, counts)))
+    seen = pairs.pair_counts(_orders(s, d).where(_is_train()), GAP_LIMIT).join(F.broadcast(best.select(*pairs.PAIR)), pairs.PAIR, "left_semi")
+    return boolean.classify(_orders(s, d), rules, boolean.forbidden_map(seen, counts))
 
 
 @_query("pair_membership", f"{ORDER_PC} SELECT pos_i, pos_j, code_i, code_j, n FROM pv WHERE EXISTS (SELECT 1 FROM pv x WHERE x.pos_i = 0 AND x.pos_j = 1 AND ((x.code_i = pv.code_i AND x.code_j = pv.code_j) OR (x.code_i = pv.code_j AND x.code_j = pv.code_i)))")
@@ -451,21 +561,37 @@ tried AS (SELECT h.*, m.code_j, m.n - (m.code_j = truth)::INT AS k, m.nj - (m.co
 best AS (SELECT *, row_number() OVER (PARTITION BY pos_i, pos_j, code_i, truth ORDER BY k::DOUBLE / kj DESC, code_j) AS r FROM tried WHERE k > 0 AND kj > 0)
 SELECT h.pos_i, h.pos_j, sum(h.weight)::BIGINT AS n_test, sum(CASE WHEN b.code_j = h.truth THEN h.weight ELSE 0 END)::BIGINT AS n_correct FROM held h LEFT JOIN (SELECT * FROM best WHERE r = 1) b USING (pos_i, pos_j, code_i, truth) GROUP BY ALL""")
 def leave_one_out(s, d):
-    return predict.leave_one_out(_pairs(s, d), _counts(s, d))
+    return predict.leave_one_out(*_base(s, d))
 
 
-_SPLIT = "x AS (SELECT a.pos AS pos_i, b.pos AS pos_j, a.code AS code_i, b.code AS code_j, a.seq_id < {k} AS train, count(*) AS n FROM cells a JOIN cells b ON a.seq_id = b.seq_id AND b.pos > a.pos WHERE a.code < 20 AND b.code < 20 GROUP BY ALL)"
+_TOP10 = f"top10 AS ({_COEV} ORDER BY mi DESC, pos_i, pos_j LIMIT 10)"
+_C = "round(ln(({f} + 1e-10) / (({fi} + 1e-10) * ({fj} + 1e-10))), 9)"
 
 
-@_query("train_test", f"""WITH {ORDERS}, {CELLS}, {_SPLIT.format(k=TRAIN_IDS)}, best AS (SELECT pos_i, pos_j, code_i, code_j AS guess FROM (SELECT *, row_number() OVER (PARTITION BY pos_i, pos_j, code_i ORDER BY n DESC, code_j) AS r FROM x WHERE train) WHERE r = 1)
-SELECT x.pos_i, x.pos_j, sum(n)::BIGINT AS n_test, sum(CASE WHEN guess = code_j THEN n ELSE 0 END)::BIGINT AS n_correct FROM x LEFT JOIN best USING (pos_i, pos_j, code_i) WHERE NOT train GROUP BY ALL""")
+@_query("train_test", f"""{ORDER_PC}, {ENTROPY}, {MUT}, {_TOP10}, x AS (SELECT t.pos_i, t.pos_j, t.ref_i, t.ref_j, codes[t.pos_i + 1] AS code_i, codes[t.pos_j + 1] AS code_j, seq_id % 13 < 8 AS train, count(*) AS n FROM p, top10 t GROUP BY ALL),
+tr AS (SELECT * FROM x WHERE train AND code_i < 20 AND code_j < 20), g AS (SELECT q.pos_i, q.pos_j, a::INT AS code_i, b::INT AS code_j FROM (SELECT DISTINCT pos_i, pos_j FROM tr) q, range(20) y(a), range(20) z(b)),
+full_tr AS (SELECT g.*, coalesce(n, 0) AS n FROM g LEFT JOIN tr USING (pos_i, pos_j, code_i, code_j)), {PM.format(name='tm', of='full_tr')},
+best AS (SELECT pos_i, pos_j, code_i, code_j AS guess FROM (SELECT *, row_number() OVER (PARTITION BY pos_i, pos_j, code_i ORDER BY {_C.format(f=_P, fi=_PI, fj=_PJ)} DESC, code_j) AS r FROM tm) WHERE r = 1),
+te AS (SELECT * FROM x WHERE NOT train AND code_i < 20 AND code_j < 20 AND NOT (code_i = ref_i AND code_j = ref_j))
+SELECT t.pos_i, t.pos_j, coalesce(sum(te.n), 0)::BIGINT AS n_test, coalesce(sum(te.n) FILTER (coalesce(guess, 0) = te.code_j), 0)::BIGINT AS n_correct FROM top10 t LEFT JOIN te USING (pos_i, pos_j) LEFT JOIN best ON best.pos_i = te.pos_i AND best.pos_j = te.pos_j AND best.code_i = te.code_i GROUP BY t.pos_i, t.pos_j""")
 def train_test(s, d):
-    return predict.train_test(_orders(s, d), TRAIN_IDS, GAP_LIMIT)
+    chosen = checkpointed(pairs.informative_pairs(*_base(s, d)).limit(10))
+    return predict.train_test(_orders(s, d), chosen, _is_train(), GAP_LIMIT)
+
+
+@_query("leave_one_out_all_codes", f"""{ORDER_PC}, {ENTROPY}, {MUT}, {_TOP10}, held AS (SELECT m.pos_i, m.pos_j, m.code_i, m.code_j AS truth, m.n AS weight, m.ni, m.t FROM pm m JOIN top10 USING (pos_i, pos_j) WHERE NOT (m.code_i = top10.ref_i AND m.code_j = top10.ref_j) AND m.t > 1),
+tried AS (SELECT h.*, b::INT AS code_j, (coalesce(m.n, 0) - (b = truth)::INT)::DOUBLE / (h.t - 1) AS f, (h.ni - 1)::DOUBLE / (h.t - 1) AS fi, (coalesce(c.nj, 0) - (b = truth)::INT)::DOUBLE / (h.t - 1) AS fj FROM held h CROSS JOIN range(20) r(b)
+  LEFT JOIN pm m ON m.pos_i = h.pos_i AND m.pos_j = h.pos_j AND m.code_i = h.code_i AND m.code_j = b LEFT JOIN (SELECT DISTINCT pos_i, pos_j, code_j, nj FROM pm) c ON c.pos_i = h.pos_i AND c.pos_j = h.pos_j AND c.code_j = b),
+best AS (SELECT *, row_number() OVER (PARTITION BY pos_i, pos_j, code_i, truth ORDER BY {_C.format(f='f', fi='fi', fj='fj')} DESC, code_j) AS r FROM tried)
+SELECT pos_i, pos_j, sum(weight)::BIGINT AS n_test, coalesce(sum(weight) FILTER (code_j = truth), 0)::BIGINT AS n_correct FROM best WHERE r = 1 GROUP BY ALL""")
+def leave_one_out_all_codes(s, d):
+    pc, counts = _base(s, d)
+    return predict.leave_one_out_all_codes(pc, checkpointed(pairs.informative_pairs(pc, counts).limit(10)))
 
 
 @_query("precision_predictor")
 def precision_predictor(s, d):
-    return predict.precision_predictor(_orders(s, d), TRAIN_IDS, GAP_LIMIT)
+    return predict.precision_predictor(_orders(s, d), _is_train(), GAP_LIMIT)
 
 
 @_query("top_associations", f"""{ORDER_PC}, c AS (SELECT pos_i, pos_j, code_i, code_j, ln(({_P} + 1e-10) / ({_PI} * ({_PJ}) + 1e-10)) AS x, {_P} AS q FROM pm WHERE {_P} > 0.001),
@@ -489,10 +615,11 @@ def mi_components(s, d):
     return graph.components(pairs.mutual_information(_pairs(s, d)), 0.5)
 
 
-@_query("variant_signatures", f"""WITH {ORDERS}, s AS (SELECT seq_id, (codes[1] * 21 + codes[2]) || '-' || (codes[1] * 21 + codes[4]) AS signature FROM p),
+@_query("variant_signatures", f"""{ORDER_PC}, b5 AS (SELECT pos_i, pos_j, row_number() OVER (ORDER BY mi DESC, pos_i, pos_j) AS k FROM (SELECT * FROM mi ORDER BY mi DESC, pos_i, pos_j LIMIT 5)),
+s AS (SELECT seq_id, string_agg((codes[pos_i + 1] * 21 + codes[pos_j + 1])::VARCHAR, '-' ORDER BY k) AS signature FROM p, b5 GROUP BY seq_id),
 g AS (SELECT signature, count(*) AS size, list(seq_id ORDER BY seq_id)[1:10] AS ids FROM s GROUP BY signature ORDER BY size DESC, signature LIMIT 10) SELECT signature, size, array_to_string(ids, ',') AS first_ids FROM g""")
 def variant_signatures(s, d):
-    return graph.variant_signatures(_orders(s, d), [(0, 1), (0, 3)])
+    return graph.variant_signatures(_orders(s, d), graph.best_pairs(pairs.mutual_information(_pairs(s, d)), 5))
 
 
 _DIST = f"WITH {SUPPLIER}, {CELLS}, z AS (SELECT a.seq_id AS seq_a, b.seq_id AS seq_b, a.code AS x, b.code AS y FROM cells a JOIN cells b ON a.pos = b.pos AND a.seq_id < b.seq_id)"

@@ -23,12 +23,13 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     # only a file's first chunk still has its own ">" (or text before any record)
     head = F.col("value").startswith(">")
     lines = F.split(F.when(head, F.substring("value", 2, 2_000_000_000)).otherwise(F.col("value")), "\n")
-    first = F.row_number().over(Window.partitionBy("file").orderBy("block", "at")) == 1
-    rec = raw.withColumn("first", first).where(head | ~F.col("first")).select("file", "block", "at", F.trim(lines[0]).alias("header"), F.upper(F.array_join(F.transform(F.slice(lines, 2, 2_000_000_000), F.trim), "")).alias("sequence"))
-    # ordinals from the counts of the read blocks: one small row a block, no global sort of sequences
-    before = rec.groupBy("file", "block").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).drop("n")
+    # a file's first chunk lies in its first block
     within = F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))
-    rec = rec.withColumn("k", within).join(before, ["file", "block"]).withColumn("seq_id", F.col("before") + F.col("k") - 1)
+    raw = raw.withColumn("k", within).withColumn("first", (F.col("block") == 0) & (F.col("k") == 1))
+    rec = raw.where(head | ~F.col("first")).select("file", "block", "k", F.trim(lines[0]).alias("header"), F.upper(F.array_join(F.transform(F.slice(lines, 2, 2_000_000_000), F.trim), "")).alias("sequence"))
+    # ordinals from the counts of the read blocks: one small row a block, no global sort of sequences
+    before = rec.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("k").alias("k0")).withColumn("before", F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).drop("n")
+    rec = rec.join(before, ["file", "block"]).withColumn("seq_id", F.col("before") + F.col("k") - F.col("k0"))
     return rec.select("seq_id", "header", accession(F.col("header")).alias("accession"), description(F.col("header")).alias("description"), "sequence")
 
 
@@ -92,8 +93,8 @@ def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq_id, ts, event_id, code)``: every user's events, types coded by their alphabetical order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
-    kinds = e.select("event_type").distinct().withColumn("code", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))
-    both = e.join(F.broadcast(kinds), "event_type")  # at most 20 types have codes
+    kinds = e.select("event_type").distinct().withColumn("code", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("int"))  # a row a type
+    both = e.join(F.broadcast(kinds.where(F.col("code") < GAP)), "event_type", "left").withColumn("code", F.coalesce("code", F.lit(GAP)))  # 20 types have codes
     return both.select(F.col("user_id").alias("seq_id"), "ts", "event_id", "code")
 
 

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from covarix import shared
 from covarix.functions import encoding as enc
-from covarix.operators import boolean, columns, dca, graph, kmer, pairs, predict, spectral
+from covarix.operators import boolean, columns, dca, graph, kmer, pairs, predict, ranking, spectral
 from covarix.plans import reports
 from covarix.sources import readers, sinks
 from covarix.streaming import counts as streaming
@@ -112,7 +113,11 @@ def test_map_size_guard():
     for bad in (0, 2, 400, 512):
         with pytest.raises(ValueError):
             boolean.check_size(bad)
-    assert boolean.signature_distance({0: 1, 1: -1, 2: 0}, {0: 0, 1: 1, 2: 0}) == 1
+
+
+def test_map_differences(spark):
+    maps = spark.createDataFrame([(0, 0, 1), (0, 1, -1), (0, 2, 0), (1, 0, 0), (1, 1, 1), (1, 2, 0), (1, 3, 1)], "map_id int, cell int, state int")
+    assert [tuple(r) for r in boolean.map_differences(maps).collect()] == [(0, 1, 1)]
 
 
 def test_rules(spark):
@@ -199,6 +204,65 @@ def test_direct_couplings_find_the_coupled_pair(spark):
     assert sorted(round(r.weight, 6) for r in w.collect()) == [0.333333] * 3 + [1.0]
 
 
+def dense_couplings(codes, weight, pseudo=0.5, ridge=1e-4):
+    """Covariance by loops over column pairs, then one inverse."""
+    codes, share = np.array(codes), np.array(weight) / sum(weight)
+    n, length = codes.shape
+    p = np.array([[(1 - pseudo) * share[codes[:, i] == a].sum() + pseudo / 21 for a in range(21)] for i in range(length)])
+    c = np.zeros((20 * length, 20 * length))
+    for i in range(length):
+        for j in range(length):
+            for a in range(20):
+                for b in range(20):
+                    both = share[(codes[:, i] == a) & (codes[:, j] == b)].sum()
+                    pij = (1 - pseudo) * both + pseudo / 441 if i != j else p[i, a] * (a == b)
+                    c[20 * i + a, 20 * j + b] = pij - p[i, a] * p[j, b]
+    return -np.linalg.inv(c + ridge * np.eye(20 * length)), p
+
+
+def test_couplings_against_loops_by_both_inversions(spark):
+    rng = random.Random(5)
+    rows = [[rng.choice([0, 1, 4, 20]) for _ in range(4)] for _ in range(30)] + [[0, 1, 4, 20]] * 3
+    near = lambda x: sum(sum(a != b for a, b in zip(x, y)) <= int(0.3 * 4) for y in rows)
+    weight = [1 / near(x) for x in rows]
+    w = {tuple(r.codes): r.weight for r in dca.weighted_kinds(profile(spark, rows), 0.3).collect()}
+    assert w == pytest.approx({tuple(x): v for x, v in zip(rows, weight)})
+    want, f = dense_couplings(rows, weight)
+    for dense in (True, False):
+        got = dca.couplings(profile(spark, rows), 4, theta=0.3, dense=dense).collect()
+        assert len(got) == 6 * 400
+        assert all(r.j == pytest.approx(want[20 * r.pos_i + r.a, 20 * r.pos_j + r.b], abs=1e-6) for r in got)
+    s = {(r.pos_i, r.pos_j): r for r in dca.scores(profile(spark, rows), 4, theta=0.3).collect()}
+    blocks = {(i, j): want[20 * i : 20 * i + 20, 20 * j : 20 * j + 20] for i in range(4) for j in range(4)}
+    fro = {k: np.sqrt((v**2).sum()) * (k[0] != k[1]) for k, v in blocks.items()}
+    mean = [sum(fro[i, j] for j in range(4)) / 4 for i in range(4)]
+    for (i, j), r in s.items():
+        assert r.frobenius == pytest.approx(fro[i, j], abs=2e-5) and r.apc == pytest.approx(fro[i, j] - mean[i] * mean[j] / (sum(mean) / 4), abs=2e-5)
+        x = np.ones((21, 21))
+        x[:20, :20] = np.exp(blocks[i, j])
+        a = b = np.full(21, 1 / 21)
+        for _ in range(500):
+            a, b = f[i] / (x @ b), f[j] / (x.T @ a)
+            a, b = a / a.sum(), b / b.sum()
+        q = x * np.outer(a, b)
+        q /= q.sum()
+        assert r.di == pytest.approx((q * np.log(q / np.outer(f[i], f[j]))).sum(), abs=2e-3)
+    top = dca.top_scores(dca.scores(profile(spark, rows), 4, theta=0.3), "apc", 3).collect()
+    assert [(r.pos_i, r.pos_j) for r in top] == sorted(s, key=lambda k: (-s[k].apc, k))[:3] and [r.rank for r in top] == [1, 2, 3]
+
+
+def test_many_kinds_fold_to_sums(spark, monkeypatch):
+    p = profile(spark, noise(60, 3, seed=1))
+    want = sorted(map(tuple, dca.scores(p, 3).collect()))
+    monkeypatch.setattr(dca, "MAX_KINDS", 5)
+    monkeypatch.setattr(dca, "BLOCK_KINDS", 7)
+    got = sorted(map(tuple, dca.scores(p, 3).collect()))
+    assert len(got) == 3 and all(x == pytest.approx(y, abs=2e-5) for x, y in zip(got, want))
+    monkeypatch.setattr(dca, "MAX_STATES", 5)
+    with pytest.raises(ValueError):
+        dca.scores(p, 3)
+
+
 def test_distances_of_maps(spark):
     m = spark.createDataFrame([(0, 1, 3.0), (1, 2, 4.0), (2, 1, 3.0)], "map_id int, cell int, value double")
     d = {(r.map_a, r.map_b): r.distance for r in graph.map_distances(m).collect()}
@@ -207,10 +271,123 @@ def test_distances_of_maps(spark):
 
 def test_kmers_skip_gaps(spark):
     p = profile(spark, [[0, 1, 2, 20, 3], [], [4]])
-    assert {r.cell: r.n for r in kmer.kmer_map(p, 3).collect()} == {22: 1}
+    assert {r.cell: r.n for r in kmer.kmer_map(kmer.kmer_counts(p, 3), 3).collect()} == {22: 1}
     assert {(r.c0, r.c1) for r in kmer.adjacent_counts(p).collect()} == {(0, 1), (1, 2), (2, 20), (20, 3)}
 
 
+def test_counts_of_texts_equal_those_of_profiles(spark):
+    texts = ["", None, "A", "ac-DéX🙂a", "aAaA", "é", "VV", "", "ILV" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "seq_id long, sequence string")
+    p = readers.profiles(df)
+    for k in (1, 2, 3, 5):
+        for parts in (1, 3):
+            got = sorted(map(tuple, kmer.text_counts(df.repartition(parts, "seq_id"), k).collect()))
+            assert got == sorted(map(tuple, kmer.kmer_counts(p, k).collect()))
+    assert kmer.text_counts(df.limit(0), 2).count() == 0
+
+
+def test_counts_from_one_scan(spark):
+    p = profile(spark, noise(40, 5))
+    pc, counts = pairs.base_counts(p, 3)
+    same = lambda a, b: sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect()))
+    assert same(pc, pairs.pair_counts(p, 3)) and same(counts, columns.column_counts(p))
+
+
+def test_ranks(spark):
+    df = spark.createDataFrame([(i, i + 1, float(v)) for i, v in enumerate([3, 1, 2, 2, 9, 1])], "pos_i int, pos_j int, v double").repartition(3)
+    assert [r.pos_i for r in shared.ranked(df, "k", "v", "pos_i").orderBy("k").collect()] == [1, 5, 2, 3, 0, 4]
+    both = df.withColumn("w", -F.col("v"))
+    assert ranking.spearman(both, "v", "w").first().rho == -1.0
+    assert {r.pos_i: r.r for r in ranking.rank_scores(df, "v", "r").collect()}[4] == 1.0
+
+
+def argmax_guess(rows, a):
+    """The reference guess: largest ln((f + e) / ((fi + e)(fj + e))) over all 20 codes, the lowest first."""
+    e, m = 1e-10, np.zeros((20, 20))
+    for x, y in rows:
+        if x < 20 and y < 20:
+            m[x, y] += 1
+    f = m / m.sum() if m.sum() else m
+    return int(np.log((f + e) / ((f.sum(1)[:, None] + e) * (f.sum(0)[None] + e))).round(9)[a].argmax())
+
+
+def test_constraint_function_predicts_like_an_argmax(spark):
+    rows = noise(60, 2, seed=8)
+    p = profile(spark, rows)
+    chosen = spark.createDataFrame([(0, 1, 0, 1)], "pos_i int, pos_j int, ref_i int, ref_j int")
+    got = predict.train_test(p, chosen, F.col("seq_id") < 40, 1).first()
+    test = [r for r in rows[40:] if 20 not in r and r != [0, 1]]
+    assert (got.n_test, got.n_correct) == (len(test), sum(argmax_guess(rows[:40], a) == b for a, b in test))
+    none = predict.train_test(p, chosen, F.lit(False), 1).first()
+    assert none.n_test == sum(20 not in r and r != [0, 1] for r in rows) and none.n_correct == sum(b == 0 and 20 not in (a, b) for a, b in rows)
+    got = predict.leave_one_out_all_codes(pairs.pair_counts(p, 1), chosen).first()
+    held = [(k, r) for k, r in enumerate(rows) if 20 not in r and r != [0, 1]]
+    assert (got.n_test, got.n_correct) == (len(held), sum(argmax_guess(rows[:k] + rows[k + 1 :], a) == b for k, (a, b) in held))
+
+
+def test_precision_predictor_against_numpy(spark):
+    rows = noise(80, 2, seed=4)
+    got = predict.precision_predictor(profile(spark, rows), F.col("seq_id") < 50, 1).first()
+    m = np.zeros((20, 20))
+    for a, b in rows[:50]:
+        if a < 20 and b < 20:
+            m[a, b] += 1
+    f = m / m.sum()
+    guess = np.linalg.pinv(f - np.outer(f.sum(1), f.sum(0)) + 0.01 * np.eye(20)).round(9).argmax(1)
+    test = [(a, b) for a, b in rows[50:] if a < 20 and b < 20]
+    assert (got.n_test, got.n_correct) == (len(test), sum(guess[a] == b for a, b in test))
+
+
+def test_bootstrap_stays_around_the_ratio(spark):
+    rows = noise(400, 2, seed=2, gap=False)
+    pc = pairs.pair_counts(profile(spark, rows), 1).cache()
+    ratio = pairs.perplexity_ratio(pc).first().ratio
+    r = pairs.bootstrap_ratio(pc, pc.select("pos_i", "pos_j").distinct()).first()
+    assert r.low <= r["mean"] <= r.high and abs(r["mean"] - ratio) < 0.1 and 0 < r.deviation < 0.1
+    same = pairs.bootstrap_ratio(pairs.pair_counts(profile(spark, [[0, 1]] * 9), 1), pc.select("pos_i", "pos_j").distinct()).first()
+    assert same["mean"] == same.low == same.high == 1.0 and same.deviation == 0.0
+
+
+def test_prime_implicants_of_ten_bits_match_brute_force():
+    rng = random.Random(6)
+    free = {i * 32 + j for i in range(32) for j in range(32) if i > 19 or j > 19}
+    for k in (1, 5, 40, 200):
+        on = rng.sample([i * 32 + j for i in range(20) for j in range(20)], k)
+        allowed = np.zeros(1024, bool)
+        allowed[list(free | set(on))] = True
+        ok = {}
+        for m in range(1024):  # a cube is allowed if both its halves are
+            for v in range(1024):
+                if not v & m:
+                    b = m & -m
+                    ok[v, m] = bool(allowed[v]) if not m else ok[v, m ^ b] and ok[v | b, m ^ b]
+        hits = lambda v, m: any((c ^ v) & ~m == 0 for c in on)
+        want = [(v, m) for (v, m), good in ok.items() if good and not any(not m >> b & 1 and ok[v & ~(1 << b), m | 1 << b] for b in range(10)) and hits(v, m)]
+        assert boolean.prime_implicants(on, free) == sorted(want)
+
+
+def test_rules_apply_in_the_row(spark):
+    p = spark.createDataFrame([(1, [0, 1]), (1, [2, 3]), (2, [20, 1]), (3, [0]), (4, [5, 5])], "seq_id long, codes array<int>")
+    rule = lambda *r: spark.createDataFrame(list(r), "pos_i int, pos_j int, code_i int, code_j int")
+    none = rule((0, 1, 0, 0)).limit(0)
+    assert sorted(map(tuple, boolean.classify(p, rule((0, 1, 0, 1), (0, 1, 5, 5)), rule((0, 1, 5, 5))).collect())) == [(1, "positive"), (1, "unclassified"), (2, "unclassified"), (3, "unclassified"), (4, "forbidden")]
+    assert {r.verdict for r in boolean.classify(p, none, none).collect()} == {"unclassified"}
+
+
+def test_on_sets(spark):
+    cells = spark.createDataFrame([(0, 1, 0, j, v) for j, v in enumerate([1.0, 2.0, 3.0, 10.0, 0.0])], "pos_i int, pos_j int, code_i int, code_j int, v double")
+    got = boolean.on_set(cells, "v", 0.75).collect()
+    assert [(r.code_j, r.threshold, r.state) for r in got] == [(3, 4.75, 1)]
+
+
+def test_median_split_by_hand(spark):
+    mi = spark.createDataFrame([(0, 1, 0.9), (0, 2, 0.1), (1, 2, 0.5), (0, 3, 0.0)], "pos_i int, pos_j int, mi double")
+    first = spark.createDataFrame([(0, 4), (1, 3), (2, 20), (3, 1)], "pos int, code int")
+    on = spark.createDataFrame([((3 ^ 1) * 32 + (4 ^ 2),)], "cell long")  # codes 3 and 4, the other way round
+    r = kmer.median_split(mi, on, first).first()
+    assert (r.n_on, r.n_off, r.mean_on, r.mean_off, r.accuracy) == (1, 2, 0.9, 0.3, 1.0)
+
+
 def test_sinks(spark, tmp_path):
     c = columns.column_counts(profile(spark, noise(9, 2)))
     sinks.write_entropies(columns.column_entropy(c), str(tmp_path / "e"))
