@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def release(*frames: DataFrame) -> None:
+    """Removes the files of frames that ``checkpointed`` made and nothing reads any more."""
+    for df in frames:
+        file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            sc = df.sparkSession.sparkContext
+            path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder, its lineage cut.
 
@@ -63,7 +73,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = checkpointed(e)
     before = _fingerprint(e)
     while True:
-        e = checkpointed(_small_star(_large_star(e)))
+        old, e = e, checkpointed(_small_star(_large_star(e)))
+        release(old)
         after = _fingerprint(e)
         if after == before:
             break
