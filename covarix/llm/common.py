@@ -1,8 +1,7 @@
-"""What the training-data operators share: checkpoints, Arrow helpers, connected components."""
+"""What the training-data operators share: tables, Arrow helpers, and the core's checkpoints and components."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,18 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import checkpointed, connected_components, release, sized
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared checkpoint folder, its lineage cut.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (tests on one machine) is a temporary one made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
-    return df.checkpoint(eager=True)
+__all__ = ["checkpointed", "connected_components", "release", "rows_to_batches", "sized", "slices", "table", "text_bytes", "wider"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +28,11 @@ def wider(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 
 
+def slices(batch: pa.RecordBatch, rows: int = 1_000) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of at most ``rows`` rows, so that few texts at a time become Python objects."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most ``size`` rows from an iterator of tuples."""
     held: list[tuple] = []
@@ -52,45 +47,3 @@ def rows_to_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
-
-
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """``(node, component)``: the smallest node reachable over undirected ``edges``.
-
-    Alternating large-star and small-star steps (Kiveris et al., 2014): every
-    step is a minimum per node and a join back to it, so a node with very many
-    neighbours is pre-aggregated on the map side and its rows can be split by
-    the skew join. Takes O(log^2 n) steps even on long chains. Null ends and
-    self-loops link nothing; nodes without an edge do not appear.
-    """
-    e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v"))
-    e = e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = checkpointed(e)
-    before = _fingerprint(e)
-    while True:
-        e = checkpointed(_small_star(_large_star(e)))
-        after = _fingerprint(e)
-        if after == before:
-            break
-        before = after
-    # every edge now points at its component's smallest node
-    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
-
-
-def _fingerprint(e: DataFrame) -> tuple:
-    return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
-
-
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every neighbour larger than a node moves to that node's smallest neighbour."""
-    both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-
-
-def _small_star(e: DataFrame) -> DataFrame:
-    """Every neighbour not above a node, and the node, moves to the smallest of them."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
-    moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()

@@ -1,20 +1,33 @@
-"""Exact n-gram Jaccard self-join by PartEnum signatures.
+"""Exact n-gram Jaccard self-join by two-level PartEnum signatures.
 
 A text is the set of its word n-grams, each a 64-bit hash. Sets are put in size
 bands whose ends are one similarity step apart, so two similar sets lie in the
 same or in neighbouring bands. For one band with largest size r, similar sets
-differ in at most ``k = floor(2r(1-t)/(1+t))`` elements; the hash domain is cut
-into k+1 equal parts, and by the pigeonhole principle the two sets agree
-entirely on at least one part. The hash of each part that is not empty is a
-signature (PartEnum with second-level subsets of one part each). An empty part
-says little, so a set that has any also enumerates the second-level subsets that
-leave out one element, in as many parts as make sure that one of them agrees.
-
-Steps: signatures of whole texts, exact copies and shared signatures folded per
-task before the shuffle; documents with a common signature chained (one row per
-document, never a pair per pair); connected candidates gathered in blocks of
-bounded size; inside a block only pairs with a common signature are compared
-exactly. Copies of one set are one vertex and are not expanded into pairs.
+differ in at most ``k = floor(2r(1-t)/(1+t))`` elements. The hash domain is cut
+into ``first`` parts and each of these into ``second`` cells. With
+``first = k // (left + 1) + spare`` parts, at least ``spare`` parts differ in at
+most ``left`` elements, so in each of them the two sets agree on all but some
+``left`` cells: every subset that leaves ``left`` cells out is a signature.
+
+A signature of too few elements says little. Where ``spare`` or more parts of a
+set have such weak signatures, the set is cut anew by another hash; if two
+similar sets agree on weak signatures only, both do so, hence weak ones are
+never needed but in the last of ``CUTS`` cuts. The first cut leaves out elements
+that very many documents share: sets differ in no more elements on any part of
+the domain than on all of it, so this loses nothing, and passages that a large
+share of the corpus repeats join no unlike texts. There one element is enough
+for a signature, in later cuts it takes ``least``. ``cutting`` chooses the numbers
+for each band: the signatures by which fewest unlike texts meet, at a bounded cost.
+
+Steps: signatures of whole texts, shared ones folded per task before the shuffle
+into chains (a row per document, never a pair per pair) and memberships. First,
+each document is held against the one smaller document with which most chains
+join it, in stars of bounded size; what is linked is contracted, which settles
+groups of near copies however large. Only signatures that still join different
+contracted groups stay alive; the documents that hold them are gathered in
+blocks of bounded size, where pairs with a common signature and of different
+groups are filtered by parity bitmaps (their distance bounds the sets' one from
+below) and compared exactly. Copies of one set are not expanded into pairs.
 
 Defined cases: texts without words have no n-grams and are linked with nothing;
 texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
@@ -24,22 +37,32 @@ texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, rows_to_batches, text_bytes
-
-BLOCK_GRAMS = 6_000_000
-BUCKET_GRAMS = 3_000_000
-CACHE_WORDS = 500_000
-FOLD_SIGNATURES = 1_000_000
+from .common import checkpointed, connected_components, release, rows_to_batches, sized, text_bytes
+
+BLOCK_GRAMS = 1_500_000
+BUCKET_GRAMS = 1_500_000
+CACHE_WORDS = 60_000
+FOLD_SIGNATURES = 400_000
+MEMBERS = 200_000  # memberships a row
+STAR = 256  # documents held against one copy of another
+CUTS = 4
+COMMON_DOCS, COMMON_GRAMS = 6, 1_000_000  # documents that make an n-gram a common one; at most so many, the most common, are left out of first cuts
+COMMON_BITS = 24
+PER_DIFFERENCE = 2.3  # signatures for each element in which similar sets can differ; one level takes 1
 _M = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -104,47 +127,117 @@ class Similarity:
             high = (high + 1) * self.den // self.num
         return high
 
-    def parts(self, high: int) -> int:
-        """One more than the elements in which similar sets of at most ``high`` can differ."""
-        return (self.den - self.num) * 2 * high // (self.den + self.num) + 1
+    def differ(self, high: int) -> int:
+        """The elements in which similar sets of at most ``high`` can differ."""
+        return (self.den - self.num) * 2 * high // (self.den + self.num)
 
-    def linked(self, common: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+    def linked(self, common: int, a: int, b: int) -> bool:
         return common * self.den >= self.num * (a + b - common)
 
 
+class Cutting(NamedTuple):
+    """How the sets of a band are cut: parts, cells a part, cells left out, parts sure to agree, elements a signature needs."""
+
+    first: int
+    second: int
+    left: int
+    spare: int
+    least: int
+
+    @property
+    def signatures(self) -> int:
+        return self.first * math.comb(self.second, self.left)
+
+
+def _poisson_below(m: int, mean: float) -> float:
+    """P(X < m) of a Poisson variable."""
+    if mean > 700:
+        return 0.0 if m < mean / 2 else 0.5 * math.erfc((mean - m) / math.sqrt(2 * mean))
+    term = total = math.exp(-mean)
+    for i in range(1, m):
+        term *= mean / i
+        total += term
+    return min(1.0, total) if m else 0.0
+
+
+def _again(size: float, first: int, second: int, left: int, spare: int, least: int) -> float:
+    """About the chance that ``spare`` or more parts of a random set have a weak signature."""
+    weak = math.comb(second, left) * _poisson_below(least, size / first * (1 - left / second))
+    return 1 - _poisson_below(spare, first * min(1.0, weak))
+
+
+def cutting(size: int, differ: int) -> Cutting:
+    """The cutting for sets of about ``size`` elements of which two may differ in ``differ``.
+
+    Of those that cost at most ``PER_DIFFERENCE`` signatures a difference and seldom
+    take a second cut, even where half of a set are common elements, the one by
+    which sets with a quarter of their elements in common share the fewest signatures.
+    """
+    if not differ:
+        return Cutting(1, 1, 0, 1, 1)
+    best, low = Cutting(differ + 1, 1, 0, 1, 1), math.inf
+    for left, second in ((0, 1), (1, 3), (1, 4), (1, 5), (2, 4), (2, 5), (2, 6)):
+        subsets, spare = math.comb(second, left), 1
+        while (first := differ // (left + 1) + spare) * subsets <= max(24, PER_DIFFERENCE * differ):
+            if _again(0.5 * size, first, second, left, spare, 1) < 0.2:
+                mean = 0.5 * size / first * (1 - left / second)
+                met = first * subsets * (math.exp(-0.75 * mean) - math.exp(-mean) + 1e-9)
+                if met < low:
+                    least = max((m for m in range(1, 8) if _again(size, first, second, left, spare, m) < 0.3), default=1)
+                    best, low = Cutting(first, second, left, spare, least), met
+            spare += 1 + spare // 8
+    return best
+
+
 class Signer:
     """Signatures of sorted sets for one similarity."""
 
-    def __init__(self, sim: Similarity) -> None:
+    def __init__(self, sim: Similarity, common: bytes | None = None) -> None:
         self.sim = sim
+        self.common = np.frombuffer(common, np.uint8) if common else None
         self.known: dict[int, tuple[int, int]] = {}
-        self.ends: dict[int, int] = {}
-
-    def _cut(self, grams: np.ndarray, parts: int, name: int, depth: int) -> list[np.ndarray]:
-        # parts of equal width in the hash domain are slices of the sorted set
-        bounds = np.searchsorted(grams >> np.uint64(11), np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 53) // parts))
+        self.cuttings: dict[int, Cutting] = {}
+        self.subsets: dict[tuple[int, int], np.ndarray] = {}
+
+    def cutting_of(self, band: int) -> Cutting:
+        if band not in self.cuttings:
+            high = self.sim.band_end(band)
+            self.cuttings[band] = cutting(max(1, high * self.sim.num // self.sim.den), self.sim.differ(high))
+        return self.cuttings[band]
+
+    def _kept(self, second: int, left: int) -> np.ndarray:
+        """A column a subset, 1 for each cell that it keeps."""
+        if (second, left) not in self.subsets:
+            out = np.ones((second, math.comb(second, left)), np.uint64)
+            for k, gone in enumerate(combinations(range(second), left)):
+                out[list(gone), k] = 0
+            self.subsets[second, left] = out
+        return self.subsets[second, left]
+
+    def _cut(self, grams: np.ndarray, c: Cutting, name: int, cut: int) -> list[np.ndarray]:
+        # cells of equal width in the hash domain are slices of the sorted set
+        every, cells, least = grams, c.first * c.second, c.least
+        if cut == 1 and self.common is not None:
+            at = grams >> np.uint64(64 - COMMON_BITS)
+            grams = grams[self.common[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 0]
+            least = 1
+        bounds = np.searchsorted(grams >> np.uint64(11), np.arange(1, cells, dtype=np.uint64) * np.uint64((1 << 53) // cells))
         at = np.concatenate(([0], bounds, [len(grams)]))
-        each = mix(grams + np.uint64(name))
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each, dtype=np.uint64)))
-        sums = total[at[1:]] - total[at[:-1]]
-        labels = np.arange(parts, dtype=np.uint64) * _M[5] + np.uint64(name)
-        sizes = np.diff(at)
-        out = [mix(mix(sums) + labels)[sizes > 0]]
-        if n_empty := int((sizes == 0).sum()):
-            # If two similar sets agree on e parts, all empty, then at most 2e-1 parts differ in
-            # other than one element: among 2e parts one set holds the other's part less one element.
-            big = np.cumsum(sizes >= 3)
-            enough = big[-1] >= 2 * n_empty
-            last = int(np.searchsorted(big, 2 * n_empty)) + 1 if enough else parts
-            less_one = labels * _M[7] + _M[6]
-            out.append(mix(mix(sums[:last]) + less_one[:last])[sizes[:last] >= 2])
-            part = np.repeat(np.arange(last), sizes[:last])
-            fewer = sums[part] - each[: at[last]]
-            out.append(mix(mix(fewer) + less_one[part])[sizes[part] >= 3])
-            if not enough and depth < 3:  # a small set: cut its domain anew
-                out += self._cut(np.sort(mix(grams ^ _M[6])), parts, int(mix(np.array([name], np.uint64) ^ _M[4])[0]), depth + 1)
-            elif not enough:
-                out.append(mix(labels)[sizes == 0])
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(grams + np.uint64(name)), dtype=np.uint64)))
+        sums = (total[at[1:]] - total[at[:-1]]).reshape(c.first, c.second)
+        sizes = np.diff(at).reshape(c.first, c.second).astype(np.uint64)
+        if c.left:
+            kept = self._kept(c.second, c.left)
+            sums, sizes = sums @ kept, sizes @ kept
+        weak = sizes < least
+        labels = np.arange(c.first, dtype=np.uint64) * _M[5] + np.uint64(name)
+        sigs = mix(mix(sums) + labels[:, None])
+        out = [sigs[~weak]]
+        if weak.any() and int(weak.any(1).sum()) >= c.spare:
+            if cut < CUTS:
+                out += self._cut(np.sort(mix(every ^ _M[6])), c, int(mix(np.array([name], np.uint64) ^ _M[4])[0]), cut + 1)
+            else:
+                out.append(sigs[weak])
         return out
 
     def __call__(self, grams: np.ndarray) -> np.ndarray:
@@ -152,13 +245,10 @@ class Signer:
         size = len(grams)
         if size not in self.known:
             self.known[size] = self.sim.bands(size)
-        band, high = self.known[size]
+        band, _ = self.known[size]
         out = []
         for tag in (band, band + 1):
-            if tag not in self.ends:
-                self.ends[tag] = self.sim.band_end(tag)
-            parts = self.sim.parts(self.ends[tag])
-            out += self._cut(grams, parts, (tag + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1, 0)
+            out += self._cut(grams, self.cutting_of(tag), (tag + 1) * 0x2545F4914F6CDD1D & (1 << 64) - 1, 1)
         return np.concatenate(out)
 
 
@@ -173,15 +263,53 @@ def _digest(grams: np.ndarray) -> tuple[int, int]:
 
 
 def set_digests(docs: DataFrame, n: int) -> DataFrame:
-    """``(doc_id, n_shingles, d1, d2)``: set size and 128-bit digest of each text."""
+    """``(doc_id, n_shingles, d1, d2)``: set size and 128-bit digest of each text.
+
+    Further rows with ``n_shingles`` -1 hold an n-gram (``d1``) that ``d2`` texts of one fold share.
+    """
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())])
 
     def run(batches):
-        return rows_to_batches(((doc, len(g), *_digest(g)) for b in batches for doc, g in _sets(b, n)), schema)
+        def rows():
+            held, size = [], 0
+            for b in batches:
+                for doc, g in _sets(b, n):
+                    yield doc, len(g), *_digest(g)
+                    held.append(g)
+                    size += len(g)
+                    if size >= FOLD_SIGNATURES:
+                        yield from often(held)
+                        held, size = [], 0
+            if held:
+                yield from often(held)
+
+        def often(held):
+            gram, times = np.unique(np.concatenate(held), return_counts=True)
+            for g, t in zip(gram[times > 1].view(np.int64).tolist(), times[times > 1].tolist()):
+                yield None, -1, g, t
+
+        return rows_to_batches(rows(), schema)
 
     return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long")
 
 
+def common_grams(digests: DataFrame) -> bytes:
+    """A bit for each of 2**24 classes of n-grams, set where one is common; 2 MB however large the corpus is."""
+    counts = digests.where("n_shingles = -1").groupBy("d1").agg(F.sum("d2").alias("n")).where(F.col("n") >= COMMON_DOCS)
+    counts = checkpointed(counts.withColumn("step", F.floor(4 * F.log2("n"))))
+    room, lowest = COMMON_GRAMS, math.inf
+    for step, times in sorted(counts.groupBy("step").agg(F.count("*")).collect(), reverse=True):  # a few hundred steps at most
+        room -= times
+        if room < 0:
+            break
+        lowest = step
+    bits = np.zeros(1 << COMMON_BITS, np.uint8)
+    if lowest < math.inf:
+        found = counts.where(F.col("step") >= lowest).select("d1").toArrow().column("d1").to_numpy()
+        bits[(found.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def _packed(sig: np.ndarray, doc: np.ndarray) -> bytes:
     """Sorted signatures (their upper 48 bits) and ids as compressed byte planes."""
     planes = sig.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype(">i8").view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -195,43 +323,56 @@ def _unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return sig.view(">u8").ravel().astype(np.uint64), np.ascontiguousarray(planes[6:].T).view(">i8").ravel().astype(np.int64)
 
 
-def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that chain the documents of each signature, and the places where signatures begin; both are sorted."""
-    again = np.concatenate(([False], sig[1:] == sig[:-1]))
-    link = np.flatnonzero(again)
-    link = link[doc[link] != doc[link - 1]]
-    pairs = np.unique(np.stack((doc[link], doc[link - 1]), 1), axis=0) if len(link) else np.empty((0, 2), np.int64)
-    return pairs, np.flatnonzero(~again)
+def _chain(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sorted signatures and ids: rows ``(document, the one before it, times)``, the memberships of shared signatures, the first of each signature."""
+    again = sig[1:] == sig[:-1]
+    u, v = doc[1:][again], doc[:-1][again]
+    pairs, times = np.unique(np.stack((u, v), 1), axis=0, return_counts=True) if len(u) else (np.empty((0, 2), np.int64), np.empty(0, np.int64))
+    shared = np.concatenate((again, [False])) | np.concatenate(([False], again))
+    return np.column_stack((pairs, times)), np.flatnonzero(shared), np.flatnonzero(np.concatenate(([True], ~again)))
+
 
+def _sorted_once(sig: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures to 48 bits, sorted with their ids, repeated rows gone."""
+    sig = sig >> np.uint64(16) << np.uint64(16)
+    order = np.lexsort((doc, sig))
+    sig, doc = sig[order], doc[order]
+    new = np.ones(len(sig), bool)
+    new[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])
+    return sig[new], doc[new]
 
-def candidate_edges(docs: DataFrame, n: int, sim: Similarity, buckets: int) -> DataFrame:
-    """``(u, v)``: chains through the documents that share a signature.
 
-    Each task drops exact copies it has met and chains its own documents, so a
-    signature that many documents share leaves it once per fold. What leaves is
-    packed by ranges of the signature, one row a range and fold.
-    """
-    empty = np.empty(0, np.int64)
+FIRSTS, SHARED = 0, 1
+
+
+def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, common: Broadcast) -> DataFrame:
+    """``(u, v, n, members)``: chains ``u > v`` through the documents of each signature, and packed memberships of shared ones.
 
+    Each task drops exact copies it has met and chains its own documents, so of a
+    signature that many documents share one row a fold meets those of the other
+    tasks, packed by ranges of the signature. Memberships of a fold take any task.
+    """
     def run(batches):
         np.seterr(over="ignore")
-        signer, met = Signer(sim), set()
+        signer, met = Signer(sim, common.value), set()
         sigs: list[np.ndarray] = []
         ids: list[int] = []
 
         def fold():
-            sig, doc = np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(s) for s in sigs])
+            sig, doc = _sorted_once(np.concatenate(sigs), np.repeat(np.array(ids, np.int64), [len(s) for s in sigs]))
             sigs.clear(), ids.clear()
-            order = np.lexsort((doc, sig))
-            sig, doc = sig[order], doc[order]
-            pairs, heads = _chain(sig, doc)
+            pairs, shared, heads = _chain(sig, doc)
+            for a in range(0, len(shared), MEMBERS):
+                part = shared[a : a + MEMBERS]
+                data = _packed(sig[part], doc[part])
+                yield zlib.crc32(data) % buckets, SHARED, data, b""
             sig, doc = sig[heads], doc[heads]
             at = np.searchsorted(sig, _range_starts(buckets))
-            where = (mix((pairs[:, 0] * 31 + pairs[:, 1]).view(np.uint64)) % np.uint64(buckets)).astype(np.int64) if len(pairs) else empty
+            where = mix((pairs[:, 0] * 31 + pairs[:, 1]).view(np.uint64)) % np.uint64(buckets)
             for k, (a, z) in enumerate(zip(at, [*at[1:], len(sig)])):
-                mine = pairs[where == k] if len(pairs) else pairs
+                mine = pairs[where == k]
                 if z > a or len(mine):
-                    yield k, _packed(sig[a:z], doc[a:z]), mine.astype("<i8").tobytes()
+                    yield k, FIRSTS, _packed(sig[a:z], doc[a:z]), mine.astype("<i8").tobytes()
 
         def rows():
             held = 0
@@ -239,6 +380,8 @@ def candidate_edges(docs: DataFrame, n: int, sim: Similarity, buckets: int) -> D
                 for doc, grams in _sets(b, n):
                     if doc is None or not len(grams) or (d := _digest(grams)) in met:
                         continue
+                    if len(met) >= CACHE_WORDS:
+                        met.clear()
                     met.add(d)
                     sigs.append(s := signer(grams))
                     ids.append(doc)
@@ -249,30 +392,41 @@ def candidate_edges(docs: DataFrame, n: int, sim: Similarity, buckets: int) -> D
             if sigs:
                 yield from fold()
 
-        return rows_to_batches(rows(), pa.schema([("bucket", pa.int32()), ("heads", pa.binary()), ("pairs", pa.binary())]), 16)
+        return rows_to_batches(rows(), pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("pairs", pa.binary())]), 16)
+
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
 
     def merge(batches):
-        def edges(chunks, pairs):
-            sig, doc = (np.concatenate(x) for x in zip(*map(_unpacked, chunks)))
-            order = np.lexsort((doc, sig))
-            found, _ = _chain(sig[order], doc[order])
-            both = np.concatenate([found, *(np.frombuffer(x, "<i8").reshape(-1, 2) for x in pairs)])
-            both = np.unique(both, axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["u", "v"])
+        def groups(chunks, pairs):
+            sig, doc = _sorted_once(*(np.concatenate(x) for x in zip(*map(_unpacked, chunks))))
+            found, shared, _ = _chain(sig, doc)
+            for a in range(0, len(shared), MEMBERS):
+                part = shared[a : a + MEMBERS]
+                yield only_members(_packed(sig[part], doc[part]))
+            both = np.concatenate([found, *(np.frombuffer(x, "<i8").reshape(-1, 3) for x in pairs)])
+            for a in range(0, len(both), 50_000):
+                part = both[a : a + 50_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(part[:, i].copy()) for i in range(3)), pa.nulls(len(part), pa.binary())], schema=schema)
+
+        def only_members(data):
+            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], schema=schema)
 
         key, chunks, pairs = None, [], []
         for b in batches:
-            for k, h, p in zip(*(c.to_pylist() for c in b.columns)):
+            for k, kind, data, p in zip(*(c.to_pylist() for c in b.columns)):
                 if k != key:
                     if chunks:
-                        yield edges(chunks, pairs)
+                        yield from groups(chunks, pairs)
                     key, chunks, pairs = k, [], []
-                chunks.append(h), pairs.append(p)
+                if kind == SHARED:
+                    yield only_members(data)
+                else:
+                    chunks.append(data), pairs.append(p)
         if chunks:
-            yield edges(chunks, pairs)
+            yield from groups(chunks, pairs)
 
-    packed = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "bucket int, heads binary, pairs binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "u long, v long")
+    packed = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "bucket int, kind int, data binary, pairs binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "u long, v long, n long, members binary")
 
 
 def _range_starts(buckets: int) -> np.ndarray:
@@ -280,98 +434,193 @@ def _range_starts(buckets: int) -> np.ndarray:
     return np.array([(k << 48) // buckets << 16 for k in range(buckets)], np.uint64)
 
 
-def _verify(batches: Iterator[pa.RecordBatch], n: int, sim: Similarity) -> Iterator[pa.RecordBatch]:
-    """Links inside each block, as a spanning forest of the block; rows come sorted by block."""
+def memberships(groups: DataFrame) -> DataFrame:
+    """``(sig, doc_id)`` of the signatures that several documents share."""
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                sig, doc = _unpacked(data)
+                yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc)], names=["sig", "doc_id"])
+
+    return groups.where("members is not null").select("members").mapInArrow(run, "sig long, doc_id long")
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    return int((a[at] == b).sum())
+
+
+def star_links(stars: DataFrame, n: int, sim: Similarity) -> DataFrame:
+    """``(u, v)``: the documents of each star that are linked with its head; rows ``(head, part, outer, doc_id, body)``.
+
+    Streams: only the head is held.
+    """
+    def run(batches):
+        np.seterr(over="ignore")
+
+        def links():
+            key, heads = None, []
+            for b in batches:
+                for head, part, outer, doc, body in zip(*(c.to_pylist() for c in b.columns)):
+                    if (head, part) != key:
+                        key, heads = (head, part), []
+                    grams = gram_set(body, n)
+                    if not outer:
+                        heads.append(grams)
+                    elif any(len(h) and len(grams) and sim.linked(_common(h, grams), len(h), len(grams)) for h in heads):
+                        yield doc, head
+
+        return rows_to_batches(links(), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    return stars.repartition("head", "part").sortWithinPartitions("head", "part", "outer").mapInArrow(run, "u long, v long")
+
+
+def _block_rows(batches: Iterator[pa.RecordBatch], n: int, signer: Signer) -> Iterator[pa.RecordBatch]:
+    """Links inside each block, as a spanning forest over its settled groups; rows come sorted by block."""
     np.seterr(over="ignore")
-    signer = Signer(sim)
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def blocks():
-        key, ids, sides, sets = None, [], [], []
+        key, ids, sides, settled, sets = None, [], [], [], []
         for b in batches:
-            cols = [c.to_pylist() for c in b.columns[:5]]
-            for comp, lo, hi, doc, side, body in zip(*cols, b.column(5)):
+            for comp, lo, hi, doc, side, group, body in zip(*(c.to_pylist() for c in b.columns)):
                 if (comp, lo, hi) != key:
                     if len(ids) > 1:
-                        yield key, ids, sides, sets
-                    key, ids, sides, sets = (comp, lo, hi), [], [], []
-                ids.append(doc), sides.append(side), sets.append(gram_set(body.as_py(), n))
+                        yield key, ids, sides, settled, sets
+                    key, ids, sides, settled, sets = (comp, lo, hi), [], [], [], []
+                ids.append(doc), sides.append(side), settled.append(group), sets.append(gram_set(body, n))
         if len(ids) > 1:
-            yield key, ids, sides, sets
+            yield key, ids, sides, settled, sets
 
     def links():
-        for (_, lo, hi), ids, sides, sets in blocks():
-            yield from _block_links(ids, sides if lo != hi else None, sets, signer, sim)
+        for (_, lo, hi), ids, sides, settled, sets in blocks():
+            yield from _block_links(ids, settled, sides if lo != hi else None, sets, signer)
+
+    return rows_to_batches(links(), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
 
-    return rows_to_batches(links(), schema)
+def _bitmap(grams: np.ndarray) -> np.ndarray:
+    """Parities of 2048 classes of the set: two bitmaps differ in no more bits than their sets in elements."""
+    odd = np.bincount((grams & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def _block_links(ids, sides, sets, signer: Signer, sim: Similarity) -> Iterator[tuple[int, int]]:
-    comp = np.arange(len(ids))
-    first: dict[bytes, int] = {}
+def _block_links(ids, settled, sides, sets, signer: Signer) -> Iterator[tuple[int, int]]:
+    sim = signer.sim
+    _, comp = np.unique(np.array(settled, np.int64), return_inverse=True)
+    first: dict[tuple, int] = {}
     single = []
     for i, grams in enumerate(sets):
-        if (j := first.setdefault(xxhash.xxh3_128_digest(grams.tobytes()), i)) == i:
+        if not len(grams):
+            continue
+        key = (xxhash.xxh3_128_digest(grams.tobytes()), None if sides is None else sides[i])
+        if (j := first.setdefault(key, i)) == i:
             single.append(i)
-        elif ids[i] != ids[j]:
-            comp[i] = comp[j]
+        elif comp[i] != comp[j]:
+            comp[comp == comp[i]] = comp[j]
             yield ids[i], ids[j]
+    if len(single) < 2:
+        return
     sigs = [signer(sets[i]) for i in single]
-    sig, doc = np.concatenate(sigs), np.repeat(single, [len(s) for s in sigs])
+    sig, doc = _sorted_once(np.concatenate(sigs), np.repeat(single, [len(s) for s in sigs]))
     del sigs
-    order = np.argsort(sig, kind="stable")
-    sig, doc = sig[order], doc[order]
     start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
     size = np.diff(np.append(start, len(sig)))
-    group = np.repeat(np.arange(len(start)), size)
-    shared = np.flatnonzero(size[group] > 1)
-    by_doc = shared[np.argsort(doc[shared], kind="stable")]
+    many = size[np.repeat(np.arange(len(start)), size)] > 1
+    doc, group = doc[many], np.repeat(np.arange(len(start)), size)[many]
+    del sig, many
+    if not len(doc):
+        return
+    ends = np.searchsorted(group, np.arange(len(start) + 1))
+    by_doc = np.argsort(doc, kind="stable")
     at = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
+    maps = np.zeros((len(ids), 32), np.uint64)
+    for i in single:
+        maps[i] = _bitmap(sets[i])
+    sizes = np.array([len(s) for s in sets])
     side = None if sides is None else np.array(sides)
+    num, den = sim.num, sim.den
     for i in single:
-        groups = group[by_doc[at[i] : at[i + 1]]]
-        if not len(groups):
-            continue
-        cand = np.unique(np.concatenate([doc[start[g] : start[g] + size[g]] for g in groups]))
-        cand = cand[(cand < i) & (comp[cand] != comp[i])]
+        near = np.zeros(i + 1, bool)
+        for g in group[by_doc[at[i] : at[i + 1]]]:
+            members = doc[ends[g] : ends[g + 1]]
+            near[members[: np.searchsorted(members, i)]] = True
+        cand = np.flatnonzero(near)
+        cand = cand[comp[cand] != comp[i]]
         if side is not None:
             cand = cand[side[cand] != side[i]]
-        grams = sets[i]
-        while len(cand):
-            # a link makes other candidates of its component superfluous
-            part, cand = cand[:64], cand[64:]
-            sizes = np.array([len(sets[j]) for j in part])
-            flat = np.concatenate([sets[j] for j in part])
-            hit = np.minimum(np.searchsorted(grams, flat), len(grams) - 1)
-            common = np.add.reduceat((grams[hit] == flat).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
-            for j in part[sim.linked(common, len(grams), sizes)].tolist():
-                if comp[j] != comp[i]:
-                    comp[comp == comp[j]] = comp[i]
-                    yield ids[i], ids[j]
-            cand = cand[comp[cand] != comp[i]]
+        apart = np.bitwise_count(maps[cand] ^ maps[i]).sum(1, dtype=np.int64)
+        cand = cand[apart * (den + num) <= (sizes[cand] + sizes[i]) * (den - num)]
+        for j in cand.tolist():  # a link makes other candidates of its group superfluous
+            if comp[j] != comp[i] and sim.linked(_common(sets[j], sets[i]), len(sets[i]), len(sets[j])):
+                comp[comp == comp[j]] = comp[i]
+                yield ids[i], ids[j]
+
+
+def _stars(pairs: DataFrame) -> DataFrame:
+    """``(head, part, outer, doc_id)``: each document with the smaller one that most chains join it with, in parts of bounded size."""
+    best = pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))
+    best = checkpointed(best)
+    parts = best.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+    heads = parts.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outer"), F.col("head").alias("doc_id"))
+    outer = best.join(parts, "head").select("head", F.pmod(F.xxhash64("u"), "parts").alias("part"), F.lit(True).alias("outer"), F.col("u").alias("doc_id"))
+    return heads.unionByName(outer)
+
+
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with ``body``, the text of their ``doc_id``; few rows go to the texts, many meet them in a shuffle."""
+    rows = checkpointed(rows)
+    return docs.select("doc_id", text_bytes().alias("body")).join(sized(rows, rows.count()), "doc_id")
+
+
+def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(doc_id, head, settled)`` of the documents whose signatures still join different settled groups; ``head`` is the smallest document of the signature."""
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
+    cross = groups.where("members is null").select("u", "v").distinct().join(label("u"), "u", "left").join(label("v"), "v", "left")
+    cross = cross.select(F.coalesce("u_group", "u").alias("a"), F.coalesce("v_group", "v").alias("b")).where("a <> b")
+    open_groups = cross.select(F.explode(F.array("a", "b")).alias("settled")).distinct()
+    held = memberships(groups).join(label("doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("doc_id_group", "doc_id").alias("settled"))
+    held = held.join(open_groups, "settled", "left_semi")
+    alive = held.groupBy("sig").agg(F.min("settled").alias("low"), F.max("settled").alias("high"), F.min("doc_id").alias("head")).where("low <> high")
+    return held.join(alive.select("sig", "head"), "sig").select("doc_id", "head", "settled").distinct()
+
+
+def block_links(narrow: DataFrame, open_docs: DataFrame, sizes: DataFrame, n: int, sim: Similarity, common: Broadcast) -> DataFrame:
+    """``(u, v)``: links between settled groups, from blocks of the documents that signatures alive connect."""
+    reach = connected_components(open_docs.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
+    members = open_docs.groupBy("doc_id").agg(F.first("settled").alias("settled")).join(reach.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
+    blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("blocks"))
+    placed = members.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
+    spread = placed.select("component", "doc_id", "settled", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    spread = spread.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "mine", "settled")
+    loaded = _with_text(spread, narrow).select("component", "lo", "hi", "doc_id", "mine", "settled", "body")
+    loaded = loaded.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id")
+    return loaded.mapInArrow(lambda it: _block_rows(it, n, Signer(sim, common.value)), "u long, v long")
 
 
 def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5)) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` for each row of ``docs``."""
     narrow = docs.select("doc_id", "text")
-    digests = checkpointed(set_digests(narrow, n))
+    first = checkpointed(set_digests(narrow, n))
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(first))
+    digests = first.where("n_shingles >= 0")
     real = digests.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most")
     copies = real.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v")
+    sizes = real.groupBy("doc_id").agg(F.max("n_shingles").alias("grams"))
 
     total = digests.agg(F.sum("n_shingles")).first()[0] or 0
-    candidates = connected_components(candidate_edges(narrow, n, sim, max(16, -(-total // BUCKET_GRAMS))))
-    members = candidates.join(real.groupBy(F.col("doc_id").alias("node")).agg(F.max("n_shingles").alias("grams")), "node")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("blocks"))
-    placed = members.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    spread = placed.select("component", F.col("node").alias("doc_id"), "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "mine")
-    loaded = spread.join(narrow.select("doc_id", text_bytes().alias("body")), "doc_id").select("component", "lo", "hi", "doc_id", "mine", "body")
-    loaded = loaded.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id")
-    links = loaded.mapInArrow(lambda it: _verify(it, n, sim), "u long, v long")
-
-    found = connected_components(links.unionByName(copies)).select(F.col("node").alias("doc_id"), "component")
-    return digests.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    groups = checkpointed(signature_groups(narrow, n, sim, max(16, -(-total // BUCKET_GRAMS)), common))
+    near = star_links(_with_text(_stars(groups.where("members is null")), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim)
+    settled = connected_components(near.unionByName(copies))
+    open_docs = checkpointed(unsettled(groups, settled))
+    found = settled
+    if not open_docs.isEmpty():
+        more = block_links(narrow, open_docs, sizes, n, sim, common)
+        found = connected_components(more.unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v"))))
+    found = found.select(F.col("node").alias("doc_id"), "component")
+    out = checkpointed(digests.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
+    release(first, groups, open_docs)
+    return out
 
 
 def one_of_each(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5)) -> DataFrame:
@@ -380,4 +629,5 @@ def one_of_each(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5))
     Rows with a null id, and rows repeating a kept id, stay.
     """
     gone = ngram_components(docs, n, sim).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(gone)
+    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)

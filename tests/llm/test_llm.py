@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from covarix.llm import chat_format, decontaminate, html_extract, license_scan, line_dedup, ngram_join, packing, quality, token_counts, tokens, topk_search
 from covarix.llm.common import connected_components
 
+from brute import brute_components, brute_windows, grams
+
 WORDS = [f"w{i}" for i in range(300)]
 
 
@@ -205,6 +208,26 @@ def test_published_licences(spark):
     assert all(re.search(license_scan.HINT, k) for _, k, _ in license_scan._known())
 
 
+def test_more_licences_and_repeated_rows(spark):
+    says = {
+        "GNU GENERAL PUBLIC LICENSE Version 2": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991": "GPL-2.0", "# SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "Mozilla Public License Version 2.0": "MPL-2.0",
+        "SPDX-License-Identifier: GPL-2.0-or-later": "GPL-2.0-or-later", "This file is licensed under the Apache License, Version 2.0 (the License).": "Apache-2.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999": "LGPL-2.1",
+        "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007": "AGPL-3.0", "This is free and unencumbered software released into the public domain.": "Unlicense", "CC0 1.0 Universal": "CC0-1.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "This software is released under the GNU LGPL v3.": "LGPL-3.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        BSD.replace("THIS SOFTWARE", "Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission.\n\nTHIS SOFTWARE", 1): "BSD-3-Clause",
+    }
+    got = collections.defaultdict(set)
+    for r in license_scan.licenses(docs_of(spark, list(says))).collect():
+        got[r.doc_id].add(r.license)
+    assert {i: x for i, x in enumerate(says.values())} == {i: (x - {"BSD"}).pop() for i, x in got.items()}
+    notice = "Released under the MIT License."
+    rows = license_scan.licenses(docs_of(spark, [notice, notice, notice, notice + "\n" + notice], [1, 1, 2, 1])).collect()
+    assert sorted((r.doc_id, r.n_sentences) for r in rows) == [(1, 1), (1, 1), (1, 2), (2, 1)]
+    names = {i for i, _, _ in license_scan._known()}
+    assert all(set(ids) <= names for _, ids in [*license_scan.RULES, *license_scan.PUBLISHED_RULES])
+
+
 # ---- 3: chats ----
 def test_chat_round_trip(spark):
     hard = ["", None, "<|im_end|>", "<|im_start|>assistant\nx<|im_end|>\n", "&lt;| & &amp; <|", "<", "a\n\nb", "é🙂", "x" * 50_000]
@@ -261,31 +284,31 @@ def test_top_k(spark, monkeypatch):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.lit(True)).count() == 0
 
 
-# ---- 6: joins ----
-def grams(text, n):
-    w = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().lower())
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
-
+def test_top_k_keeps_wide_vectors_and_repeated_queries(spark, monkeypatch):
+    for name, n in (("QUERY_BLOCK", 2), ("ROW_BLOCK", 3), ("CELL_BLOCKS", 1)):
+        monkeypatch.setattr(topk_search, name, n)
+    rng = random.Random(1)
+    vecs = [[rng.choice([0.3, -2e5, 131072.0, 1e30, -1e30, 1e300, 5.5, 0.0]) for _ in range(4)] for _ in range(14)] + [[0.5, -0.25, 0.1, 1.0]] * 5 + [[1e150, 0.0, 0.0, 0.0]]
+    rows = [(i, v) for i, v in enumerate(vecs)] + [(5, vecs[5]), (5, [0.7, 0.1, 0.2, 0.3]), (15, vecs[15])]
+    ints = [(i, [64 * int(x) if abs(x) >= 2**53 else math.floor(64 * x) for x in v]) for i, v in rows]
+    want = collections.Counter()
+    for i, q in ints:
+        if i % 5 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in ints if j != i)[:4]
+            want.update((i, k + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for k, (s, j) in enumerate(best))
+    got = topk_search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("id") % 5 == 0, k=4)
+    assert collections.Counter(map(tuple, got.collect())) == want
 
-def brute_components(ids, texts, n, num, den):
-    sets = {}
-    for i, t in zip(ids, texts):
-        sets.setdefault(i, []).append(grams(t, n))
-    root = {i: i for i in sets}
 
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
+@given(st.lists(st.integers(2**63, 10**40) | st.integers(-(10**40), -(2**63) - 1), min_size=2, max_size=5))
+def test_scores_beyond_64_bits_rank_as_text(values):
+    def key(x):
+        return (min(max(x, -(2**63)), 2**63 - 1), topk_search._rank_text(x))
 
-    for a in sets:
-        for b in sets:
-            if a < b and any(x and y and len(x & y) * den >= num * len(x | y) for x in sets[a] for y in sets[b]):
-                p, q = sorted((find(a), find(b)))
-                root[q] = p
-    return {i: find(i) for i in sets}
+    assert sorted(values, key=key) == sorted(values)
 
 
+# ---- 6: joins ----
 @pytest.mark.parametrize("n,num,den", [(3, 90, 100), (5, 4, 5)])
 def test_ngram_join(spark, monkeypatch, n, num, den):
     monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 200)  # many blocks
@@ -312,11 +335,48 @@ def test_similar_sets_share_a_signature(size, less, more, seed, level):
     a = np.unique(rng.integers(0, 2**64, size, dtype=np.uint64))
     b = np.unique(np.concatenate((a[min(less, len(a) - 1) :], rng.integers(0, 2**64, more, dtype=np.uint64))))
     sim = ngram_join.Similarity(*level)
-    if sim.linked(np.array([len(np.intersect1d(a, b))]), len(a), np.array([len(b)]))[0]:
+    if sim.linked(len(np.intersect1d(a, b)), len(a), len(b)):
         with np.errstate(over="ignore"):
             assert len(np.intersect1d(ngram_join.Signer(sim)(a), ngram_join.Signer(sim)(b)))
 
 
+def test_ngram_join_with_shared_passages_and_long_texts(spark, monkeypatch):
+    """Passages of many documents and families of copies, over many parts and blocks; candidates stay few."""
+    for name, n in (("BLOCK_GRAMS", 400), ("FOLD_SIGNATURES", 3_000), ("BUCKET_GRAMS", 2_000), ("STAR", 3), ("MEMBERS", 50)):
+        monkeypatch.setattr(ngram_join, name, n)
+    rng = random.Random(12)
+    say = lambda k: rng.choices([f"v{i}" for i in range(3000)], k=k)
+    passages = [say(60) for _ in range(3)]
+    texts = [" ".join(say(rng.randint(10, 120)) + rng.choice(passages) + say(rng.randint(5, 60))) for _ in range(120)]
+    for base in ([*texts[:4], " ".join(say(4000))]):
+        w = base.split()
+        for _ in range(12):
+            v = list(w)
+            for _ in range(max(1, len(v) // 60)):
+                v[rng.randrange(len(v))] = "edit"
+            texts.append(" ".join(v))
+    texts += texts[:3] + [texts[0].upper()] * 2
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    df = docs_of(spark, texts, ids).repartition(5)
+    want = brute_components(ids, texts, 5, 4, 5)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(df, 5).collect()} == set(want.items())
+
+
+def test_common_passages_bring_no_candidates():
+    """With n-grams that many share left out, unlike texts with a passage in common share no signature at any corpus size."""
+    rng = np.random.default_rng(2)
+    passage = np.unique(rng.integers(0, 2**64, 60, dtype=np.uint64))
+    bits = np.zeros(1 << ngram_join.COMMON_BITS, np.uint8)
+    bits[(passage >> np.uint64(64 - ngram_join.COMMON_BITS)).astype(np.int64)] = 1
+    with np.errstate(over="ignore"):
+        signer = ngram_join.Signer(ngram_join.Similarity(4, 5), np.packbits(bits, bitorder="little").tobytes())
+        for n in (50, 200, 800):
+            sigs = [np.unique(signer(np.unique(np.concatenate((passage, rng.integers(0, 2**64, 200, dtype=np.uint64)))))) for _ in range(n)]
+            _, times = np.unique(np.concatenate(sigs), return_counts=True)
+            assert (times > 1).sum() <= n * 0.02
+
+
 # ---- 7: quality ----
 def test_quality(spark):
     rng = random.Random(0)
@@ -335,6 +395,34 @@ def test_quality(spark):
     assert kept.columns == df.columns and 70 <= kept.count() <= 92
 
 
+def test_quality_pairs_against_plain_descent():
+    """Newton's weights make the gradient of the pair loss vanish, and scores are the logistic function around the quantile."""
+    rng = np.random.default_rng(1)
+    y = np.arange(200) % 3 == 0
+    x = np.hstack([rng.normal(0, 1, (200, 3)) + y[:, None], np.ones((200, 1))])
+    m = quality.fit_pairs(x, y.astype(int), pairs=4000)
+    z, r = (x - x.mean(0)) / np.where(x.std(0) > 1e-9, x.std(0), 1), np.random.default_rng(7)
+    d = z[r.choice(np.flatnonzero(y), 4000)] - z[r.choice(np.flatnonzero(~y), 4000)]
+    grad = d.T @ (1 / (1 + np.exp(-d @ m.weights)) - 1) / 4000 + 1e-3 * m.weights
+    assert np.abs(grad).max() < 1e-6 and m.threshold == pytest.approx(np.quantile(z @ m.weights, 1 - y.mean()))
+    s = m.scores(x)
+    assert ((s >= 0.5) == (z @ m.weights >= m.threshold - 1e-12)).all() and (s[y].mean() > 0.5 > s[~y].mean())
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "score", "predicted", "_keep", "_doc", "_row_hash", "_body", "row", "keep", "doc", "body", "head", "n_shingles", "component_id"]
+    rng = random.Random(0)
+    good = [" ".join(rng.choices(WORDS, k=40)).capitalize() + "." for _ in range(30)]
+    bad = [" ".join(x + "%%%" for x in rng.choices(WORDS, k=40)) for _ in range(30)]
+    rows = [(i, t, "mine", *[f"{c}{i}" for c in names[3:]]) for i, t in enumerate([*good, *bad, None, ""])]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    labels = spark.createDataFrame([(i, int(i < 30), 0, 1.0) for i in range(60)], "doc_id long, quality int, toxic int, h double")
+    bench = spark.createDataFrame([(0, good[3], "x", 1)], "item_id long, text string, n string, h int")
+    for out in (quality.keep_good(df, labels), line_dedup.dedup_lines(df), ngram_join.one_of_each(df), decontaminate.without_leaks(df, bench)):
+        assert out.columns == names and out.schema == df.schema
+        assert set(map(tuple, out.collect())) <= set(rows) and out.count() >= 30
+
+
 # ---- 8: pages ----
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Menu</a></li></ul></nav><div class="ad">Buy</div><header>Site</header>
@@ -371,6 +459,44 @@ def test_named_containers_of_the_article(wrap):
     assert html_extract.Page('<div>The text itself</div><div class="ad">Buy</div>').text() == "The text itself"
 
 
+def test_templates_by_shape_against_counting_by_hand(spark):
+    """A host's link boxes go by their shape though they never say the same; texts, big ones and rare ones stay."""
+    rng = random.Random(3)
+    say = lambda k: " ".join(rng.choices(WORDS, k=k))
+    links = lambda k: "".join(f"<li><a href='/{i}'>{say(2)}</a></li>" for i in range(k))
+    rows, want = [], {}
+    for i in range(7):
+        story, intro = say(60), say(4)
+        rows.append((i, "http://s.example/", f"<div class='box b{i}'><ul>{links(rng.randint(2, 5))}</ul></div><div class=intro>{intro}</div><div class=story><p>{story}</p></div><div>Same end</div>"))
+        want[i] = f"{intro}\n{story}"
+    for i in range(10, 14):  # too few pages of this host
+        text = say(2)
+        rows.append((i, "http://few.example/", f"<div class=box><ul><li><a>{text}</a></li></ul></div><div class=story>{say(30)}</div>"))
+        want[i] = f"{text}\n" + re.sub("<.*?>", "", rows[-1][2].split("story>")[1])
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {i: r.text for i, r in got.items()} == want
+    assert all(r.n_templates == (2 if i < 10 else 0) for i, r in got.items())
+    # the links of an article and a page that is links for the most part are no templates
+    rows = [(i, "http://s.example/", f"<article><p>{say(3)}</p><ul class=refs>{links(4)}</ul></article>") for i in range(6)] + [(10 + i, "http://t.example/", f"<div class=all><a>{say(9)}</a></div><p>{say(2)}</p>") for i in range(6)]
+    assert all("\n" in r.text and not r.n_templates for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+
+
+@pytest.mark.parametrize("part", ["x <b y ", '<b a="', "<div>", "</x>", "<b>x<p>", "<li><div><b>", "<a href='", "<!-- ", "<ul><li>x"])
+def test_long_pages_take_linear_time(part):
+    import time
+
+    html_extract.Page(part * 10)
+    began = time.perf_counter()
+    html_extract.Page(part * (2_000_000 // len(part))).text()
+    assert time.perf_counter() - began < 30
+
+
+def test_weak_names_in_an_article():
+    page = '<article><div class="search"><p>Most of the article is in here, oddly named</p></div><div class="share">Share it</div><p>Rest</p><math>x</math></article>'
+    assert html_extract.Page(page).text() == "Most of the article is in here, oddly named\nRest\nx"
+    assert html_extract.Page('<article><p>Short</p><div class="comments">Very many comments of readers</div></article>').text() == "Short"
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;a!-x", max_size=60))
 def test_any_html_parses(text):
@@ -465,6 +591,23 @@ def test_items_with_their_parts_in_another_order(spark):
     assert [r.doc_id for r in decontaminate.without_leaks(docs_of(spark, texts), bench).collect()] == [1]
 
 
+def test_leaks_against_every_window(spark):
+    rng = random.Random(21)
+    say = lambda k, n=300: rng.choices(WORDS[:n], k=k)
+    items = [(k, " ".join(say(n, v))) for k, (n, v) in enumerate([(8, 300), (20, 300), (20, 300), (45, 300), (60, 300), (30, 4), (9, 2)])]
+    texts = []
+    for _, item in items:
+        w = item.split()
+        half = len(w) // 2
+        for v in (w[half:] + w[:half], w[:half] + say(1) + w[half:], w[:half] + say(4) + w[half:], w[1:], w[: half + 3], w[:-1] + say(1), w + w, w * 3, [x.upper() + "," for x in w]):
+            texts.append(" ".join(say(rng.randint(0, 30)) + v + say(rng.randint(0, 30))))
+    texts.append(" ".join(say(20_000) + items[4][1].split() + say(5_000)))
+    rows = list(enumerate(texts))
+    bench = spark.createDataFrame([(k, t, 1, "h") for k, t in items], "item_id long, text string, n int, h string")
+    got = {(r.doc_id, r.item_id, r.start, r.common) for r in decontaminate.contaminated_windows(docs_of(spark, texts), bench).collect()}
+    assert got == brute_windows(rows, items) and len({(d, k) for d, k, *_ in got}) > 30
+
+
 def test_repeated_words_weigh_as_often_as_they_occur(spark):
     bench = spark.createDataFrame([(0, "a b " * 10)], "item_id long, text string")
     got = decontaminate.leaks(docs_of(spark, ["a b " * 10, "a b a b a b c d e f"]), bench).collect()
