@@ -1,14 +1,17 @@
 """Benchmark decontamination with SimHash windows, in DataFrame functions only.
 
-A text's windows are as long as the benchmark item they are held against. A
-window may begin anywhere, but similarity s takes s / (1 + s) of both sizes in
-common shingles, so only windows with as many places of an item's shingles, in
-whatever order, are made; no other can match. Each window gets a 64-bit SimHash of its shingles. Items are
-indexed by eight 8-bit blocks of their own SimHash, each with every variant of
-at most two flipped bits: fingerprints within ``RADIUS`` = 23 bits differ in at
-most two bits in one of the eight blocks, so the index finds all of them. The
-candidates are verified by weighted Jaccard similarity of their shingles (the
-weight of a shingle is its number of occurrences).
+Windows as long as each benchmark item slide over every text, one length after
+the other, whatever item has it; each window gets a 64-bit SimHash of its
+shingles. Similarity s takes s / (1 + s) of both sizes in common shingles, so a
+window with fewer places of shingles that any item of its length has cannot match
+and is not hashed; nothing else is passed over. Items are indexed by eight 8-bit blocks of
+their own SimHash, each with every variant of at most two flipped bits:
+fingerprints within ``RADIUS`` = 23 bits differ in at most two bits in one of the
+eight blocks, so the index finds all of them, and it alone says which items a
+window is held against. Those are verified by weighted Jaccard similarity of
+their shingles (the weight of a shingle is its number of occurrences).
+
+The index carries numbers only; the items' shingles join the survivors.
 
 Words are the longest runs of letters and digits, lower-cased, so punctuation
 and case do not hide a passage. Texts and items are read whole.
@@ -28,13 +31,12 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, sized
 
 WORDS = 5
 RADIUS = 23
 BLOCKS = 8
 FLIPS = [0, *(1 << i for i in range(8)), *(1 << i | 1 << j for i, j in combinations(range(8), 2))]
-BROADCAST_ROWS = 1_000_000
 
 
 def words(text: str = "text") -> Column:
@@ -58,16 +60,12 @@ def simhash(hashes: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: F.shiftleft(a, 1).bitwiseOR(b))
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    """A broadcast hint only where the counted rows are few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def item_index(benchmark: DataFrame) -> DataFrame:
-    """``(item_id, n, item_shingles, item_hash)`` of each item with at least five words."""
+    """``(item_id, n, item_shingles, item_hash, item_repeats)`` of each item with at least five words."""
     items = benchmark.where("item_id is not null").select("item_id", words().alias("w")).distinct().where(F.size("w") >= WORDS)
     items = items.select("item_id", shingles("w").alias("item_shingles"), (F.size("w") - (WORDS - 1)).alias("n"))
-    return items.withColumn("item_hash", simhash(F.col("item_shingles")))
+    items = items.withColumns({"item_hash": simhash(F.col("item_shingles")), "ordered": F.array_sort("item_shingles")})
+    return items.withColumn("item_repeats", repeated("ordered")).drop("ordered")
 
 
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
@@ -79,13 +77,13 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, num: int = 4, de
     counts = items.agg(F.count("*"), F.sum("n")).first()
     n_items, n_places = counts[0], counts[1] or 0
 
-    places = items.select("item_id", "n", F.explode(F.array_distinct("item_shingles")).alias("h"))
+    known = items.select("n", F.explode("item_shingles").alias("h")).distinct()
     texts = docs.where("doc_id is not null").select("doc_id", "text")
     runs = texts.select("doc_id", words().alias("w"), F.xxhash64("text").alias("row")).select("doc_id", "row", shingles("w").alias("s"))
     # The size goes below the generator, so that no exploded row carries the array; an outer generator,
     # as for an inner one the optimizer would filter on the array's size and inline the whole expression.
     spread = runs.select("doc_id", "row", "s", F.size("s").alias("size")).select("doc_id", "row", "size", F.posexplode_outer("s").alias("pos", "h"))
-    met = spread.join(_sized(places, n_places), "h").groupBy("doc_id", "row", "item_id", "n", "size").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    met = spread.join(sized(known, n_places), "h").groupBy("doc_id", "row", "size", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
     long = F.least("n", "size")
     need = F.ceil((F.col("n") + long) * num / F.lit(float(num + den)) - 1e-9).cast("int")
     met = met.select("doc_id", "row", "n", "size", "at", long.alias("long"), need.alias("need")).where(F.size("at") >= F.col("need"))
@@ -96,8 +94,9 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, num: int = 4, de
     spans = met.select("doc_id", "row", "n", F.explode(F.array_distinct(F.filter(held_by, lambda x: x.isNotNull()))).alias("x"))
     starts = checkpointed(spans.select("doc_id", "row", "n", F.explode(F.sequence("x.low", "x.high")).alias("start")).distinct())
 
-    hit = starts.groupBy("doc_id", "row").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
-    held = texts.withColumn("row", F.xxhash64("text")).join(hit, ["doc_id", "row"])
+    hit = checkpointed(starts.groupBy("doc_id", "row").agg(F.collect_list(F.struct("start", "n")).alias("spans")))
+    few = sized(hit.select("doc_id", "row"), hit.count())
+    held = texts.withColumn("row", F.xxhash64("text")).join(few, ["doc_id", "row"], "left_semi").join(sized(hit, starts.count()), ["doc_id", "row"])
     held = held.select("doc_id", "row", "spans", words().alias("w")).select("doc_id", "row", "spans", shingles("w").alias("s"))
     # one window at a time: all windows of a text are many times the text
     windows = held.select("doc_id", "row", "s", F.explode_outer("spans").alias("x"))
@@ -105,30 +104,35 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame, num: int = 4, de
     windows = windows.withColumn("hash", simhash(F.col("window")))
 
     block = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    keys = items.select("item_id", "n", "item_shingles", "item_hash", F.explode(block).alias("k"))
+    keys = items.select("item_id", "n", "item_hash", F.explode(block).alias("k"))
     keys = keys.withColumn("part", F.expr("cast(shiftrightunsigned(item_hash, 8 * k) & 255 as int)"))
     keys = keys.withColumn("flip", F.explode(F.array(*map(F.lit, FLIPS)))).withColumn("part", F.col("part").bitwiseXOR(F.col("flip"))).drop("flip")
     probes = windows.withColumn("k", F.explode(block)).withColumn("part", F.expr("cast(shiftrightunsigned(hash, 8 * k) & 255 as int)"))
     distance = F.bit_count(F.col("hash").bitwiseXOR(F.col("item_hash")))
-    near = probes.join(_sized(keys, n_items * BLOCKS * len(FLIPS)), ["n", "k", "part"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
+    near = probes.join(sized(keys, n_items * BLOCKS * len(FLIPS)), ["n", "k", "part"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
     # the same pair comes once from each agreeing block: keep its first
     first = F.expr("""array_min(filter(sequence(0, 7), b ->
         bit_count((shiftrightunsigned(hash, 8 * b) ^ shiftrightunsigned(item_hash, 8 * b)) & 255) <= 2))""")
-    near = near.where(F.col("k") == first)
+    near = near.where(F.col("k") == first).join(sized(items, n_places), ["item_id", "n", "item_hash"])
+    near = near.withColumn("ordered", F.array_sort("window")).withColumn("again", F.array_intersect(repeated("ordered"), F.col("item_repeats")))
 
-    common = _common(F.col("window"), F.col("item_shingles"))
+    common = _common(F.col("window"), F.col("item_shingles"), F.col("again"))
     total = F.size("window") + F.size("item_shingles") - F.col("common")
     out = near.withColumn("common", common).withColumn("total", total).where(F.col("common") * den >= F.col("total") * num)
     return out.select("doc_id", "item_id", "start", "distance", "common", "total").distinct()
 
 
-def _common(a: Column, b: Column) -> Column:
-    """The number of common elements, each counted as often as both have it."""
-    once = F.array_intersect(a, b)
-    def least(x: Column) -> Column:
-        return F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x)))
+def repeated(ordered: str) -> Column:
+    """The elements that occur more than once in a sorted array column."""
+    return F.array_distinct(F.filter(ordered, lambda x, i: F.get(F.col(ordered), i + 1) == x))
+
+
+def _common(a: Column, b: Column, again: Column) -> Column:
+    """The number of common elements, each counted as often as both have it; ``again`` holds those that both repeat."""
+    def more(x: Column) -> Column:
+        return F.least(F.size(F.filter(a, lambda y: y == x)), F.size(F.filter(b, lambda y: y == x))) - 1
 
-    return F.aggregate(once, F.lit(0), lambda n, x: n + least(x))
+    return F.aggregate(again, F.size(F.array_intersect(a, b)), lambda n, x: n + more(x))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -147,5 +151,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; its columns stay, rows with null ids too."""
-    gone = contaminated_windows(docs, benchmark).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = checkpointed(contaminated_windows(docs, benchmark).select("doc_id").distinct())
+    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
