@@ -3,10 +3,11 @@
 A conversation is a log of events ordered by sequence number: ``message`` opens
 a message with a role and its first text, ``delta`` adds streamed text to it,
 ``edit`` replaces its text, ``regenerate`` throws its text away so that later
-deltas write it anew. Logs are partitioned by conversation and message, sorted by
-sequence and folded in one streaming pass that holds one message at a time, so a
-conversation with a third of all events is spread over its messages. Folded
-messages are rendered one by one; a conversation's text is its segments in order.
+deltas write it anew. Logs are partitioned by conversation once and sorted by
+message and sequence; one streaming pass folds them, holding one message at a
+time. Folded messages are rendered and, sorted by sequence where they are, read
+back with running digests, so nothing is shuffled again. A table of turns becomes
+a log of openings and deltas of at most ``PIECE`` code points.
 
 Template: a message is ``<|im_start|>role\\ntext<|im_end|>\\n``. Inside role and
 text every ``<`` and ``&`` that could start a control string is escaped
@@ -34,6 +35,7 @@ from .common import rows_to_batches, wider
 START, END = "<|im_start|>", "<|im_end|>"
 SEGMENT = re.compile(r"<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n", re.S)
 _ESCAPES = (("&", "&amp;"), ("<|", "&lt;|"))
+PIECE = 2_000
 LOG = "conv_id long, message string, seq long, kind string, role string, text string"
 
 
@@ -61,17 +63,23 @@ def unescape_role(role: str) -> str:
 def conversation_log(conversations: DataFrame) -> DataFrame:
     """A table of finished turns as a log: each row opens a message and streams its text."""
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1).cast("long"))
-    base = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("seq"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    # rows of one turn that are alike in everything need names of their own
-    base = base.groupBy("conv_id", "seq", "role", "text").agg(F.count("*").alias("n")).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return base.select("conv_id", F.concat_ws("|", "seq", F.sha2("role", 256), F.sha2("text", 256), "copy").alias("message"), "seq", F.lit("message").alias("kind"), "role", "text")
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.monotonically_increasing_id().cast("string").alias("message"), turn.alias("turn"),
+        F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
+    )
+    # the size goes below the generator, so that no exploded row carries it all
+    pieces = F.ceil(F.length("text") / PIECE).cast("int")
+    opening = F.struct(F.col("turn").alias("seq"), F.lit("message").alias("kind"), F.col("role"), F.lit("").alias("text"))
+    delta = lambda i: F.struct((F.col("turn") + i).alias("seq"), F.lit("delta").alias("kind"), F.lit(None).cast("string").alias("role"), F.substr("text", (i - 1) * PIECE + 1, F.lit(PIECE)).alias("text"))
+    deltas = F.when(pieces > 0, F.transform(F.sequence(F.lit(1), pieces), delta)).otherwise(F.array().cast("array<struct<seq:bigint,kind:string,role:string,text:string>>"))
+    return rows.select("conv_id", "message", F.explode(F.concat(F.array(opening), deltas)).alias("e")).select("conv_id", "message", "e.*")
 
 
 def fold(log: DataFrame) -> DataFrame:
     """``(conv_id, seq, role, text)``: the final messages of a log with the columns of ``LOG``.
 
     ``seq`` is that of the event that opened the message. Of several openings of
-    one name the first counts.
+    one name the first counts. All messages of a conversation are in one partition.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("seq", pa.int64()), ("role", pa.string()), ("text", pa.string())])
 
@@ -97,7 +105,7 @@ def fold(log: DataFrame) -> DataFrame:
 
         return rows_to_batches(messages(), schema, 2_000)
 
-    ordered = log.select("conv_id", "message", "seq", "kind", "role", "text").repartition("conv_id", "message").sortWithinPartitions("conv_id", "message", "seq", F.expr("kind <> 'message'"), "role", "text")
+    ordered = log.select("conv_id", "message", "seq", "kind", "role", "text").repartition("conv_id").sortWithinPartitions("conv_id", "message", "seq", F.expr("kind <> 'message'"), "role", "text")
     return ordered.mapInArrow(run, "conv_id long, seq long, role string, text string")
 
 
@@ -122,7 +130,8 @@ def render(messages: DataFrame) -> DataFrame:
 def read_back(segments: DataFrame) -> DataFrame:
     """Per conversation, what its rendered segments say when parsed again.
 
-    One streaming pass over the sorted segments with running digests: a long
+    The segments of a conversation must be in one partition, as ``fold`` leaves
+    them. One streaming pass over the sorted segments with running digests: a long
     conversation takes no memory beyond one segment.
     """
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -153,7 +162,7 @@ def read_back(segments: DataFrame) -> DataFrame:
 
         return rows_to_batches(rows(), schema)
 
-    ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "role", "text").select("conv_id", "segment", "loss_start", "loss_end")
+    ordered = segments.sortWithinPartitions("conv_id", "seq", "role", "text").select("conv_id", "segment", "loss_start", "loss_end")
     return ordered.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
