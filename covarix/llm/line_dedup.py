@@ -22,12 +22,13 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_to_batches, text_bytes
+from .common import checkpointed, release, rows_to_batches, slices, text_bytes
 
 STRIP = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)  # stands for a null doc_id, below every other
@@ -46,7 +47,7 @@ def line_keys(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]):
         digest = xxhash.xxh3_128_intdigest
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             for doc, rh, body in zip(*(c.to_pylist() for c in b.columns)):
                 doc = NO_ID if doc is None else doc
                 for pos, line in enumerate(body.split(b"\n")):
@@ -106,6 +107,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Da
     keys = checkpointed(line_keys(docs, min_chars))
     ranges = keys.repartitionByRange("h1", "h2", F.desc("doc")).sortWithinPartitions("h1", "h2", F.desc("doc"), "row_hash", "pos")
     out = checkpointed(ranges.mapInArrow(lambda it: rows_to_batches(_stream(it, min_docs), schema), _OUT))
+    release(keys)
     # two keys a range at most, min_docs documents each: bounded by the number of ranges
     edge = out.where(F.col("kind") == SEEN).groupBy("h1", "h2").agg(F.max("doc").alias("top"), F.size(F.collect_set("doc")).alias("n")).where(F.col("n") >= min_docs)
     late = out.where(F.col("kind") == OPEN).join(F.broadcast(edge), ["h1", "h2"]).where("doc <> top")
@@ -145,38 +147,36 @@ def kept_lines(body: bytes, keep: bytes | None) -> tuple[list[bytes], int]:
 
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    d = docs.withColumn("_row_hash", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc", F.coalesce("doc_id", F.lit(NO_ID)))
-    m = bitmaps.select(F.col("doc").alias("_doc"), F.col("row_hash").alias("_row_hash"), F.col("keep").alias("_keep"))
-    return d.join(m, ["_doc", "_row_hash"], "left")
+    """``(row, keep)``: each row as one struct, so that its columns may have any name."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    d = docs.select(row.alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
+    return d.join(bitmaps.select("doc", "row_hash", "keep"), ["doc", "row_hash"], "left").select("row", "keep")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with repeated lines gone from ``text``; all its columns stay. A null text stays null."""
-    cols = docs.columns
-    both = _with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
-    schema = docs.schema
-
-    def cut(batches):
-        for b in batches:
-            texts, keeps = b.column("text").to_pylist(), b.column("_keep").to_pylist()
-            new = [t if k is None else b"\n".join(kept_lines((t or "").encode(), k)[0]).decode() for t, k in zip(texts, keeps)]
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()) if c == "text" else b.column(c) for c in cols], names=cols)
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, keep: pd.Series) -> pd.Series:
+        return pd.Series([t if k is None else b"\n".join(kept_lines((t or "").encode(), k)[0]).decode() for t, k in zip(text, keep)], dtype=object)
 
-    return both.select(*cols, "_keep").mapInArrow(cut, schema)
+    both = _with_bitmaps(docs, keep_bitmaps(docs, min_docs, min_chars))
+    # only texts that lose lines go through Python
+    new = F.when(F.col("keep").isNull(), F.col("row.text")).otherwise(cut(F.when(F.col("keep").isNotNull(), F.col("row.text")), F.col("keep")))
+    return both.select(F.col("row").withField("text", new).alias("row")).select("row.*")
 
 
 def line_report(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """Per document: lines before, lines dropped, and the digest of what is kept."""
-    both = _with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars))
+    both = _with_bitmaps(docs.select("doc_id", "text"), keep_bitmaps(docs, min_docs, min_chars)).select("row.doc_id", text_bytes("row.text").alias("body"), "keep")
     schema = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
 
     def digest(batches):
         def rows():
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole)):
                 for doc, body, keep in zip(*(c.to_pylist() for c in b.columns)):
                     kept, n = kept_lines(body, keep)
                     yield doc, n, n - len(kept), hashlib.sha256(b"\n".join(kept)).hexdigest()
 
         return rows_to_batches(rows(), schema)
 
-    return both.select("doc_id", text_bytes().alias("body"), "_keep").mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return both.mapInArrow(digest, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -12,7 +12,8 @@ by smallest hash); scoring reads every document.
 
 Defined cases: null and empty texts have an all-zero vector and are scored like
 any other; labels without a document, without a quality or with a null id are
-not used; with no pair of different labels every score is the share of good
+not used; a document with both labels counts as one of each; of rows repeating a
+labelled id the one of smallest hash counts; with no pair of different labels every score is the share of good
 labels (0.5 without labels); repeated rows are scored each. Columns other than
 ``doc_id`` and ``text`` are never features.
 """
@@ -22,11 +23,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, wider
+from .common import slices, text_bytes
 
 PRINTABLE = list(range(32, 127))
 N_FEATURES = len(PRINTABLE) + 17
@@ -111,30 +113,32 @@ def train(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> Model
     seen = docs.select("doc_id", text_bytes().alias("body")).join(F.broadcast(use), "doc_id")
 
     def vectors(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), b.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "h", "x"])
 
-    rows = seen.mapInArrow(vectors, "doc_id long, y int, x array<double>").limit(2 * max_labels).toArrow()
-    x = np.array(rows.column("x").to_pylist()).reshape(-1, N_FEATURES)
+    rows = seen.withColumn("h", F.xxhash64("body")).mapInArrow(vectors, "doc_id long, y int, h long, x array<double>")
+    rows = rows.groupBy("doc_id", "y").agg(F.min_by("x", "h").alias("x")).toArrow()
+    x = rows.column("x").combine_chunks().flatten().to_numpy().reshape(-1, N_FEATURES)
     y = rows.column("y").to_numpy()
     order = np.lexsort((x[:, 0], y, rows.column("doc_id").to_numpy())) if len(y) else slice(None)
     return fit_pairs(x[order], y[order])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if the score is at least 0.5)."""
+    """``(row, score)``: each row of ``docs`` as one struct, so that its columns may have any name, and its score from 0 to 1.
+
+    Only the text goes to Python and only a number comes back.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    cols = [c for c in docs.columns if c not in ("score", "predicted")]
 
-    def add(batches):
-        for b in batches:
-            x = np.array([features(t) for t in b.column("_body").to_pylist()]).reshape(-1, N_FEATURES)
-            s = shared.value.scores(x)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=[*cols, "score", "predicted"])
+    @F.pandas_udf("double")
+    def of(body: pd.Series) -> pd.Series:
+        out = [shared.value.scores(np.array([features(t) for t in body.iloc[at : at + 1000]])) for at in range(0, len(body), 1000)]
+        return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
-    out = wider(docs.select(*cols), "score double, predicted int")
-    return docs.select(*cols, text_bytes().alias("_body")).mapInArrow(add, out)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), of(text_bytes()).alias("score"))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> DataFrame:
@@ -143,7 +147,7 @@ def quality_report(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole)):
             x = np.array([features(t) for t in b.column(2).to_pylist()]).reshape(-1, N_FEATURES)
             s = shared.value.scores(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype("int32"))], names=["doc_id", "held_out", "score", "predicted"])
@@ -152,6 +156,5 @@ def quality_report(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_labels: int = 20_000) -> DataFrame:
-    """``docs`` without those that the classifier rejects; its columns stay."""
-    cols = docs.columns
-    return score(docs, train(docs, labels, max_labels)).where("predicted = 1").select(*cols)
+    """``docs`` without those that the classifier rejects; its own columns stay as they are, whatever their names."""
+    return score(docs, train(docs, labels, max_labels)).where("score >= 0.5").select("row.*")
