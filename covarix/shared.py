@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+EDGES = 50_000  # of a graph, a task
 
 
 def release(*frames: DataFrame) -> None:
@@ -73,7 +74,9 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
     e = checkpointed(e)
     before = _fingerprint(e)
     while True:
-        old, e = e, checkpointed(_small_star(_large_star(e)))
+        # as many tasks and files as the edges need, not as the session's shuffles have
+        parts = max(2, -(-before[0] // EDGES))
+        old, e = e, checkpointed(_small_star(_large_star(e.coalesce(parts), parts), parts))
         release(old)
         after = _fingerprint(e)
         if after == before:
@@ -88,15 +91,16 @@ def _fingerprint(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _large_star(e: DataFrame, parts: int) -> DataFrame:
     """Every neighbour larger than a node moves to that node's smallest neighbour."""
     both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(parts)
+    moved = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.coalesce(parts).distinct().coalesce(parts)
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, parts: int) -> DataFrame:
     """Every neighbour not above a node, and the node, moves to the smallest of them."""
-    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    low = e.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
     moved = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
+    return moved.unionByName(low.select("u", F.col("m").alias("v"))).coalesce(parts).distinct().coalesce(parts)
