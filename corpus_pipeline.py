@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from covarix.llm.common import checkpointed, table
+from covarix.llm.common import checkpointed, release, table
 from covarix.llm.decontaminate import without_leaks
 from covarix.llm.line_dedup import dedup_lines
 from covarix.llm.ngram_join import Similarity, one_of_each
@@ -52,15 +52,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing),
 ]
 
-# Tokens, signatures and a trained model are beyond SQL; tests hold run() against a brute-force version.
+# Tokens, signatures and a trained model are beyond SQL; a test holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; between stages the rows are checkpointed instead of written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; between stages the rows are checkpointed instead of written, each until the next one is."""
+    docs, old = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = checkpointed(docs)
+            release(*old)
+            old = [docs]
     return docs
