@@ -1,17 +1,21 @@
 """Main-text extraction from HTML with site template removal.
 
-Each page is read in one pass into text blocks. Elements that name themselves
-as something else than the article (menus, footers, forms, adverts, comments,
-...) give none: by their tag or role, or by a whole class or id, but then not an
-article, and where no other article has text not what holds one or most of the
-page's text. Of the rest, element subtrees are hashed; Spark counts for each
-host on how many differing pages a subtree recurs, and subtrees that recur on
-``min_pages`` or more are deleted in a second pass. Pages count as differing by
-their whole text, so copies of one page do not turn its article into a template;
-and paragraphs, headings, list items and the like inside an article
-are never templates, only containers there are. Counts are (host, subtree)
-aggregates with map-side combine, so a host with a third of all pages is no
-single task.
+Every element subtree of a page is hashed from the hashes of what it holds, twice:
+exactly (tag, class, id, texts) and by shape (tag, class, id, role, the shapes of
+its parts, no text, repeated parts once). Spark counts both per host over differing
+pages, and a second pass deletes subtrees that recur on ``min_pages`` or more: by
+exact hash any, by shape those that are no article, hold at most half of the
+page's text, and either are links for the most part or name themselves as
+something else than the article (menus, footers, forms, adverts, comments, ...).
+So a menu, a footer line or an advert goes that looks alike on a site's pages
+though it never says the same. Only then, for hosts with few pages, do names
+decide alone: by tag or role, or by a whole class or id, but then not an article,
+and where no other article has text not what holds one or most of the page's text.
+Pages count as differing by their whole text, so copies of one page do not turn
+its article into a template; and paragraphs, headings, list items and the like
+inside an article are never templates, only containers there are, by exact hash.
+Counts are (host, subtree) aggregates with map-side combine, so a host with a
+third of all pages is no single task. Reading is linear in the page's length.
 
 Blocks: character references decoded, white space collapsed to one space,
 trimmed, empty ones left out, joined by one line end in page order. A page with
@@ -19,9 +23,10 @@ trimmed, empty ones left out, joined by one line end in page order. A page with
 is left of its body.
 
 Defined cases: null and empty html give an empty text; unclosed elements end
-with their parent, unmatched end tags are ignored; a null or odd url has its own
-empty host; repeated rows are extracted each; only ``page_id``, ``url`` and
-``html`` are read.
+with their parent, unmatched end tags are ignored; a tag that never ends is text
+up to the end of the page; end tags and implied ends look at most ``DEEP`` elements
+up; a null or odd url has its own empty host; repeated rows are extracted each;
+only ``page_id``, ``url`` and ``html`` are read.
 """
 
 from __future__ import annotations
@@ -34,24 +39,33 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, rows_to_batches
+from .common import checkpointed, rows_to_batches, sized, slices
 
+DEEP = 512
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
-NEVER = frozenset("script style noscript iframe template textarea title head nav footer aside form button select svg canvas object dialog menu audio video math".split())
+NEVER = frozenset("script style noscript iframe template textarea title head nav footer aside form button select svg canvas object dialog menu audio video".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
+# Names of what is no article; the second line's may also name a part of one.
 WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer comment comments disqus replies cookie cookies notice notices consent gdpr popup modal newsletter subscribe subscription share sharing social related "
-    "widget widgets pagination pager login signup search toolbar toc skip masthead topbar copyright".split()
+    "ad ads adv advert adverts advertisement advertising adbox adsense banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies cookie cookies consent gdpr popup modal newsletter pagination pager login signup toolbar masthead topbar copyright".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+WEAK = frozenset("sponsor sponsored promo promotion notice notices subscribe subscription share sharing social related widget widgets search toc skip".split())
+SIMPLE = re.compile(r"""<(/?)([A-Za-z][^\s/>"'<]*+)((?:[^<>"']++|"[^"<>]*+")*+)>""")  # reads no further than to the next tag
+NAME = re.compile(r"[^\s/>]*")
+ENDS = re.compile(r"""[>"']""")
 ATTR = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"']+)""")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+DIGITS = re.compile(r"[0-9]+")
+RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+
+
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -66,19 +80,37 @@ def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or bool(HIDDEN.search(attrs.get("style", "")))
 
 
-def _named(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether class or id have a word for something else than the article; an article inside another one may."""
+def _named(tag: str, attrs: dict[str, str], in_article: bool) -> str:
+    """``strong`` or ``weak`` if class or id have a word for something else than the article; an article inside another one may."""
     if not attrs or tag in ("html", "body", "main") or tag == "article" and not in_article:
-        return False
+        return ""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
-    return not WORDS.isdisjoint(names) or not in_article and "header" in names
+    if not WORDS.isdisjoint(names) or not in_article and "header" in names:
+        return "strong"
+    return "" if WEAK.isdisjoint(names) else "weak"
+
+
+class _Open:
+    """An open element: what it is, where its text begins, and the hashes of what it holds."""
+
+    __slots__ = ("tag", "dropped", "region", "first", "name", "number", "named", "parts", "shapes", "letters", "links", "plain", "article", "inner")
+
+    def __init__(self, tag, dropped, region, first, name, number, named, letters, links, plain, article):
+        self.tag, self.dropped, self.region, self.first, self.name, self.number, self.named = tag, dropped, region, first, name, number, named
+        self.letters, self.links, self.plain, self.article = letters, links, plain, article
+        self.parts: list[int] = []
+        self.shapes: list[int] = []
+        self.inner = 0
 
 
 class Page:
-    """The text blocks of one page; ``gone`` holds subtree hashes to delete."""
+    """The text blocks of one page.
 
-    def __init__(self, html: str, gone: frozenset[int] = frozenset()) -> None:
-        self.gone = gone
+    ``gone`` holds the subtrees to delete, hashed with their host; ``letters`` the page's size as an earlier reading found it.
+    """
+
+    def __init__(self, html: str, gone: frozenset[int] = frozenset(), letters: int = 0, site: str = "") -> None:
+        self.gone, self.size, self.site = gone, letters, site
         self.kept: set[int] = set()  # numbers of named elements that give text all the same
         self._start()
         self._read(html)
@@ -89,82 +121,150 @@ class Page:
 
     def _start(self) -> None:
         self.blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
-        self.subtrees: list[int] = []
+        self.exact: set[int] = set()
+        self.alike: list[tuple[int, int]] = []  # shapes and letters
         self.held: list[str] = []
-        self.stack: list[tuple[str, int, int, int, str]] = []  # tag, dropped (1: by name), region, first block, class and id
+        self.stack: list[_Open] = []
+        self.open: dict[str, int] = {}  # how many elements of each name are open
         self.opened = 0
-        self.named: list[tuple[int, int]] = []  # depth and number of the open elements dropped by their own name
-        self.held_by: dict[int, int] = {}  # letters in each of them
-        self.around: set[int] = set()  # those around or in an article
-        self.letters = self.in_article = 0
+        self.weak: list[tuple[int, int, int]] = []  # named elements closed: number, letters but for those dropped by tag or role, letters in articles
+        self.strong: list[tuple[int, int, int]] = []
+        self.letters = self.links = self.plain = self.in_article = self.of_articles = self.templates = 0
 
     def _wrongly_named(self) -> set[int]:
-        """Without other article text, the named elements that hold an article or most of the page's text."""
-        if self.in_article:
-            return set()
-        return self.around | {i for i, n in self.held_by.items() if 2 * n > self.letters}
+        """Named elements that hold an article or most of the text, without other article text; weakly named ones that hold most of an article."""
+        if not self.in_article:
+            return {i for i, n, a in self.weak + self.strong if a or 2 * n > self.plain}
+        return {i for i, _, a in self.weak if 2 * a > self.of_articles}
 
     def _flush(self) -> None:
         if self.held:
             text = " ".join(unescape("".join(self.held)).split())
             self.held.clear()
             if text:
-                self.blocks.append((self.stack[-1][2] if self.stack else 0, text))
+                self.blocks.append((self.stack[-1].region if self.stack else 0, text))
+                if self.stack:
+                    self.stack[-1].parts.append(_hash(text))
 
     def _close(self, upto: int) -> None:
         while len(self.stack) > upto:
-            tag, dropped, region, first, name = self.stack[-1]
-            if tag in BLOCK:
+            e = self.stack[-1]
+            block = e.tag in BLOCK
+            if block:
                 self._flush()
-                if not dropped and len(self.blocks) > first and (tag in CONTAINERS if region == 2 else tag not in ("html", "body", "main", "article")):
-                    h = xxhash.xxh3_64_intdigest(f"{tag}\0{name}\0" + "\0".join(t for _, t in self.blocks[first:])) - (1 << 63)
-                    if h in self.gone:
-                        del self.blocks[first:]
-                    else:
-                        self.subtrees.append(h)
             self.stack.pop()
-            if self.named and self.named[-1][0] == len(self.stack):
-                self.named.pop()
+            self.open[e.tag] -= 1
+            up = self.stack[-1] if self.stack else None
+            if not block and not e.parts and not e.named and (e.tag != "a" or e.region == 2):
+                if up:
+                    up.inner += e.inner
+                else:
+                    self.templates += e.inner
+                continue
+            letters, inside = self.letters - e.letters, self.of_articles - e.article
+            if e.named:
+                (self.weak if e.named == "weak" else self.strong).append((e.number, self.plain - e.plain, inside))
+            exact = _hash(f"{e.tag}\0{e.name}\0{e.parts}") if e.parts else 0
+            shape = 0
+            if e.region < 2:  # shapes matter outside articles only
+                once = [s for i, s in enumerate(e.shapes) if not i or s != e.shapes[i - 1]]
+                shape = _hash(f"{e.tag}\1{e.name}\1{once}")
+            # what lies in a dropped element has no text of its own to delete
+            if block and e.tag not in ("html", "body", "main", "article") and letters and not (up and up.dropped):
+                if e.region < 2 or e.tag in CONTAINERS:
+                    self.exact.add(exact)
+                alike = e.region == 0 and not inside and (e.dropped or 2 * (self.links - e.links) > letters)
+                if alike:
+                    self.alike.append((shape, letters))
+                if self.gone and (self._goes(exact) and (e.region < 2 or e.tag in CONTAINERS) or alike and 2 * letters <= self.size and self._goes(shape)):
+                    del self.blocks[e.first :]
+                    e.inner = 1
+            if up:
+                up.inner += e.inner
+                if e.parts:
+                    up.parts.append(exact)
+                if shape and (block or e.tag == "a"):
+                    up.shapes.append(shape)
+            else:
+                self.templates += e.inner
+
+    def _goes(self, subtree: int) -> bool:
+        return _hash(f"{self.site}\0{subtree}") in self.gone
 
     def _text(self, text: str) -> None:
-        dropped, region = self.stack[-1][1:3] if self.stack else (0, 0)
-        if text and not dropped:
+        if not text:
+            return
+        e = self.stack[-1] if self.stack else None
+        if not e or not e.dropped:
             self.held.append(text)
-        if dropped < 2 and (n := len("".join(text.split()))):
-            self.letters += n
-            if not dropped:
-                self.in_article += n * (region == 2)
-            for _, i in self.named:
-                self.held_by[i] = self.held_by.get(i, 0) + n
-                if region == 2:
-                    self.around.add(i)
+        n = len("".join(text.split()))
+        if not n or e and e.dropped == 3:
+            return
+        self.letters += n
+        self.plain += n * (not e or e.dropped < 2)
+        if self.open.get("a"):
+            self.links += n
+        if e:
+            if e.dropped:
+                e.parts.append(_hash(" ".join(text.split())))
+            if e.region == 2 and e.dropped < 2:
+                self.of_articles += n
+                self.in_article += n * (not e.dropped)
+
+    def _tag_end(self, html: str, at: int, last: dict[str, int]) -> int:
+        """The place of the ``>`` that ends a tag, outside quoted values, or -1; a quote that is never closed is a character."""
+        while m := ENDS.search(html, at):
+            sign = m[0]
+            if sign == ">":
+                return m.start()
+            at = html.index(sign, m.end()) + 1 if last[sign] >= m.end() else m.end()
+        return -1
 
     def _read(self, html: str) -> None:
-        at = 0
-        while m := TAG.search(html, at):
-            self._text(html[at : m.start()])
-            at = m.end()
-            if not m[2]:
+        at, seen, last = 0, 0, {q: html.rfind(q) for q in "\"'>"}
+        while (lt := html.find("<", seen)) >= 0:
+            nxt = html[lt + 1 : lt + 3]
+            if nxt[:1] in ("!", "?"):
+                if html.startswith("<!--", lt):
+                    end = html.find("-->", lt + 4)
+                    stop = len(html) if end < 0 else end + 3
+                else:
+                    end = html.find(">", lt)
+                    stop = len(html) if end < 0 else end + 1
+                self._text(html[at:lt])
+                at = seen = stop
                 continue
-            tag = m[2].lower()
-            if m[1]:
-                for i in range(len(self.stack) - 1, -1, -1):
-                    if self.stack[i][0] == tag:
-                        self._close(i)
-                        break
-                continue
-            if tag == "br":
+            if simple := SIMPLE.match(html, lt):
+                closing, tag, raw, stop = bool(simple[1]), simple[2].lower(), simple[3], simple.end()
+            else:
+                closing = nxt[:1] == "/"
+                first = nxt[1:] if closing else nxt[:1]
+                if not (first.isascii() and first.isalpha()):
+                    seen = lt + 1
+                    continue
+                name = NAME.match(html, lt + 1 + closing)
+                end = self._tag_end(html, name.end(), last) if last[">"] >= name.end() else -1
+                if end < 0:  # no further tag ends
+                    break
+                tag, raw, stop = name[0].lower(), html[name.end() : end], end + 1
+            self._text(html[at:lt])
+            at = seen = stop
+            if closing:
+                if self.open.get(tag):
+                    for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - DEEP), -1):
+                        if self.stack[i].tag == tag:
+                            self._close(i)
+                            break
+            elif tag == "br":
                 self._text(" ")
-                continue
-            if tag in VOID:
+            elif tag in VOID:
                 if tag == "hr":
                     self._flush()
-                continue
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                continue
-            self._open(tag, m[3])
+            elif tag in RAW:
+                found = RAW_END[tag].search(html, at)
+                at = seen = found.end() if found else len(html)
+            else:
+                self._open(tag, raw)
         self._text(html[at:])
         self._close(0)
         self._flush()
@@ -173,29 +273,43 @@ class Page:
         if tag in BLOCK:
             self._imply(tag)
             self._flush()
-        up = self.stack[-1] if self.stack else ("", False, 0, 0, "")
+        up = self.stack[-1] if self.stack else None
+        inside, held = (up.region, up.dropped) if up else (0, 0)
         attrs = _attributes(raw)
-        region = 2 if tag == "article" else max(up[2], 1) if tag == "main" or attrs.get("role") == "main" else up[2]
+        region = 2 if tag == "article" else max(inside, 1) if tag == "main" or attrs.get("role") == "main" else inside
         if raw.endswith("/") and tag not in BLOCK:
             return
         self.opened += 1
-        dropped = 2 if up[1] == 2 or _dropped(tag, attrs, up[2] == 2) else up[1]
-        if dropped < 2 and _named(tag, attrs, up[2] == 2) and self.opened not in self.kept:
-            dropped = 1
-            self.named.append((len(self.stack), self.opened))
-        self.stack.append((tag, dropped, region, len(self.blocks), f"{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else "#"))
+        # 1: by name, 2: by tag or role, 3: no text at all
+        dropped, named = held, ""
+        if held < 3:
+            if tag in ("head", "template"):
+                dropped = 3
+            elif held == 2 or _dropped(tag, attrs, inside == 2):
+                dropped = 2
+            elif (named := _named(tag, attrs, inside == 2)) and self.opened not in self.kept:
+                dropped = max(held, 1)
+        name = DIGITS.sub("0", f"{attrs.get('class', '')}#{attrs.get('id', '')}#{attrs.get('role', '')}") if attrs else "##"
+        self.stack.append(_Open(tag, dropped, region, len(self.blocks), name, self.opened, named, self.letters, self.links, self.plain, self.of_articles))
+        self.open[tag] = self.open.get(tag, 0) + 1
 
     def _imply(self, tag: str) -> None:
         """End tags that the standard lets a page leave out."""
         ends = ("p",) if tag in CLOSES_P else ()
         ends += {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, ())
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
+        if not any(self.open.get(x) for x in ends):
+            return
+        for i in range(len(self.stack) - 1, max(-1, len(self.stack) - 1 - DEEP), -1):
+            name = self.stack[i].tag
             if name in ends:
                 self._close(i)
             elif name in BLOCK and name not in ends and name not in ("p", "li", "td", "th", "dt", "dd", "tr"):
                 return
 
+    def subtrees(self) -> set[int]:
+        """Hashes of the subtrees that a template might be."""
+        return self.exact | {s for s, n in self.alike if 2 * n <= self.letters}
+
     def text(self) -> str:
         best = max((r for r, _ in self.blocks), default=0)
         return "\n".join(t for r, t in self.blocks if r == best)
@@ -206,44 +320,44 @@ def host(url: str = "url") -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """``(page_id, row, host, subtree, context)``: the subtrees of each page that a template might be."""
-    schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("subtree", pa.int64()), ("context", pa.int64())])
+    """``(page_id, row, letters, context, subtrees)``: each page's size, text digest and subtrees that a template might be, hashed with its host."""
+    schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("letters", pa.int64()), ("context", pa.int64()), ("subtrees", pa.list_(pa.int64()))])
 
     def run(batches):
         def rows():
-            for b in batches:
+            for b in (part for whole in batches for part in slices(whole, 200)):
                 for page_id, row, site, html in zip(*(c.to_pylist() for c in b.columns)):
                     page = Page(html)
-                    head = xxhash.xxh3_64_intdigest(page.text()) - (1 << 63)
-                    for h in set(page.subtrees):
-                        yield page_id, row, site, h, head
+                    yield page_id, row, page.letters, _hash(page.text()), [_hash(f"{site}\0{h}") for h in sorted(page.subtrees())]
 
         return rows_to_batches(rows(), schema)
 
-    return _keyed(pages).select("page_id", "row", "host", "html").mapInArrow(run, "page_id long, row long, host string, subtree long, context long")
+    return _keyed(pages).select("page_id", "row", "host", "html").mapInArrow(run, "page_id long, row long, letters long, context long, subtrees array<long>")
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    return pages.select("page_id", "url", html.alias("html"), host().alias("host"), F.xxhash64(html).alias("row"))
+    return pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), "page_id", "url", html.alias("html"), host().alias("host"), F.xxhash64(html).alias("row"))
 
 
 def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
-    """``(page_id, url, text, n_chars)`` of each page."""
-    subtrees = checkpointed(page_subtrees(pages))
-    often = subtrees.select("host", "subtree", "context").distinct().groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    gone = subtrees.join(often, ["host", "subtree"]).groupBy("page_id", "row").agg(F.collect_set("subtree").alias("gone"))
-    gone = gone.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), "row", "gone")
-    both = _keyed(pages).withColumn("_id", F.coalesce("page_id", F.lit(-(2**63)))).join(gone, ["_id", "row"], "left").select("page_id", "url", "html", "gone")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+    """``(page_id, url, text, n_chars, n_templates)`` of each page; ``n_templates`` subtrees were deleted as templates."""
+    found = checkpointed(page_subtrees(pages))
+    spread = found.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), "row", "letters", "context", F.explode("subtrees").alias("subtree"))
+    often = spread.select("subtree", "context").distinct().groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("subtree")
+    often = checkpointed(often)
+    gone = spread.join(sized(often, often.count()), "subtree").groupBy("_id", "row").agg(F.collect_set("subtree").alias("gone"), F.max("letters").alias("letters"))
+    both = _keyed(pages).join(gone, ["_id", "row"], "left").select("page_id", "url", "html", "host", "gone", "letters")
+    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_templates", pa.int64())])
 
     def run(batches):
         def rows():
-            for b in batches:
-                for page_id, url, html, drop in zip(*(c.to_pylist() for c in b.columns)):
-                    text = Page(html, frozenset(drop or ())).text()
-                    yield page_id, url, text, len(text)
+            for b in (part for whole in batches for part in slices(whole, 200)):
+                for page_id, url, html, site, drop, letters in zip(*(c.to_pylist() for c in b.columns)):
+                    page = Page(html, frozenset(drop or ()), letters or 0, site)
+                    text = page.text()
+                    yield page_id, url, text, len(text), page.templates
 
-        return rows_to_batches(rows(), schema, 2_000)
+        return rows_to_batches(rows(), schema, 1_000)
 
-    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return both.mapInArrow(run, "page_id long, url string, text string, n_chars long, n_templates long")
