@@ -139,7 +139,8 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     plan = spark.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 6))
     buckets = max(1, -(-max(histogram.values(), default=0) // BUCKET_ROWS))
     cols = pieces.columns
-    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(*cols), F.lit(buckets)))
+    # by place in the written frame, so that rows repeated as a whole are spread too
+    salted = pieces.withColumn("_bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(buckets)))
     before = (
         salted.groupBy("length", "_bucket").agg(F.count("*").alias("_n"))
         .select("length", "_bucket", (F.sum("_n").over(Window.partitionBy("length").orderBy("_bucket")) - F.col("_n")).alias("_before"))

@@ -538,6 +538,17 @@ def test_lines(spark, parts):
     assert line_dedup.line_report(docs_of(spark, [])).count() == 0
 
 
+def test_long_texts_of_lines_and_tokens(spark):
+    rng = random.Random(8)
+    line = lambda: " ".join(rng.choices(WORDS, k=12))
+    shared = [line() for _ in range(300)]
+    texts = ["\n".join(rng.choice(shared) if rng.random() < 0.5 else line() for _ in range(20_000)), "\n".join(shared), "\n".join(shared[::-1]), "x" * 1_000_000, "\n" * 100_000]
+    assert collections.Counter(map(tuple, line_dedup.line_report(docs_of(spark, texts)).collect())) == brute_lines(list(enumerate(texts)))
+    enc = tokens.encoder(tokens.default_tokenizer())
+    got = {r.context_limit: r.n_docs for r in token_counts.token_report(docs_of(spark, texts[:3])).collect()}
+    assert got == collections.Counter(len(enc.id_bytes(t)) // 4 for t in texts[:3])
+
+
 def test_a_key_over_several_ranges(spark):
     """Every way of cutting the sorted rows into ranges gives the same lines."""
     rows = sorted([(h, 0, -d, d, 0, p) for h, ds in ((1, [9, 9, 8]), (2, [9, 7, 6, 6, 1]), (3, [5])) for p, d in enumerate(ds)])
