@@ -45,27 +45,51 @@ def _code_table(alphabet: str) -> np.ndarray:
     return table
 
 
-def batch_cells(texts: pa.Array, k: int, table: np.ndarray) -> np.ndarray:
-    """Base-21 cells of all runs of k characters inside the texts of one batch."""
-    texts = texts.cast(pa.large_binary()).drop_null()
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+def _coded(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all characters of the texts of one batch, and where each text begins and the last ends."""
+    texts = pa.array(texts).cast(pa.large_binary()).fill_null(b"")
+    if not len(texts):
+        return np.empty(0, np.int64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     if offsets[-1] == offsets[0]:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.zeros(len(texts) + 1, np.int64)
     data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
     leads = data & 0xC0 != 0x80
-    starts = np.concatenate(([0], np.cumsum(leads)))[offsets[1:-1] - offsets[0]]
-    codes = table[data[leads]].astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(leads)))[offsets - offsets[0]]
+    return table[data[leads]].astype(np.int64), starts
+
+
+def _inside(n: int, starts: np.ndarray, k: int) -> np.ndarray:
+    """Which of ``n`` runs of k characters lie inside one text."""
+    out = np.ones(n, bool)
+    for i in range(1, k):  # those that reach over the end of a text
+        at = starts[1:-1] - i
+        out[at[(at >= 0) & (at < n)]] = False
+    return out
+
+
+def batch_cells(texts: pa.Array, k: int, table: np.ndarray) -> np.ndarray:
+    """Base-21 cells of all runs of k characters inside the texts of one batch."""
+    codes, starts = _coded(texts, table)
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, np.int64)
     cells = codes[:n].copy()
     for i in range(1, k):
         cells = cells * STATES + codes[i : n + i]
-    inside = np.ones(n, bool)
-    for i in range(1, k):  # runs that reach over the end of a text
-        at = starts - i
-        inside[at[(at >= 0) & (at < n)]] = False
-    return cells[inside]
+    return cells[_inside(n, starts, k)]
+
+
+def batch_maps(texts: pa.Array, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text of a batch the counts of its valid letters, and of its valid neighbours as 20 x 20."""
+    codes, starts = _coded(texts, table)
+    rows, row = len(starts) - 1, np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    letters = np.bincount(row * STATES + codes, minlength=rows * STATES).reshape(rows, STATES)[:, :GAP]
+    if len(codes) < 2:
+        return letters, np.zeros((rows, GAP, GAP), np.int64)
+    inside = _inside(len(codes) - 1, starts, 2)
+    cells = (row[:-1] * STATES**2 + codes[:-1] * STATES + codes[1:])[inside]
+    return letters, np.bincount(cells, minlength=rows * STATES**2).reshape(rows, STATES, STATES)[:, :GAP, :GAP]
 
 
 def text_counts(sequences: DataFrame, k: int, alphabet: str = BASE20) -> DataFrame:
@@ -116,16 +140,33 @@ def gray_map(adjacent: DataFrame) -> DataFrame:
     return with_total(v, "n").select(cell.alias("cell"), "n", rounded(F.col("n").cast("double") / F.col("total"), 9).alias("freq"))
 
 
-def consensus_map(p: DataFrame) -> DataFrame:
+def _parts(batches, rows: int = 1000):
+    """Batches of at most ``rows`` rows: a map a row is held at a time."""
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def consensus_map(sequences: DataFrame, alphabet: str = BASE20) -> DataFrame:
     """Unweighted mean of the sequences' own frequency maps, ``(cell, freq)``.
 
-    One row a sequence and cell at most; a sequence without valid neighbours counts for nothing.
+    A batch leaves 400 sums at most; a sequence without valid neighbours counts for nothing.
     """
-    v = windows(p, 2).where(valid(F.col("c0")) & valid(F.col("c1")))
-    per = v.groupBy("seq_id", (gray(F.col("c0")) * 32 + gray(F.col("c1"))).cast("long").alias("cell")).agg(F.count("*").alias("n"))
-    total = per.groupBy("seq_id").agg(F.sum("n").alias("t"))
-    share = per.join(total, "seq_id").groupBy("cell").agg(F.sum(F.col("n").cast("double") / F.col("t")).alias("s"))
-    return share.crossJoin(F.broadcast(total.agg(F.count("*").alias("seqs")))).select("cell", rounded(F.col("s") / F.col("seqs"), 9).alias("freq"))
+    table, codes = _code_table(alphabet), np.arange(GAP)
+    grays = codes ^ codes >> 1
+    cell = (grays[:, None] * 32 + grays[None]).ravel()
+
+    def mean(batches):
+        for b in _parts(batches):
+            _, maps = batch_maps(b.column(0), table)
+            total = maps.sum((1, 2))
+            use = total > 0
+            s = (maps[use] / total[use, None, None]).sum(0).ravel()
+            some = s > 0
+            out = [pa.array(np.append(cell[some], -1)), pa.array(np.append(s[some], float(use.sum())))]
+            yield pa.RecordBatch.from_arrays(out, names=["cell", "s"])
+
+    sums = sequences.select("sequence").mapInArrow(mean, "cell long, s double").groupBy("cell").agg(F.sum("s").alias("s"))
+    seqs = sums.where("cell = -1").select(F.col("s").alias("seqs"))
+    return sums.where("cell >= 0").crossJoin(F.broadcast(seqs)).select("cell", rounded(F.col("s") / F.col("seqs"), 9).alias("freq"))
 
 
 def threshold_map(m: DataFrame, share: float = 0.75) -> DataFrame:
@@ -143,22 +184,36 @@ def gray_adjacency(adjacent: DataFrame, include_gap: bool = False) -> DataFrame:
     return g.select("distance", "n", rounded(share).alias("share"), rounded(F.when(F.col("distance") == 1, share / (5 / 31))).alias("enrichment"))
 
 
-def signatures(p: DataFrame) -> DataFrame:
-    """Per sequence: length, share of G and C, entropy of composition, norm of its K-map."""
-    letters = p.select("seq_id", F.explode_outer("codes").alias("c")).where(valid(F.col("c"))).groupBy("seq_id", "c").agg(F.count("*").alias("n"))
-    gc_codes = [BASE20.index(x) for x in "GC"]
-    total = letters.groupBy("seq_id").agg(F.sum("n").alias("length"), F.sum(F.when(F.col("c").isin(gc_codes), F.col("n")).otherwise(0)).alias("gc"))
-    h = letters.join(total, "seq_id").withColumn("q", F.col("n").cast("double") / F.col("length"))
-    comp = h.groupBy("seq_id").agg(F.max("length").alias("length"), F.max("gc").alias("gc"), F.sum(-F.col("q") * F.log2("q")).alias("h"))
-    pairs = windows(p, 2).where(valid(F.col("c0")) & valid(F.col("c1"))).groupBy("seq_id", "c0", "c1").agg(F.count("*").alias("n"))
-    norm = pairs.groupBy("seq_id").agg(F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
-    return comp.join(norm, "seq_id", "left").select("seq_id", "length", rounded(F.col("gc").cast("double") / F.col("length")).alias("gc_share"), rounded(F.col("h")).alias("entropy"), rounded(F.coalesce("norm", F.lit(0.0))).alias("map_norm"))
+def signatures(sequences: DataFrame, alphabet: str = BASE20) -> DataFrame:
+    """Per sequence with valid letters: length, share of G and C, entropy of composition, norm of its K-map."""
+    table, gc_codes = _code_table(alphabet), [alphabet.index(x) for x in "GC"]
+
+    def sign(batches):
+        for b in _parts(batches):
+            letters, maps = batch_maps(b.column(1), table)
+            length = letters.sum(1)
+            use = length > 0
+            letters, n = letters[use], length[use]
+            q = letters / n[:, None]
+            h = -(q * np.log2(np.where(q > 0, q, 1))).sum(1)
+            norm = np.sqrt((maps[use].astype(np.float64) ** 2).sum((1, 2)))
+            ids = b.column(0).filter(pa.array(use))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n.astype(np.int64)), pa.array(letters[:, gc_codes].sum(1) / n), pa.array(h), pa.array(norm)], names=["seq_id", "length", "gc", "h", "norm"])
+
+    s = sequences.select(F.col("seq_id").cast("long").alias("seq_id"), "sequence").mapInArrow(sign, "seq_id long, length long, gc double, h double, norm double")
+    return s.select("seq_id", "length", rounded(F.col("gc")).alias("gc_share"), rounded(F.col("h")).alias("entropy"), rounded(F.col("norm")).alias("map_norm"))
 
 
 def signature_correlations(s: DataFrame) -> DataFrame:
     return s.agg(rounded(F.corr("length", "entropy")).alias("length_entropy"), rounded(F.corr("length", "map_norm")).alias("length_norm"), rounded(F.corr("gc_share", "entropy")).alias("gc_entropy"))
 
 
+def sequence_maps(p: DataFrame, first: int = 10) -> DataFrame:
+    """``(seq_id, c0, c1, n)``: neighbour counts of the first sequences by id, gaps left out."""
+    some = p.orderBy("seq_id").limit(first)
+    return windows(some, 2).where(valid(F.col("c0")) & valid(F.col("c1"))).groupBy("seq_id", "c0", "c1").agg(F.count("*").alias("n"))
+
+
 def gray_correlations(p: DataFrame, least: float = 0.7, max_cols: int = 200) -> DataFrame:
     """Pearson correlation of columns' Gray codes (gap as 0), where |r| exceeds ``least``.
 
@@ -192,6 +247,14 @@ def map_symmetry(adjacent: DataFrame) -> DataFrame:
     return d.agg(rounded(F.sum("d") / 400, 9).alias("symmetry_error"))
 
 
+def distance_histogram(residues: DataFrame) -> DataFrame:
+    """``(distance, share)``: Gray distances of all unordered pairs of valid letters of all sequences, from the letters' counts ``(c0, n)``."""
+    v = residues.where(valid(F.col("c0"))).select(F.col("c0").alias("a"), F.col("n").cast("double").alias("n"))  # at most 20 rows
+    both = v.join(v.toDF("b", "m"), F.col("a") <= F.col("b"))
+    pairs = both.select(gray_distance(F.col("a"), F.col("b")).cast("int").alias("distance"), F.when(F.col("a") == F.col("b"), F.col("n") * (F.col("n") - 1) / 2).otherwise(F.col("n") * F.col("m")).alias("p"))
+    return with_total(pairs.groupBy("distance").agg(F.sum("p").alias("p")), "p").select("distance", rounded(F.col("p") / F.col("total"), 9).alias("share"))
+
+
 def map_autocorrelation(adjacent: DataFrame, cells: int = 64) -> DataFrame:
     """``(lag, r)``: normalised autocorrelation of the first cells of the flattened map."""
     v = adjacent.where(valid(F.col("c0")) & valid(F.col("c1")))

@@ -103,12 +103,19 @@ def precision_predictor(p: DataFrame, is_train: Column, max_gap: int, min_gap: i
     return train.unionByName(test).groupBy(*PAIR).applyInPandas(kernel, "pos_i int, pos_j int, n_test long, n_correct long")
 
 
-def top_associations(pc: DataFrame, k: int = 5, min_p: float = 0.001) -> DataFrame:
-    """Each pair's k most co- and anti-correlated observed cells with J and its logistic value."""
+def top_associations(pc: DataFrame, k: int = 5, min_p: float = 0.001, min_abs_j: float = 0.0, off_diagonal: bool = False) -> DataFrame:
+    """Each pair's k most co- and anti-correlated observed cells with J and its logistic value.
+
+    Cells count from a share above ``min_p`` and a coupling beyond ``min_abs_j`` in
+    size, and with ``off_diagonal`` only where the two codes differ.
+    """
     m = _marginals(_valid(pc))
     p = F.col("n").cast("double") / F.col("t")
     j = F.ln((p + EPS) / (F.col("ni").cast("double") / F.col("t") * F.col("nj") / F.col("t") + EPS))
     c = m.where(p > min_p).select(*PAIR, "code_i", "code_j", rounded(j).alias("j"), rounded(sigmoid(j)).alias("sigma"), rounded(p).alias("p"))
+    c = c.where((F.abs("j") > min_abs_j) | F.lit(min_abs_j <= 0))
+    if off_diagonal:
+        c = c.where("code_i <> code_j")
     up = Window.partitionBy(*PAIR).orderBy(F.desc("j"), "code_i", "code_j")
     down = Window.partitionBy(*PAIR).orderBy("j", "code_i", "code_j")
     return c.withColumns({"rank_up": F.row_number().over(up), "rank_down": F.row_number().over(down)}).where((F.col("rank_up") <= k) | (F.col("rank_down") <= k))

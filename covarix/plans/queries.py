@@ -293,9 +293,18 @@ def mi_heat_map(s, d):
     return reports.heat_map(pairs.mutual_information(_pairs(s, d)))
 
 
-@_query("run_summary")
+_BEST = "SELECT '{section}' AS section, row_number() OVER (ORDER BY v DESC, i, j)::INT AS rank, i, j, v::DOUBLE AS value FROM ({of}) ORDER BY v DESC, i, j LIMIT 20"
+
+
+@_query("run_summary", f"""{ORDER_PC}, {ENTROPY}, sw AS (SELECT a.code AS c0, b.code AS c1 FROM cells a JOIN cells b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1 WHERE a.code < 20 AND b.code < 20),
+nd AS (SELECT bit_count(xor({G0}, {G1}))::INT AS d, count(*) AS n FROM sw GROUP BY 1),
+ent AS ({_BEST.format(section='column_entropy', of="SELECT pos AS i, -1 AS j, round(e, 6) + 0.0 AS v FROM h")}),
+muts AS ({_BEST.format(section='mutations', of="SELECT pos AS i, -1 AS j, sum(CASE WHEN code <> coalesce(ref_code, 0) THEN n ELSE 0 END) AS v FROM cc LEFT JOIN ref USING (pos) GROUP BY pos")}),
+prs AS ({_BEST.format(section='pair_mi', of="SELECT pos_i AS i, pos_j AS j, mi AS v FROM mi")})
+SELECT 'variable_columns' AS section, -1 AS rank, -1 AS i, -1 AS j, count(*) FILTER (round(e, 6) > 0.3)::DOUBLE AS value FROM h UNION ALL SELECT 'pairs', -1, -1, -1, count(*)::DOUBLE FROM mi UNION ALL SELECT 'high_pairs', -1, -1, -1, count(*) FILTER (mi > 0.5)::DOUBLE FROM mi
+UNION ALL SELECT * FROM ent UNION ALL SELECT * FROM muts UNION ALL SELECT * FROM prs UNION ALL SELECT 'neighbour_share', -1, d, -1, round(n::DOUBLE / sum(n) OVER (), 6) + 0.0 FROM nd""")
 def run_summary(s, d):
-    return reports.summary(_orders(s, d), GAP_LIMIT)
+    return reports.summary_rows(_orders(s, d), GAP_LIMIT)
 
 
 _SELF = f"sw AS (SELECT a.code AS c0, b.code AS c1 FROM cells a JOIN cells b ON a.seq_id = b.seq_id AND b.pos = a.pos + 1), av AS (SELECT c0, c1, count(*) AS n FROM sw WHERE c0 < 20 AND c1 < 20 GROUP BY ALL)"
@@ -355,7 +364,7 @@ def gray_map(s, d):
 
 @_query("consensus_map", f"WITH {ADJ}, per AS (SELECT seq_id, ({G0} * 32 + {G1})::BIGINT AS cell, count(*) AS n FROM w WHERE c0 < 20 AND c1 < 20 GROUP BY ALL), f AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY seq_id) AS q FROM per) SELECT cell, round(sum(q) / (SELECT count(DISTINCT seq_id) FROM per), 9) + 0.0 AS freq FROM f GROUP BY cell")
 def consensus_map(s, d):
-    return kmer.consensus_map(_letters(s, d))
+    return kmer.consensus_map(readers.document_sequences(s, d))
 
 
 @_query("threshold_map", f"WITH {ADJ}, {_GM}, c AS (SELECT quantile_cont(freq, 0.75) AS cut FROM gm WHERE freq > 0) SELECT cell, freq, round(cut, 9) + 0.0 AS threshold FROM gm, c WHERE freq >= cut")
@@ -381,12 +390,12 @@ sg AS (SELECT seq_id, length, round(coalesce(gc, 0)::DOUBLE / length, 6) + 0.0 A
 
 @_query("sequence_signatures", f"WITH {_SIG} SELECT * FROM sg")
 def sequence_signatures(s, d):
-    return kmer.signatures(_letters(s, d))
+    return kmer.signatures(readers.document_sequences(s, d))
 
 
 @_query("signature_correlations", f"WITH {_SIG} SELECT round(corr(length, entropy), 6) + 0.0 AS length_entropy, round(corr(length, map_norm), 6) + 0.0 AS length_norm, round(corr(gc_share, entropy), 6) + 0.0 AS gc_entropy FROM sg")
 def signature_correlations(s, d):
-    return kmer.signature_correlations(kmer.signatures(_letters(s, d)))
+    return kmer.signature_correlations(kmer.signatures(readers.document_sequences(s, d)))
 
 
 # Implicants as (name, values, mask): free bits in the mask.
@@ -398,6 +407,25 @@ def motif_counts(s, d):
     return kmer.motif_counts(_adjacent(s, d), s.createDataFrame(_MOTIFS, "implicant string, values int, mask int"))
 
 
+@_query("distance_histogram", f"""WITH {LETTERS}, r AS (SELECT code, count(*)::DOUBLE AS n FROM (SELECT unnest(c) AS code FROM t) WHERE code < 20 GROUP BY code),
+q AS (SELECT bit_count(xor({GRAY.format('a.code')}, {GRAY.format('b.code')}))::INT AS distance, sum(CASE WHEN a.code = b.code THEN a.n * (a.n - 1) / 2 ELSE a.n * b.n END) AS p FROM r a JOIN r b ON a.code <= b.code GROUP BY 1)
+SELECT distance, round(p / sum(p) OVER (), 9) + 0.0 AS share FROM q""")
+def distance_histogram(s, d):
+    return kmer.distance_histogram(_runs(s, d, 1))
+
+
+@_query("sequence_maps", f"WITH {LETTERS}, f AS (SELECT * FROM t WHERE seq_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 10)), w AS (SELECT seq_id, unnest(c[:-2])::INT AS c0, unnest(c[2:])::INT AS c1 FROM f WHERE len(c) > 1) SELECT seq_id, c0, c1, count(*) AS n FROM w WHERE c0 < 20 AND c1 < 20 GROUP BY ALL")
+def sequence_maps(s, d):
+    return kmer.sequence_maps(_letters(s, d))
+
+
+@_query("encoded_sequences", f"""WITH l AS (SELECT doc_id AS seq_id, coalesce(text, '') AS s FROM documents ORDER BY doc_id LIMIT 50),
+x AS (SELECT seq_id, length(s) AS length, list_filter(list_transform(string_split(translate(s, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ'), ''), lambda x: CASE WHEN length(x) > 0 THEN instr('{BASE20}', x) - 1 ELSE -1 END), lambda x: x >= 0) AS c FROM l)
+SELECT seq_id, length, len(c)::BIGINT AS encoded_length, array_to_string(list_transform(c[1:100], lambda x: {GRAY.format('x')}), ',') AS gray_values FROM x""")
+def encoded_sequences(s, d):
+    return reports.encoded_sequences(readers.document_sequences(s, d))
+
+
 _FREQ = "f AS (SELECT c0, c1, n::DOUBLE / sum(n) OVER () AS f FROM av)"
 
 
@@ -630,7 +658,16 @@ def sequence_distances(s, d):
     return graph.sequence_distances(readers.supplier_profiles(s, d))
 
 
-@_query("leader_clusters")
+_BOTH_VALID = "len(list_filter(range(1, 9), lambda j: w.held[i][j] < 20 AND o.codes[j] < 20))"
+_DIFFER = "len(list_filter(range(1, 9), lambda j: w.held[i][j] < 20 AND o.codes[j] < 20 AND w.held[i][j] <> o.codes[j]))"
+
+
+# One step a sequence, by id, with the leaders so far.
+@_query("leader_clusters", f"""WITH RECURSIVE {SUPPLIER}, o AS (SELECT row_number() OVER (ORDER BY seq_id) AS k, seq_id, codes::BIGINT[] AS codes FROM p),
+walk AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS ids, []::BIGINT[][] AS held, NULL::BIGINT AS seq_id, NULL::BIGINT AS cluster, NULL::BIGINT AS leader
+  UNION ALL SELECT k, CASE WHEN hit IS NULL THEN list_append(ids, sid) ELSE ids END, CASE WHEN hit IS NULL THEN list_append(held, codes) ELSE held END, sid, coalesce(hit - 1, len(ids))::BIGINT, CASE WHEN hit IS NULL THEN sid ELSE ids[hit] END
+  FROM (SELECT o.k, w.ids, w.held, o.seq_id AS sid, o.codes, list_filter(range(1, len(w.ids) + 1), lambda i: {_BOTH_VALID} > 0 AND {_DIFFER}::DOUBLE / {_BOTH_VALID} < 0.5)[1] AS hit FROM walk w JOIN o ON o.k = w.k + 1))
+SELECT seq_id, cluster, leader FROM walk WHERE seq_id IS NOT NULL""")
 def leader_clusters(s, d):
     return graph.leader_clusters(readers.supplier_profiles(s, d), radius=0.5)
 
@@ -649,6 +686,12 @@ def map_distances(s, d):
     return graph.map_distances(_column_maps(s, d))
 
 
+@_query("map_differences", f"WITH {ORDERS}, {CELLS}, m AS (SELECT pos AS map_id, code AS cell, CASE WHEN code = 20 THEN -1 WHEN n::DOUBLE / sum(n) OVER (PARTITION BY pos) >= 0.1 THEN 1 ELSE 0 END AS state FROM (SELECT pos, code, count(*) AS n FROM cells GROUP BY ALL)) SELECT a.map_id AS map_a, b.map_id AS map_b, count(*) FILTER (a.state <> b.state) AS n FROM m a JOIN m b ON a.cell = b.cell AND a.map_id < b.map_id WHERE a.state <> -1 AND b.state <> -1 GROUP BY ALL")
+def map_differences(s, d):
+    state = F.when(F.col("cell") == 20, -1).when(F.col("value") >= 0.1, 1).otherwise(0)
+    return boolean.map_differences(_column_maps(s, d).select("map_id", "cell", state.alias("state")))
+
+
 @_query("map_distance_summary", f"{_MAPS}, e AS (SELECT min(distance) AS least, max(distance) AS most, round(avg(distance), 6) + 0.0 AS mean, round(stddev_pop(distance), 6) + 0.0 AS deviation FROM dd), a AS (SELECT map_a AS close_a, map_b AS close_b FROM dd ORDER BY distance, map_a, map_b LIMIT 1), b AS (SELECT map_a AS far_a, map_b AS far_b FROM dd ORDER BY distance DESC, map_a, map_b LIMIT 1) SELECT * FROM e, a, b")
 def map_distance_summary(s, d):
     return graph.distance_summary(graph.map_distances(_column_maps(s, d)))
@@ -663,3 +706,13 @@ def sequence_weights(s, d):
 @_query("direct_couplings")
 def direct_couplings(s, d):
     return dca.scores(readers.supplier_profiles(s, d), 8)
+
+
+@_query("top_direct_couplings")
+def top_direct_couplings(s, d):
+    return dca.top_scores(direct_couplings(s, d), "apc", 20)
+
+
+@_query("effective_sequences", f"{_DIST}, near AS (SELECT seq_a, seq_b FROM z GROUP BY ALL HAVING sum((x <> y)::INT) <= floor(8 * 0.2)), n AS (SELECT s, count(*) AS k FROM (SELECT seq_a AS s FROM near UNION ALL SELECT seq_b FROM near) GROUP BY s) SELECT round(sum(1.0::DOUBLE / (1 + coalesce(k, 0))), 6) + 0.0 AS meff FROM p LEFT JOIN n ON n.s = p.seq_id")
+def effective_sequences(s, d):
+    return dca.effective_number(dca.weighted_kinds(readers.supplier_profiles(s, d)))

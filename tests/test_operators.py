@@ -286,6 +286,15 @@ def test_counts_of_texts_equal_those_of_profiles(spark):
     assert kmer.text_counts(df.limit(0), 2).count() == 0
 
 
+def test_signatures_and_consensus_by_hand(spark):
+    df = spark.createDataFrame([(0, "GCGC"), (1, None), (2, "A-A"), (3, "--"), (4, "aé"), (5, "AI")], "seq_id long, sequence string").repartition(2)
+    got = {r.seq_id: (r.length, r.gc_share, r.entropy, r.map_norm) for r in kmer.signatures(df).collect()}
+    assert got == {0: (4, 1.0, 1.0, round(math.sqrt(5), 6)), 2: (2, 0.0, 0.0, 0.0), 4: (1, 0.0, 0.0, 0.0), 5: (2, 0.0, 1.0, 1.0)}
+    g, c, a, i = (enc.BASE20.index(x) for x in "GCAI")
+    cell = lambda x, y: (x ^ x >> 1) * 32 + (y ^ y >> 1)
+    assert {r.cell: r.freq for r in kmer.consensus_map(df).collect()} == {cell(g, c): round(1 / 3, 9), cell(c, g): round(1 / 6, 9), cell(a, i): 0.5}
+
+
 def test_counts_from_one_scan(spark):
     p = profile(spark, noise(40, 5))
     pc, counts = pairs.base_counts(p, 3)
@@ -374,6 +383,13 @@ def test_rules_apply_in_the_row(spark):
     assert {r.verdict for r in boolean.classify(p, none, none).collect()} == {"unclassified"}
 
 
+def test_association_limits(spark):
+    pc = pairs.pair_counts(profile(spark, [[0, 0]] * 6 + [[1, 1]] * 3 + [[0, 1]]), 1).cache()
+    every = {(r.code_i, r.code_j): r.j for r in predict.top_associations(pc).collect()}
+    assert {k for k, j in every.items() if k[0] != k[1]} == {(r.code_i, r.code_j) for r in predict.top_associations(pc, off_diagonal=True).collect()}
+    assert {k for k, j in every.items() if abs(j) > 0.5} == {(r.code_i, r.code_j) for r in predict.top_associations(pc, min_abs_j=0.5).collect()}
+
+
 def test_on_sets(spark):
     cells = spark.createDataFrame([(0, 1, 0, j, v) for j, v in enumerate([1.0, 2.0, 3.0, 10.0, 0.0])], "pos_i int, pos_j int, code_i int, code_j int, v double")
     got = boolean.on_set(cells, "v", 0.75).collect()
@@ -400,6 +416,10 @@ def test_sinks(spark, tmp_path):
     sinks.write_matrix_csv(mi, "pos_i", "pos_j", "mi", str(tmp_path / "w"))
     assert spark.read.option("header", True).csv(str(tmp_path / "w")).count() == 2
     assert sinks.markdown_table(mi).count("\n") == 5
+    svg = sinks.heat_map_svg(mi, "pos_i", "pos_j", "mi")
+    assert svg.count("<rect") == 3 and svg.startswith("<svg") and 'width="18"' in svg
+    sinks.write_kmaps(kmer.sequence_maps(profile(spark, [[0, 1, 2], [3, 20, 4], [5, 6]]), 2), str(tmp_path / "k"))
+    assert {(r.seq_id, r.c0, r.c1, r.n) for r in spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "k")).collect()} == {(0, 0, 1, 1), (0, 1, 2, 1)}
     grid = spark.createDataFrame([(0, 1, 7)], "code_i int, code_j int, value int")
     assert "| 0 | 0 | 7 |" in sinks.markdown_kmap(grid, 2)
 
@@ -408,6 +428,8 @@ def test_report(spark):
     p = profile(spark, [[0, 0, 1]] * 20 + [[1, 2, 1]] * 6 + [[3, 5, 2]] * 5)
     text = reports.report(p, "Title")
     assert text.startswith("# Title") and text.count("\n## ") == 5
+    doc = reports.rule_document(p, "Rules")
+    assert doc.startswith("# Rules") and "Rule 1: where position" in doc and doc.count("| i | j | implicant |") == doc.count("## Positions") >= 1
     row = reports.summary(p).first()
     assert row.n_pairs == 3 and row.top_pairs[0].mi == row.max_mi and row.neighbours
 
