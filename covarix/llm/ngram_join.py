@@ -38,6 +38,7 @@ texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -55,7 +56,7 @@ from .common import checkpointed, connected_components, release, rows_to_batches
 
 BLOCK_GRAMS = 1_500_000
 BUCKET_GRAMS = 1_500_000
-CACHE_WORDS = 60_000
+KNOWN_SETS = 60_000  # digests that a task remembers, to leave out copies
 FOLD_SIGNATURES = 400_000
 MEMBERS = 200_000  # memberships a row
 STAR = 256  # documents held against one copy of another
@@ -73,21 +74,45 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+_SPACES = np.zeros(256, bool)
+_SPACES[[9, 10, 11, 12, 13, 32]] = True
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_PART = 1 << 20
+_weights = np.empty(0, np.uint64)
+
+
+def _weight(n: int) -> np.ndarray:
+    """A fixed odd 64-bit factor for each of at least ``n`` places in a word."""
+    global _weights
+    if len(_weights) < n:
+        with np.errstate(over="ignore"):
+            _weights = mix(np.arange(1, max(n, 64, 2 * len(_weights)) + 1, dtype=np.uint64) * _M[0]) | np.uint64(1)
+    return _weights
 
 
-_hashes = _WordHashes()
+def _hashes(low: bytes) -> np.ndarray:
+    """A hash of each run of bytes between white space: its bytes by the factors of their places, summed, with its length."""
+    b = np.frombuffer(low, np.uint8)
+    word = ~_SPACES[b]
+    edges = np.flatnonzero(np.diff(word, prepend=False, append=False))
+    if not len(edges):
+        return np.empty(0, np.uint64)
+    lengths = edges[1::2] - edges[::2]
+    first = np.concatenate(([0], np.cumsum(lengths)[:-1]))
+    place = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+    sums = np.add.reduceat((b[word].astype(np.uint64) + np.uint64(1)) * _weight(int(lengths.max()))[place], first)
+    return mix(sums + lengths.astype(np.uint64) * _M[2])
 
 
 def word_hashes(body: bytes) -> np.ndarray:
-    """Hashes of the ASCII-lower-cased words of a text in UTF-8."""
-    words = body.lower().split()
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    """Hashes of the ASCII-lower-cased words of a text in UTF-8, about a megabyte at a time."""
+    low, at, parts = body.lower(), 0, []
+    while at < len(low):
+        cut = _GAP.search(low, at + _PART)
+        end = cut.start() if cut else len(low)
+        parts.append(_hashes(low[at:end]))
+        at = end
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
 
 
 def gram_set(body: bytes, n: int) -> np.ndarray:
@@ -346,7 +371,7 @@ FIRSTS, SHARED = 0, 1
 
 
 def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, common: Broadcast) -> DataFrame:
-    """``(u, v, n, members)``: chains ``u > v`` through the documents of each signature, and packed memberships of shared ones.
+    """``(part, data)``: packed chains through the documents of each signature by parts of their documents, and, without part, packed memberships of shared ones.
 
     Each task drops exact copies it has met and chains its own documents, so of a
     signature that many documents share one row a fold meets those of the other
@@ -380,7 +405,7 @@ def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, com
                 for doc, grams in _sets(b, n):
                     if doc is None or not len(grams) or (d := _digest(grams)) in met:
                         continue
-                    if len(met) >= CACHE_WORDS:
+                    if len(met) >= KNOWN_SETS:
                         met.clear()
                     met.add(d)
                     sigs.append(s := signer(grams))
@@ -394,7 +419,7 @@ def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, com
 
         return rows_to_batches(rows(), pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("data", pa.binary()), ("pairs", pa.binary())]), 16)
 
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("n", pa.int64()), ("members", pa.binary())])
+    parts = max(1, buckets // 4)
 
     def merge(batches):
         def groups(chunks, pairs):
@@ -402,14 +427,18 @@ def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, com
             found, shared, _ = _chain(sig, doc)
             for a in range(0, len(shared), MEMBERS):
                 part = shared[a : a + MEMBERS]
-                yield only_members(_packed(sig[part], doc[part]))
+                yield one_row(None, _packed(sig[part], doc[part]))
             both = np.concatenate([found, *(np.frombuffer(x, "<i8").reshape(-1, 3) for x in pairs)])
-            for a in range(0, len(both), 50_000):
-                part = both[a : a + 50_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(part[:, i].copy()) for i in range(3)), pa.nulls(len(part), pa.binary())], schema=schema)
+            both = _summed(both)
+            part = (mix(both[:, 0].copy().view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            both, part = both[order], part[order]
+            at = np.searchsorted(part, np.arange(parts + 1))
+            for k in np.flatnonzero(np.diff(at)).tolist():
+                yield one_row(k, zlib.compress(both[at[k] : at[k + 1]].astype("<i8").tobytes(), 1))
 
-        def only_members(data):
-            return pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([data], pa.binary())], schema=schema)
+        def one_row(part, data):
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([data], pa.binary())], names=["part", "data"])
 
         key, chunks, pairs = None, [], []
         for b in batches:
@@ -419,14 +448,14 @@ def signature_groups(docs: DataFrame, n: int, sim: Similarity, buckets: int, com
                         yield from groups(chunks, pairs)
                     key, chunks, pairs = k, [], []
                 if kind == SHARED:
-                    yield only_members(data)
+                    yield one_row(None, data)
                 else:
                     chunks.append(data), pairs.append(p)
         if chunks:
             yield from groups(chunks, pairs)
 
     packed = docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, "bucket int, kind int, data binary, pairs binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "u long, v long, n long, members binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merge, "part int, data binary")
 
 
 def _range_starts(buckets: int) -> np.ndarray:
@@ -434,6 +463,38 @@ def _range_starts(buckets: int) -> np.ndarray:
     return np.array([(k << 48) // buckets << 16 for k in range(buckets)], np.uint64)
 
 
+def _summed(pairs: np.ndarray) -> np.ndarray:
+    """Rows ``(u, v, n)``, each pair once with the sum of its numbers."""
+    if not len(pairs):
+        return pairs
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    first = np.flatnonzero(np.concatenate(([True], (pairs[1:, :2] != pairs[:-1, :2]).any(1))))
+    return np.column_stack((pairs[first, :2], np.add.reduceat(pairs[:, 2], first)))
+
+
+def chained_pairs(groups: DataFrame) -> DataFrame:
+    """``(u, v, n)``: each pair of documents next to each other in a chain, ``u > v``, with the number of chains."""
+    def run(batches):
+        key, held = None, []
+        for b in batches:
+            for part, data in zip(*(c.to_pylist() for c in b.columns)):
+                if part != key:
+                    if held:
+                        yield from rows(held)
+                    key, held = part, []
+                held.append(np.frombuffer(zlib.decompress(data), "<i8").reshape(-1, 3))
+        if held:
+            yield from rows(held)
+
+    def rows(held):
+        both = _summed(np.concatenate(held))
+        for a in range(0, len(both), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(both[a : a + 50_000, i].copy()) for i in range(3)], names=["u", "v", "n"])
+
+    packed = groups.where("part is not null").repartition("part").sortWithinPartitions("part")
+    return packed.mapInArrow(run, "u long, v long, n long")
+
+
 def memberships(groups: DataFrame) -> DataFrame:
     """``(sig, doc_id)`` of the signatures that several documents share."""
     def run(batches):
@@ -442,7 +503,7 @@ def memberships(groups: DataFrame) -> DataFrame:
                 sig, doc = _unpacked(data)
                 yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(doc)], names=["sig", "doc_id"])
 
-    return groups.where("members is not null").select("members").mapInArrow(run, "sig long, doc_id long")
+    return groups.where("part is null").select("data").mapInArrow(run, "sig long, doc_id long")
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -558,7 +619,7 @@ def _block_links(ids, settled, sides, sets, signer: Signer) -> Iterator[tuple[in
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """``(head, part, outer, doc_id)``: each document with the smaller one that most chains join it with, in parts of bounded size."""
-    best = pairs.groupBy("u", "v").agg(F.sum("n").alias("n")).groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))
+    best = pairs.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))
     best = checkpointed(best)
     parts = best.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     heads = parts.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outer"), F.col("head").alias("doc_id"))
@@ -572,10 +633,10 @@ def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text_bytes().alias("body")).join(sized(rows, rows.count()), "doc_id")
 
 
-def unsettled(groups: DataFrame, labels: DataFrame) -> DataFrame:
+def unsettled(groups: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """``(doc_id, head, settled)`` of the documents whose signatures still join different settled groups; ``head`` is the smallest document of the signature."""
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
-    cross = groups.where("members is null").select("u", "v").distinct().join(label("u"), "u", "left").join(label("v"), "v", "left")
+    cross = pairs.select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left")
     cross = cross.select(F.coalesce("u_group", "u").alias("a"), F.coalesce("v_group", "v").alias("b")).where("a <> b")
     open_groups = cross.select(F.explode(F.array("a", "b")).alias("settled")).distinct()
     held = memberships(groups).join(label("doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("doc_id_group", "doc_id").alias("settled"))
@@ -610,16 +671,17 @@ def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4
 
     total = digests.agg(F.sum("n_shingles")).first()[0] or 0
     groups = checkpointed(signature_groups(narrow, n, sim, max(16, -(-total // BUCKET_GRAMS)), common))
-    near = star_links(_with_text(_stars(groups.where("members is null")), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim)
+    pairs = checkpointed(chained_pairs(groups))
+    near = star_links(_with_text(_stars(pairs), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim)
     settled = connected_components(near.unionByName(copies))
-    open_docs = checkpointed(unsettled(groups, settled))
+    open_docs = checkpointed(unsettled(groups, pairs, settled))
     found = settled
     if not open_docs.isEmpty():
         more = block_links(narrow, open_docs, sizes, n, sim, common)
         found = connected_components(more.unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     found = found.select(F.col("node").alias("doc_id"), "component")
     out = checkpointed(digests.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    release(first, groups, open_docs)
+    release(first, groups, pairs, open_docs)
     return out
 
 
