@@ -143,9 +143,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contaminated_windows(docs, benchmark).withColumn("similarity", F.col("common") / F.col("total"))
     before = F.lag("start").over(Window.partitionBy("doc_id", "item_id").orderBy("start"))
     found = found.withColumn("place", F.coalesce(F.col("start") > before + 1, F.lit(True)).cast("int"))
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"), "distance")).alias("best")
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("start"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(F.sum("place").alias("n_windows"), best).select(
-        "doc_id", "item_id", "n_windows", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start"), F.col("best.distance").alias("distance")
+        "doc_id", "item_id", "n_windows", F.col("best.similarity").alias("similarity"), (-F.col("best.start")).alias("start")
     )
 
 
