@@ -332,6 +332,7 @@ def common_grams(digests: DataFrame) -> bytes:
     if lowest < math.inf:
         found = counts.where(F.col("step") >= lowest).select("d1").toArrow().column("d1").to_numpy()
         bits[(found.view(np.uint64) >> np.uint64(64 - COMMON_BITS)).astype(np.int64)] = 1
+    release(counts)
     return np.packbits(bits, bitorder="little").tobytes()
 
 
@@ -666,7 +667,8 @@ def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4
     digests = first.where("n_shingles >= 0")
     real = digests.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("d1", "d2").agg(F.min("doc_id").alias("v"), F.max("doc_id").alias("most")).where("v < most")
-    copies = real.join(classes, ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v")
+    classes = checkpointed(classes)
+    copies = real.join(sized(classes, classes.count()), ["d1", "d2"]).select(F.col("doc_id").alias("u"), "v")
     sizes = real.groupBy("doc_id").agg(F.max("n_shingles").alias("grams"))
 
     total = digests.agg(F.sum("n_shingles")).first()[0] or 0
@@ -681,7 +683,7 @@ def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4
         found = connected_components(more.unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     found = found.select(F.col("node").alias("doc_id"), "component")
     out = checkpointed(digests.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    release(first, groups, pairs, open_docs)
+    release(first, classes, groups, pairs, open_docs)
     return out
 
 
