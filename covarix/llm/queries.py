@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan
+from . import divergence, license_scan, structure_repair
 from .chat_format import END, PROBE, START, chat_report
 from .common import table
 from .decontaminate import leaks
+from .fingerprint import edit_report
 from .html_extract import extract
 from .line_dedup import line_report
 from .ngram_join import Similarity, ngram_components
@@ -62,15 +63,29 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_report(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), min_docs=30, top=50)
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_license_scan, op3_chat_format, op4_topk_search, op5_token_counts, op6_ngram_jaccard_join,
-        op7_quality_classifier, op8_html_extraction, op9_line_dedup, op10_benchmark_decontamination,
+        op7_quality_classifier, op8_html_extraction, op9_line_dedup, op10_benchmark_decontamination, op11_document_fingerprints, op12_source_divergence,
+        op13_structure_repair,
     )
 }
 
 ORACLES: dict[str, str] = {
+    "op12_source_divergence": divergence.ORACLE,
     "op2_license_scan": license_scan.ORACLE,
     "op3_chat_format": rf"""
 WITH c AS (SELECT conv_id, coalesce(turn, -1) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
