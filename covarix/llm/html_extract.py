@@ -4,23 +4,33 @@ Every element subtree of a page is hashed from the hashes of what it holds, twic
 exactly (tag, class, id, texts) and by shape (tag, class, id, role, the shapes of
 its parts, no text, repeated parts once). Spark counts both per host over differing
 pages, and a second pass deletes subtrees that recur on ``min_pages`` or more: by
-exact hash any, by shape those that are no article, hold at most half of the
-page's text, and either are links for the most part or name themselves as
-something else than the article (menus, footers, forms, adverts, comments, ...).
-So a menu, a footer line or an advert goes that looks alike on a site's pages
-though it never says the same. Only then, for hosts with few pages, do names
-decide alone: by tag or role, or by a whole class or id, but then not an article,
-and where no other article has text not what holds one or most of the page's text.
+exact hash any, by shape those that hold at most half of the page's text, no
+article, and either are links for the most part or are marked as something else
+than the article (by tag, role, class or id). So a menu, a footer line or an
+advert goes that looks alike on a site's pages though it never says the same.
+
+Host counts decide first. At a host with ``min_pages`` differing pages the text is
+what does not recur, wherever it lies. Unless ``marks`` is false, two rules then
+clear up what is not on enough pages: elements whose tag or role is something else
+than the article (``nav``, ``footer``, ``aside``, ...) go, and so does on a page with an
+article what lies outside of it and is marked by class or id. Only at hosts with
+fewer pages do tags, classes and ids decide alone: a page with ``article`` elements
+gives their text, else its ``main`` element's, else what is left of its body; whole
+words in classes or ids take elements away, but not an article, and where no other
+article has text not what holds one or most of the page's text; inside an article
+weak words do not take away paragraphs, nor containers with more text than ``PROSE``
+letters that is not links.
+
 Pages count as differing by their whole text, so copies of one page do not turn
 its article into a template; and paragraphs, headings, list items and the like
-inside an article are never templates, only containers there are, by exact hash.
-Counts are (host, subtree) aggregates with map-side combine, so a host with a
-third of all pages is no single task. Reading is linear in the page's length.
+inside an article are never templates, only containers there are, by exact hash
+or, if marked, by shape. Counts are (host, subtree) aggregates with map-side
+combine, so a host with a third of all pages is no single task. Reading is
+linear in the page's length.
 
 Blocks: character references decoded, white space collapsed to one space,
-trimmed, empty ones left out, joined by one line end in page order. A page with
-``article`` elements gives their text, else its ``main`` element's, else what
-is left of its body.
+trimmed, empty ones left out, joined by one line end in page order. A small
+``article`` of links beside more other text is a card and gives none.
 
 Defined cases: null and empty html give an empty text; unclosed elements end
 with their parent, unmatched end tags are ignored; a tag that never ends is text
@@ -42,11 +52,13 @@ from pyspark.sql import functions as F
 from .common import checkpointed, rows_to_batches, sized, slices
 
 DEEP = 512
+PROSE = 100  # letters from which a weakly named container inside an article reads like the article
 # Element names of the HTML standard by their role here.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul caption".split())
-NEVER = frozenset("script style noscript iframe template textarea title head nav footer aside form button select svg canvas object dialog menu audio video".split())
+NO_TEXT = frozenset("script style noscript iframe template textarea title head button select svg canvas object audio video".split())
+ASIDE = frozenset("nav footer aside form dialog menu".split())
 CLOSES_P = BLOCK - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 CONTAINERS = frozenset("div section ul ol dl table figure details fieldset center".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
@@ -54,7 +66,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adbox adsense banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer comment comments disqus replies cookie cookies consent gdpr popup modal newsletter pagination pager login signup toolbar masthead topbar copyright".split()
 )
-WEAK = frozenset("sponsor sponsored promo promotion notice notices subscribe subscription share sharing social related widget widgets search toc skip".split())
+PROMO = frozenset("sponsor sponsored promo promotion".split())
+WEAK = PROMO | frozenset("notice notices subscribe subscription share sharing social related widget widgets search toc skip".split())
 SIMPLE = re.compile(r"""<(/?)([A-Za-z][^\s/>"'<]*+)((?:[^<>"']++|"[^"<>]*+")*+)>""")  # reads no further than to the next tag
 NAME = re.compile(r"[^\s/>]*")
 ENDS = re.compile(r"""[>"']""")
@@ -72,31 +85,37 @@ def _attributes(raw: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTR.finditer(raw)} if raw.strip(" /") else {}
 
 
-def _dropped(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in NEVER or tag == "header" and not in_article:
+def _hidden(tag: str, attrs: dict[str, str]) -> bool:
+    if tag in NO_TEXT:
         return True
     if not attrs or tag in ("html", "body", "main"):
         return False
-    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in ROLES or bool(HIDDEN.search(attrs.get("style", "")))
+    return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(HIDDEN.search(attrs.get("style", "")))
+
+
+def _aside(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether tag or role says that this is not the article."""
+    return tag in ASIDE or tag == "header" and not in_article or tag not in ("html", "body", "main") and attrs.get("role", "").lower() in ROLES
 
 
 def _named(tag: str, attrs: dict[str, str], in_article: bool) -> str:
-    """``strong`` or ``weak`` if class or id have a word for something else than the article; an article inside another one may."""
+    """``strong``, ``weak`` or ``promo`` (a weak one) if class or id have a word for something else than the article; an article inside another one may."""
     if not attrs or tag in ("html", "body", "main") or tag == "article" and not in_article:
         return ""
     names = f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split()
     if not WORDS.isdisjoint(names) or not in_article and "header" in names:
         return "strong"
-    return "" if WEAK.isdisjoint(names) else "weak"
+    return "" if WEAK.isdisjoint(names) else "weak" if PROMO.isdisjoint(names) else "promo"
 
 
 class _Open:
     """An open element: what it is, where its text begins, and the hashes of what it holds."""
 
-    __slots__ = ("tag", "dropped", "region", "first", "name", "number", "named", "parts", "shapes", "letters", "links", "plain", "article", "inner")
+    __slots__ = ("tag", "dropped", "region", "first", "name", "number", "named", "marked", "aside", "parts", "shapes", "letters", "links", "plain", "article", "inner")
 
-    def __init__(self, tag, dropped, region, first, name, number, named, letters, links, plain, article):
+    def __init__(self, tag, dropped, region, first, name, number, named, marked, aside, letters, links, plain, article):
         self.tag, self.dropped, self.region, self.first, self.name, self.number, self.named = tag, dropped, region, first, name, number, named
+        self.marked, self.aside = marked, aside  # it or what holds it is marked as no article; it is by its own tag or role
         self.letters, self.links, self.plain, self.article = letters, links, plain, article
         self.parts: list[int] = []
         self.shapes: list[int] = []
@@ -106,43 +125,47 @@ class _Open:
 class Page:
     """The text blocks of one page.
 
-    ``gone`` holds the subtrees to delete, hashed with their host; ``letters`` the page's size as an earlier reading found it.
+    ``counted``: host counts decide, that is ``gone``, the subtrees to delete, hashed
+    with their host; ``letters`` is the page's size as an earlier reading found it.
+    Otherwise names decide. ``marks``: tags and roles decide, too, where counts do not.
     """
 
-    def __init__(self, html: str, gone: frozenset[int] = frozenset(), letters: int = 0, site: str = "") -> None:
-        self.gone, self.size, self.site = gone, letters, site
+    def __init__(self, html: str, gone: frozenset[int] = frozenset(), letters: int = 0, site: str = "", counted: bool = False, marks: bool = True) -> None:
+        self.gone, self.size, self.site, self.counted, self.marks = gone, letters, site, counted, marks
         self.kept: set[int] = set()  # numbers of named elements that give text all the same
         self._start()
         self._read(html)
-        if kept := self._wrongly_named():
+        if not counted and (kept := self._wrongly_named()):
             self.kept = kept
             self._start()
             self._read(html)
 
     def _start(self) -> None:
-        self.blocks: list[tuple[int, str]] = []  # 2: in an article, 1: in main, 0: elsewhere
+        self.blocks: list[tuple[int, str, bool]] = []  # 2: in an article, 1: in main, 0: elsewhere; the text; whether it is marked
+        self.cards: list[tuple[int, int, int]] = []  # articles of links: their blocks and letters
         self.exact: set[int] = set()
         self.alike: list[tuple[int, int]] = []  # shapes and letters
         self.held: list[str] = []
         self.stack: list[_Open] = []
         self.open: dict[str, int] = {}  # how many elements of each name are open
         self.opened = 0
-        self.weak: list[tuple[int, int, int]] = []  # named elements closed: number, letters but for those dropped by tag or role, letters in articles
-        self.strong: list[tuple[int, int, int]] = []
+        # named elements closed: number, letters but for those dropped by tag or role, letters in articles, whether it reads like the article
+        self.weak: list[tuple[int, int, int, bool]] = []
+        self.strong: list[tuple[int, int, int, bool]] = []
         self.letters = self.links = self.plain = self.in_article = self.of_articles = self.templates = 0
 
     def _wrongly_named(self) -> set[int]:
         """Named elements that hold an article or most of the text, without other article text; weakly named ones that hold most of an article."""
         if not self.in_article:
-            return {i for i, n, a in self.weak + self.strong if a or 2 * n > self.plain}
-        return {i for i, _, a in self.weak if 2 * a > self.of_articles}
+            return {i for i, n, a, _ in self.weak + self.strong if a or 2 * n > self.plain}
+        return {i for i, _, a, prose in self.weak if 2 * a > self.of_articles or a and prose}
 
     def _flush(self) -> None:
         if self.held:
             text = " ".join(unescape("".join(self.held)).split())
             self.held.clear()
             if text:
-                self.blocks.append((self.stack[-1].region if self.stack else 0, text))
+                self.blocks.append((self.stack[-1].region, text, self.stack[-1].marked) if self.stack else (0, text, False))
                 if self.stack:
                     self.stack[-1].parts.append(_hash(text))
 
@@ -162,23 +185,32 @@ class Page:
                     self.templates += e.inner
                 continue
             letters, inside = self.letters - e.letters, self.of_articles - e.article
+            linked = 2 * (self.links - e.links) > letters
             if e.named:
-                (self.weak if e.named == "weak" else self.strong).append((e.number, self.plain - e.plain, inside))
+                prose = e.named == "weak" and not linked and (e.tag not in CONTAINERS or letters > PROSE)
+                (self.strong if e.named == "strong" else self.weak).append((e.number, self.plain - e.plain, inside, prose))
+            if e.tag == "article" and letters and linked:
+                self.cards.append((e.first, len(self.blocks), letters))
             exact = _hash(f"{e.tag}\0{e.name}\0{e.parts}") if e.parts else 0
             shape = 0
-            if e.region < 2:  # shapes matter outside articles only
+            if e.region < 2 or e.marked:  # of other parts of articles shapes do not matter
                 once = [s for i, s in enumerate(e.shapes) if not i or s != e.shapes[i - 1]]
                 shape = _hash(f"{e.tag}\1{e.name}\1{once}")
-            # what lies in a dropped element has no text of its own to delete
-            if block and e.tag not in ("html", "body", "main", "article") and letters and not (up and up.dropped):
-                if e.region < 2 or e.tag in CONTAINERS:
+            if block and e.tag not in ("html", "body", "main", "article") and letters and not e.dropped:
+                container = e.region < 2 or e.tag in CONTAINERS
+                if container:
                     self.exact.add(exact)
-                alike = e.region == 0 and not inside and (e.dropped or 2 * (self.links - e.links) > letters)
+                if e.region < 2:
+                    alike = not inside and (bool(e.marked) or linked and e.region == 0)
+                else:
+                    alike = e.aside or bool(e.named) and e.tag in CONTAINERS and (e.named == "strong" or linked)
                 if alike:
                     self.alike.append((shape, letters))
-                if self.gone and (self._goes(exact) and (e.region < 2 or e.tag in CONTAINERS) or alike and 2 * letters <= self.size and self._goes(shape)):
-                    del self.blocks[e.first :]
+                if self.gone and (container and self._goes(exact) or alike and 2 * letters <= self.size and self._goes(shape)):
+                    self._delete(e.first)
                     e.inner = 1
+                elif self.counted and self.marks and e.aside:
+                    self._delete(e.first)
             if up:
                 up.inner += e.inner
                 if e.parts:
@@ -188,6 +220,10 @@ class Page:
             else:
                 self.templates += e.inner
 
+    def _delete(self, first: int) -> None:
+        del self.blocks[first:]
+        self.cards = [c for c in self.cards if c[0] < first]
+
     def _goes(self, subtree: int) -> bool:
         return _hash(f"{self.site}\0{subtree}") in self.gone
 
@@ -280,17 +316,20 @@ class Page:
         if raw.endswith("/") and tag not in BLOCK:
             return
         self.opened += 1
-        # 1: by name, 2: by tag or role, 3: no text at all
-        dropped, named = held, ""
+        # 1: by name, 2: hidden, or by tag or role, 3: no text at all
+        dropped, named, aside = held, "", False
         if held < 3:
             if tag in ("head", "template"):
                 dropped = 3
-            elif held == 2 or _dropped(tag, attrs, inside == 2):
+            elif held == 2 or _hidden(tag, attrs):
+                dropped = 2
+            elif (aside := _aside(tag, attrs, inside == 2)) and not self.counted:
                 dropped = 2
-            elif (named := _named(tag, attrs, inside == 2)) and self.opened not in self.kept:
+            elif (named := _named(tag, attrs, inside == 2)) and (tag not in BLOCK and named == "strong" if self.counted else self.opened not in self.kept):
                 dropped = max(held, 1)
+        marked = aside or bool(named) or bool(up and up.marked)
         name = DIGITS.sub("0", f"{attrs.get('class', '')}#{attrs.get('id', '')}#{attrs.get('role', '')}") if attrs else "##"
-        self.stack.append(_Open(tag, dropped, region, len(self.blocks), name, self.opened, named, self.letters, self.links, self.plain, self.of_articles))
+        self.stack.append(_Open(tag, dropped, region, len(self.blocks), name, self.opened, named, marked, aside, self.letters, self.links, self.plain, self.of_articles))
         self.open[tag] = self.open.get(tag, 0) + 1
 
     def _imply(self, tag: str) -> None:
@@ -311,8 +350,18 @@ class Page:
         return self.exact | {s for s, n in self.alike if 2 * n <= self.letters}
 
     def text(self) -> str:
-        best = max((r for r, _ in self.blocks), default=0)
-        return "\n".join(t for r, t in self.blocks if r == best)
+        blocks = self.blocks
+        if self.cards:
+            card = {i for a, b, _ in self.cards for i in range(a, min(b, len(blocks)))}
+            other = [x for i, x in enumerate(blocks) if i not in card]
+            if 2 * sum(n for _, _, n in self.cards) < sum(len(t) for _, t, _ in other):
+                blocks = other
+        best = max((r for r, _, _ in blocks), default=0)
+        if not self.counted:
+            blocks = [x for x in blocks if x[0] == best]
+        elif self.marks and best == 2:
+            blocks = [x for x in blocks if x[0] == 2 or not x[2]]
+        return "\n".join(t for _, t, _ in blocks)
 
 
 def host(url: str = "url") -> Column:
@@ -320,19 +369,19 @@ def host(url: str = "url") -> Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """``(page_id, row, letters, context, subtrees)``: each page's size, text digest and subtrees that a template might be, hashed with its host."""
-    schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("letters", pa.int64()), ("context", pa.int64()), ("subtrees", pa.list_(pa.int64()))])
+    """``(page_id, row, host, letters, context, subtrees)``: each page's size, text digest and subtrees that a template might be, hashed with its host."""
+    schema = pa.schema([("page_id", pa.int64()), ("row", pa.int64()), ("host", pa.string()), ("letters", pa.int64()), ("context", pa.int64()), ("subtrees", pa.list_(pa.int64()))])
 
     def run(batches):
         def rows():
             for b in (part for whole in batches for part in slices(whole, 200)):
                 for page_id, row, site, html in zip(*(c.to_pylist() for c in b.columns)):
-                    page = Page(html)
-                    yield page_id, row, page.letters, _hash(page.text()), [_hash(f"{site}\0{h}") for h in sorted(page.subtrees())]
+                    page = Page(html, counted=True)
+                    yield page_id, row, site, page.letters, _hash(Page(html).text()), [_hash(f"{site}\0{h}") for h in sorted(page.subtrees())]
 
         return rows_to_batches(rows(), schema)
 
-    return _keyed(pages).select("page_id", "row", "host", "html").mapInArrow(run, "page_id long, row long, letters long, context long, subtrees array<long>")
+    return _keyed(pages).select("page_id", "row", "host", "html").mapInArrow(run, "page_id long, row long, host string, letters long, context long, subtrees array<long>")
 
 
 def _keyed(pages: DataFrame) -> DataFrame:
@@ -340,21 +389,22 @@ def _keyed(pages: DataFrame) -> DataFrame:
     return pages.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), "page_id", "url", html.alias("html"), host().alias("host"), F.xxhash64(html).alias("row"))
 
 
-def extract(pages: DataFrame, min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 5, marks: bool = True) -> DataFrame:
     """``(page_id, url, text, n_chars, n_templates)`` of each page; ``n_templates`` subtrees were deleted as templates."""
     found = checkpointed(page_subtrees(pages))
     spread = found.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_id"), "row", "letters", "context", F.explode("subtrees").alias("subtree"))
     often = spread.select("subtree", "context").distinct().groupBy("subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("subtree")
     often = checkpointed(often)
     gone = spread.join(sized(often, often.count()), "subtree").groupBy("_id", "row").agg(F.collect_set("subtree").alias("gone"), F.max("letters").alias("letters"))
-    both = _keyed(pages).join(gone, ["_id", "row"], "left").select("page_id", "url", "html", "host", "gone", "letters")
+    hosts = checkpointed(found.select("host", "context").distinct().groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("host", F.lit(True).alias("counted")))
+    both = _keyed(pages).join(gone, ["_id", "row"], "left").join(sized(hosts, hosts.count()), "host", "left").select("page_id", "url", "html", "host", "gone", "letters", "counted")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("n_templates", pa.int64())])
 
     def run(batches):
         def rows():
             for b in (part for whole in batches for part in slices(whole, 200)):
-                for page_id, url, html, site, drop, letters in zip(*(c.to_pylist() for c in b.columns)):
-                    page = Page(html, frozenset(drop or ()), letters or 0, site)
+                for page_id, url, html, site, drop, letters, counted in zip(*(c.to_pylist() for c in b.columns)):
+                    page = Page(html, frozenset(drop or ()), letters or 0, site, bool(counted), marks)
                     text = page.text()
                     yield page_id, url, text, len(text), page.templates
 

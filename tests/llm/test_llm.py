@@ -135,6 +135,17 @@ def test_token_counts(spark):
 
 
 # ---- 2: licences ----
+def test_licences_in_a_long_text_of_starts(spark):
+    import time
+
+    began = time.perf_counter()
+    texts = ["MIT License\n" * 100_000, "This project is licensed\nunder the MIT License. " * 5_000, "MIT License\n" * 20_000 + MIT]
+    assert license_scan.sentence_hits(docs_of(spark, texts[:1])).count() == 100_000
+    rows = {(r.doc_id, r.license): r for r in license_scan.licenses(docs_of(spark, texts)).collect()}
+    assert rows.keys() == {(1, "MIT"), (2, "MIT")} and rows[1, "MIT"].n_sentences == 5_000 and rows[2, "MIT"].rule == "mit-title+mit-permission+warranty-as-is"
+    assert time.perf_counter() - began < 60
+
+
 def test_licenses(spark):
     notice = "Licensed under the Apache License, Version 2.0."
     full = notice + " You may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
@@ -410,12 +421,12 @@ def test_quality_pairs_against_plain_descent():
 
 
 def test_stages_keep_columns_of_any_name(spark):
-    names = ["doc_id", "text", "score", "predicted", "_keep", "_doc", "_row_hash", "_body", "row", "keep", "doc", "body", "head", "n_shingles", "component_id"]
+    names = ["doc_id", "text", "score", "predicted", "_keep", "_doc", "_row_hash", "_body", "row", "keep", "doc", "body", "head", "n_shingles", "component_id", "a.b", "c`d", "e f"]
     rng = random.Random(0)
     good = [" ".join(rng.choices(WORDS, k=40)).capitalize() + "." for _ in range(30)]
     bad = [" ".join(x + "%%%" for x in rng.choices(WORDS, k=40)) for _ in range(30)]
     rows = [(i, t, "mine", *[f"{c}{i}" for c in names[3:]]) for i, t in enumerate([*good, *bad, None, ""])]
-    df = spark.createDataFrame(rows, ", ".join(f"`{c}` {'long' if c == 'doc_id' else 'string'}" for c in names))
+    df = spark.createDataFrame(rows, ", ".join(f"`{c.replace('`', '``')}` {'long' if c == 'doc_id' else 'string'}" for c in names))
     labels = spark.createDataFrame([(i, int(i < 30), 0, 1.0) for i in range(60)], "doc_id long, quality int, toxic int, h double")
     bench = spark.createDataFrame([(0, good[3], "x", 1)], "item_id long, text string, n string, h int")
     for out in (quality.keep_good(df, labels), line_dedup.dedup_lines(df), ngram_join.one_of_each(df), decontaminate.without_leaks(df, bench)):
@@ -497,6 +508,42 @@ def test_weak_names_in_an_article():
     assert html_extract.Page('<article><p>Short</p><div class="comments">Very many comments of readers</div></article>').text() == "Short"
 
 
+def test_cards_and_oddly_named_parts_of_articles():
+    story = "<p>" + "The whole story is told here, in many words. " * 5 + "</p>"
+    text = html_extract.Page(story).text()
+    for counted in (False, True):
+        page = f"<main>{story}<div><article><a>Card one</a></article><article><a>Card two</a></article></div></main>"
+        assert html_extract.Page(page, counted=counted).text() == text
+        assert html_extract.Page("<div><article><a>Only card</a></article></div><p>x</p>", counted=counted).text() == ("Only card\nx" if counted else "Only card")
+        page = f'<article>{story}<p class="share">Shared by all of them.</p><div class="social">{story}</div></article>'
+        assert html_extract.Page(page, counted=counted).text() == f"{text}\nShared by all of them.\n{text}"
+
+
+def test_host_counts_decide_before_names(spark):
+    rng = random.Random(8)
+    say = lambda k: " ".join(rng.choices(WORDS, k=k))
+    rows, want = [], {}
+    for i in range(8):
+        story, own, note = say(30), say(3), say(4)
+        # the comments look alike on all pages, the box named so on one page only is part of the text
+        odd = f'<div class="sidebar"><p>{note}</p></div>' if i == 3 else ""
+        rows.append((i, "http://a.example/", f'<article><p>{story}</p>{odd}<div class="comments"><b>{say(1)}</b><p>{own}</p></div></article>'))
+        want[i] = f"{story}\n{note}" if odd else story
+        rows.append((100 + i, f"http://{i}.example/", f'<article><p>{story}</p><div class="sidebar"><p>{note}</p></div></article>'))
+        want[100 + i] = story  # a host of one page: names decide
+    got = {r.page_id: r for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {k: r.text for k, r in got.items()} == want
+    assert all(r.n_templates == (k < 100) for k, r in got.items())
+
+
+def test_templates_decide_the_text_of_the_given_pages(spark):
+    """Counts alone, without the meaning of tags and names, give the text; reading without the counts does not."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    whole, alone = ({r.page_id: r.text for r in html_extract.extract(pages, 5, marks).collect()} for marks in (True, False))
+    off = {r.page_id: html_extract.Page(r.html or "", counted=True, marks=False).text() for r in pages.collect()}
+    assert whole == alone and all(off[k] != whole[k] for k in off)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/pbdiv \"'=&;a!-x", max_size=60))
 def test_any_html_parses(text):
