@@ -163,6 +163,7 @@ HINTS = ("licens", "licenc", "permission", "redistribution", "software", "releas
 HINT = "|".join(HINTS)
 BREAK = r"\n|(?<=[.!?])[ \t\r]+"
 NOT_WORD = r"[^a-z0-9]+"
+AT, IS, MARK = "\x01", "\x02", 12  # before and after a piece's number; characters of a mark at most
 
 
 def normalised(sentence: Column) -> Column:
@@ -176,35 +177,59 @@ def _known() -> list[tuple[str, str, bool]]:
 
 
 def _rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, name, list(ids), f",{',%,'.join(ids)},") for i, (name, ids) in enumerate([*RULES, *PUBLISHED_RULES])], "rule_id int, license string, needs array<string>, pattern string")
+    return spark.createDataFrame([(i, name, list(ids)) for i, (name, ids) in enumerate([*RULES, *PUBLISHED_RULES])], "rule_id int, license string, needs array<string>")
+
+
+def _starts(known: list[tuple[str, str, bool]]) -> str:
+    """Finds each piece that a known sentence may begin in, and as much from there as the longest one of its first word may take.
+
+    Pieces come as ``AT number IS key``; between two words there is a space or the next piece's mark.
+    """
+    heads: dict[str, list[str]] = {}
+    for _, k, _ in known:
+        heads.setdefault(k.split()[0], []).append(k)
+    ends = f"(?: |{AT}|$)"
+    found = []
+    for a, keys in sorted(heads.items()):
+        second = sorted({k.split()[1] for k in keys if " " in k})
+        reach = max(len(k) + MARK * len(k.split()) for k in keys) + 2 * MARK
+        found.append(f"{a}(?={AT}|$| (?:{'|'.join(second)}){ends})[\\s\\S]{{0,{reach}}}")
+    return f"{AT}(?=([0-9]+{IS}(?:{'|'.join(found)})))"
 
 
 def sentence_hits(docs: DataFrame) -> DataFrame:
-    """``(doc_id, row, pos, sentence_id)`` of each known sentence; ``row`` tells rows of one id apart."""
-    known = _known()
-    most, long = max(len(k.split()) for _, k, _ in known), max(len(k) for _, k, _ in known)
+    """``(doc_id, row, pos, sentence_id)`` of each known sentence; ``row`` tells rows of one id apart.
+
+    One pass of a pattern finds where sentences may begin, with their text as far as
+    one can reach; its first two words then meet the known sentences in a join. So
+    work is linear in the text, however many of its lines begin one.
+    """
+    spark, known = docs.sparkSession, _known()
     pieces = F.transform(F.split("text", BREAK), lambda x, i: F.struct(i.alias("pos"), normalised(x).alias("key")))
-    s = docs.where(reduce(or_, (F.contains(F.lower("text"), F.lit(x)) for x in HINTS))).select("doc_id", F.xxhash64("text").alias("row"), F.filter(pieces, lambda x: x["key"] != "").alias("s"))
-    # a run begins with a known sentence's first words and has no more pieces than the longest has words; of a piece no more than that sentence's length matters
-    heads = sorted({tuple(k.split()[:2]) for _, k, _ in known})
-    first = f"^(?:{'|'.join(f'{a}(?:$| {b}(?: |$))' for a, b in heads)})"
-    cut = lambda i: F.transform(F.slice("s", i + 1, most), lambda y: F.struct(y["pos"].alias("pos"), F.left(y["key"], F.lit(long + 1)).alias("key")))
-    runs = F.filter(F.transform("s", lambda x, i: F.when(x["key"].rlike(first), cut(i))), lambda r: r.isNotNull())
-    s = s.select("doc_id", "row", F.explode(runs).alias("run"))
-    table = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(k).alias("key"), F.lit(o).alias("open")) for i, k, o in known))
-
-    # the run's text as far as a sentence can reach, and after which lengths its pieces end
+    marked = F.array_join(F.transform(F.filter(pieces, lambda x: x["key"] != ""), lambda x: F.concat(F.lit(AT), x["pos"].cast("string"), F.lit(IS), x["key"])), "")
+    s = docs.where(reduce(or_, (F.contains(F.lower("text"), F.lit(x)) for x in HINTS))).select("doc_id", F.xxhash64("text").alias("row"), marked.alias("marked"))
+    s = s.select("doc_id", "row", F.explode(F.regexp_extract_all("marked", F.lit(_starts(known)), F.lit(1))).alias("run"))
+    # a mark that the reach cuts through is left out
+    whole = F.filter(F.split("run", AT), lambda x: F.contains(x, F.lit(IS)))
+    run = F.transform(whole, lambda x: F.struct(F.substring_index(x, IS, 1).cast("int").alias("pos"), F.substring_index(x, IS, -1).alias("key")))
+    s = s.select("doc_id", "row", F.explode(F.array(run)).alias("run"))
+
+    # the run's text, and after which lengths its pieces end
     none = F.array().cast("array<struct<size:int,end:int>>")
 
     def add(a: Column, y: Column) -> Column:
         more = F.concat_ws(" ", F.nullif(a["text"], F.lit("")), y["key"])
-        grown = F.struct(more.alias("text"), F.concat(a["ends"], F.array(F.struct(F.length(more).alias("size"), y["pos"].alias("end")))).alias("ends"))
-        return F.when(F.length(a["text"]) > long, a).otherwise(grown)
+        return F.struct(more.alias("text"), F.concat(a["ends"], F.array(F.struct(F.length(more).alias("size"), y["pos"].alias("end")))).alias("ends"))
 
-    # a generator, for otherwise the optimizer would make this once per known sentence
+    # a generator, for otherwise the optimizer would make this once per use
     reach = F.aggregate("run", F.struct(F.lit("").alias("text"), none.alias("ends")), add, lambda a: F.struct(F.concat(a["text"], F.lit(" ")).alias("text"), a["ends"].alias("ends")))
-    s = s.select("doc_id", "row", F.col("run")[0]["pos"].alias("pos"), F.explode(F.array(reach)).alias("r"))
-    met = F.filter(table, lambda k: F.startswith(F.col("r.text"), F.concat(k["key"], F.lit(" "))))
+    s = s.select("doc_id", "row", F.col("run")[0]["pos"].alias("pos"), F.explode(F.array(reach)).alias("r")).withColumn("head", F.substring_index("r.text", " ", 2))
+    heads: dict[str, list[tuple]] = {}
+    for i, k, o in known:
+        heads.setdefault(" ".join(k.split()[:2]), []).append((i, k, o))
+    table = spark.createDataFrame(list(heads.items()), "head string, known array<struct<id:string,key:string,open:boolean>>")  # the known sentences, some hundred
+    s = s.join(F.broadcast(table), "head")
+    met = F.filter("known", lambda k: F.startswith(F.col("r.text"), F.concat(k["key"], F.lit(" "))))
 
     def hit(k: Column) -> Column:
         last = F.element_at(F.filter("r.ends", lambda e: e["size"] >= F.length(k["key"])), 1)
@@ -233,7 +258,9 @@ def licenses(docs: DataFrame) -> DataFrame:
     # rules meet the documents that hold their first sentence
     first = seq.select("doc_id", "row", "copies", "hits", "line", F.explode(F.array_distinct("hits.sentence_id")).alias("head"))
     rules = F.broadcast(_rules(spark).withColumn("head", F.col("needs")[0]))
-    met = first.join(rules, "head").where("line like concat('%', pattern, '%')")
+    # each identifier is looked for behind the one before it
+    behind = F.expr("aggregate(needs, 1, (at, x) -> if(at = 0, 0, nullif(locate(concat(',', x, ','), line, at), 0) + length(x) + 2), at -> coalesce(at, 0))")
+    met = first.join(rules, "head").where(behind > 0)
     best = met.groupBy("doc_id", "row", "copies", "license").agg(F.max(F.struct(F.size("needs").alias("size"), (-F.col("rule_id")).alias("order"), "needs", "hits")).alias("m"))
     begin = F.element_at(F.filter("m.hits", lambda h: h["sentence_id"] == F.col("m.needs")[0]), 1)["pos"]
     best = best.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
