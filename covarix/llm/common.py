@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..shared import checkpointed, connected_components, release, sized
 
-__all__ = ["checkpointed", "connected_components", "release", "rows_to_batches", "sized", "slices", "table", "text_bytes", "wider"]
+__all__ = ["checkpointed", "columns_of", "connected_components", "release", "rows_to_batches", "sized", "slices", "table", "text_bytes", "wider"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def text_bytes(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit("").cast("binary"))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns of ``df``, whatever their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def wider(df: DataFrame, more: str) -> T.StructType:
     """The schema of ``df`` with the columns of a DDL string after its own."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])

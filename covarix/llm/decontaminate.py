@@ -31,7 +31,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, sized
+from .common import checkpointed, columns_of, sized
 
 WORDS = 5
 RADIUS = 23
@@ -152,4 +152,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; its columns stay, rows with null ids too."""
     gone = checkpointed(contaminated_windows(docs, benchmark).select("doc_id").distinct())
-    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*columns_of(docs))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, release, rows_to_batches, slices, text_bytes
+from .common import checkpointed, columns_of, release, rows_to_batches, slices, text_bytes
 
 STRIP = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)  # stands for a null doc_id, below every other
@@ -148,7 +148,7 @@ def kept_lines(body: bytes, keep: bytes | None) -> tuple[list[bytes], int]:
 
 def _with_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``(row, keep)``: each row as one struct, so that its columns may have any name."""
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*columns_of(docs))
     d = docs.select(row.alias("row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row_hash"), F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
     return d.join(bitmaps.select("doc", "row_hash", "keep"), ["doc", "row_hash"], "left").select("row", "keep")
 

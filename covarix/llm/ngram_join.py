@@ -52,7 +52,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, connected_components, release, rows_to_batches, sized, text_bytes
+from .common import checkpointed, columns_of, connected_components, release, rows_to_batches, sized, text_bytes
 
 BLOCK_GRAMS = 1_500_000
 BUCKET_GRAMS = 1_500_000
@@ -694,4 +694,4 @@ def one_of_each(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5))
     """
     gone = ngram_components(docs, n, sim).where("doc_id <> component_id").select("doc_id").distinct()
     gone = checkpointed(gone)
-    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(gone, gone.count()), "doc_id", "left_anti").select(*columns_of(docs))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import columns_of, slices, text_bytes
 
 PRINTABLE = list(range(32, 127))
 N_FEATURES = len(PRINTABLE) + 17
@@ -137,7 +137,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         out = [shared.value.scores(np.array([features(t) for t in body.iloc[at : at + 1000]])) for at in range(0, len(body), 1000)]
         return pd.Series(np.concatenate(out) if out else [], dtype="float64")
 
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    row = F.struct(*columns_of(docs))
     return docs.select(row.alias("row"), of(text_bytes()).alias("score"))
 
 
