@@ -1,12 +1,14 @@
 """Mean-field direct-coupling analysis.
 
-Sequences count as distinct kinds with a multiplicity; all pairs of kinds are
-compared in a grid of packed blocks. The covariance matrix with pseudocounts is
-inverted on the driver in one of two exact ways: as it is, up to ``MAX_STATES``
-rows, or, as it is a block-diagonal matrix plus one of the rank of the number of
-kinds, through a matrix of that size (Woodbury), up to ``MAX_KINDS`` kinds however
-many columns there are. Scores of column pairs are then computed from blocks of
-couplings on the executors, so couplings are never a table unless asked for.
+Sequences count as distinct kinds with a multiplicity; near ones are found through
+a metric index. The covariance matrix with pseudocounts is inverted exactly in
+one of three ways. Of up to ``MAX_KINDS`` kinds on the driver: as it is, up to
+``MAX_STATES`` rows, or, as it is a block-diagonal matrix plus one of the rank of
+the number of kinds, through a matrix of that size (Woodbury), however many
+columns there are. Of more kinds it is made in blocks of ``COLUMNS`` columns from
+tiles of joint counts and swept block by block on the executors, without bound.
+Scores of column pairs are then computed from blocks of couplings on the
+executors, so couplings are never a table unless asked for.
 
 Couplings are ``J = -C^-1``; direct information uses the weights ``exp(J)``, the
 sign of the published mean-field method.
@@ -14,25 +16,25 @@ sign of the published mean-field method.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.encoding import rounded
-from ..shared import checkpointed, sized
+from ..shared import checkpointed, release, sized
+from . import near, tiles
 from .pairs import PAIR
 
 Q = 21
 MAX_STATES = 4000
 MAX_KINDS = 3000
-BLOCK_KINDS = 1000
 BLOCK_COLUMNS = 16
+COLUMNS = 50  # of a block that is swept: 8 MB
+PANEL_BYTES = 128 << 20  # of a column of blocks that is broadcast
 GAP = Q - 1
 
 
@@ -41,62 +43,10 @@ def kinds(p: DataFrame) -> DataFrame:
     return p.groupBy("codes").agg(F.count("*").alias("m"))
 
 
-def _packed(k: DataFrame) -> DataFrame:
-    """Kinds in blocks ``(block, n, codes, m)`` of bounded size, codes as bytes padded with 255."""
-    def pack(batches: Iterator[pa.RecordBatch]):
-        part, number, held = TaskContext.get().partitionId() << 20, 0, []
-
-        def block():
-            width = max(len(c) for c, _ in held)
-            codes = np.full((len(held), width), 255, np.uint8)
-            for i, (c, _) in enumerate(held):
-                codes[i, : len(c)] = c
-            cells = [[part + number], [len(held)], [codes.tobytes()], [np.array([m for _, m in held], "<i8").tobytes()]]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cells], names=["block", "n", "codes", "m"])
-
-        for b in batches:
-            for c, m in zip(b.column(0), b.column(1).to_pylist()):
-                held.append((c.values.to_numpy(zero_copy_only=False), m))
-                if len(held) == BLOCK_KINDS:
-                    yield block()
-                    number, held = number + 1, []
-        if held:
-            yield block()
-
-    return k.mapInArrow(pack, "block long, n long, codes binary, m binary")
-
-
-def _unpacked(n: int, codes: bytes) -> np.ndarray:
-    return np.frombuffer(codes, np.uint8).reshape(n, -1)
-
-
-def _near(x: np.ndarray, y: np.ndarray, theta: float) -> np.ndarray:
-    """Which rows differ in at most ``floor(theta * L)`` positions, L being x's own length; what only one has differs."""
-    width = max(x.shape[1], y.shape[1])
-    x, y = (np.pad(z, ((0, 0), (0, width - z.shape[1])), constant_values=255) for z in (x, y))
-    apart = np.stack([(row != y).sum(1) for row in x])
-    return apart <= np.floor((x < 255).sum(1) * theta)[:, None]
-
-
 def weighted_kinds(p: DataFrame, theta: float = 0.2) -> DataFrame:
     """``(codes, m, weight)``: one over the sequences within ``floor(theta * L)`` differences, copies and itself included."""
-    blocks = checkpointed(_packed(kinds(p)))
-    n = max(1, blocks.count())
-    # every block meets every other: each goes to one cell, and to all cells as the other side
-    left = blocks.select("block", F.col("n").alias("an"), F.col("codes").alias("ac"), F.col("m").alias("am"), F.pmod(F.xxhash64("block"), F.lit(n)).cast("int").alias("cell"))
-    right = blocks.select(F.col("n").alias("bn"), F.col("codes").alias("bc"), F.col("m").alias("bm"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("cell"))
-    met = left.hint("merge").join(right, "cell").select("an", "ac", "am", "bn", "bc", "bm")
-
-    def count(batches):
-        for b in batches:
-            for an, ac, am, bn, bc, bm in zip(*(c.to_pylist() for c in b.columns)):
-                x, y = _unpacked(an, ac), _unpacked(bn, bc)
-                near = _near(x, y, theta) @ np.frombuffer(bm, "<i8")
-                codes = [row[row < 255].astype(np.int32).tolist() for row in x]
-                yield pa.RecordBatch.from_arrays([pa.array(codes, pa.list_(pa.int32())), pa.array(np.frombuffer(am, "<i8")), pa.array(near)], names=["codes", "m", "near"])
-
-    found = met.mapInArrow(count, "codes array<int>, m long, near long")
-    return found.groupBy("codes", "m").agg(F.sum("near").alias("near")).select("codes", "m", (1.0 / F.col("near")).alias("weight"))
+    k = checkpointed(kinds(p).withColumn("item", F.monotonically_increasing_id()))
+    return k.join(near.neighbour_counts(k, theta), "item").select("codes", "m", (1.0 / F.col("near")).alias("weight"))
 
 
 def weights(p: DataFrame, theta: float = 0.2) -> DataFrame:
@@ -204,41 +154,68 @@ def direct_information(j: np.ndarray, fi: np.ndarray, fj: np.ndarray, rounds: in
     return (joint * np.log((joint + tiny) / (fi[:, :, None] * fj[:, None] + tiny))).sum((1, 2))
 
 
-def _solved(p: DataFrame, length: int, theta: float, pseudo: float, ridge: float, dense: bool | None) -> Dense | LowRank | None:
-    """The couplings of the first ``length`` columns; shorter sequences end in gaps."""
-    cut = p.select("seq_id", F.slice(F.concat("codes", F.array_repeat(F.lit(GAP), length)), 1, length).alias("codes"))
-    w = checkpointed(weighted_kinds(cut, theta))
-    if (n := w.count()) > MAX_KINDS and (Q - 1) * length > MAX_STATES:
-        raise ValueError(f"{n} kinds of {length} columns are too many for both ways of inversion")
-    if not n:
-        return None
-    # kinds beyond the low-rank way's bound are folded to sums that the whole inverse needs
-    if n > MAX_KINDS:
-        return _from_sums(w, length, pseudo, ridge)
-    rows = w.select("codes", (F.col("m") * F.col("weight")).alias("w")).toArrow()
-    codes = np.stack(rows.column("codes").to_numpy()).astype(np.int64)
-    order = np.lexsort(codes.T)
-    return solve(codes[order], rows.column("w").to_numpy()[order], pseudo, ridge, dense)
-
-
-def _from_sums(w: DataFrame, length: int, pseudo: float, ridge: float) -> Dense:
-    """The whole inverse from weighted joint counts, at most 441 rows a column pair."""
-    cell = w.select((F.col("m") * F.col("weight")).alias("w"), "codes", F.posexplode("codes").alias("i", "a"))
-    two = cell.select("w", "i", "a", F.posexplode(F.slice("codes", F.col("i") + 1, F.lit(length))).alias("k", "b"))
-    sums = two.groupBy("i", (F.col("i") + F.col("k")).alias("j"), "a", "b").agg(F.sum("w").alias("w")).toPandas()
-    joint = np.zeros((length, Q, length, Q))
-    joint[sums["i"], sums["a"], sums["j"], sums["b"]] = sums["w"]
-    joint[sums["j"], sums["b"], sums["i"], sums["a"]] = sums["w"]
-    f = np.stack([np.diag(joint[k, :, k]) for k in range(length)])
-    total = f[0].sum()
-    f = (1 - pseudo) * f / total + pseudo / Q
-    c = (1 - pseudo) * joint / total + pseudo / Q**2
-    for k in range(length):
-        c[k, :, k] = np.diag(f[k])
-    c -= f[:, :, None, None] * f[None, None]
-    n = length * (Q - 1)
-    inverse = np.linalg.inv(c[:, : Q - 1, :, : Q - 1].reshape(n, n) + ridge * np.eye(n))
-    return Dense(-inverse.reshape(length, Q - 1, length, Q - 1).transpose(0, 2, 1, 3), f)
+def covariance_tiles(w: DataFrame, f: np.ndarray, total: float, pseudo: float, ridge: float, columns: int) -> DataFrame:
+    """``(i, j, data)``, i <= j: the covariance of the states of ``columns`` by ``columns`` columns, from weighted joint counts."""
+
+    def finish(x, y, counts):
+        c = (1 - pseudo) * counts / total + pseudo / Q**2
+        a, b = np.nonzero(x[:, None] == y[None, :])
+        c[a, b] = f[x[a], :, None] * np.eye(Q)
+        c -= f[x][:, None, :, None] * f[y][None, :, None, :]
+        flat = c[:, :, : Q - 1, : Q - 1].transpose(0, 2, 1, 3).reshape(len(x) * (Q - 1), -1)
+        if x[0] == y[0]:
+            flat = flat + ridge * np.eye(len(flat))
+        return {"i": np.array([x[0] // columns], np.int32), "j": np.array([y[0] // columns], np.int32), "data": [np.ascontiguousarray(flat).tobytes()]}
+
+    return tiles.tile_map(w.select("codes", "w"), finish, "i int, j int, data binary", min_gap=0, weight="w", tile=columns)
+
+
+def negative_inverse(blocks: DataFrame, sizes: list[int]) -> DataFrame:
+    """``-A^-1`` of a symmetric positive matrix in blocks ``(i, j, data)``, i <= j, of given sizes; again such blocks.
+
+    Sweeps one diagonal block after the other: with P the inverse of block (k, k)
+    and X_r the block (r, k), every block (i, j) becomes A - X_i P X_j', row and
+    column k become P A and A P, and (k, k) becomes -P. Each step is one pass over
+    all blocks, written to the checkpoint folder; the driver sees one block.
+    """
+    spark = blocks.sparkSession
+    blocks = checkpointed(blocks)
+    for k in range(len(sizes)):
+        d = blocks.where(f"i = {k} AND j = {k}").select("data").first()["data"]
+        inverse = spark.sparkContext.broadcast(np.linalg.inv(np.frombuffer(d).reshape(sizes[k], sizes[k])))
+
+        def step(batches, k=k, inverse=inverse):
+            def side(r, data):
+                return np.frombuffer(data).reshape(sizes[r], sizes[k]) if r < k else np.frombuffer(data).reshape(sizes[k], sizes[r]).T
+
+            p = inverse.value
+            for b in batches:
+                for i, j, data, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                    a = np.frombuffer(data).reshape(sizes[i], sizes[j])
+                    new = -p if i == j == k else p @ a if i == k else a @ p if j == k else a - side(i, x) @ p @ side(j, y).T
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([np.ascontiguousarray(new).tobytes()], pa.binary())], names=["i", "j", "data"])
+
+        panel = blocks.where(f"(i = {k}) <> (j = {k})").select(F.when(F.col("i") == k, F.col("j")).otherwise(F.col("i")).alias("r"), "data")
+        if 8 * sum(sizes) * sizes[k] <= PANEL_BYTES:
+            panel = F.broadcast(panel)
+        met = blocks.join(panel.toDF("i", "x"), "i", "left").join(panel.toDF("j", "y"), "j", "left").select("i", "j", "data", "x", "y")
+        old, blocks = blocks, checkpointed(met.mapInArrow(step, "i int, j int, data binary"))
+        release(old)
+        inverse.unpersist()
+    return blocks
+
+
+def _cut(p: DataFrame, length: int) -> DataFrame:
+    """The first ``length`` columns; shorter sequences end in gaps."""
+    return p.select("seq_id", F.slice(F.concat("codes", F.array_repeat(F.lit(GAP), length)), 1, length).alias("codes"))
+
+
+def _frequencies(w: DataFrame, length: int) -> tuple[np.ndarray, float]:
+    """Weighted counts of each column's codes, a row a column, and their total."""
+    f = np.zeros((length, Q))
+    for r in w.select("w", F.posexplode("codes").alias("pos", "code")).groupBy("pos", "code").agg(F.sum("w").alias("w")).collect():
+        f[r["pos"], r["code"]] = r["w"]
+    return f, f[0].sum() if length else 0.0
 
 
 def _cells(p: DataFrame, length: int) -> DataFrame:
@@ -248,9 +225,9 @@ def _cells(p: DataFrame, length: int) -> DataFrame:
     return one.repartition(max(1, min(n * (n + 1) // 2, 2000)))
 
 
-def couplings(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None) -> DataFrame:
+def couplings(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None, spread: bool | None = None) -> DataFrame:
     """``(pos_i, pos_j, a, b, j)``: 400 rows a column pair, the gap left out."""
-    return _by_block(p, length, "pos_i int, pos_j int, a int, b int, j double", _coupling_rows, theta, pseudo, ridge, dense)
+    return _by_block(p, length, "pos_i int, pos_j int, a int, b int, j double", _coupling_rows, theta, pseudo, ridge, dense, spread)
 
 
 def _coupling_rows(i, k, j, fi, fj):
@@ -263,22 +240,41 @@ def _score_rows(i, k, j, fi, fj):
     return pd.DataFrame({"pos_i": i, "pos_j": k, "score": np.sqrt((j**2).sum((1, 2))), "di": direct_information(j, fi, fj)})
 
 
-def _by_block(p: DataFrame, length: int, schema: str, rows, theta: float, pseudo: float, ridge: float, dense: bool | None) -> DataFrame:
-    solved = _solved(p, length, theta, pseudo, ridge, dense)
-    if solved is None:
-        return p.sparkSession.createDataFrame([], schema)
-    shared = p.sparkSession.sparkContext.broadcast(solved)  # bounded by MAX_STATES or MAX_KINDS
+def _by_block(p: DataFrame, length: int, schema: str, rows, theta: float, pseudo: float, ridge: float, dense: bool | None, spread: bool | None = None) -> DataFrame:
+    spark = p.sparkSession
+    w = checkpointed(weighted_kinds(_cut(p, length), theta).select("codes", (F.col("m") * F.col("weight")).alias("w")))
+    if not (n := w.count()) or not length:
+        return spark.createDataFrame([], schema)
+
+    def scored(j, x, y, f):
+        pi, pk = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
+        use = pi < pk
+        if use.any():
+            yield rows(pi[use], pk[use], j.reshape(-1, Q - 1, Q - 1)[use], f[pi[use]], f[pk[use]])
+
+    if n > MAX_KINDS if spread is None else spread:
+        counts, total = _frequencies(w, length)
+        f = (1 - pseudo) * counts / total + pseudo / Q
+        sizes = [(Q - 1) * min(COLUMNS, length - at) for at in range(0, length, COLUMNS)]
+        step = COLUMNS
+
+        def from_blocks(batches):
+            for b in batches:
+                for i, k, data in zip(b["i"], b["j"], b["data"]):
+                    x, y = (np.arange(z * step, min(length, (z + 1) * step)) for z in (i, k))
+                    yield from scored(np.frombuffer(data).reshape(len(x), Q - 1, len(y), Q - 1).transpose(0, 2, 1, 3), x, y, f)
+
+        return negative_inverse(covariance_tiles(w, f, total, pseudo, ridge, step), sizes).mapInPandas(from_blocks, schema)
+    held = w.toArrow()  # at most MAX_KINDS
+    codes = np.stack(held.column("codes").to_numpy()).astype(np.int64)
+    order = np.lexsort(codes.T)
+    shared = spark.sparkContext.broadcast(solve(codes[order], held.column("w").to_numpy()[order], pseudo, ridge, dense))  # bounded by MAX_STATES or MAX_KINDS
 
     def run(batches):
         for b in batches:
             for i, k in zip(b["i"], b["k"]):
                 x, y = (slice(z * BLOCK_COLUMNS, min(length, (z + 1) * BLOCK_COLUMNS)) for z in (i, k))
-                j = shared.value.block(x, y)
-                pi, pk = (z.ravel() for z in np.meshgrid(np.arange(x.start, x.stop), np.arange(y.start, y.stop), indexing="ij"))
-                use = pi < pk
-                if use.any():
-                    f = shared.value.f
-                    yield rows(pi[use], pk[use], j.reshape(-1, Q - 1, Q - 1)[use], f[pi[use]], f[pk[use]])
+                yield from scored(shared.value.block(x, y), np.arange(x.start, x.stop), np.arange(y.start, y.stop), shared.value.f)
 
     return _cells(p, length).mapInPandas(run, schema)
 
@@ -292,9 +288,9 @@ def average_product(f: DataFrame, length: int) -> DataFrame:
     return out.select(*PAIR, (F.col("score") - F.col("mi") * F.col("mj") / F.col("all")).alias("score"))
 
 
-def scores(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None) -> DataFrame:
+def scores(p: DataFrame, length: int, theta: float = 0.2, pseudo: float = 0.5, ridge: float = 1e-4, dense: bool | None = None, spread: bool | None = None) -> DataFrame:
     """``(pos_i, pos_j, frobenius, apc, di)`` of every pair of the first ``length`` columns."""
-    f = checkpointed(_by_block(p, length, "pos_i int, pos_j int, score double, di double", _score_rows, theta, pseudo, ridge, dense))
+    f = checkpointed(_by_block(p, length, "pos_i int, pos_j int, score double, di double", _score_rows, theta, pseudo, ridge, dense, spread))
     apc = average_product(f.drop("di"), length).withColumnRenamed("score", "c")
     return f.join(apc, PAIR).select(*PAIR, rounded(F.col("score"), 5).alias("frobenius"), rounded(F.col("c"), 5).alias("apc"), rounded(F.col("di"), 5).alias("di"))
 

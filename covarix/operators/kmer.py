@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encoding import BASE20, GAP, gray, gray_distance, kmer_cell, rounded, valid
-from ..shared import with_total
+from ..shared import checkpointed, exact_percentile, with_total
 from .pairs import PAIR, pair_counts
 
 STATES = GAP + 1
@@ -171,9 +171,9 @@ def consensus_map(sequences: DataFrame, alphabet: str = BASE20) -> DataFrame:
 
 def threshold_map(m: DataFrame, share: float = 0.75) -> DataFrame:
     """Cells at or above the exact percentile of the non-zero cells."""
-    cut = F.expr(f"percentile(freq, {share})")
-    t = m.where("freq > 0").agg(cut.alias("cut"))
-    return m.crossJoin(F.broadcast(t)).where(F.col("freq") >= F.col("cut")).select("cell", "freq", rounded(F.col("cut"), 9).alias("threshold"))
+    m = checkpointed(m)
+    cut = F.lit(exact_percentile(m.where("freq > 0"), "freq", share)).cast("double")
+    return m.where(F.col("freq") >= cut).select("cell", "freq", rounded(cut, 9).alias("threshold"))
 
 
 def gray_adjacency(adjacent: DataFrame, include_gap: bool = False) -> DataFrame:
@@ -277,7 +277,8 @@ def median_split(mi: DataFrame, on: DataFrame, first: DataFrame) -> DataFrame:
     cells = F.broadcast(on.select(F.array(F.floor(F.col("cell") / 32), F.col("cell") % 32).alias("x")))
     either = cells.unionByName(cells.select(F.reverse("x").alias("x"))).distinct().select(F.col("x")[0].cast("int").alias("i"), F.col("x")[1].cast("int").alias("j"), F.lit(True).alias("on"))
     m = m.join(F.broadcast(either), ["i", "j"], "left").withColumn("on", F.coalesce("on", F.lit(False)))
-    m = m.crossJoin(F.broadcast(m.agg(F.median("mi").alias("cut"))))
+    m = checkpointed(m)
+    m = m.withColumn("cut", F.lit(exact_percentile(m, "mi", 0.5)).cast("double"))
     right = F.when(F.col("on") == (F.col("mi") > F.col("cut")), 1.0).otherwise(0.0)
     mean = lambda c: rounded(F.coalesce(F.avg(F.when(c, F.col("mi"))), F.lit(0.0)))
     return m.agg(F.count_if("on").alias("n_on"), F.count_if(~F.col("on")).alias("n_off"), mean(F.col("on")).alias("mean_on"), mean(~F.col("on")).alias("mean_off"), rounded(F.coalesce(F.avg(right), F.lit(0.0))).alias("accuracy"))

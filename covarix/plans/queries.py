@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.encoding import BASE20, region, sigmoid, valid
-from ..operators import boolean, columns, dca, graph, kmer, pairs, predict, ranking, spectral
+from ..operators import boolean, columns, dca, graph, kmer, near, pairs, predict, ranking, spectral, tiles
 from ..shared import checkpointed, with_total
 from ..sources import readers
 from . import reports
@@ -33,6 +33,7 @@ SUPPLIER = """
 raw AS (SELECT s_suppkey AS seq_id, round(abs(s_acctbal) * 100)::BIGINT AS cents, * FROM supplier),
 p AS (SELECT seq_id, list_transform([s_nationkey % 20, s_nationkey % 5, floor((s_acctbal + 1000) / 1000)::BIGINT, cents % 10, (cents // 10) % 10, (cents // 100) % 20,
   CASE WHEN s_acctbal < 0 THEN 0 ELSE 1 END, s_suppkey % 3], lambda x: CASE WHEN x >= 0 AND x < 20 THEN x ELSE 20 END) AS codes FROM raw)"""
+EMBEDDINGS = "p AS (SELECT vec_id AS seq_id, list_transform(embedding, lambda x: CASE WHEN floor(x::DOUBLE * 40) BETWEEN -10 AND 9 THEN floor(x::DOUBLE * 40)::INT + 10 ELSE 20 END) AS codes FROM embeddings)"
 CELLS = "cells AS (SELECT seq_id, unnest(range(0, len(codes)))::INT AS pos, unnest(codes)::INT AS code FROM p)"
 CC = f"{CELLS}, cc AS (SELECT pos, code, count(*) AS n FROM cells GROUP BY ALL)"
 REF = "ref AS (SELECT pos, code AS ref_code, n AS ref_n FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY n DESC, code) AS k FROM cc WHERE code < 20) WHERE k = 1)"
@@ -47,6 +48,7 @@ TERM = "sum(n::DOUBLE / t * log2(n::DOUBLE * t / (ni::DOUBLE * nj)))"
 MI = "mi AS (SELECT pos_i, pos_j, round(CASE WHEN sum(n) >= 10 THEN {term} ELSE 0 END, 6) + 0.0 AS mi, sum(n)::BIGINT AS n_obs FROM pm GROUP BY ALL)".format(term=TERM)
 ORDER_CC = f"WITH {ORDERS}, {CC}"
 ORDER_PC = f"{ORDER_CC}, {REF}, {PC.format(gap=GAP_LIMIT)}, {PV}, {PM.format(name='pm', of='pv')}, {MI}"
+WIDE_PC = f"WITH {EMBEDDINGS}, {CC}, {REF}, {PC.format(gap=10_000)}, {PV}, {PM.format(name='pm', of='pv')}, {MI}"
 MUT = f"{PR}, {PM.format(name='mm', of='pr')}, mut AS (SELECT pos_i, pos_j, ref_i, ref_j, round(CASE WHEN sum(n) >= 5 THEN {TERM} ELSE 0 END, 6) + 0.0 AS mi, sum(n)::BIGINT AS n_obs FROM mm GROUP BY ALL)"
 RATIO = """marg AS (SELECT pos_i, pos_j, pow(2, sum(-q * log2(q))) AS pp_j FROM (SELECT pos_i, pos_j, code_j, sum(n)::DOUBLE / any_value(t) AS q FROM pm GROUP BY ALL) GROUP BY ALL),
 cond AS (SELECT pos_i, pos_j, code_i, any_value(ni) AS m, pow(2, sum(-(n::DOUBLE / ni) * log2(n::DOUBLE / ni))) AS pp FROM pm GROUP BY ALL),
@@ -203,6 +205,28 @@ def coevolving_pairs(s, d):
     return pairs.coevolving_pairs(_orders(s, d), GAP_LIMIT)
 
 
+# ---- wide alignments, by tiles: the components of all embeddings ----
+@_query("mi_embedding_columns", f"{WIDE_PC} SELECT * FROM mi")
+def mi_embedding_columns(s, d):
+    return tiles.mutual_information(readers.embedding_profiles(s, d))
+
+
+@_query("mutation_mi_embedding_columns", f"{WIDE_PC}, {MUT} SELECT pos_i, pos_j, ref_i, ref_j, mi, n_obs FROM mut")
+def mutation_mi_embedding_columns(s, d):
+    return tiles.mutation_information(readers.embedding_profiles(s, d))
+
+
+@_query("coevolving_embedding_columns", f"""{WIDE_PC}, {ENTROPY}, {MUT} SELECT pos_i, pos_j, mi, n_obs, ref_i, ref_j FROM mut
+WHERE mi > 0.5 AND pos_i IN (SELECT pos FROM h WHERE round(e, 6) > 0.3) AND pos_j IN (SELECT pos FROM h WHERE round(e, 6) > 0.3)""")
+def coevolving_embedding_columns(s, d):
+    return tiles.coevolving_pairs(readers.embedding_profiles(s, d), min_mi=0.5)
+
+
+@_query("pair_counts_embedding_columns", f"WITH {EMBEDDINGS}, {CELLS}, {PC.format(gap=10_000)} SELECT pos_i, pos_j, count(*) AS n_cells, sum(n)::BIGINT AS n, max(n) AS most FROM pc GROUP BY ALL")
+def pair_counts_embedding_columns(s, d):
+    return tiles.pair_counts(readers.embedding_profiles(s, d)).groupBy("pos_i", "pos_j").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n"), F.max("n").alias("most"))
+
+
 @_query("pair_maps", f"{ORDER_PC} SELECT pos_i, pos_j, code_i, code_j, n, round(n::DOUBLE / t, 9) + 0.0 AS p FROM pm")
 def pair_maps(s, d):
     return pairs.pair_maps(_pairs(s, d))
@@ -658,6 +682,11 @@ def sequence_distances(s, d):
     return graph.sequence_distances(readers.supplier_profiles(s, d))
 
 
+@_query("near_sequences", f"{_DIST}, h AS (SELECT seq_a, seq_b, count(*) AS n_valid, avg((x <> y)::INT::DOUBLE) AS share FROM z WHERE x < 20 AND y < 20 GROUP BY ALL) SELECT seq_a, seq_b, n_valid, round(share, 6) + 0.0 AS hamming FROM h WHERE share <= 0.25")
+def near_sequences(s, d):
+    return near.near_pairs(readers.supplier_profiles(s, d), 0.25)
+
+
 _BOTH_VALID = "len(list_filter(range(1, 9), lambda j: w.held[i][j] < 20 AND o.codes[j] < 20))"
 _DIFFER = "len(list_filter(range(1, 9), lambda j: w.held[i][j] < 20 AND o.codes[j] < 20 AND w.held[i][j] <> o.codes[j]))"
 

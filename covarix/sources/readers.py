@@ -90,6 +90,13 @@ def supplier_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
+def embedding_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding as a sequence: each component in one of twenty steps of 1/40, beyond them the gap."""
+    step = lambda x: F.floor(x.cast("double") * 40) + 10
+    code = lambda x: F.when((step(x) >= 0) & (step(x) < GAP), step(x)).otherwise(GAP).cast("int")
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("seq_id"), F.transform("embedding", code).alias("codes"))
+
+
 def event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq_id, ts, event_id, code)``: every user's events, types coded by their alphabetical order."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", "event_type")
