@@ -180,9 +180,16 @@ def negative_inverse(blocks: DataFrame, sizes: list[int]) -> DataFrame:
     """
     spark = blocks.sparkSession
     blocks = checkpointed(blocks)
+
+    def invert(batches):
+        for b in batches:
+            for data in b.column("data").to_pylist():
+                n = int((len(data) // 8) ** 0.5)
+                yield pa.RecordBatch.from_arrays([pa.array([np.linalg.inv(np.frombuffer(data).reshape(n, n)).tobytes()], pa.binary())], names=["data"])
+
     for k in range(len(sizes)):
-        d = blocks.where(f"i = {k} AND j = {k}").select("data").first()["data"]
-        inverse = spark.sparkContext.broadcast(np.linalg.inv(np.frombuffer(d).reshape(sizes[k], sizes[k])))
+        d = blocks.where(f"i = {k} AND j = {k}").select("data").mapInArrow(invert, "data binary").first()["data"]
+        inverse = spark.sparkContext.broadcast(np.frombuffer(d).reshape(sizes[k], sizes[k]))
 
         def step(batches, k=k, inverse=inverse):
             def side(r, data):

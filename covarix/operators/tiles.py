@@ -209,4 +209,5 @@ def coevolving_pairs(p: DataFrame, max_gap: int | None = None, min_mi: float = 0
     mi = mutation_information(p, max_gap, min_muts, counts=counts).where(F.col("mi") > min_mi)
     for c in ("pos_i", "pos_j"):
         mi = mi.join(variable.withColumnRenamed("pos", c), c, "left_semi")
-    return mi.select("pos_i", "pos_j", "mi", "n_obs", "ref_i", "ref_j").orderBy(F.desc("mi"), "pos_i", "pos_j")
+    # written before it is sorted, for a sort reads twice
+    return checkpointed(mi.select("pos_i", "pos_j", "mi", "n_obs", "ref_i", "ref_j")).orderBy(F.desc("mi"), "pos_i", "pos_j")
