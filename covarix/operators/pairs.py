@@ -8,8 +8,6 @@ sequences. Every other operator works on that small table.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,28 +169,52 @@ def perplexity_ratio(pc: DataFrame, min_n: int = 5, entropy: DataFrame | None =
     return marginal.join(mean, PAIR).select(*PAIR, rounded(F.col("pp_j") / F.col("mean_pp")).alias("ratio"), "n_codes")
 
 
+EXACT = 50  # counts up to which Poisson draws are exact; beyond, rounded normal ones
+
+
+def _poisson_table(n: Column) -> Column:
+    """The distribution function of mean ``n`` at 0, 1, ..., as far as it matters; null beyond ``EXACT``."""
+    begin = F.struct(F.exp(-n).alias("p"), F.array(F.exp(-n)).alias("c"))
+    step = lambda a, k: F.struct((a["p"] * n / k).alias("p"), F.concat(a["c"], F.array(F.element_at(a["c"], -1) + a["p"] * n / k)).alias("c"))
+    return F.aggregate(F.when(n <= EXACT, F.sequence(F.lit(1), (n + 10 * F.sqrt(n) + 10).cast("int"))), begin, step, lambda a: a["c"])
+
+
+def poisson(df: DataFrame, n: str, table: str, key: Column, name: str) -> DataFrame:
+    """``df`` with ``name``, a Poisson draw of mean ``n`` that depends on nothing but ``key``, so that it can be made anywhere and again.
+
+    The key's MD5 gives two uniform numbers of 52 bits: one is looked up in the
+    distribution function, both give a normal number where the mean is large.
+    """
+    bits = lambda at: F.conv(F.substring("_h", at, 13), 16, 10).cast("double")
+    n, u, v = F.col(n), F.col("_u"), F.col("_v")
+    normal = F.greatest(F.lit(0.0), F.round(n + F.sqrt(n) * F.sqrt(-2 * F.log(u)) * F.cos(2 * F.pi() * v)))
+    hashed = df.withColumn("_h", F.md5(key)).withColumns({"_u": (bits(1) + 1) / 2**52, "_v": bits(14) / 2**52})
+    drawn = F.when(n <= EXACT, F.least(F.size(F.filter(table, lambda c: c < u)), F.size(table) - 1)).otherwise(normal)
+    return hashed.withColumn(name, drawn.cast("long")).drop("_h", "_u", "_v")
+
+
 def bootstrap_ratio(pc: DataFrame, chosen: DataFrame, resamples: int = 200, seed: int = 42, min_n: int = 5) -> DataFrame:
     """Mean, deviation and 95 % interval of each chosen pair's perplexity ratio, its numerator fixed.
 
-    Resampling sequences with replacement is a multinomial draw of the joint
-    counts, so a draw costs the same for any number of sequences.
+    Resampling sequences gives each of them a Poisson weight of mean one, so a cell
+    of n sequences has one of mean n; a draw costs the same for any number of them.
+    Draws come from hashes of seed, resample and cell: any engine can make the same.
     """
-    def kernel(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["code_i", "code_j"])
-        m = np.zeros((20, 20))
-        m[g["code_i"], g["code_j"]] = g["n"]
-
-        def pp(c: np.ndarray) -> float:
-            q = c[c > 0] / c.sum()
-            return float(2 ** -(q * np.log2(q)).sum())
-
-        total, top = int(m.sum()), pp(m.sum(0))
-        rng = np.random.default_rng([seed, int(g["pos_i"].iloc[0]), int(g["pos_j"].iloc[0])])
-        draws = rng.multinomial(total, (m / total).ravel(), resamples).reshape(-1, 20, 20)
-        ratios = [top / np.mean(use) for d in draws if (use := [pp(r) for r in d if r.sum() >= min_n])]
-        low, high = np.quantile(ratios, [0.025, 0.975]) if ratios else (np.nan, np.nan)
-        out = {"pos_i": g["pos_i"].iloc[0], "pos_j": g["pos_j"].iloc[0], "mean": np.mean(ratios) if ratios else np.nan, "deviation": np.std(ratios) if ratios else np.nan, "low": low, "high": high}
-        return pd.DataFrame([out])
-
     v = _both_valid(pc).join(F.broadcast(chosen.select(*PAIR)), PAIR, "left_semi")
-    return v.groupBy(*PAIR).applyInPandas(kernel, "pos_i int, pos_j int, mean double, deviation double, low double, high double")
+    top = v.groupBy(*PAIR, "code_j").agg(F.sum("n").alias("n")).withColumn("p", _d("n") / F.sum("n").over(Window.partitionBy(*PAIR)))
+    top = top.groupBy(*PAIR).agg(perplexity(F.sum(-F.col("p") * F.log2("p"))).alias("top"))
+    # the distribution of a cell's weight is the same in each resample
+    cells = v.select(*PAIR, "code_i", "code_j", _d("n").alias("n")).withColumn("table", _poisson_table(F.col("n")))
+    draws = checkpointed(cells).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    # few bytes, much work: a number of tasks that is not merged by size; all that follows is by pair and resample
+    draws = draws.repartition(int(pc.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PAIR, "b")
+    drawn = poisson(draws, "n", "table", F.concat_ws(":", F.lit(seed), "b", *PAIR, "code_i", "code_j"), "w")
+    # written, for the planner takes long over a filter on these expressions
+    drawn = checkpointed(drawn.select(*PAIR, "b", "code_i", "w")).where("w > 0")
+    given = F.sum("w").over(Window.partitionBy(*PAIR, "b", "code_i"))
+    rows = drawn.withColumn("q", _d("w") / given).groupBy(*PAIR, "b", "code_i").agg(F.sum("w").alias("m"), perplexity(F.sum(-F.col("q") * F.log2("q"))).alias("pp")).where(F.col("m") >= min_n)
+    ratios = rows.groupBy(*PAIR, "b").agg(F.avg("pp").alias("mean_pp")).join(F.broadcast(top), PAIR).withColumn("r", F.col("top") / F.col("mean_pp"))
+    # a pair's ratios are as many as its resamples
+    return ratios.groupBy(*PAIR).agg(
+        rounded(F.avg("r")).alias("mean"), rounded(F.stddev_pop("r")).alias("deviation"), rounded(F.percentile("r", F.lit(0.025))).alias("low"), rounded(F.percentile("r", F.lit(0.975))).alias("high")
+    )

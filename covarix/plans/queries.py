@@ -470,7 +470,18 @@ def walsh_spectrum(s, d):
     return spectral.spectrum(v, 10)
 
 
-@_query("ratio_bootstrap")
+@_query("ratio_bootstrap", f"""{ORDER_PC}, b5 AS (SELECT pos_i, pos_j FROM mi ORDER BY mi DESC, pos_i, pos_j LIMIT 5),
+c5 AS (SELECT pv.* FROM pv JOIN b5 USING (pos_i, pos_j)),
+tops AS (SELECT pos_i, pos_j, pow(2, sum(-q * log2(q))) AS top FROM (SELECT pos_i, pos_j, code_j, sum(n)::DOUBLE / sum(sum(n)) OVER (PARTITION BY pos_i, pos_j) AS q FROM c5 GROUP BY pos_i, pos_j, code_j) GROUP BY ALL),
+hashed AS (SELECT pos_i, pos_j, code_i, code_j, n::DOUBLE AS n, b, md5(concat_ws(':', 42, b, pos_i, pos_j, code_i, code_j)) AS h FROM c5, range(200) r(b)),
+uni AS (SELECT *, (('0x' || substr(h, 1, 13))::BIGINT::DOUBLE + 1) / 4503599627370496 AS u, ('0x' || substr(h, 14, 13))::BIGINT::DOUBLE / 4503599627370496 AS v FROM hashed),
+drawn AS (SELECT pos_i, pos_j, code_i, b, CASE WHEN n <= 50 THEN (list_reduce(range(1, (n + 10 * sqrt(n) + 10)::BIGINT + 1),
+  lambda a, k: CASE WHEN a.c < u THEN {{'p': a.p * n / k, 'c': a.c + a.p * n / k, 'k': k}} ELSE a END, {{'p': exp(-n), 'c': exp(-n), 'k': 0::BIGINT}})).k
+  ELSE greatest(0.0, round(n + sqrt(n) * sqrt(-2 * ln(u)) * cos(2 * pi() * v)))::BIGINT END AS w FROM uni),
+given AS (SELECT pos_i, pos_j, b, code_i, w::DOUBLE AS w, sum(w) OVER (PARTITION BY pos_i, pos_j, b, code_i)::DOUBLE AS m FROM drawn WHERE w > 0),
+rows AS (SELECT pos_i, pos_j, b, code_i, pow(2, sum(-(w / m) * log2(w / m))) AS pp FROM given WHERE m >= 5 GROUP BY ALL),
+ratios AS (SELECT pos_i, pos_j, b, any_value(top) / avg(pp) AS r FROM rows JOIN tops USING (pos_i, pos_j) GROUP BY pos_i, pos_j, b)
+SELECT pos_i, pos_j, round(avg(r), 6) + 0.0 AS mean, round(stddev_pop(r), 6) + 0.0 AS deviation, round(quantile_cont(r, 0.025), 6) + 0.0 AS low, round(quantile_cont(r, 0.975), 6) + 0.0 AS high FROM ratios GROUP BY pos_i, pos_j""")
 def ratio_bootstrap(s, d):
     pc = _pairs(s, d)
     return pairs.bootstrap_ratio(pc, ranking.top(pairs.mutual_information(pc), "mi", 5))
