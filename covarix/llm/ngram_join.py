@@ -24,10 +24,10 @@ into chains (a row per document, never a pair per pair) and memberships. First,
 each document is held against the one smaller document with which most chains
 join it, in stars of bounded size; what is linked is contracted, which settles
 groups of near copies however large. Only signatures that still join different
-contracted groups stay alive; the documents that hold them are gathered in
-blocks of bounded size, where pairs with a common signature and of different
-groups are filtered by parity bitmaps (their distance bounds the sets' one from
-below) and compared exactly. Copies of one set are not expanded into pairs.
+contracted groups stay alive; pairs of documents that share one and are of
+different groups, rows of numbers, are filtered by parity bitmaps (their distance
+bounds the sets' one from below), and texts are gathered for what these leave
+open only, to be compared exactly. Copies of one set are not expanded into pairs.
 
 Defined cases: texts without words have no n-grams and are linked with nothing;
 texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
@@ -537,91 +537,73 @@ def star_links(stars: DataFrame, n: int, sim: Similarity) -> DataFrame:
     return stars.repartition("head", "part").sortWithinPartitions("head", "part", "outer").mapInArrow(run, "u long, v long")
 
 
-def _block_rows(batches: Iterator[pa.RecordBatch], n: int, signer: Signer) -> Iterator[pa.RecordBatch]:
-    """Links inside each block, as a spanning forest over its settled groups; rows come sorted by block."""
-    np.seterr(over="ignore")
+def _bitmap(grams: np.ndarray) -> bytes:
+    """Parities of two classes or more an element: two bitmaps differ in no more bits than their sets in elements."""
+    classes = max(64, 1 << (2 * len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(classes - 1)).astype(np.int64), minlength=classes) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
-    def blocks():
-        key, ids, sides, settled, sets = None, [], [], [], []
-        for b in batches:
-            for comp, lo, hi, doc, side, group, body in zip(*(c.to_pylist() for c in b.columns)):
-                if (comp, lo, hi) != key:
-                    if len(ids) > 1:
-                        yield key, ids, sides, settled, sets
-                    key, ids, sides, settled, sets = (comp, lo, hi), [], [], [], []
-                ids.append(doc), sides.append(side), settled.append(group), sets.append(gram_set(body, n))
-        if len(ids) > 1:
-            yield key, ids, sides, settled, sets
-
-    def links():
-        for (_, lo, hi), ids, sides, settled, sets in blocks():
-            yield from _block_links(ids, settled, sides if lo != hi else None, sets, signer)
-
-    return rows_to_batches(links(), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-
-def _bitmap(grams: np.ndarray) -> np.ndarray:
-    """Parities of 2048 classes of the set: two bitmaps differ in no more bits than their sets in elements."""
-    odd = np.bincount((grams & np.uint64(2047)).astype(np.int64), minlength=2048) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
-
-
-def _block_links(ids, settled, sides, sets, signer: Signer) -> Iterator[tuple[int, int]]:
-    sim = signer.sim
-    _, comp = np.unique(np.array(settled, np.int64), return_inverse=True)
-    first: dict[tuple, int] = {}
-    single = []
-    for i, grams in enumerate(sets):
-        if not len(grams):
-            continue
-        key = (xxhash.xxh3_128_digest(grams.tobytes()), None if sides is None else sides[i])
-        if (j := first.setdefault(key, i)) == i:
-            single.append(i)
-        elif comp[i] != comp[j]:
-            comp[comp == comp[i]] = comp[j]
-            yield ids[i], ids[j]
-    if len(single) < 2:
-        return
-    sigs = [signer(sets[i]) for i in single]
-    sig, doc = _sorted_once(np.concatenate(sigs), np.repeat(single, [len(s) for s in sigs]))
-    del sigs
-    start = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-    size = np.diff(np.append(start, len(sig)))
-    many = size[np.repeat(np.arange(len(start)), size)] > 1
-    doc, group = doc[many], np.repeat(np.arange(len(start)), size)[many]
-    del sig, many
-    if not len(doc):
-        return
-    ends = np.searchsorted(group, np.arange(len(start) + 1))
-    by_doc = np.argsort(doc, kind="stable")
-    at = np.searchsorted(doc[by_doc], np.arange(len(ids) + 1))
-    maps = np.zeros((len(ids), 32), np.uint64)
-    for i in single:
-        maps[i] = _bitmap(sets[i])
-    sizes = np.array([len(s) for s in sets])
-    side = None if sides is None else np.array(sides)
+
+def _apart(a: bytes, b: bytes) -> int:
+    """The bits in which two bitmaps differ, the wider one folded to the other's classes."""
+    x, y = sorted((np.frombuffer(z, np.uint64) for z in (a, b)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)))).sum())
+
+
+def bitmaps(docs: DataFrame, n: int) -> DataFrame:
+    """``(doc_id, grams, map)``: size and bitmap of each text with words, a quarter to half a byte an n-gram."""
+    schema = pa.schema([("doc_id", pa.int64()), ("grams", pa.int64()), ("map", pa.binary())])
+
+    def run(batches):
+        np.seterr(over="ignore")
+        return rows_to_batches(((doc, len(g), _bitmap(g)) for b in batches for doc, g in _sets(b, n) if len(g)), schema, 2_000)
+
+    return docs.select("doc_id", "body").mapInArrow(run, "doc_id long, grams long, map binary")
+
+
+def _meeting(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``(u, v, low, high)``: each two documents of different settled groups that share a signature, with their groups in order.
+
+    Members of one signature meet in a grid of blocks of ``BLOCK_GRAMS`` n-grams; a row is some numbers, no text.
+    """
+    m = members.join(sizes, "doc_id")
+    parts = checkpointed(m.groupBy("sig").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("parts")).where("parts > 1"))
+    m = members.join(sized(parts, parts.count()), "sig", "left").select("sig", "doc_id", "settled", F.coalesce("parts", F.lit(1)).alias("parts"))
+    m = m.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
+    m = m.select("sig", "doc_id", "settled", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
+    # both sides are the same rows, shuffled once
+    m = m.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "settled", "mine")
+    a, b = (m.select("sig", "lo", "hi", *(F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "settled", "mine"))) for c in "ab")
+    met = a.join(b, ["sig", "lo", "hi"]).where("a_doc_id > b_doc_id and a_settled <> b_settled and (lo = hi or a_mine <> b_mine)")
+    return met.select(F.col("a_doc_id").alias("u"), F.col("b_doc_id").alias("v"), F.least("a_settled", "b_settled").alias("low"), F.greatest("a_settled", "b_settled").alias("high")).distinct()
+
+
+def near_maps(pairs: DataFrame, maps: DataFrame, sim: Similarity) -> DataFrame:
+    """``(u, v, low, high, apart)``: those pairs that sizes and bitmaps leave open; one map a pair is shuffled."""
+    schema = pa.schema([(c, pa.int64()) for c in ("u", "v", "low", "high", "apart")])
     num, den = sim.num, sim.den
-    for i in single:
-        near = np.zeros(i + 1, bool)
-        for g in group[by_doc[at[i] : at[i + 1]]]:
-            members = doc[ends[g] : ends[g + 1]]
-            near[members[: np.searchsorted(members, i)]] = True
-        cand = np.flatnonzero(near)
-        cand = cand[comp[cand] != comp[i]]
-        if side is not None:
-            cand = cand[side[cand] != side[i]]
-        apart = np.bitwise_count(maps[cand] ^ maps[i]).sum(1, dtype=np.int64)
-        cand = cand[apart * (den + num) <= (sizes[cand] + sizes[i]) * (den - num)]
-        for j in cand.tolist():  # a link makes other candidates of its group superfluous
-            if comp[j] != comp[i] and sim.linked(_common(sets[j], sets[i]), len(sets[i]), len(sets[j])):
-                comp[comp == comp[j]] = comp[i]
-                yield ids[i], ids[j]
+
+    def run(batches):
+        def rows():
+            for b in batches:
+                for u, v, low, high, un, um, vn, vm in zip(*(c.to_pylist() for c in b.columns)):
+                    if min(un, vn) * den >= num * max(un, vn) and (d := _apart(um, vm)) * (den + num) <= (un + vn) * (den - num):
+                        yield u, v, low, high, d
+
+        return rows_to_batches(rows(), schema)
+
+    of = lambda c: maps.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}n"), F.col("map").alias(f"{c}m"))
+    both = pairs.join(of("v"), "v").join(of("u"), "u").select("u", "v", "low", "high", "un", "um", "vn", "vm")
+    return both.mapInArrow(run, "u long, v long, low long, high long, apart long")
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
     """``(head, part, outer, doc_id)``: each document with the smaller one that most chains join it with, in parts of bounded size."""
-    best = pairs.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))
-    best = checkpointed(best)
+    return _dealt(checkpointed(pairs.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))))
+
+
+def _dealt(best: DataFrame) -> DataFrame:
+    """``(head, part, outer, doc_id)`` of pairs ``(u, head)``: each head with parts of at most about ``STAR`` others."""
     parts = best.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
     heads = parts.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outer"), F.col("head").alias("doc_id"))
     outer = best.join(parts, "head").select("head", F.pmod(F.xxhash64("u"), "parts").alias("part"), F.lit(True).alias("outer"), F.col("u").alias("doc_id"))
@@ -635,28 +617,42 @@ def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def unsettled(groups: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(doc_id, head, settled)`` of the documents whose signatures still join different settled groups; ``head`` is the smallest document of the signature."""
+    """``(sig, doc_id, settled)``: the memberships of signatures that still join different settled groups."""
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     cross = pairs.select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left")
     cross = cross.select(F.coalesce("u_group", "u").alias("a"), F.coalesce("v_group", "v").alias("b")).where("a <> b")
     open_groups = cross.select(F.explode(F.array("a", "b")).alias("settled")).distinct()
     held = memberships(groups).join(label("doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("doc_id_group", "doc_id").alias("settled"))
     held = held.join(open_groups, "settled", "left_semi")
-    alive = held.groupBy("sig").agg(F.min("settled").alias("low"), F.max("settled").alias("high"), F.min("doc_id").alias("head")).where("low <> high")
-    return held.join(alive.select("sig", "head"), "sig").select("doc_id", "head", "settled").distinct()
+    alive = held.groupBy("sig").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).where("low <> high")
+    return held.join(alive.select("sig"), "sig", "left_semi")
+
+
+def cross_links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n: int, sim: Similarity) -> DataFrame:
+    """``(u, v)``: links between settled groups, from pairs that share a signature.
+
+    Bitmaps leave few pairs open. Of any two groups the pair least apart is held
+    against each other first; where it is linked the groups need no other, where it
+    is not all their pairs are. So texts go to pairs that are nearly linked only,
+    however many documents signatures connect.
+    """
+    ids = checkpointed(members.select("doc_id").distinct().join(sizes, "doc_id"))
+    few = sized(ids, ids.count())
+    texts = narrow.select("doc_id", text_bytes().alias("body")).join(few, "doc_id", "left_semi")
+    maps = checkpointed(bitmaps(texts, n))
+    near = checkpointed(near_maps(_meeting(members, few), maps, sim))
+    release(ids, maps)
+    best = checkpointed(near.groupBy("low", "high").agg(F.min(F.struct("apart", "u", "v")).alias("p")).select("low", "high", "p.u", "p.v"))
+    linked = checkpointed(_verified(best.select("u", F.col("v").alias("head")), narrow, n, sim))
+    done = best.join(linked, ["u", "v"], "left_semi").select("low", "high")
+    rest = checkpointed(near.join(done, ["low", "high"], "left_anti").join(best, ["u", "v"], "left_anti").select("u", F.col("v").alias("head")).distinct())
+    release(near, best)
+    return linked if rest.isEmpty() else linked.unionByName(_verified(rest, narrow, n, sim))
 
 
-def block_links(narrow: DataFrame, open_docs: DataFrame, sizes: DataFrame, n: int, sim: Similarity, common: Broadcast) -> DataFrame:
-    """``(u, v)``: links between settled groups, from blocks of the documents that signatures alive connect."""
-    reach = connected_components(open_docs.select(F.col("doc_id").alias("u"), F.col("head").alias("v")))
-    members = open_docs.groupBy("doc_id").agg(F.first("settled").alias("settled")).join(reach.withColumnRenamed("node", "doc_id"), "doc_id").join(sizes, "doc_id")
-    blocks = members.groupBy("component").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("blocks"))
-    placed = members.join(blocks, "component").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
-    spread = placed.select("component", "doc_id", "settled", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    spread = spread.select("component", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "mine", "settled")
-    loaded = _with_text(spread, narrow).select("component", "lo", "hi", "doc_id", "mine", "settled", "body")
-    loaded = loaded.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi", "doc_id")
-    return loaded.mapInArrow(lambda it: _block_rows(it, n, Signer(sim, common.value)), "u long, v long")
+def _verified(pairs: DataFrame, narrow: DataFrame, n: int, sim: Similarity) -> DataFrame:
+    """``(u, v)``: the linked ones of pairs ``(u, head)``."""
+    return star_links(_with_text(_dealt(pairs), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim)
 
 
 def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4, 5)) -> DataFrame:
@@ -676,14 +672,14 @@ def ngram_components(docs: DataFrame, n: int = 5, sim: Similarity = Similarity(4
     pairs = checkpointed(chained_pairs(groups))
     near = star_links(_with_text(_stars(pairs), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim)
     settled = connected_components(near.unionByName(copies))
-    open_docs = checkpointed(unsettled(groups, pairs, settled))
+    open_members = checkpointed(unsettled(groups, pairs, settled))
     found = settled
-    if not open_docs.isEmpty():
-        more = block_links(narrow, open_docs, sizes, n, sim, common)
+    if not open_members.isEmpty():
+        more = cross_links(narrow, open_members, sizes, n, sim)
         found = connected_components(more.unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v"))))
     found = found.select(F.col("node").alias("doc_id"), "component")
     out = checkpointed(digests.join(found, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")))
-    release(first, classes, groups, pairs, open_docs)
+    release(first, classes, groups, pairs, open_members)
     return out
 
 

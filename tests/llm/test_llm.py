@@ -374,6 +374,19 @@ def test_ngram_join_with_shared_passages_and_long_texts(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in ngram_join.ngram_components(df, 5).collect()} == set(want.items())
 
 
+def test_texts_of_unlike_neighbours_are_not_replicated(spark, monkeypatch):
+    """However many unlike documents signatures connect, texts are read for nearly linked pairs only."""
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 300)
+    read, load = [], ngram_join._with_text
+    monkeypatch.setattr(ngram_join, "_with_text", lambda rows, docs: (read.append(rows.count()), load(rows, docs))[1])
+    rng = random.Random(3)
+    passages = [" ".join(rng.choices([f"v{i}" for i in range(3000)], k=40)) for _ in range(61)]
+    texts = [f"{a} {b}" for a, b in zip(passages, passages[1:])]  # each shares half with the next one
+    got = ngram_join.ngram_components(docs_of(spark, texts).repartition(3), 5).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(i, i) for i in range(60)}
+    assert sum(read) < 4 * len(texts)
+
+
 def test_common_passages_bring_no_candidates():
     """With n-grams that many share left out, unlike texts with a passage in common share no signature at any corpus size."""
     rng = np.random.default_rng(2)
