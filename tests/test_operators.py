@@ -1,10 +1,12 @@
 """Micro fixtures and properties of the operators."""
 
+import collections
 import itertools
 import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,6 +286,57 @@ def test_counts_of_texts_equal_those_of_profiles(spark):
     assert kmer.text_counts(df.limit(0), 2).count() == 0
 
 
+class _Step(Exception):
+    """Stands for a table whose ``mapInArrow`` hands over the function of a task."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        self.run = run
+        raise self
+
+
+def _count_task(k):
+    with pytest.raises(_Step) as step:
+        kmer.text_counts(_Step(), k)
+    return lambda texts: [r for b in step.value.run(iter([pa.RecordBatch.from_arrays([texts], names=["sequence"])])) for r in zip(*(c.to_pylist() for c in b.columns))]
+
+
+def test_counting_texts_takes_bounded_memory():
+    """Long batches and single long texts are coded a piece at a time."""
+    import tracemalloc
+
+    for texts in (["ACDEFGHIKLMNPQRSTVWY " * 200] * 4_000, ["ACDEFGHIKLMNPQRSTVWY " * 800_000]):
+        held = pa.array(texts)
+        tracemalloc.start()
+        found = _count_task(2)(held)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert sum(n for _, n in found) == sum(len(t) - 1 for t in texts)
+        assert peak < 64 << 20
+
+
+def test_pieces_of_texts_lose_no_run(monkeypatch):
+    texts = ["", None, "A", "ac-DéX🙂a", "aAaA", "é", "VV", "", "🙂", "ILV" * 9, ""]
+    table = kmer._code_table(enc.BASE20)
+    codes = [[enc.BASE20.find(c.upper()) if c.isascii() and c.upper() in enc.BASE20 else 20 for c in t or ""] for t in texts]
+    maps = kmer.batch_maps(pa.array(texts), table)
+    for size in (1, 2, 3, 7, 1000):
+        monkeypatch.setattr(kmer, "PIECE", size)
+        for k in (1, 2, 3, 5):
+            want = collections.Counter(sum(x * 21 ** (k - 1 - i) for i, x in enumerate(c[at : at + k])) for c in codes for at in range(len(c) - k + 1))
+            got = collections.Counter()
+            for cell, n in _count_task(k)(pa.array(["zz", *texts, "zz"])[1:-1]):
+                got[cell] += n
+            assert got == want
+        for a, b in zip(kmer.batch_maps(pa.array(texts), table), maps):
+            assert (a == b).all()
+        for row, c in enumerate(codes):
+            assert maps[0][row].tolist() == [c.count(x) for x in range(20)]
+            assert {(x, y): maps[1][row, x, y] for x, y in zip(*np.nonzero(maps[1][row]))} == collections.Counter((x, y) for x, y in zip(c, c[1:]) if max(x, y) < 20)
+
+
 def test_signatures_and_consensus_by_hand(spark):
     df = spark.createDataFrame([(0, "GCGC"), (1, None), (2, "A-A"), (3, "--"), (4, "aé"), (5, "AI")], "seq_id long, sequence string").repartition(2)
     got = {r.seq_id: (r.length, r.gc_share, r.entropy, r.map_norm) for r in kmer.signatures(df).collect()}
