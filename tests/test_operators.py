@@ -1,6 +1,7 @@
 """Micro fixtures and properties of the operators."""
 
 import collections
+import decimal
 import itertools
 import math
 import random
@@ -160,6 +161,24 @@ def test_leave_one_out_equals_rebuilding(spark):
     assert (got.n_test, got.n_correct) == (test, right)
 
 
+def test_sequence_distances_spread_over_tasks(spark):
+    """As many tasks as the pairs need, and the distances of plain loops."""
+    many = spark.range(3000).select(F.col("id").alias("seq_id"), F.array((F.col("id") % 20).cast("int"), (F.col("id") % 7).cast("int")).alias("codes"))
+    assert graph.sequence_distances(many).rdd.getNumPartitions() > 8
+    rng = random.Random(5)
+    rows = [[rng.randrange(21) for _ in range(rng.choice((0, 3, 64, 64, 130)))] for _ in range(90)]
+    p = profile(spark, rows)
+    p = p.unionByName(p.where("seq_id = 7")).repartition(3)
+    want = collections.Counter()
+    for a, b in itertools.combinations(range(90), 2):
+        z = [(x, y) for x, y in zip(rows[a], rows[b]) if max(x, y) < 20]
+        up = lambda x: float(decimal.Decimal(repr(x / len(z))).quantize(decimal.Decimal("1e-6"), decimal.ROUND_HALF_UP))
+        found = (up(sum(x != y for x, y in z)), up(sum(((x ^ x >> 1) ^ (y ^ y >> 1)).bit_count() for x, y in z))) if z else (1.0, None)
+        want[(a, b, *found)] += 1 + (7 in (a, b))
+    for size in (20, 512):
+        assert collections.Counter(map(tuple, graph.sequence_distances(p, size).collect())) == want
+
+
 def test_sequence_pairs_are_all_pairs(spark):
     p = profile(spark, noise(25, 3))
     got = {(r.seq_a, r.seq_b) for r in graph.sequence_pairs(p, block_rows=4).collect()}
