@@ -49,7 +49,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, columns_of, connected_components, release, rows_to_batches, sized, text_bytes
@@ -60,6 +60,7 @@ KNOWN_SETS = 60_000  # digests that a task remembers, to leave out copies
 FOLD_SIGNATURES = 400_000
 MEMBERS = 200_000  # memberships a row
 STAR = 256  # documents held against one copy of another
+FEW = 8  # members of a signature that meet each other; more meet by their differences from a centre
 CUTS = 4
 COMMON_DOCS, COMMON_GRAMS = 6, 1_000_000  # documents that make an n-gram a common one; at most so many, the most common, are left out of first cuts
 COMMON_BITS = 24
@@ -561,21 +562,108 @@ def bitmaps(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "body").mapInArrow(run, "doc_id long, grams long, map binary")
 
 
-def _meeting(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """``(u, v, low, high)``: each two documents of different settled groups that share a signature, with their groups in order.
+def _pairs(met: DataFrame) -> DataFrame:
+    """``(u, v, low, high)`` of two documents and their settled groups, ids in order."""
+    return met.select(F.greatest("a_doc_id", "b_doc_id").alias("u"), F.least("a_doc_id", "b_doc_id").alias("v"), F.least("a_settled", "b_settled").alias("low"), F.greatest("a_settled", "b_settled").alias("high"))
 
-    Members of one signature meet in a grid of blocks of ``BLOCK_GRAMS`` n-grams; a row is some numbers, no text.
+
+def _meeting(members: DataFrame, narrow: DataFrame, sizes: DataFrame, n: int, sim: Similarity) -> tuple[DataFrame, DataFrame]:
+    """``(u, v, low, high)``, the pairs of different settled groups that may be linked, with their groups in order, and links ``(u, v)`` found on the way.
+
+    Of signatures with equal members one is enough. The members of one that ``FEW``
+    have at most meet each other, so a membership makes some pairs however many
+    there are; those of larger ones meet by their differences from a centre.
+    """
+    sigs = checkpointed(members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")))
+    kept = sigs.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
+    m = checkpointed(members.join(kept, "sig"))
+    a, b = (m.where(F.col("n") <= FEW).select("sig", *(F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "settled"))) for c in "ab")
+    few = a.join(b, "sig").where("a_doc_id > b_doc_id and a_settled <> b_settled").transform(_pairs).distinct()
+    degree = members.join(sigs, "sig").groupBy("doc_id").agg(F.sum("n").alias("met"))
+    many = m.where(F.col("n") > FEW).select("sig", "doc_id")
+    centre = many.join(degree, "doc_id").groupBy("sig").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("v")))["v"]).alias("head"))
+    stars = checkpointed(many.join(centre, "sig").where("head <> doc_id").select("head", F.col("doc_id").alias("u")).distinct())
+    if stars.isEmpty():
+        return few, stars.select("u", F.col("head").alias("v"))
+    weighed = checkpointed(stars.join(sizes.withColumnRenamed("doc_id", "u"), "u"))
+    edits = checkpointed(differences(_with_text(_dealt(weighed, F.col("grams")), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim))
+    release(sigs, stars, weighed)
+    met = _by_differences(edits, members.select("doc_id", "settled").distinct(), sim)
+    return few.unionByName(met).distinct(), edits.where("not far").select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct()
+
+
+def differences(stars: DataFrame, n: int, sim: Similarity) -> DataFrame:
+    """``(head, doc_id, variant, size, width, reach, far, edits)``: each document of a star by the n-grams that it or the centre has alone.
+
+    ``width`` is their number, ``reach`` the sizes of both sets together, ``far`` says that
+    the two are not linked. A document of several texts has a row for each; of
+    several texts of the centre the one of the smallest bytes is used. Streams: only the centre is held.
+    """
+    schema = pa.schema([("head", pa.int64()), ("doc_id", pa.int64()), ("variant", pa.int64()), ("size", pa.int64()), ("width", pa.int64()), ("reach", pa.int64()), ("far", pa.bool_()), ("edits", pa.binary())])
+
+    def run(batches):
+        np.seterr(over="ignore")
+
+        def rows():
+            key, centre, last, seen = None, None, None, set()
+            for b in batches:
+                for head, part, outer, doc, body in zip(*(c.to_pylist() for c in b.columns)):
+                    if (head, part) != key:
+                        key, centre, last = (head, part), None, None
+                    grams = gram_set(body, n)
+                    if not len(grams):
+                        continue
+                    if not outer:
+                        centre = grams if centre is None or grams.tobytes() < centre.tobytes() else centre
+                        continue
+                    if doc != last:
+                        last, seen = doc, set()
+                    if (variant := _digest(grams)[1]) in seen:
+                        continue
+                    seen.add(variant)
+                    edits, reach = np.setxor1d(grams, centre, assume_unique=True), len(grams) + len(centre)
+                    far = len(edits) * (sim.den + sim.num) > reach * (sim.den - sim.num)
+                    yield head, doc, variant, len(grams), len(edits), reach, far, edits.tobytes()
+
+        return rows_to_batches(rows(), schema, 500)
+
+    dealt = stars.repartition("head", "part").sortWithinPartitions("head", "part", "outer", "doc_id")
+    return dealt.mapInArrow(run, "head long, doc_id long, variant long, size long, width long, reach long, far boolean, edits binary")
+
+
+def _by_differences(edits: DataFrame, groups: DataFrame, sim: Similarity) -> DataFrame:
+    """``(u, v, low, high)`` of documents round one centre that may be linked, by a prefix filter on their differences from it.
+
+    Two sets differ where just one of them differs from the centre, so linked ones
+    have ``need`` differences in common, by their numbers. Where neither is ``far``, both
+    are linked with the centre; otherwise ``need`` is 1 or more, and they share one
+    among the rarest of each, all but ``need`` - 1 of them. What all copies of a text have
+    is no difference, and their own edits are rare: families of copies meet in few pairs.
     """
-    m = members.join(sizes, "doc_id")
-    parts = checkpointed(m.groupBy("sig").agg(F.ceil(F.sum("grams") / BLOCK_GRAMS).alias("parts")).where("parts > 1"))
-    m = members.join(sized(parts, parts.count()), "sig", "left").select("sig", "doc_id", "settled", F.coalesce("parts", F.lit(1)).alias("parts"))
-    m = m.withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("parts")))
-    m = m.select("sig", "doc_id", "settled", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other"))
-    # both sides are the same rows, shuffled once
-    m = m.select("sig", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "doc_id", "settled", "mine")
-    a, b = (m.select("sig", "lo", "hi", *(F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "settled", "mine"))) for c in "ab")
-    met = a.join(b, ["sig", "lo", "hi"]).where("a_doc_id > b_doc_id and a_settled <> b_settled and (lo = hi or a_mine <> b_mine)")
-    return met.select(F.col("a_doc_id").alias("u"), F.col("b_doc_id").alias("v"), F.least("a_settled", "b_settled").alias("low"), F.greatest("a_settled", "b_settled").alias("high")).distinct()
+    num, den = sim.num, sim.den
+    schema = pa.schema([(c, pa.int64()) for c in ("head", "doc_id", "variant", "gram")])
+
+    def run(batches):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                grams = np.frombuffer(row[3], np.int64)
+                for at in range(0, len(grams), 50_000):
+                    part = grams[at : at + 50_000]
+                    yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(part), x)) for x in row[:3]), pa.array(part)], schema=schema)
+
+    one = ["head", "doc_id", "variant"]
+    e = edits.select(*one, "edits").mapInArrow(run, "head long, doc_id long, variant long, gram long")
+    e = e.withColumn("often", F.count("*").over(Window.partitionBy("head", "gram"))).where("often > 1")
+    own = Window.partitionBy(*one)
+    e = e.withColumn("left", F.row_number().over(own.orderBy(F.desc("often"), F.desc("gram"))))  # differences from this one on, the rarest first
+    e = e.join(edits.select(*one, "size", "width", "reach", "far"), one)
+    # at least so many in common with any other one, and with a far one
+    e = e.withColumn("any", F.expr(f"greatest(1, ceil((width * {den + num} - reach * {den - num}) / {2 * (den + num)}))"))
+    e = e.withColumn("with_far", F.expr(f"greatest(1, ceil(width * {num} / {den + num}))"))
+    e = checkpointed(e.where("left >= with_far or far and left >= any").join(groups, "doc_id"))
+    side = lambda c: e.where("far and left >= any" if c == "a" else "left >= with_far").select("head", "gram", *(F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "settled", "size", "width", "left")))
+    need = f"(a_width + b_width) * {den + num} - (a_size + b_size) * {den - num} <= {2 * (den + num)} * least(a_left, b_left)"
+    return side("a").join(side("b"), ["head", "gram"]).where(f"a_settled <> b_settled and {need}").transform(_pairs).distinct()
 
 
 def near_maps(pairs: DataFrame, maps: DataFrame, sim: Similarity) -> DataFrame:
@@ -602,9 +690,9 @@ def _stars(pairs: DataFrame) -> DataFrame:
     return _dealt(checkpointed(pairs.groupBy("u").agg((-F.max(F.struct("n", (-F.col("v")).alias("v")))["v"]).alias("head"))))
 
 
-def _dealt(best: DataFrame) -> DataFrame:
-    """``(head, part, outer, doc_id)`` of pairs ``(u, head)``: each head with parts of at most about ``STAR`` others."""
-    parts = best.groupBy("head").agg(F.ceil(F.count("*") / STAR).alias("parts"))
+def _dealt(best: DataFrame, grams: Column | None = None) -> DataFrame:
+    """``(head, part, outer, doc_id)`` of pairs ``(u, head)``: each head with parts of at most about ``STAR`` others and ``BLOCK_GRAMS`` n-grams."""
+    parts = best.groupBy("head").agg(F.ceil(F.greatest(F.count("*") / STAR, F.sum(F.lit(0) if grams is None else grams) / BLOCK_GRAMS)).alias("parts"))
     heads = parts.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(False).alias("outer"), F.col("head").alias("doc_id"))
     outer = best.join(parts, "head").select("head", F.pmod(F.xxhash64("u"), "parts").alias("part"), F.lit(True).alias("outer"), F.col("u").alias("doc_id"))
     return heads.unionByName(outer)
@@ -640,13 +728,15 @@ def cross_links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n: int,
     few = sized(ids, ids.count())
     texts = narrow.select("doc_id", text_bytes().alias("body")).join(few, "doc_id", "left_semi")
     maps = checkpointed(bitmaps(texts, n))
-    near = checkpointed(near_maps(_meeting(members, few), maps, sim))
+    met, links = _meeting(members, narrow, few, n, sim)
+    near = checkpointed(near_maps(met, maps, sim))
     release(ids, maps)
     best = checkpointed(near.groupBy("low", "high").agg(F.min(F.struct("apart", "u", "v")).alias("p")).select("low", "high", "p.u", "p.v"))
     linked = checkpointed(_verified(best.select("u", F.col("v").alias("head")), narrow, n, sim))
     done = best.join(linked, ["u", "v"], "left_semi").select("low", "high")
     rest = checkpointed(near.join(done, ["low", "high"], "left_anti").join(best, ["u", "v"], "left_anti").select("u", F.col("v").alias("head")).distinct())
     release(near, best)
+    linked = linked.unionByName(links)
     return linked if rest.isEmpty() else linked.unionByName(_verified(rest, narrow, n, sim))
 
 

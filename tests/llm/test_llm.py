@@ -387,6 +387,27 @@ def test_texts_of_unlike_neighbours_are_not_replicated(spark, monkeypatch):
     assert sum(read) < 4 * len(texts)
 
 
+def test_edited_copies_of_a_text_make_few_pairs(spark, monkeypatch):
+    """Copies with their own edits, too unlike to be linked, share signatures; their pairs must not grow with the square."""
+    monkeypatch.setattr(ngram_join, "FEW", 2, raising=False)
+    met, near = [], ngram_join.near_maps
+    monkeypatch.setattr(ngram_join, "near_maps", lambda pairs, *more: (met.append(pairs.count()), near(pairs, *more))[1])
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(80):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(5, 195, 5), 3 if i % 8 == 0 else 4)):  # copies with three edits are linked with the text
+            w[at] = f"e{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [t + " end" for t in texts[1:12]]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    got = ngram_join.ngram_components(docs_of(spark, texts, ids).repartition(3), 3, ngram_join.Similarity(90, 100)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(brute_components(ids, texts, 3, 90, 100).items())
+    assert sum(met) < 3 * len(texts), met
+
+
 def test_common_passages_bring_no_candidates():
     """With n-grams that many share left out, unlike texts with a passage in common share no signature at any corpus size."""
     rng = np.random.default_rng(2)
