@@ -25,7 +25,8 @@ each document is held against the one smaller document with which most chains
 join it, in stars of bounded size; what is linked is contracted, which settles
 groups of near copies however large. Only signatures that still join different
 contracted groups stay alive; pairs of documents that share one and are of
-different groups, rows of numbers, are filtered by parity bitmaps (their distance
+different groups (where many share one, by their differences from a centre),
+rows of numbers, are filtered by parity bitmaps (their distance
 bounds the sets' one from below), and texts are gathered for what these leave
 open only, to be compared exactly. Copies of one set are not expanded into pairs.
 
