@@ -24,11 +24,13 @@ into chains (a row per document, never a pair per pair) and memberships. First,
 each document is held against the one smaller document with which most chains
 join it, in stars of bounded size; what is linked is contracted, which settles
 groups of near copies however large. Only signatures that still join different
-contracted groups stay alive; pairs of documents that share one and are of
-different groups (where many share one, by their differences from a centre),
-rows of numbers, are filtered by parity bitmaps (their distance
+contracted groups stay alive. Where few share one, pairs of documents of
+different groups, rows of numbers, are filtered by parity bitmaps (their distance
 bounds the sets' one from below), and texts are gathered for what these leave
-open only, to be compared exactly. Copies of one set are not expanded into pairs.
+open only, to be compared exactly. Where many share one they are gathered round a
+centre in blocks of texts, and a task compares all sets of a block exactly; very
+large ones meet by their differences from the centre. Copies of one set are not
+expanded into pairs.
 
 Defined cases: texts without words have no n-grams and are linked with nothing;
 texts of fewer than n words are one n-gram, the whole sequence; rows sharing a
@@ -61,7 +63,9 @@ KNOWN_SETS = 60_000  # digests that a task remembers, to leave out copies
 FOLD_SIGNATURES = 400_000
 MEMBERS = 200_000  # memberships a row
 STAR = 256  # documents held against one copy of another
-FEW = 8  # members of a signature that meet each other; more meet by their differences from a centre
+FEW = 8  # members of a signature that meet each other; more are gathered round a centre
+GRID = 16  # parts of a star whose texts meet in blocks; of more parts they meet by their differences from the centre
+COLUMNS = 8_192  # n-grams that a block is counted by at a time
 CUTS = 4
 COMMON_DOCS, COMMON_GRAMS = 6, 1_000_000  # documents that make an n-gram a common one; at most so many, the most common, are left out of first cuts
 COMMON_BITS = 24
@@ -573,24 +577,123 @@ def _meeting(members: DataFrame, narrow: DataFrame, sizes: DataFrame, n: int, si
 
     Of signatures with equal members one is enough. The members of one that ``FEW``
     have at most meet each other, so a membership makes some pairs however many
-    there are; those of larger ones meet by their differences from a centre.
+    there are; those of larger ones are gathered in stars round the member that
+    signatures join most, and a star's texts are compared in blocks, which makes no
+    pairs. A star of more than ``GRID`` parts meets by differences from its centre.
     """
     sigs = checkpointed(members.groupBy("sig").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")))
     kept = sigs.groupBy("n", "x", "y").agg(F.min("sig").alias("sig")).select("sig", "n")
     m = checkpointed(members.join(kept, "sig"))
     a, b = (m.where(F.col("n") <= FEW).select("sig", *(F.col(x).alias(f"{c}_{x}") for x in ("doc_id", "settled"))) for c in "ab")
     few = a.join(b, "sig").where("a_doc_id > b_doc_id and a_settled <> b_settled").transform(_pairs).distinct()
-    degree = members.join(sigs, "sig").groupBy("doc_id").agg(F.sum("n").alias("met"))
     many = m.where(F.col("n") > FEW).select("sig", "doc_id")
+    degree = members.join(sigs, "sig").groupBy("doc_id").agg(F.sum("n").alias("met"))
     centre = many.join(degree, "doc_id").groupBy("sig").agg((-F.max(F.struct("met", (-F.col("doc_id")).alias("v")))["v"]).alias("head"))
     stars = checkpointed(many.join(centre, "sig").where("head <> doc_id").select("head", F.col("doc_id").alias("u")).distinct())
+    release(sigs)
+    none = stars.select("u", F.col("head").alias("v"))
     if stars.isEmpty():
-        return few, stars.select("u", F.col("head").alias("v"))
+        return few, none
     weighed = checkpointed(stars.join(sizes.withColumnRenamed("doc_id", "u"), "u"))
-    edits = checkpointed(differences(_with_text(_dealt(weighed, F.col("grams")), narrow).select("head", "part", "outer", "doc_id", "body"), n, sim))
-    release(sigs, stars, weighed)
-    met = _by_differences(edits, members.select("doc_id", "settled").distinct(), sim)
-    return few.unionByName(met).distinct(), edits.where("not far").select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct()
+    release(stars)
+    parts = checkpointed(_star_parts(weighed))
+    groups = members.select("doc_id", "settled").distinct()
+    links = checkpointed(block_links(_with_text(_blocks(weighed, parts.where(F.col("parts") <= GRID), groups), narrow), n, sim))
+    large = parts.where(F.col("parts") > GRID).select("head")
+    if large.isEmpty():
+        return few, links
+    dealt = _dealt(weighed.join(large, "head", "left_semi"), F.col("grams"))
+    edits = checkpointed(differences(_with_text(dealt, narrow).select("head", "part", "outer", "doc_id", "body"), n, sim))
+    met = _by_differences(edits, groups, sim)
+    return few.unionByName(met).distinct(), links.unionByName(edits.where("not far").select(F.col("doc_id").alias("u"), F.col("head").alias("v")).distinct())
+
+
+def _star_parts(weighed: DataFrame) -> DataFrame:
+    """``(head, parts)``: in how many parts the documents of a star are held against each other; a part is wider in larger stars, to four times ``STAR``."""
+    many = F.count("*")
+    width = F.greatest(F.lit(STAR), F.least(F.lit(4 * STAR), many / 8))
+    return weighed.groupBy("head").agg(F.ceil(F.greatest(many / width, F.sum("grams") / BLOCK_GRAMS)).alias("parts"))
+
+
+def _blocks(weighed: DataFrame, parts: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(head, row, col, doc_id, settled)``: the documents of each star, dealt to its parts, in each block of two parts.
+
+    The centre is one of the documents. A document is in as many blocks as its star has parts, ``GRID`` at most.
+    """
+    own = weighed.select("head", F.col("u").alias("doc_id")).unionByName(parts.select("head", F.col("head").alias("doc_id")))
+    own = own.join(parts, "head").withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    every = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return every.select("head", F.least("part", "other").alias("row"), F.greatest("part", "other").alias("col"), "doc_id").join(groups, "doc_id")
+
+
+def _linked_in_block(sets: list[np.ndarray], groups: np.ndarray, sim: Similarity) -> np.ndarray:
+    """For each set of a block the first one that links reach; links inside a group are not looked for.
+
+    An n-gram counts where it is in, or, if more than half of the sets have it, where
+    it is not; so what all copies of a text have, and what one of them has alone, costs nothing.
+    """
+    m, lengths = len(sets), np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(m), lengths)
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    most = times * 2 > m
+    absent = int(most.sum()) - np.bincount(owner[most[gram]], minlength=m)  # n-grams of most sets that a set has not
+    both = int(most.sum()) - absent[:, None] - absent[None, :]  # and those that two sets have, but for what neither has
+    rare = np.minimum(times, m - times)
+    column = np.full(len(times), -1, np.int64)
+    chosen = np.flatnonzero(rare > 1)
+    column[chosen] = np.arange(len(chosen))
+    place = column[gram]
+    order = np.argsort(place, kind="stable")[int((place < 0).sum()) :]
+    owner, place = owner[order], place[order]
+    for low in range(0, len(chosen), COLUMNS):
+        a, z = np.searchsorted(place, (low, low + COLUMNS))
+        here = np.zeros((m, min(COLUMNS, len(chosen) - low)), np.float32)
+        here[owner[a:z], place[a:z] - low] = 1
+        flip = most[chosen[low : low + COLUMNS]]
+        here[:, flip] = 1 - here[:, flip]
+        both += (here @ here.T).astype(np.int64)
+    linked = both * sim.den >= sim.num * (lengths[:, None] + lengths[None, :] - both)
+    linked &= groups[:, None] != groups[None, :]  # the diagonal, which is not exact, too
+    first = np.arange(m)
+    u, v = np.nonzero(linked)
+    while len(u):
+        low = first.copy()
+        np.minimum.at(low, u, first[v])
+        low = low[low]
+        if (low == first).all():
+            break
+        first = low
+    return first
+
+
+def block_links(blocks: DataFrame, n: int, sim: Similarity) -> DataFrame:
+    """``(u, v)``: links of documents of different settled groups that join what is linked inside a block; rows ``(head, row, col, doc_id, settled, body)``.
+
+    One block is held at a time, two parts of a star; at most one row a document leaves it.
+    """
+    def run(batches):
+        np.seterr(over="ignore")
+
+        def links(docs, groups, sets):
+            for at, first in enumerate(_linked_in_block(sets, np.array(groups, np.int64), sim).tolist() if len(sets) > 1 else ()):
+                if docs[at] != docs[first]:
+                    yield docs[at], docs[first]
+
+        def rows():
+            key, docs, groups, sets = None, [], [], []
+            for b in batches:
+                for head, row, col, doc, group, body in zip(*(c.to_pylist() for c in b.columns)):
+                    if (head, row, col) != key:
+                        yield from links(docs, groups, sets)
+                        key, docs, groups, sets = (head, row, col), [], [], []
+                    if len(grams := gram_set(body, n)):
+                        docs.append(doc), groups.append(group), sets.append(grams)
+            yield from links(docs, groups, sets)
+
+        return rows_to_batches(rows(), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+    dealt = blocks.select("head", "row", "col", "doc_id", "settled", "body").repartition("head", "row", "col").sortWithinPartitions("head", "row", "col")
+    return dealt.mapInArrow(run, "u long, v long")
 
 
 def differences(stars: DataFrame, n: int, sim: Similarity) -> DataFrame:

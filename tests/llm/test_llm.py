@@ -408,6 +408,49 @@ def test_edited_copies_of_a_text_make_few_pairs(spark, monkeypatch):
     assert sum(met) < 3 * len(texts), met
 
 
+@pytest.mark.parametrize(("star", "grid"), [(256, 16), (8, 1000), (8, 0)])
+def test_members_of_large_signatures_meet_in_blocks(spark, monkeypatch, star, grid):
+    """Texts round a centre meet in blocks, none is taken apart into n-grams; only stars of more than GRID parts are, with the same result."""
+    monkeypatch.setattr(ngram_join, "FEW", 2)
+    monkeypatch.setattr(ngram_join, "STAR", star)
+    monkeypatch.setattr(ngram_join, "GRID", grid, raising=False)
+    apart, differences = [], ngram_join.differences
+    monkeypatch.setattr(ngram_join, "differences", lambda *args: (apart.append(1), differences(*args))[1])
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(base)]
+    for i in range(60):
+        w = list(base)
+        for k, at in enumerate(rng.sample(range(5, 195, 5), 3 if i % 8 == 0 else 4)):  # copies with three edits are linked with the text
+            w[at] = f"e{i}x{k}"
+        texts.append(" ".join(w))
+    texts += [t + " end" for t in texts[2:12]]
+    ids = list(range(len(texts)))
+    rng.shuffle(ids)
+    ids[5] = ids[30]  # one document of two texts
+    got = ngram_join.ngram_components(docs_of(spark, texts, ids).repartition(3), 3, ngram_join.Similarity(90, 100)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(brute_components(ids, texts, 3, 90, 100).items())
+    assert bool(apart) == (grid == 0)
+
+
+def test_blocks_link_what_brute_force_links(monkeypatch):
+    """Common and rare n-grams, more of them than a block counts at a time, and links inside settled groups, which do not count."""
+    monkeypatch.setattr(ngram_join, "COLUMNS", 7)
+    rng = np.random.default_rng(4)
+    core = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    for num, den, m in ((4, 5, 40), (9, 10, 40), (4, 5, 2)):
+        sets = [np.unique(np.concatenate((core[rng.random(60) < 0.95], rng.choice(core, 2) + np.uint64(1)))) for _ in range(m)]
+        sets += [rng.integers(0, 2**64, 3, dtype=np.uint64)]
+        groups = rng.integers(0, 12, m + 1) if m > 2 else np.arange(m + 1)
+        label = list(range(m + 1))
+        for i in range(m + 1):
+            for j in range(i):
+                common = len(np.intersect1d(sets[i], sets[j]))
+                if groups[i] != groups[j] and common * den >= num * (len(sets[i]) + len(sets[j]) - common):
+                    label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+        assert ngram_join._linked_in_block(sets, groups, ngram_join.Similarity(num, den)).tolist() == label
+
+
 def test_common_passages_bring_no_candidates():
     """With n-grams that many share left out, unlike texts with a passage in common share no signature at any corpus size."""
     rng = np.random.default_rng(2)
