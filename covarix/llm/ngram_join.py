@@ -813,9 +813,11 @@ def unsettled(groups: DataFrame, pairs: DataFrame, labels: DataFrame) -> DataFra
     label = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"{c}_group"))
     cross = pairs.select("u", "v").join(label("u"), "u", "left").join(label("v"), "v", "left")
     cross = cross.select(F.coalesce("u_group", "u").alias("a"), F.coalesce("v_group", "v").alias("b")).where("a <> b")
-    open_groups = cross.select(F.explode(F.array("a", "b")).alias("settled")).distinct()
-    held = memberships(groups).join(label("doc_id"), "doc_id", "left").select("sig", "doc_id", F.coalesce("doc_id_group", "doc_id").alias("settled"))
-    held = held.join(open_groups, "settled", "left_semi")
+    open_groups = checkpointed(cross.select(F.explode(F.array("a", "b")).alias("settled")).distinct())
+    # a group has the id of one of its documents; those without a label are groups of their own
+    inside = labels.select(F.col("node").alias("doc_id"), F.col("component").alias("settled")).join(open_groups, "settled", "left_semi")
+    inside = checkpointed(inside.unionByName(open_groups.select(F.col("settled").alias("doc_id"), "settled")).distinct())
+    held = memberships(groups).join(sized(inside, inside.count()), "doc_id")
     alive = held.groupBy("sig").agg(F.min("settled").alias("low"), F.max("settled").alias("high")).where("low <> high")
     return held.join(alive.select("sig"), "sig", "left_semi")
 
