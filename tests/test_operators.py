@@ -179,6 +179,33 @@ def test_sequence_distances_spread_over_tasks(spark):
         assert collections.Counter(map(tuple, graph.sequence_distances(p, size).collect())) == want
 
 
+def test_sequence_distances_tasks_grow_with_the_pairs(spark):
+    """Tasks have millions of pairs; before, 40,000 sequences made 1,580."""
+    many = spark.range(40_000).select(F.col("id").alias("seq_id"), F.array((F.col("id") % 20).cast("int"), (F.col("id") % 7).cast("int")).alias("codes"))
+    assert 64 <= graph.sequence_distances(many).rdd.getNumPartitions() <= 128
+
+
+def test_large_blocks_of_distances_meet_in_tiles():
+    """Looked-up distances and computed ones, in 32 and 64 bits, of blocks larger than a tile."""
+    rng = np.random.default_rng(11)
+    for width in (0, 8, 70, 800):
+        x, y = (rng.integers(0, 21, (k, width)).astype(np.uint8) for k in (70, graph.TILE + 9))
+        ids = rng.permutation(len(x) + len(y) - 1)
+        ai, bi = ids[: len(x)], np.concatenate([ids[len(x) :], ids[-1:]])  # the last two are one id
+        for first, second, same in (((ai, x), (bi, y), False), ((bi, y), (ai, x), False), ((bi, y), (bi, y), True)):
+            got = collections.Counter(r for b in graph._block_distances(*first, *second, same) for r in zip(*(c.to_pylist() for c in b.columns)))
+            z = (first[1][:, None] < 20) & (second[1][None] < 20)
+            codes = [c ^ c >> 1 for c in (first[1][:, None], second[1][None])]
+            n, apart, gray = z.sum(2), ((codes[0] != codes[1]) & z).sum(2), (np.bitwise_count(codes[0] ^ codes[1]) * z).sum(2)
+            up = lambda k, m: (2_000_000 * int(k) + int(m)) // (2 * int(m)) / 1e6
+            want = collections.Counter()
+            for i, a in enumerate(first[0].tolist()):
+                for j, b in enumerate(second[0].tolist()):
+                    if a < b if same else a != b:
+                        want[(min(a, b), max(a, b), *((up(apart[i, j], n[i, j]), up(gray[i, j], n[i, j])) if n[i, j] else (1.0, None)))] += 1
+            assert got == want
+
+
 def test_sequence_pairs_are_all_pairs(spark):
     p = profile(spark, noise(25, 3))
     got = {(r.seq_a, r.seq_b) for r in graph.sequence_pairs(p, block_rows=4).collect()}
