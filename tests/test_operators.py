@@ -185,7 +185,7 @@ def test_sequence_distances_tasks_grow_with_the_pairs(spark):
     assert 64 <= graph.sequence_distances(many).rdd.getNumPartitions() <= 128
 
 
-def test_large_blocks_of_distances_meet_in_tiles():
+def test_large_blocks_of_distances_meet_in_tiles(spark):
     """Looked-up distances and computed ones, in 32 and 64 bits, of blocks larger than a tile."""
     rng = np.random.default_rng(11)
     for width in (0, 8, 70, 800):
@@ -193,7 +193,8 @@ def test_large_blocks_of_distances_meet_in_tiles():
         ids = rng.permutation(len(x) + len(y) - 1)
         ai, bi = ids[: len(x)], np.concatenate([ids[len(x) :], ids[-1:]])  # the last two are one id
         for first, second, same in (((ai, x), (bi, y), False), ((bi, y), (ai, x), False), ((bi, y), (bi, y), True)):
-            got = collections.Counter(r for b in graph._block_distances(*first, *second, same) for r in zip(*(c.to_pylist() for c in b.columns)))
+            met = spark.createDataFrame(pa.Table.from_batches(graph._block_distances(*first, *second, same)))
+            got = collections.Counter(map(tuple, graph._unpacked(met).collect()))
             z = (first[1][:, None] < 20) & (second[1][None] < 20)
             codes = [c ^ c >> 1 for c in (first[1][:, None], second[1][None])]
             n, apart, gray = z.sum(2), ((codes[0] != codes[1]) & z).sum(2), (np.bitwise_count(codes[0] ^ codes[1]) * z).sum(2)
